@@ -153,3 +153,100 @@ def with_(*frags: str, body: str) -> str:
 
 
 BASE = [CORPUS, STRIPPED, SECTIONS]
+
+BIG = 1 << 40
+SW = strip_ws
+
+COLS = f"""
+c_src AS (SELECT query_id, section_id, identifier, {SW('content')} AS q FROM dlog),
+c_tok AS (
+  SELECT query_id, section_id, identifier, unnest(l) AS tok, generate_subscripts(l, 1) AS pos
+  FROM (SELECT query_id, section_id, identifier, regexp_extract_all(q, {q(CTOK)}) AS l FROM c_src)
+),
+c_t1 AS (
+  SELECT *, (sum(dl) OVER (PARTITION BY query_id, section_id, identifier ORDER BY pos ROWS UNBOUNDED PRECEDING) - dl) = 0 AS d0
+  FROM (SELECT *, CASE WHEN tok = '(' THEN 1 WHEN tok = ')' THEN -1 ELSE 0 END AS dl FROM c_tok)
+),
+c_t2 AS (
+  SELECT *,
+    sum(CASE WHEN d0 AND tok = ',' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, section_id, identifier ORDER BY pos ROWS UNBOUNDED PRECEDING) AS commas,
+    min(CASE WHEN d0 AND upper(tok) = 'SELECT' THEN pos END) OVER (PARTITION BY query_id, section_id, identifier) AS selpos
+  FROM c_t1
+),
+c_t3 AS (
+  SELECT *, min(CASE WHEN d0 AND upper(tok) = 'FROM' AND pos > selpos THEN pos END)
+              OVER (PARTITION BY query_id, section_id, identifier) AS frompos
+  FROM c_t2
+),
+c_t4 AS (
+  SELECT *, CASE WHEN selpos IS NULL OR pos < selpos THEN -1 WHEN pos = selpos THEN NULL
+                 WHEN pos >= coalesce(frompos, {BIG}) THEN {BIG}
+                 WHEN d0 AND tok = ',' THEN NULL ELSE commas END AS part
+  FROM c_t3
+),
+c_l1 AS (
+  SELECT query_id, section_id, identifier, part, string_agg(tok, '' ORDER BY pos) AS text, max(selpos) AS selpos
+  FROM c_t4 WHERE part IS NOT NULL GROUP BY ALL
+),
+c_l2 AS (
+  SELECT query_id, section_id, identifier,
+    max(CASE WHEN part = -1 THEN text END) AS prefix, max(CASE WHEN part = {BIG} THEN text END) AS suffix,
+    max(selpos) AS selpos,
+    list({SW('text')} ORDER BY part) FILTER (WHERE part >= 0 AND part < {BIG} AND {SW('text')} <> '') AS cols
+  FROM c_l1 GROUP BY ALL
+),
+clog AS (
+  SELECT d.query_id, d.section, d.section_id, d.type, d.identifier, d.original_query,
+    coalesce(CASE WHEN c.selpos IS NOT NULL THEN {SW("coalesce(c.prefix, '') || 'SELECT * ' || coalesce(c.suffix, '')")}
+                  ELSE c.prefix END, {SW('d.content')}) AS content,
+    CASE WHEN c.selpos IS NOT NULL THEN coalesce(c.cols, []::VARCHAR[]) ELSE []::VARCHAR[] END AS cols,
+    d.response_error
+  FROM dlog d LEFT JOIN c_l2 c USING (query_id, section_id, identifier)
+)"""
+
+TABLE_STOP = "('ON','WHERE','GROUP','ORDER','HAVING','SELECT','INNER','LEFT','RIGHT','OUTER')"
+FUNC_STOP = ("('SELECT','FROM','JOIN','WHERE','CASE','WHEN','THEN','ELSE','END','GROUP','ORDER',"
+             "'HAVING','ON','UNION','EXISTS','IN','AS','WITH')")
+TABLE_RE = r"(?i)\b(?:FROM|JOIN)\s+([a-zA-Z_][a-zA-Z0-9_.]*)"
+FUNC_RE = r"\b([A-Z_][A-Z0-9_]*)\s*\("
+
+
+def tables_sql(e: str) -> str:
+    return (f"list_sort(list_distinct(list_filter(regexp_extract_all({e}, {q(TABLE_RE)}, 1), "
+            f"lambda x: upper(x) NOT IN {TABLE_STOP})))")
+
+
+def functions_sql(e: str, cols: str | None = None) -> str:
+    found = f"regexp_extract_all(upper({e}), {q(FUNC_RE)}, 1)"
+    if cols:
+        found = (f"flatten([{found}] || list_transform({cols}, "
+                 f"lambda c: regexp_extract_all(upper(c), {q(FUNC_RE)}, 1)))")
+    return f"list_sort(list_distinct(list_filter({found}, lambda x: x NOT IN {FUNC_STOP})))"
+
+
+S1 = f"""
+s1log AS (
+  SELECT *, {tables_sql('content')} AS tables, {functions_sql('content', 'cols')} AS functions FROM clog
+)"""
+
+PIECE = r"""(?:'[^']*')+|"[^"]*"|[^'"]+|['"]"""
+
+
+def convert_sql(e: str) -> str:
+    code = (f"regexp_replace(regexp_replace(regexp_replace(p, {q(r'(?i)\bNVL\s*\(')}, 'COALESCE(', 'g'), "
+            f"{q(r'(?i)\bVARCHAR2\b(\s*\(\s*\d+\s*(?:BYTE|CHAR)?\s*\))?')}, 'STRING', 'g'), "
+            f"{q(r'(?i)\bSYSDATE\b')}, 'CURRENT_TIMESTAMP()', 'g')")
+    lit = "CASE WHEN p = '''YYYYMMDD''' THEN '''yyyyMMdd''' ELSE p END"
+    return (f"CASE WHEN {e} IS NULL THEN NULL ELSE array_to_string(list_transform(regexp_extract_all({e}, "
+            f"{q(PIECE)}), lambda p: CASE WHEN starts_with(p, '''') OR starts_with(p, '\"') THEN {lit} "
+            f"ELSE {code} END), '') END")
+
+
+def errors_sql(e: str) -> str:
+    code = f"regexp_replace({e}, {q(LIT)}, '', 'g')"
+    bal = (f"length(regexp_replace({code}, '[^(]', '', 'g')) - length(regexp_replace({code}, '[^)]', '', 'g'))")
+    parts = [f"CASE WHEN {bal} <> 0 THEN 'unbalanced parentheses' END",
+             f"CASE WHEN regexp_matches({e}, {q(r'(?i)\bROWNUM\b')}) THEN 'unsupported: rownum' END",
+             f"CASE WHEN regexp_matches({e}, {q(r'(?i)\bCONNECT\s+BY\b')}) THEN 'unsupported: connect_by' END",
+             f"CASE WHEN regexp_matches({e}, {q(r'\(\+\)')}) THEN 'unsupported: outer_join_plus' END"]
+    return f"concat_ws('; ', {', '.join(parts)})"

@@ -124,3 +124,240 @@ def q_main_only_log(spark, sf):
     "FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS k FROM sections WHERE section = 'select') WHERE k >= 2")))
 def q_setop_branches(spark, sf):
     return D.setop_branches(_corpus(spark, sf))
+
+
+# --- C: select lists ---------------------------------------------------------
+from sqlstrata.operators import assemble as A  # noqa: E402
+from sqlstrata.operators import columns as C  # noqa: E402
+from sqlstrata.operators import convert as V  # noqa: E402
+from sqlstrata.operators import lineage as L  # noqa: E402
+from sqlstrata.plans import pipeline as PL  # noqa: E402
+
+RS = "\x1e"  # array elements are joined with the record separator for hashing
+_DLOG = [*O.BASE, O.SUBQUERIES, O.LOG]
+_CLOG = [*_DLOG, O.COLS]
+_S1 = [*_CLOG, O.S1]
+
+
+def _j(c):
+    return F.array_join(F.col(c) if isinstance(c, str) else c, RS)
+
+
+def _dj(e):
+    return f"array_to_string({e}, chr(30))"
+
+
+@register("split_columns", O.with_(*_CLOG, body=(
+    f"SELECT query_id, section_id, identifier, CAST(len(cols) AS INTEGER) AS n_columns, {_dj('cols')} AS columns "
+    "FROM clog WHERE len(cols) > 0")))
+def q_split_columns(spark, sf):
+    log = C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
+    return log.filter(F.size("columns") > 0).select(
+        "query_id", "section_id", "identifier", F.size("columns").cast("int").alias("n_columns"),
+        _j("columns").alias("columns"))
+
+
+@register("star_rewrite", O.with_(*_CLOG, body="SELECT query_id, section_id, identifier, content FROM clog"))
+def q_star_rewrite(spark, sf):
+    return C.log_with_columns(D.decompose_log(_corpus(spark, sf))).select(
+        "query_id", "section_id", "identifier", "content")
+
+
+@register("log_with_columns", O.with_(*_CLOG, body=(
+    "SELECT query_id, section, section_id, type, identifier, original_query, content, "
+    f"{_dj('cols')} AS columns, response_error FROM clog")))
+def q_log_with_columns(spark, sf):
+    log = C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
+    return log.select("query_id", "section", "section_id", "type", "identifier", "original_query",
+                      "content", _j("columns").alias("columns"), "response_error")
+
+
+@register("column_chunks", O.with_(*_CLOG, body=(
+    "SELECT query_id, section_id, identifier, CAST(i // 5 AS INTEGER) AS chunk, "
+    "'SELECT ' || array_to_string(list_slice(cols, i + 1, i + 5), ', ') || ' FROM dummy' AS chunk_query "
+    "FROM (SELECT *, unnest(range(0, len(cols), 5)) AS i FROM clog WHERE len(cols) > 0)")))
+def q_column_chunks(spark, sf):
+    log = C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
+    return C.column_chunks(log, 5).select("query_id", "section_id", "identifier", "chunk", "chunk_query")
+
+
+# --- D: lineage ----------------------------------------------------------------
+@register("extract_tables", O.with_(*_S1, body=(
+    f"SELECT query_id, section_id, identifier, {_dj('tables')} AS tables FROM s1log")))
+def q_extract_tables(spark, sf):
+    return PL.stage1(_corpus(spark, sf)).select("query_id", "section_id", "identifier",
+                                                _j("tables").alias("tables"))
+
+
+_LOOSE = (r"list_sort(list_distinct(list_transform(regexp_extract_all(content, '(?i)FROM\s+([^\s;()]+)', 1) || "
+          r"regexp_extract_all(content, '(?i)JOIN\s+([^\s;()]+)', 1), lambda x: lower(trim(x)))))")
+
+
+@register("extract_tables_loose", O.with_(*_DLOG, body=(
+    f"SELECT query_id, section_id, identifier, {_dj(_LOOSE)} AS tables FROM dlog")))
+def q_extract_tables_loose(spark, sf):
+    return D.decompose_log(_corpus(spark, sf)).select(
+        "query_id", "section_id", "identifier", _j(L.loose_tables_expr("content")).alias("tables"))
+
+
+@register("unique_tables", O.with_(*_S1, body=(
+    "SELECT tbl AS table_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT query_id) AS BIGINT) AS n_queries "
+    "FROM (SELECT query_id, unnest(tables) AS tbl FROM s1log) GROUP BY tbl")))
+def q_unique_tables(spark, sf):
+    return L.unique_values(PL.stage1(_corpus(spark, sf)), "tables", "table_name")
+
+
+@register("extract_functions", O.with_(*_S1, body=(
+    f"SELECT query_id, section_id, identifier, {_dj('functions')} AS functions FROM s1log")))
+def q_extract_functions(spark, sf):
+    return PL.stage1(_corpus(spark, sf)).select("query_id", "section_id", "identifier",
+                                                _j("functions").alias("functions"))
+
+
+@register("unique_functions", O.with_(*_S1, body=(
+    "SELECT fn AS function_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT query_id) AS BIGINT) AS n_queries "
+    "FROM (SELECT query_id, unnest(functions) AS fn FROM s1log) GROUP BY fn")))
+def q_unique_functions(spark, sf):
+    return L.unique_values(PL.stage1(_corpus(spark, sf)), "functions", "function_name")
+
+
+_DUP = f"""SELECT table_key, n_copies, query_id, identifier FROM (
+  SELECT *, CAST(count(*) OVER (PARTITION BY table_key) AS BIGINT) AS n_copies FROM (
+    SELECT query_id, identifier, array_to_string({_LOOSE}, ',') AS table_key FROM dlog WHERE type = 'subquery'))
+WHERE n_copies > 1"""
+
+
+@register("duplicate_subqueries", O.with_(*_DLOG, body=_DUP))
+def q_duplicate_subqueries(spark, sf):
+    return L.duplicate_subqueries(D.decompose_log(_corpus(spark, sf)))
+
+
+@register("duplicate_groups", O.with_(*_DLOG, body=(
+    f"SELECT table_key, CAST(count(*) AS BIGINT) AS n_copies, CAST(count(DISTINCT query_id) AS BIGINT) AS n_queries "
+    f"FROM (SELECT query_id, array_to_string({_LOOSE}, ',') AS table_key FROM dlog WHERE type = 'subquery') "
+    "GROUP BY table_key HAVING count(*) > 1")))
+def q_duplicate_groups(spark, sf):
+    return L.duplicate_groups(D.decompose_log(_corpus(spark, sf)))
+
+
+# --- E: conversion -------------------------------------------------------------
+_CONV = f"""
+e_conv AS (SELECT *, {O.convert_sql('content')} AS conv FROM s1log),
+e_log AS (
+  SELECT *, CASE WHEN section = 'join' THEN '' WHEN {O.errors_sql('conv')} = '' THEN conv ELSE '' END AS converted_content,
+    CASE WHEN section = 'join' THEN response_error
+         ELSE concat_ws('; ', CASE WHEN response_error <> '' THEN response_error END,
+                        CASE WHEN {O.errors_sql('conv')} <> '' THEN {O.errors_sql('conv')} END) END AS response_error2,
+    CASE WHEN section = 'join' THEN 'passthrough' WHEN {O.errors_sql('conv')} = '' THEN 'success' ELSE 'failed' END AS status
+  FROM e_conv
+)"""
+_ELOG = [*_S1, _CONV]
+
+
+@register("convert_rules", O.with_(*_S1, body=(
+    f"SELECT query_id, section_id, identifier, {O.convert_sql('content')} AS converted FROM s1log")))
+def q_convert_rules(spark, sf):
+    return PL.stage1(_corpus(spark, sf)).select(
+        "query_id", "section_id", "identifier", V.apply_rules(F.col("content")).alias("converted"))
+
+
+@register("convert_log", O.with_(*_ELOG, body=(
+    "SELECT query_id, section_id, identifier, converted_content, response_error2 AS response_error, status FROM e_log")))
+def q_convert_log(spark, sf):
+    return V.convert_log(PL.stage1(_corpus(spark, sf))).select(
+        "query_id", "section_id", "identifier", "converted_content", "response_error", "status")
+
+
+@register("incremental_pending", O.with_(*_ELOG, body=(
+    "SELECT query_id, section_id, identifier FROM e_log WHERE section <> 'join' AND "
+    "regexp_replace(coalesce(converted_content, ''), '^\\s+|\\s+$', '', 'g') = ''")))
+def q_incremental_pending(spark, sf):
+    c = _corpus(spark, sf)
+    return V.incremental_pending(c, PL.stage2(PL.stage1(c)))
+
+
+_AUDIT_SQL = " UNION ALL ".join(
+    f"SELECT query_id, '{n}' AS construct FROM s1log WHERE regexp_matches(content, {O.q(p)})"
+    for n, p in V.AUDIT)
+
+
+@register("dialect_audit", O.with_(*_S1, body=(
+    "SELECT construct, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT query_id) AS BIGINT) AS n_queries "
+    f"FROM ({_AUDIT_SQL}) GROUP BY construct")))
+def q_dialect_audit(spark, sf):
+    return V.dialect_audit(PL.stage1(_corpus(spark, sf)))
+
+
+@register("failure_budget", O.with_(*_ELOG, body=(
+    "SELECT query_id, section_id, identifier, response_error2 AS response_error FROM ("
+    "SELECT *, coalesce(sum(CASE WHEN response_error2 <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id "
+    "ORDER BY section_id, CASE WHEN type = 'subquery' THEN 0 WHEN type = 'section_main' THEN 1 ELSE 2 END, "
+    "coalesce(TRY_CAST(regexp_extract(identifier, '_(\\d+)$', 1) AS INTEGER), 0) "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e_log) WHERE before < 1")))
+def q_failure_budget(spark, sf):
+    log = PL.stage2(PL.stage1(_corpus(spark, sf)))
+    return V.failure_budget(log, budget=1).select("query_id", "section_id", "identifier", "response_error")
+
+
+# --- F: reassembly -------------------------------------------------------------
+@register("resolve_placeholders", O.with_(*O.BASE, body=(
+    "SELECT query_id, section_id, content AS resolved FROM sections")))
+def q_resolve_placeholders(spark, sf):
+    log = D.decompose_log(_corpus(spark, sf))
+    return A.resolve_sections(A.piece_text(log)).select("query_id", "section_id", "resolved")
+
+
+_STAR_SQL = ("CASE WHEN len(cols) > 0 AND regexp_matches(content, '(?i)select\\s+\\*') THEN "
+             "regexp_replace(content, '(?i)(select\\s+)\\*', '\\1' || replace(array_to_string(cols, ', '), '\\', '\\\\')) "
+             "ELSE content END")
+
+
+@register("star_expand", O.with_(*_CLOG, body=(
+    f"SELECT query_id, section_id, identifier, {_STAR_SQL} AS expanded FROM clog")))
+def q_star_expand(spark, sf):
+    log = C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
+    return log.select("query_id", "section_id", "identifier",
+                      A.star_expand(F.col("content"), F.col("columns"), F.col("columns")).alias("expanded"))
+
+
+_FOLD = f"""
+f_rows AS (SELECT *, {_STAR_SQL} AS t FROM clog),
+f_subs AS (
+  SELECT query_id, section_id, identifier, t,
+         row_number() OVER (PARTITION BY query_id, section_id
+                            ORDER BY CAST(regexp_extract(identifier, '_(\\d+)$', 1) AS BIGINT) DESC) AS rk
+  FROM f_rows WHERE type = 'subquery'
+),
+f_fold AS (
+  WITH RECURSIVE r(query_id, section_id, k, txt) AS (
+    SELECT query_id, section_id, 0, t FROM f_rows WHERE type = 'section_main'
+    UNION ALL
+    SELECT r.query_id, r.section_id, r.k + 1, replace(r.txt, '<<' || s.identifier || '>>', s.t)
+    FROM r JOIN f_subs s ON s.query_id = r.query_id AND s.section_id = r.section_id AND s.rk = r.k + 1
+  )
+  SELECT query_id, section_id, arg_max(txt, k) AS resolved FROM r GROUP BY query_id, section_id
+),
+f_final AS (
+  SELECT query_id, string_agg({O.SW('resolved')}, chr(10) || chr(10) ORDER BY section_id) AS final_query
+  FROM f_fold GROUP BY query_id
+)"""
+
+
+def _identity_columns(log):
+    return log.withColumn("converted_columns", F.col("columns"))
+
+
+@register("assemble_query", O.with_(*_CLOG, _FOLD, body="SELECT query_id, final_query FROM f_final"))
+def q_assemble_query(spark, sf):
+    log = C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
+    return A.assemble_query(_identity_columns(log))
+
+
+@register("final_row", O.with_(*_CLOG, _FOLD, body=(
+    f"SELECT query_id, final_query, {_dj(O.tables_sql('final_query'))} AS tables, "
+    f"{_dj(O.functions_sql('final_query'))} AS functions FROM f_final")))
+def q_final_row(spark, sf):
+    log = C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
+    fin = A.final_row(L.with_tables(_identity_columns(log)))
+    return fin.filter(F.col("type") == "final").select(
+        "query_id", "final_query", _j("tables").alias("tables"), _j("functions").alias("functions"))
