@@ -361,3 +361,81 @@ def q_final_row(spark, sf):
     fin = A.final_row(L.with_tables(_identity_columns(log)))
     return fin.filter(F.col("type") == "final").select(
         "query_id", "final_query", _j("tables").alias("tables"), _j("functions").alias("functions"))
+
+
+# --- G: chat tables ------------------------------------------------------------
+from sqlstrata.operators import chat as G  # noqa: E402
+
+
+@register("build_messages", O.with_(*_S1, body=(
+    f"SELECT query_id, section_id, identifier, 2 AS n_messages, {O.q(G.SYSTEM_PROMPT)} AS system_content, "
+    f"{O.q(G.USER_PREFIX)} || content AS user_content FROM s1log")))
+def q_build_messages(spark, sf):
+    m = G.build_messages(PL.stage1(_corpus(spark, sf)))
+    return m.select("query_id", "section_id", "identifier", F.size("messages").alias("n_messages"),
+                    F.col("messages")[0]["content"].alias("system_content"),
+                    F.col("messages")[1]["content"].alias("user_content"))
+
+
+@register("first_reply", """
+SELECT conv_id, min(turn) AS turn, arg_min(text, turn) AS reply FROM conversations
+WHERE role = 'assistant' GROUP BY conv_id""")
+def q_first_reply(spark, sf):
+    return G.first_reply(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+_WRAP = r"""
+wrapped AS (
+  SELECT conv_id, turn,
+    CASE WHEN turn % 3 = 0 THEN '```sql' || chr(10) || text || chr(10) || '```' || chr(10) ELSE '' END
+    || '## Original Oracle SQL:' || chr(10) || '```sql' || chr(10) || text || chr(10) || '```' || chr(10)
+    || '## Converted Spark SQL :' || chr(10) || '```SQL' || chr(10) || text || chr(10) || '```' || chr(10) || 'Done.'
+    AS reply
+  FROM conversations WHERE role = 'assistant'
+),
+items AS (
+  SELECT conv_id, turn, reply,
+    regexp_extract_all(reply, '(?:##\s*(?:.*?)\s*:)|(?:(?i)```sql\s*(?:[\s\S]*?)\s*```)') AS it FROM wrapped
+),
+blocks AS (
+  SELECT conv_id, turn, unnest(list_filter(list_transform(it, lambda x, i: {
+      'k': i - 1,
+      'section': coalesce(regexp_replace(regexp_extract(list_filter(list_slice(it, 1, i - 1), lambda h: starts_with(h, '##'))[-1],
+                                         '##\s*(.*?)\s*:', 1), '^\s+|\s+$', '', 'g'), 'Unknown'),
+      'sql': regexp_replace(regexp_extract(x, '(?i)```sql\s*([\s\S]*?)\s*```', 1), '^\s+|\s+$', '', 'g'),
+      'fence': NOT starts_with(x, '##')}), lambda s: s.fence), recursive := true)
+  FROM items
+)
+SELECT conv_id, turn, CAST(k AS INTEGER) AS k, section, sql FROM blocks
+UNION ALL
+SELECT conv_id, turn, CAST(len(it) AS INTEGER), 'FULL_MESSAGE', regexp_replace(reply, '^\s+|\s+$', '', 'g') FROM items"""
+
+
+@register("reply_sections", "WITH " + _WRAP.strip())
+def q_reply_sections(spark, sf):
+    w = G.wrap_reply(spark.read.parquet(f"{sf}/conversations.parquet"))
+    return G.reply_sections(w, "reply", ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.col("k").cast("int").alias("k"), "section", "sql")
+
+
+@register("few_shot_text", O.with_(*_ELOG, body=(
+    "SELECT query_id, CAST(count(*) AS BIGINT) AS n_examples, string_agg('Oracle:' || chr(10) || content || chr(10) "
+    "|| 'Spark SQL:' || chr(10) || converted_content, chr(10) || chr(10) ORDER BY section_id, "
+    "CAST(regexp_extract(identifier, '_(\\d+)$', 1) AS BIGINT)) AS examples "
+    "FROM e_log WHERE type = 'subquery' AND converted_content <> '' GROUP BY query_id")))
+def q_few_shot_text(spark, sf):
+    return G.few_shot_text(PL.stage2(PL.stage1(_corpus(spark, sf))))
+
+
+@register("eval_rows", """
+WITH f AS (SELECT conv_id, min(turn) AS t, arg_min(text, turn) AS reply FROM conversations
+           WHERE role = 'assistant' GROUP BY conv_id)
+SELECT c.conv_id, CAST(count(*) AS INTEGER) AS n_messages,
+       string_agg(c.role || ':' || c.text, chr(30) ORDER BY c.turn) AS messages, f.reply AS expected_response
+FROM conversations c JOIN f ON f.conv_id = c.conv_id WHERE c.turn < f.t GROUP BY c.conv_id, f.reply""")
+def q_eval_rows(spark, sf):
+    e = G.eval_rows(spark.read.parquet(f"{sf}/conversations.parquet"))
+    return e.select("conv_id", F.size("inputs.messages").alias("n_messages"),
+                    F.array_join(F.transform("inputs.messages", lambda m: F.concat(m["role"], F.lit(":"),
+                                                                                 m["content"])), RS).alias("messages"),
+                    "expected_response")
