@@ -79,7 +79,9 @@ def split_sections(corpus: DataFrame) -> DataFrame:
     [ALL], EXCEPT [ALL], MINUS) is its own ``join`` section. Blank pieces and
     pieces that start with ``(`` are dropped before numbering.
     """
-    src = corpus.select("query_id", strip_comments("sql").alias("sql"))
+    # Hash-partition the texts (not the tokens) once: tokenizing then runs
+    # in parallel, and every later window / group-by on query_id reuses it.
+    src = corpus.repartition("query_id").select("query_id", strip_comments("sql").alias("sql"))
     tok = tokenize(src, "sql", P.SECTION_TOKEN, ["query_id"])
     w = Window.partitionBy("query_id").orderBy("pos")
     delta, depth_incl = _depth(w)
@@ -121,21 +123,36 @@ def cte_block(corpus: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # subqueries
 # ---------------------------------------------------------------------------
-def _subquery_tokens(sections: DataFrame) -> DataFrame:
-    """Token rows of cte/select sections with open/close/level/number marks."""
-    src = sections.filter(F.col("section").isin("cte", "select"))
-    tok = tokenize(src, "content", P.SUBQUERY_TOKEN, ["query_id", "section_id", "section"])
+def _subquery_tokens(sections: DataFrame, all_sections: bool = False,
+                     with_orig: bool = False) -> DataFrame:
+    """Token rows of sections with open/close/level/number marks.
+
+    Only cte/select sections get subqueries. With ``with_orig`` every
+    section also yields one extra row (``pos = 0``, ``is_orig``) that carries
+    the whole section text, so the original text travels with the tokens
+    instead of being joined back later.
+    """
+    src = sections if all_sections else sections.filter(F.col("section").isin("cte", "select"))
+    arr = F.regexp_extract_all(F.col("content"), F.lit(P.SUBQUERY_TOKEN), 0)
+    if with_orig:
+        arr = F.concat(F.array(F.col("content")), arr)
+    tok = src.select("query_id", "section_id", "section", F.posexplode(arr).alias("pos", "tok"))
+    is_orig = (F.col("pos") == 0) if with_orig else F.lit(False)
+    tok = tok.withColumn("is_orig", is_orig)
     w = Window.partitionBy("query_id", "section_id").orderBy("pos")
     is_sel = lambda c: F.upper(c) == "SELECT"
     lead1, lead2 = F.lead("tok", 1).over(w), F.lead("tok", 2).over(w)
-    isopen = (F.col("tok") == "(") & (is_sel(lead1) | (lead1.rlike(P.BLANK) & is_sel(lead2)))
-    delta, depth_incl = _depth(w)
+    op = (F.col("tok") == "(") & ~F.col("is_orig")
+    cl = (F.col("tok") == ")") & ~F.col("is_orig")
+    isopen = (op & F.col("section").isin("cte", "select")
+              & (is_sel(lead1) | (lead1.rlike(P.BLANK) & is_sel(lead2))))
+    delta = F.when(op, 1).when(cl, -1).otherwise(0)
+    depth_incl = F.sum(delta).over(w.rowsBetween(UNB, 0))
     tok = (tok.withColumn("isopen", F.coalesce(isopen, F.lit(False)))
-              .withColumn("d", F.when(F.col("tok") == "(", depth_incl)
-                                .when(F.col("tok") == ")", depth_incl + 1)))
+              .withColumn("d", F.when(op, depth_incl).when(cl, depth_incl + 1)))
     wd = Window.partitionBy("query_id", "section_id", "d").orderBy("pos").rowsBetween(UNB, 0)
-    opener_flag = F.last(F.when(F.col("tok") == "(", F.col("isopen")), ignorenulls=True).over(wd)
-    tok = tok.withColumn("isclose", F.coalesce((F.col("tok") == ")") & opener_flag, F.lit(False)))
+    opener_flag = F.last(F.when(op, F.col("isopen")), ignorenulls=True).over(wd)
+    tok = tok.withColumn("isclose", F.coalesce(cl & opener_flag, F.lit(False)))
     o, c = F.col("isopen").cast("int"), F.col("isclose").cast("int")
     tok = (tok.withColumn("sd", F.sum(o - c).over(w.rowsBetween(UNB, 0)) + c)
               .withColumn("n0", F.sum(c).over(w.rowsBetween(UNB, 0)))
@@ -149,45 +166,43 @@ def _identifier(section, section_id, n):
                     F.lit("]_"), n.cast("string"))
 
 
-def subquery_pieces(sections: DataFrame) -> DataFrame:
-    """Per cte/select section: one row per subquery (n >= 1) and the main piece (n = 0).
+def subquery_pieces(sections: DataFrame, all_sections: bool = False,
+                    with_orig: bool = False) -> DataFrame:
+    """Per section: one row per subquery (n >= 1) and the main piece (n = 0).
 
     Out: ``query_id, section_id, section, n, content, unbalanced``. Nested
     subqueries are replaced by ``(<<subquery_{section}[{section_id}]_{n}>>)``,
     numbers are post-order per section (inner before outer, left to right).
-    An unbalanced section is returned whole as its main piece.
+    An unbalanced section is returned whole as its main piece. With
+    ``with_orig`` the whole section text comes as an extra piece ``n = -1``.
     """
-    tok = _subquery_tokens(sections)
+    tok = _subquery_tokens(sections, all_sections, with_orig)
     ev_t = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()),
                                      T.StructField("t", T.StringType()),
                                      T.StructField("closen", T.LongType())]))
-    body = F.struct(F.col("sd").cast("int").alias("level"), F.col("tok").alias("t"),
-                    F.lit(None).cast("long").alias("closen"))
-    flat = F.struct(F.lit(0).alias("level"), F.col("tok").alias("t"),
-                    F.lit(None).cast("long").alias("closen"))
-    own_close = F.struct(F.col("sd").cast("int").alias("level"), F.lit("").alias("t"),
-                         F.col("n0").cast("long").alias("closen"))
+
+    def ev(level, t, closen=None):
+        return F.struct(level.cast("int").alias("level"), t.alias("t"),
+                        (closen if closen is not None else F.lit(None)).cast("long").alias("closen"))
+
     ph = F.concat(F.lit("(<<"), _identifier(F.col("section"), F.col("section_id"), F.col("n0")),
                   F.lit(">>)"))
-    in_parent = F.struct((F.col("sd") - 1).cast("int").alias("level"), ph.alias("t"),
-                         F.lit(None).cast("long").alias("closen"))
-    events = (F.when(F.col("unbalanced"), F.array(flat))
-               .when(F.col("isclose"), F.array(own_close, in_parent))
-               .when(F.col("isopen"), F.array(F.struct(
-                   F.col("sd").cast("int").alias("level"), F.lit("").alias("t"),
-                   F.lit(None).cast("long").alias("closen"))))
-               .otherwise(F.array(body))).cast(ev_t)
-    ev = tok.select("query_id", "section_id", "section", "pos", "unbalanced",
-                    F.inline(events))
+    events = (F.when(F.col("is_orig"), F.array(ev(F.lit(-1), F.col("tok"))))
+               .when(F.col("unbalanced"), F.array(ev(F.lit(0), F.col("tok"))))
+               .when(F.col("isclose"), F.array(ev(F.col("sd"), F.lit(""), F.col("n0")),
+                                               ev(F.col("sd") - 1, ph)))
+               .when(F.col("isopen"), F.array(ev(F.col("sd"), F.lit(""))))
+               .otherwise(F.array(ev(F.col("sd"), F.col("tok"))))).cast(ev_t)
+    evs = tok.select("query_id", "section_id", "section", "pos", "unbalanced", F.inline(events))
     wl = (Window.partitionBy("query_id", "section_id", "level").orderBy("pos")
                 .rowsBetween(0, UNF))
-    ev = ev.withColumn("n", F.when(F.col("level") == 0, F.lit(0).cast("long"))
-                             .otherwise(F.first("closen", ignorenulls=True).over(wl)))
-    return (ev.withColumnRenamed("t", "tok")
-              .groupBy("query_id", "section_id", "n")
-              .agg(F.first("section").alias("section"),
-                   ordered_concat().alias("content"),
-                   F.max("unbalanced").alias("unbalanced")))
+    evs = evs.withColumn("n", F.when(F.col("level") <= 0, F.col("level").cast("long"))
+                               .otherwise(F.first("closen", ignorenulls=True).over(wl)))
+    return (evs.withColumnRenamed("t", "tok")
+               .groupBy("query_id", "section_id", "n")
+               .agg(F.first("section").alias("section"),
+                    ordered_concat().alias("content"),
+                    F.max("unbalanced").alias("unbalanced")))
 
 
 def extract_subqueries(corpus: DataFrame) -> DataFrame:
@@ -279,25 +294,24 @@ def decompose_log(corpus: DataFrame) -> DataFrame:
     Per cte/select section: one ``subquery`` row per subquery and one
     ``section_main`` row (content with placeholders, original_query = the
     section text). Per set-operator / unknown section: a row with empty type
-    and identifier, and a ``section_main`` row.
+    and identifier, and a ``section_main`` row. One pass: every row comes out
+    of the same group-by, the section text rides along as piece ``n = -1``.
     """
-    sections = split_sections(corpus)
-    pieces = subquery_pieces(sections)
-    subs = pieces.filter(F.col("n") > 0).select(*_log_row(
-        F.col("query_id"), F.col("section"), F.col("section_id"), F.lit("subquery"),
-        _identifier(F.col("section"), F.col("section_id"), F.col("n")),
-        F.lit(None), F.col("content")))
-    mains = (sections.alias("s")
-             .join(pieces.filter(F.col("n") == 0).alias("p"), ["query_id", "section_id"], "left")
-             .select(*_log_row(
-                 F.col("query_id"), F.col("s.section"), F.col("section_id"), F.lit("section_main"),
-                 F.concat(F.lit("section_"), F.col("section_id").cast("string"), F.lit("_main")),
-                 F.col("s.content"), F.coalesce(F.col("p.content"), F.col("s.content")),
-                 F.when(F.col("p.unbalanced"), F.lit(UNBALANCED)).otherwise(F.lit("")))))
-    others = sections.filter(~F.col("section").isin("cte", "select")).select(*_log_row(
-        F.col("query_id"), F.col("section"), F.col("section_id"), F.lit(""), F.lit(""),
-        F.lit(None), F.col("content")))
-    return subs.unionByName(mains).unionByName(others)
+    pieces = subquery_pieces(split_sections(corpus), all_sections=True, with_orig=True)
+    ws = Window.partitionBy("query_id", "section_id")
+    pieces = (pieces.withColumn("orig", F.max(F.when(F.col("n") == -1, F.col("content"))).over(ws))
+                    .withColumn("unb", F.max("unbalanced").over(ws)))
+    n, sec = F.col("n"), F.col("section")
+    splittable = sec.isin("cte", "select")
+    keep = (n >= 0) | ~splittable
+    typ = (F.when(n > 0, F.lit("subquery")).when(n == 0, F.lit("section_main")).otherwise(F.lit("")))
+    ident = (F.when(n > 0, _identifier(sec, F.col("section_id"), n))
+              .when(n == 0, F.concat(F.lit("section_"), F.col("section_id").cast("string"), F.lit("_main")))
+              .otherwise(F.lit("")))
+    original = F.when(n == 0, F.col("orig")).otherwise(F.lit(None).cast("string"))
+    error = F.when((n == 0) & F.col("unb") & splittable, F.lit(UNBALANCED)).otherwise(F.lit(""))
+    return pieces.filter(keep).select(*_log_row(
+        F.col("query_id"), sec, F.col("section_id"), typ, ident, original, F.col("content"), error))
 
 
 def main_only_log(corpus: DataFrame) -> DataFrame:

@@ -19,11 +19,20 @@ from sqlstrata.operators import columns as C
 from sqlstrata.operators import convert as V
 from sqlstrata.operators import decompose as D
 from sqlstrata.operators import lineage as L
+from sqlstrata.session import materialize
 from sqlstrata.sources.corpus import corpus_from_dir
 
 
-def stage1(corpus: DataFrame) -> DataFrame:
-    log = C.log_with_columns(D.decompose_log(corpus))
+def stage1(corpus: DataFrame, checkpoint: bool = True) -> DataFrame:
+    """Decompose, then select lists, tables and functions.
+
+    The decomposition log is read twice (rows and their select lists), so
+    it is checkpointed once instead of being recomputed per branch.
+    """
+    log = D.decompose_log(corpus)
+    if checkpoint:
+        log = materialize(log)
+    log = C.log_with_columns(log)
     return L.with_functions(L.with_tables(log))
 
 

@@ -132,6 +132,16 @@ from sqlstrata.operators import columns as C  # noqa: E402
 from sqlstrata.operators import convert as V  # noqa: E402
 from sqlstrata.operators import lineage as L  # noqa: E402
 from sqlstrata.plans import pipeline as PL  # noqa: E402
+from sqlstrata.session import materialize  # noqa: E402
+
+
+def _dlog(spark, sf):
+    """The decomposition log, checkpointed (several operators read it twice)."""
+    return materialize(D.decompose_log(_corpus(spark, sf)))
+
+
+def _clog(spark, sf):
+    return C.log_with_columns(_dlog(spark, sf))
 
 RS = "\x1e"  # array elements are joined with the record separator for hashing
 _DLOG = [*O.BASE, O.SUBQUERIES, O.LOG]
@@ -151,7 +161,7 @@ def _dj(e):
     f"SELECT query_id, section_id, identifier, CAST(len(cols) AS INTEGER) AS n_columns, {_dj('cols')} AS columns "
     "FROM clog WHERE len(cols) > 0")))
 def q_split_columns(spark, sf):
-    log = C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
+    log = _clog(spark, sf)
     return log.filter(F.size("columns") > 0).select(
         "query_id", "section_id", "identifier", F.size("columns").cast("int").alias("n_columns"),
         _j("columns").alias("columns"))
@@ -159,7 +169,7 @@ def q_split_columns(spark, sf):
 
 @register("star_rewrite", O.with_(*_CLOG, body="SELECT query_id, section_id, identifier, content FROM clog"))
 def q_star_rewrite(spark, sf):
-    return C.log_with_columns(D.decompose_log(_corpus(spark, sf))).select(
+    return _clog(spark, sf).select(
         "query_id", "section_id", "identifier", "content")
 
 
@@ -167,7 +177,7 @@ def q_star_rewrite(spark, sf):
     "SELECT query_id, section, section_id, type, identifier, original_query, content, "
     f"{_dj('cols')} AS columns, response_error FROM clog")))
 def q_log_with_columns(spark, sf):
-    log = C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
+    log = _clog(spark, sf)
     return log.select("query_id", "section", "section_id", "type", "identifier", "original_query",
                       "content", _j("columns").alias("columns"), "response_error")
 
@@ -177,7 +187,7 @@ def q_log_with_columns(spark, sf):
     "'SELECT ' || array_to_string(list_slice(cols, i + 1, i + 5), ', ') || ' FROM dummy' AS chunk_query "
     "FROM (SELECT *, unnest(range(0, len(cols), 5)) AS i FROM clog WHERE len(cols) > 0)")))
 def q_column_chunks(spark, sf):
-    log = C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
+    log = _clog(spark, sf)
     return C.column_chunks(log, 5).select("query_id", "section_id", "identifier", "chunk", "chunk_query")
 
 
@@ -229,7 +239,7 @@ WHERE n_copies > 1"""
 
 @register("duplicate_subqueries", O.with_(*_DLOG, body=_DUP))
 def q_duplicate_subqueries(spark, sf):
-    return L.duplicate_subqueries(D.decompose_log(_corpus(spark, sf)))
+    return L.duplicate_subqueries(_dlog(spark, sf))
 
 
 @register("duplicate_groups", O.with_(*_DLOG, body=(
@@ -315,7 +325,7 @@ _STAR_SQL = ("CASE WHEN len(cols) > 0 AND regexp_matches(content, '(?i)select\\s
 @register("star_expand", O.with_(*_CLOG, body=(
     f"SELECT query_id, section_id, identifier, {_STAR_SQL} AS expanded FROM clog")))
 def q_star_expand(spark, sf):
-    log = C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
+    log = _clog(spark, sf)
     return log.select("query_id", "section_id", "identifier",
                       A.star_expand(F.col("content"), F.col("columns"), F.col("columns")).alias("expanded"))
 
@@ -349,7 +359,7 @@ def _identity_columns(log):
 
 @register("assemble_query", O.with_(*_CLOG, _FOLD, body="SELECT query_id, final_query FROM f_final"))
 def q_assemble_query(spark, sf):
-    log = C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
+    log = _clog(spark, sf)
     return A.assemble_query(_identity_columns(log))
 
 
@@ -357,7 +367,7 @@ def q_assemble_query(spark, sf):
     f"SELECT query_id, final_query, {_dj(O.tables_sql('final_query'))} AS tables, "
     f"{_dj(O.functions_sql('final_query'))} AS functions FROM f_final")))
 def q_final_row(spark, sf):
-    log = C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
+    log = _clog(spark, sf)
     fin = A.final_row(L.with_tables(_identity_columns(log)))
     return fin.filter(F.col("type") == "final").select(
         "query_id", "final_query", _j("tables").alias("tables"), _j("functions").alias("functions"))

@@ -17,6 +17,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # joins on (query_id, ...) reuse an existing query_id partitioning
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -54,3 +56,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and continue from there.
+
+    Cuts the lineage (a lost executor recomputes from the checkpoint, not
+    from the corpus) and lets a log that several operators read be computed
+    once. Reliable ``checkpoint()``, never ``localCheckpoint()``.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
