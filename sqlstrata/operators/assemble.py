@@ -90,16 +90,19 @@ def final_row(log: DataFrame) -> DataFrame:
 
 
 def main_text(view: DataFrame) -> DataFrame:
-    """legacy: the ``main`` row of a named view with every ``<<name>>``
-    resolved: ``query_id, main``. CTE bodies replace ``<<cte>>``; subquery
-    rows replace ``<<subquery_i>>`` in descending i."""
+    """legacy: the ``main`` row of a named view with every placeholder
+    resolved: ``query_id, main``. CTE placeholders ``<<name>>`` take the CTE
+    bodies; subquery placeholders are resolved in descending number per
+    section (parents before the children they contain)."""
     rows = view.filter(F.col("error").isNull())
+    sec = F.regexp_extract("name", r"\[(\d+)\]", 1).try_cast("long")
+    num = F.regexp_extract("name", r"_(\d+)$", 1).try_cast("long")
+    key = (F.when(F.col("type") == "cte", F.lit(1 << 40))
+            .otherwise(F.coalesce(sec, F.lit(0)) * F.lit(1 << 20) + F.coalesce(num, F.lit(0))))
     g = (rows.groupBy("query_id")
              .agg(F.max(F.when(F.col("type") == "main", F.col("query"))).alias("main"),
                   F.sort_array(F.collect_list(F.when(F.col("type") != "main", F.struct(
-                      F.when(F.col("type") == "cte", F.lit(1 << 30))
-                       .otherwise(F.regexp_extract("name", r"_(\d+)$", 1).try_cast("long")).alias("k"),
-                      F.col("name"), F.col("query")))), asc=False).alias("subs")))
+                      key.alias("k"), F.col("name"), F.col("query")))), asc=False).alias("subs")))
     res = F.aggregate("subs", F.coalesce(F.col("main"), F.lit("")),
                       lambda acc, x: F.replace(acc, F.concat(F.lit("<<"), x["name"], F.lit(">>")), x["query"]))
     return g.select("query_id", res.alias("main"))

@@ -153,7 +153,8 @@ def convert_columns(log: DataFrame, chunk_size: int = 10, rules=DEFAULT_RULES,
                  .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(
                      "chunk", F.coalesce("columns", F.array().cast("array<string>")).alias("c")))),
                      lambda x: x["c"])).alias("_cc"),
-                      F.concat_ws("; ", F.collect_list(F.when(F.col("_err") != "", F.col("_err")))).alias("_cerr")))
+                      F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
+                          F.col("_err") != "", F.struct("chunk", "_err")))), lambda x: x["_err"]), "; ").alias("_cerr")))
     out = log.join(per_row, LOG_KEYS, "left")
     out = (out.withColumn("converted_columns",
                           F.when(F.col("_cc").isNotNull(), F.col("_cc"))

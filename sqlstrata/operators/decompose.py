@@ -354,37 +354,38 @@ def named_view(corpus: DataFrame) -> DataFrame:
     """Legacy flat view ``query_id, name, type, query, error``.
 
     Rows: every named CTE (type ``cte``, body as written), every subquery of
-    the main part (``subquery_{i}``, i in order), and ``main`` -- the text
-    with CTE bodies replaced by ``<<name>>`` placeholders and subqueries by
-    ``<<subquery_{i}>>``. Texts that do not start with WITH or SELECT get a
-    single row with an ``error`` instead of raising.
+    the non-CTE sections (type ``subquery``, named by its log identifier --
+    the legacy numbering restarts inside recursion and collides), and
+    ``main``: ``WITH name AS (<<name>>), ...`` followed by the section main
+    texts (with ``<<subquery_...>>`` placeholders) joined by newlines. Texts
+    that do not start with WITH or SELECT give one ``main`` row with an
+    ``error`` instead of raising.
     """
     ctes = cte_list(corpus)
     log = decompose_log(corpus)
     head = corpus.select("query_id", strip_ws(strip_comments("sql")).alias("t"))
-    ok = head.filter(F.upper(F.col("t")).rlike(r"^(WITH|SELECT)\b"))
-    bad = head.filter(~F.upper(F.col("t")).rlike(r"^(WITH|SELECT)\b") | F.col("t").isNull())
-    cte_rows = ctes.join(ok.select("query_id"), "query_id").select(
-        "query_id", "name", F.lit("cte").alias("type"), F.col("body").alias("query"),
-        F.lit(None).cast("string").alias("error"))
-    subs = log.filter((F.col("type") == "subquery") & (F.col("section") == "select"))
-    wi = Window.partitionBy("query_id").orderBy("section_id", F.length("identifier"), "identifier")
-    sub_rows = subs.join(ok.select("query_id"), "query_id").select(
-        "query_id", F.concat(F.lit("subquery_"), F.row_number().over(wi).cast("string")).alias("name"),
-        F.lit("subquery").alias("type"), F.col("content").alias("query"),
-        F.lit(None).cast("string").alias("error"))
+    good = F.upper(F.col("t")).rlike(r"^(WITH|SELECT)([^A-Z0-9_$#]|$)")
+    ok = head.filter(good).select("query_id")
+    bad = head.filter(~good | F.col("t").isNull())
+    none = F.lit(None).cast("string")
+    cte_rows = ctes.join(ok, "query_id", "left_semi").select(
+        "query_id", "name", F.lit("cte").alias("type"), F.col("body").alias("query"), none.alias("error"))
+    nc = log.filter(F.col("section") != "cte").join(ok, "query_id", "left_semi")
+    sub_rows = nc.filter(F.col("type") == "subquery").select(
+        "query_id", F.col("identifier").alias("name"), F.lit("subquery").alias("type"),
+        F.col("content").alias("query"), none.alias("error"))
     cte_head = (ctes.groupBy("query_id").agg(F.concat(F.lit("WITH "), F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("cte_pos", "name"))),
         lambda x: F.concat(x["name"], F.lit(" AS (<<"), x["name"], F.lit(">>)"))), ", "),
         F.lit("\n")).alias("cte_head")))
-    mains = (log.filter((F.col("type") == "section_main") & (F.col("section") != "cte"))
-                .groupBy("query_id")
-                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-                    F.struct("section_id", "content"))), lambda x: x["content"]), "\n").alias("body")))
-    main_rows = (ok.select("query_id").join(mains, "query_id", "left").join(cte_head, "query_id", "left")
+    mains = (nc.filter(F.col("type") == "section_main")
+               .groupBy("query_id")
+               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+                   F.struct("section_id", "content"))), lambda x: x["content"]), "\n").alias("body")))
+    main_rows = (ok.join(mains, "query_id", "left").join(cte_head, "query_id", "left")
                  .select("query_id", F.lit("main").alias("name"), F.lit("main").alias("type"),
                          F.concat(F.coalesce("cte_head", F.lit("")), F.coalesce("body", F.lit(""))).alias("query"),
-                         F.lit(None).cast("string").alias("error")))
+                         none.alias("error")))
     bad_rows = bad.select("query_id", F.lit("main").alias("name"), F.lit("main").alias("type"),
                           F.col("t").alias("query"),
                           F.lit("query must start with WITH or SELECT").alias("error"))

@@ -250,3 +250,108 @@ def errors_sql(e: str) -> str:
              f"CASE WHEN regexp_matches({e}, {q(r'(?i)\bCONNECT\s+BY\b')}) THEN 'unsupported: connect_by' END",
              f"CASE WHEN regexp_matches({e}, {q(r'\(\+\)')}) THEN 'unsupported: outer_join_plus' END"]
     return f"concat_ws('; ', {', '.join(parts)})"
+
+CTE_LIST = f"""
+k_tok AS (
+  SELECT query_id, unnest(l) AS tok, generate_subscripts(l, 1) AS pos
+  FROM (SELECT query_id, regexp_extract_all(content, {q(WTOK)}) AS l FROM sections WHERE section = 'cte')
+),
+k_t1 AS (
+  SELECT *, sum(dl) OVER (PARTITION BY query_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - dl AS db,
+         sum(CASE WHEN tok IN ('(', ')') THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS pc
+  FROM (SELECT *, CASE WHEN tok = '(' THEN 1 WHEN tok = ')' THEN -1 ELSE 0 END AS dl FROM k_tok)
+),
+k_t2 AS (
+  SELECT *, sum(CASE WHEN tok = '(' AND db = 0 THEN 1 ELSE 0 END)
+              OVER (PARTITION BY query_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM k_t1
+),
+k_seg AS (SELECT query_id, pc, string_agg(tok, '' ORDER BY pos) AS seg FROM k_t1 WHERE tok NOT IN ('(', ')') GROUP BY ALL),
+k_open AS (
+  SELECT o.query_id, o.span,
+         regexp_extract(coalesce(s.seg, ''), '(?i)([A-Za-z_][A-Za-z0-9_$#]*)\\s+as\\s*$', 1) AS name
+  FROM k_t2 o LEFT JOIN k_seg s ON s.query_id = o.query_id AND s.pc = o.pc - 1
+  WHERE o.tok = '(' AND o.db = 0
+),
+k_body AS (
+  SELECT query_id, span, string_agg(tok, '' ORDER BY pos) AS body FROM k_t2
+  WHERE db >= 1 AND NOT (tok = ')' AND db = 1) GROUP BY ALL
+),
+ctes AS (
+  SELECT o.query_id, CAST(row_number() OVER (PARTITION BY o.query_id ORDER BY o.span) AS INTEGER) AS cte_pos,
+         o.name, coalesce(b.body, '') AS body
+  FROM k_open o LEFT JOIN k_body b USING (query_id, span) WHERE o.name <> ''
+)"""
+
+NAMED_VIEW = f"""
+nv_head AS (SELECT query_id, {SW('sql')} AS t FROM stripped),
+nv_ok AS (SELECT query_id FROM nv_head WHERE regexp_matches(upper(t), '^(WITH|SELECT)([^A-Z0-9_$#]|$)')),
+nv_cte_head AS (
+  SELECT query_id, 'WITH ' || string_agg(name || ' AS (<<' || name || '>>)', ', ' ORDER BY cte_pos) || chr(10) AS cte_head
+  FROM ctes GROUP BY query_id
+),
+nv_mains AS (
+  SELECT query_id, string_agg(content, chr(10) ORDER BY section_id) AS body FROM dlog
+  WHERE section <> 'cte' AND type = 'section_main' GROUP BY query_id
+),
+nv AS (
+  SELECT query_id, name, 'cte' AS type, body AS query, NULL::VARCHAR AS error FROM ctes
+   WHERE query_id IN (SELECT query_id FROM nv_ok)
+  UNION ALL
+  SELECT query_id, identifier, 'subquery', content, NULL FROM dlog
+   WHERE section <> 'cte' AND type = 'subquery' AND query_id IN (SELECT query_id FROM nv_ok)
+  UNION ALL
+  SELECT o.query_id, 'main', 'main', coalesce(h.cte_head, '') || coalesce(m.body, ''), NULL
+    FROM nv_ok o LEFT JOIN nv_mains m USING (query_id) LEFT JOIN nv_cte_head h USING (query_id)
+  UNION ALL
+  SELECT query_id, 'main', 'main', t, 'query must start with WITH or SELECT' FROM nv_head
+   WHERE query_id NOT IN (SELECT query_id FROM nv_ok)
+)"""
+
+MAIN_TEXT = """
+mt_subs AS (
+  SELECT query_id, name, query, row_number() OVER (PARTITION BY query_id ORDER BY
+    CASE WHEN type = 'cte' THEN 1099511627776
+         ELSE coalesce(TRY_CAST(regexp_extract(name, '\\[(\\d+)\\]', 1) AS BIGINT), 0) * 1048576
+              + coalesce(TRY_CAST(regexp_extract(name, '_(\\d+)$', 1) AS BIGINT), 0) END DESC) AS rk
+  FROM nv WHERE error IS NULL AND type <> 'main'
+),
+mt AS (
+  WITH RECURSIVE r(query_id, k, txt) AS (
+    SELECT query_id, 0, query FROM nv WHERE type = 'main' AND error IS NULL
+    UNION ALL
+    SELECT r.query_id, r.k + 1, replace(r.txt, '<<' || s.name || '>>', s.query)
+    FROM r JOIN mt_subs s ON s.query_id = r.query_id AND s.rk = r.k + 1
+  )
+  SELECT query_id, arg_max(txt, k) AS main FROM r GROUP BY query_id
+)"""
+
+
+def fold(src: str, text_expr: str) -> str:
+    """Resolve placeholders per section by a recursive CTE over ``src`` rows."""
+    return f"""
+fd_rows AS (SELECT *, {text_expr} AS t FROM {src}),
+fd_subs AS (
+  SELECT query_id, section_id, identifier, t,
+         row_number() OVER (PARTITION BY query_id, section_id
+                            ORDER BY CAST(regexp_extract(identifier, '_(\\d+)$', 1) AS BIGINT) DESC) AS rk
+  FROM fd_rows WHERE type = 'subquery'
+),
+fd_fold AS (
+  WITH RECURSIVE r(query_id, section_id, k, txt) AS (
+    SELECT query_id, section_id, 0, t FROM fd_rows WHERE type = 'section_main'
+    UNION ALL
+    SELECT r.query_id, r.section_id, r.k + 1, replace(r.txt, '<<' || s.identifier || '>>', s.t)
+    FROM r JOIN fd_subs s ON s.query_id = r.query_id AND s.section_id = r.section_id AND s.rk = r.k + 1
+  )
+  SELECT query_id, section_id, arg_max(txt, k) AS resolved FROM r GROUP BY query_id, section_id
+),
+fd_final AS (
+  SELECT query_id, string_agg({SW('resolved')}, chr(10) || chr(10) ORDER BY section_id) AS final_query
+  FROM fd_fold GROUP BY query_id
+)"""
+
+
+def star_sql(content: str, cols: str, conv: str) -> str:
+    return (f"CASE WHEN len({cols}) > 0 AND len({conv}) > 0 AND regexp_matches({content}, '(?i)select\\s+\\*') THEN "
+            f"regexp_replace({content}, '(?i)(select\\s+)\\*', '\\1' || replace(array_to_string({conv}, ', '), '\\', '\\\\')) "
+            f"ELSE {content} END")

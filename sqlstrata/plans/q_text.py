@@ -449,3 +449,83 @@ def q_eval_rows(spark, sf):
                     F.array_join(F.transform("inputs.messages", lambda m: F.concat(m["role"], F.lit(":"),
                                                                                  m["content"])), RS).alias("messages"),
                     "expected_response")
+
+
+# --- B4, B11, F5: named views ------------------------------------------------------
+@register("cte_list", O.with_(*O.BASE, O.CTE_LIST, body="SELECT query_id, cte_pos, name, body FROM ctes"))
+def q_cte_list(spark, sf):
+    return D.cte_list(_corpus(spark, sf))
+
+
+@register("named_view", O.with_(*_DLOG, O.CTE_LIST, O.NAMED_VIEW, body="SELECT query_id, name, type, query, error FROM nv"))
+def q_named_view(spark, sf):
+    return D.named_view(_corpus(spark, sf))
+
+
+@register("main_text", O.with_(*_DLOG, O.CTE_LIST, O.NAMED_VIEW, O.MAIN_TEXT, body="SELECT query_id, main FROM mt"))
+def q_main_text(spark, sf):
+    return A.main_text(materialize(D.named_view(_corpus(spark, sf))))
+
+
+# --- E6, F6: column conversion and the staged job ---------------------------------
+_E6 = f"""
+e6_chunks AS (
+  SELECT query_id, section_id, identifier, i // 10 AS chunk, list_slice(cols, i + 1, i + 10) AS ch
+  FROM (SELECT *, unnest(range(0, len(cols), 10)) AS i FROM e_log WHERE section <> 'join' AND len(cols) > 0)
+),
+e6_err AS (
+  SELECT *, {O.errors_sql(O.convert_sql("('SELECT ' || array_to_string(ch, ', ') || ' FROM dummy')"))} AS err
+  FROM e6_chunks
+),
+e6 AS (
+  SELECT query_id, section_id, identifier,
+    flatten(list(CASE WHEN err = '' THEN list_transform(ch, lambda c: {O.convert_sql('c')}) ELSE []::VARCHAR[] END
+                 ORDER BY chunk)) AS cc,
+    string_agg(CASE WHEN err <> '' THEN err END, '; ' ORDER BY chunk) AS cerr
+  FROM e6_err GROUP BY ALL
+),
+s3log AS (
+  SELECT l.*, coalesce(e.cc, []::VARCHAR[]) AS cc,
+    CASE WHEN coalesce(e.cerr, '') <> ''
+         THEN concat_ws('; ', CASE WHEN l.response_error2 <> '' THEN l.response_error2 END, e.cerr)
+         ELSE l.response_error2 END AS response_error3
+  FROM e_log l LEFT JOIN e6 e USING (query_id, section_id, identifier)
+)"""
+_S3 = [*_ELOG, _E6]
+
+
+@register("convert_columns", O.with_(*_S3, body=(
+    f"SELECT query_id, section_id, identifier, {_dj('cc')} AS converted_columns, response_error3 AS response_error "
+    "FROM s3log")))
+def q_convert_columns(spark, sf):
+    log = V.convert_columns(materialize(PL.stage2(PL.stage1(_corpus(spark, sf)))), 10)
+    return log.select("query_id", "section_id", "identifier", _j("converted_columns").alias("converted_columns"),
+                      "response_error")
+
+
+@register("pipeline_stage1", O.with_(*_S1, body=(
+    f"SELECT query_id, section_id, identifier, type, content, {_dj('cols')} AS columns, {_dj('tables')} AS tables, "
+    f"{_dj('functions')} AS functions, response_error FROM s1log")))
+def q_pipeline_stage1(spark, sf):
+    s1 = PL.stage1(_corpus(spark, sf))
+    return s1.select("query_id", "section_id", "identifier", "type", "content", _j("columns").alias("columns"),
+                     _j("tables").alias("tables"), _j("functions").alias("functions"), "response_error")
+
+
+@register("pipeline_stage2", O.with_(*_ELOG, body=(
+    "SELECT query_id, section_id, identifier, converted_content, response_error2 AS response_error FROM e_log")))
+def q_pipeline_stage2(spark, sf):
+    s2 = PL.stage2(PL.stage1(_corpus(spark, sf)))
+    return s2.select("query_id", "section_id", "identifier", "converted_content", "response_error")
+
+
+_S3_TEXT = O.star_sql("CASE WHEN converted_content <> '' THEN converted_content ELSE content END", "cols", "cc")
+
+
+@register("pipeline_stage3", O.with_(*_S3, O.fold("s3log", _S3_TEXT), body=(
+    f"SELECT query_id, final_query, {_dj(O.tables_sql('final_query'))} AS tables, "
+    f"{_dj(O.functions_sql('final_query'))} AS functions FROM fd_final")))
+def q_pipeline_stage3(spark, sf):
+    s3 = PL.stage3(materialize(PL.stage2(PL.stage1(_corpus(spark, sf)))), 10)
+    return s3.filter(F.col("type") == "final").select(
+        "query_id", "final_query", _j("tables").alias("tables"), _j("functions").alias("functions"))

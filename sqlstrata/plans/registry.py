@@ -26,4 +26,4 @@ def register(key: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules whose import registers queries."""
-    from sqlstrata.plans import q_text, q_relational  # noqa: F401
+    from sqlstrata.plans import q_text, q_relational, q_sources  # noqa: F401

@@ -70,6 +70,12 @@ def log_patch(log: DataFrame, patch: DataFrame) -> DataFrame:
 EXAMPLES_ENV = "SQLSTRATA_EXAMPLE_FILE"
 
 
+def write_examples(df: DataFrame, path: str) -> None:
+    """Write few-shot examples as a header CSV that ``read_examples`` reads back."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+       .option("quoteAll", True).csv(path))
+
+
 def read_examples(spark: SparkSession, path: str | None = None) -> DataFrame:
     """Few-shot CSV ``oracle_query, incorrect_query, correct_query``
     (multi-line cells); the path falls back to ``$SQLSTRATA_EXAMPLE_FILE``."""
