@@ -55,6 +55,18 @@ def _norm_kw(c):
     return F.upper(F.regexp_replace(c, r"\s+", " "))
 
 
+def by_query(df: DataFrame) -> DataFrame:
+    """Hash-partition texts by ``query_id`` into ``spark.sql.shuffle.partitions``.
+
+    The count is explicit on purpose: the shuffled texts compress to little,
+    so adaptive coalescing would merge them into a few partitions, yet each
+    text expands ~100x into token rows downstream. A fixed count keeps the
+    token work spread over all task slots (the cluster's setting at scale).
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, "query_id")
+
+
 def tokenize(df: DataFrame, text_col: str, pattern: str, keys: list[str]) -> DataFrame:
     """One row per token ``(keys..., pos, tok)``; concat of ``tok`` = text."""
     return df.select(*keys, F.posexplode(
@@ -81,7 +93,7 @@ def split_sections(corpus: DataFrame) -> DataFrame:
     """
     # Hash-partition the texts (not the tokens) once: tokenizing then runs
     # in parallel, and every later window / group-by on query_id reuses it.
-    src = corpus.repartition("query_id").select("query_id", strip_comments("sql").alias("sql"))
+    src = by_query(corpus).select("query_id", strip_comments("sql").alias("sql"))
     tok = tokenize(src, "sql", P.SECTION_TOKEN, ["query_id"])
     w = Window.partitionBy("query_id").orderBy("pos")
     delta, depth_incl = _depth(w)
@@ -288,30 +300,133 @@ def _log_row(qid, section, section_id, type_, identifier, original, content, err
             (error if error is not None else F.lit("")).alias("response_error")]
 
 
+_SID = "\u0001"  # stands for the section number until sections are numbered
+
+
+def decompose_pieces(corpus: DataFrame) -> DataFrame:
+    """Sections and subqueries from ONE token stream.
+
+    Out: one row per piece ``query_id, section_id, section, n, content,
+    original, unbalanced`` (n = 0 is the section's main piece, whose
+    ``original`` is the section text). Windows, in sort order:
+    ``(query_id, pos)`` depth / section key / leads; ``(query_id, sk, d, pos)``
+    matching closes; ``(query_id, sk, pos)`` levels, numbers, section facts;
+    ``(query_id, sk, level, pos)`` piece numbers. Then one group-by per piece
+    and one per section (over pieces, not tokens). Sections are numbered
+    after dropping blank and ``(``-led pieces, so placeholders carry a marker
+    that is replaced by the section number at the end.
+    """
+    src = by_query(corpus).select("query_id", strip_comments("sql").alias("sql"))
+    tok = src.select("query_id", F.col("sql").rlike(P.WITH_HEAD).alias("is_with"),
+                     F.posexplode(F.regexp_extract_all("sql", F.lit(P.SECTION_TOKEN), 0)).alias("pos", "tok"))
+    w = Window.partitionBy("query_id").orderBy("pos")
+    run = w.rowsBetween(UNB, 0)
+    kwn = _norm_kw(F.col("tok"))
+    is_kw = (kwn == "SELECT") | kwn.isin(SET_OP_WORDS)
+    op, cl = F.col("tok") == "(", F.col("tok") == ")"
+    delta = F.when(op, 1).when(cl, -1).otherwise(0)
+    tok = tok.withColumn("din", F.sum(delta).over(run))
+    tok = tok.withColumn("kw0", is_kw & ((F.col("din") - delta) == 0))
+    tok = (tok.withColumn("g", F.sum(F.col("kw0").cast("int")).over(run))
+              .withColumn("opener", F.last(F.when(F.col("kw0"), kwn), ignorenulls=True).over(run))
+              .withColumn("l1", F.lead("tok", 1).over(w)).withColumn("l2", F.lead("tok", 2).over(w))
+              .withColumn("k1", F.lead("kw0", 1).over(w)).withColumn("k2", F.lead("kw0", 2).over(w)))
+    is_sel = lambda c, k: (F.upper(c) == "SELECT") & ~F.coalesce(k, F.lit(False))
+    isopen = op & (is_sel(F.col("l1"), F.col("k1"))
+                   | (F.col("l1").rlike(P.BLANK) & is_sel(F.col("l2"), F.col("k2"))))
+    after_setop = F.coalesce(F.col("opener").isin(SET_OP_WORDS) & ~F.col("kw0"), F.lit(False))
+    tok = tok.select("query_id", "is_with", "pos", "tok", "opener",
+                     (F.col("g") * 2 + after_setop.cast("int")).alias("sk"),
+                     F.coalesce(isopen, F.lit(False)).alias("isopen"),
+                     F.when(op, F.col("din")).when(cl, F.col("din") + 1).alias("d"))
+    wd = Window.partitionBy("query_id", "sk", "d").orderBy("pos").rowsBetween(UNB, 0)
+    opener_flag = F.last(F.when(op, F.col("isopen")), ignorenulls=True).over(wd)
+    tok = tok.withColumn("isclose", F.coalesce(cl & opener_flag, F.lit(False)))
+    ws = Window.partitionBy("query_id", "sk").orderBy("pos")
+    o, c = F.col("isopen").cast("int"), F.col("isclose").cast("int")
+    first_nb = F.first(F.when(F.col("tok").rlike(r"\S"), F.col("tok")), ignorenulls=True).over(
+        ws.rowsBetween(UNB, UNF))
+    tok = (tok.withColumn("sd", F.sum(o - c).over(ws.rowsBetween(UNB, 0)) + c)
+              .withColumn("n0", F.sum(c).over(ws.rowsBetween(UNB, 0)))
+              .withColumn("unbalanced", F.sum(o - c).over(ws.rowsBetween(UNB, UNF)) > 0)
+              .withColumn("first_nb", first_nb))
+    is_setop_kw = F.coalesce(F.col("opener").isin(SET_OP_WORDS), F.lit(False)) & (F.col("sk") % 2 == 0)
+    section = (F.when((F.col("sk") == 0) & F.col("is_with"), "cte")
+                .when(F.upper(F.regexp_replace("first_nb", r"^\s+", "")).startswith("SELECT"), "select")
+                .when(is_setop_kw, "join").otherwise("unknown"))
+    tok = tok.withColumn("section", section)
+    flat = F.col("unbalanced") | ~F.col("section").isin("cte", "select")
+
+    def ev(level, t, closen=None, raw=None):
+        return F.struct(level.cast("int").alias("level"), t.alias("t"),
+                        (closen if closen is not None else F.lit(None)).cast("long").alias("closen"),
+                        (raw if raw is not None else F.lit(None)).cast("string").alias("raw"))
+
+    ph = F.concat(F.lit("(<<subquery_"), F.col("section"), F.lit("[" + _SID + "]_"),
+                  F.col("n0").cast("string"), F.lit(">>)"))
+    tk = F.col("tok")
+    events = (F.when(flat, F.array(ev(F.lit(0), tk, raw=tk)))
+               .when(F.col("isclose"), F.array(ev(F.col("sd"), F.lit(""), F.col("n0"), tk),
+                                               ev(F.col("sd") - 1, ph)))
+               .when(F.col("isopen"), F.array(ev(F.col("sd"), F.lit(""), raw=tk)))
+               .otherwise(F.array(ev(F.col("sd"), tk, raw=tk))))
+    evs = tok.select("query_id", "sk", "section", "opener", "unbalanced", "pos", F.inline(events))
+    wl = Window.partitionBy("query_id", "sk", "level").orderBy("pos").rowsBetween(0, UNF)
+    evs = evs.withColumn("n", F.when(F.col("level") == 0, F.lit(0).cast("long"))
+                               .otherwise(F.first("closen", ignorenulls=True).over(wl)))
+    pieces = (evs.withColumnRenamed("t", "tok")
+                 .groupBy("query_id", "sk", "n")
+                 .agg(F.first("section").alias("section"), F.first("opener").alias("opener"),
+                      F.max("unbalanced").alias("unbalanced"), ordered_concat().alias("content"),
+                      F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("pos", "raw"))).alias("raws")))
+    secs = (pieces.groupBy("query_id", "sk")
+                  .agg(F.first("section").alias("section"), F.first("opener").alias("opener"),
+                       F.max("unbalanced").alias("unbalanced"),
+                       F.collect_list(F.struct("n", "content")).alias("ps"),
+                       F.flatten(F.collect_list("raws")).alias("raws")))
+    orig = strip_ws(F.array_join(F.transform(F.array_sort("raws"), lambda x: x["raw"]), ""))
+    secs = secs.select("query_id", "sk", "section", "opener", "unbalanced", "ps", orig.alias("orig"))
+    secs = secs.filter((F.col("orig") != "") & ~F.col("orig").startswith("("))
+    secs = secs.withColumn("section_id", F.row_number().over(
+        Window.partitionBy("query_id").orderBy("sk")).cast("int"))
+    is_join = F.col("section") == "join"
+    orig = F.when(is_join, _norm_kw(F.col("orig"))).otherwise(F.col("orig"))
+    out = secs.select("query_id", "section_id", "section", "unbalanced", orig.alias("original"),
+                      F.inline("ps"))
+    sid = F.col("section_id").cast("string")
+    content = (F.when(is_join, F.col("original"))
+                .when(F.col("n") == 0, strip_ws(F.replace(F.col("content"), F.lit(_SID), sid)))
+                .otherwise(F.replace(F.col("content"), F.lit(_SID), sid)))
+    return out.select("query_id", "section_id", "section", "n", content.alias("content"),
+                      "original", "unbalanced")
+
+
 def decompose_log(corpus: DataFrame) -> DataFrame:
     """The parse log of every query (``LOG_SCHEMA``).
 
     Per cte/select section: one ``subquery`` row per subquery and one
     ``section_main`` row (content with placeholders, original_query = the
     section text). Per set-operator / unknown section: a row with empty type
-    and identifier, and a ``section_main`` row. One pass: every row comes out
-    of the same group-by, the section text rides along as piece ``n = -1``.
+    and identifier, and a ``section_main`` row. All rows come from one token
+    stream (``decompose_pieces``).
     """
-    pieces = subquery_pieces(split_sections(corpus), all_sections=True, with_orig=True)
-    ws = Window.partitionBy("query_id", "section_id")
-    pieces = (pieces.withColumn("orig", F.max(F.when(F.col("n") == -1, F.col("content"))).over(ws))
-                    .withColumn("unb", F.max("unbalanced").over(ws)))
+    p = decompose_pieces(corpus)
     n, sec = F.col("n"), F.col("section")
     splittable = sec.isin("cte", "select")
-    keep = (n >= 0) | ~splittable
-    typ = (F.when(n > 0, F.lit("subquery")).when(n == 0, F.lit("section_main")).otherwise(F.lit("")))
-    ident = (F.when(n > 0, _identifier(sec, F.col("section_id"), n))
-              .when(n == 0, F.concat(F.lit("section_"), F.col("section_id").cast("string"), F.lit("_main")))
+    # kind per output row: 2 = subquery, 1 = section_main, 0 = set-operator / unknown row
+    kinds = (F.when(n > 0, F.array(F.lit(2)))
+              .when(splittable, F.array(F.lit(1)))
+              .otherwise(F.array(F.lit(0), F.lit(1))))
+    m = p.select("*", F.explode(kinds).alias("_k"))
+    k = F.col("_k")
+    sid = F.col("section_id")
+    typ = F.when(k == 2, F.lit("subquery")).when(k == 1, F.lit("section_main")).otherwise(F.lit(""))
+    ident = (F.when(k == 2, _identifier(sec, sid, n))
+              .when(k == 1, F.concat(F.lit("section_"), sid.cast("string"), F.lit("_main")))
               .otherwise(F.lit("")))
-    original = F.when(n == 0, F.col("orig")).otherwise(F.lit(None).cast("string"))
-    error = F.when((n == 0) & F.col("unb") & splittable, F.lit(UNBALANCED)).otherwise(F.lit(""))
-    return pieces.filter(keep).select(*_log_row(
-        F.col("query_id"), sec, F.col("section_id"), typ, ident, original, F.col("content"), error))
+    err = F.when((k == 1) & F.col("unbalanced") & splittable, F.lit(UNBALANCED)).otherwise(F.lit(""))
+    return m.select(*_log_row(F.col("query_id"), sec, sid, typ, ident,
+                              F.when(k == 1, F.col("original")), F.col("content"), err))
 
 
 def main_only_log(corpus: DataFrame) -> DataFrame:
