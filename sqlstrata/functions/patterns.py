@@ -20,15 +20,21 @@ STRIP = rf"({LIT})|--[^\n\r]*|/\*(?s:.*?)\*/"
 # run (literals whole); replacing by "$1 " collapses each run to one space.
 WS = rf"((?:{LIT}|[^'\"\s]++)*+)\s+"
 
-# Section tokens: parens, depth-0 candidates (SELECT and set operators), and
-# maximal runs of anything else. Runs are capped at 256 pieces so one match
-# never recurses deeply; consecutive runs simply concatenate again.
+# A balanced parenthesis group with no nested parens, quotes or SELECT
+# (function arguments such as COUNT(*), VARCHAR2(20)): it only matters for
+# depth, so it stays inside a run instead of becoming separate tokens.
+SIMPLE_GROUP = rf"\((?![^()]*?{_NB}(?i:select){_NA})[^()'\"]*+\)"
+
+# Section tokens: runs first (maximal, literal-safe, with simple groups;
+# capped at 256 pieces so one match never recurses deeply -- consecutive runs
+# simply concatenate again), then parens, then depth-0 candidates (SELECT and
+# set operators as whole words).
 SET_OPS = r"union(?:\s+all)?|intersect(?:\s+all)?|except(?:\s+all)?|minus"
 _SECT_KW = rf"{_NB}(?i:select|{SET_OPS}){_NA}"
 _NOT_SECT_KW = rf"(?!(?i:select|union|intersect|except|minus){_NA})"
 SECTION_TOKEN = (
-    rf"\(|\)|{_SECT_KW}"
-    rf"|(?:{LIT}|[^()'\"{WORDCH}]++|{_NOT_SECT_KW}[{WORDCH}]++){{1,256}}+"
+    rf"(?:{LIT}|{SIMPLE_GROUP}|[^()'\"{WORDCH}]++|{_NOT_SECT_KW}[{WORDCH}]++){{1,256}}+"
+    rf"|\(|\)|{_SECT_KW}"
     r"|['\"]"
 )
 
@@ -41,13 +47,13 @@ SUBQUERY_TOKEN = (
     r"|['\"]"
 )
 
-# Select-list tokens: parens, commas, placeholders (one token each), SELECT
-# and FROM as whole words, runs of anything else.
+# Select-list tokens: runs (with simple groups) first, then parens, commas,
+# placeholders (one token each), SELECT and FROM as whole words.
 _COL_KW = rf"{_NB}(?i:select|from){_NA}"
 _NOT_COL_KW = rf"(?!(?i:select|from){_NA})"
 COLUMN_TOKEN = (
-    rf"\(|\)|,|<<[^>]*+>>|{_COL_KW}"
-    rf"|(?:{LIT}|[^(),'\"<{WORDCH}]++|{_NOT_COL_KW}[{WORDCH}]++|<(?!<)){{1,256}}+"
+    rf"(?:{LIT}|{SIMPLE_GROUP}|[^(),'\"<{WORDCH}]++|{_NOT_COL_KW}[{WORDCH}]++|<(?!<)){{1,256}}+"
+    rf"|\(|\)|,|<<[^>]*+>>|{_COL_KW}"
     r"|['\"<]"
 )
 

@@ -219,7 +219,7 @@ def subquery_pieces(sections: DataFrame, all_sections: bool = False,
 
 def extract_subqueries(corpus: DataFrame) -> DataFrame:
     """One row per subquery: ``query_id, section, section_id, n, identifier, content``."""
-    pieces = subquery_pieces(split_sections(corpus))
+    pieces = decompose_pieces(corpus)
     return (pieces.filter(F.col("n") > 0)
                   .select("query_id", "section", "section_id", "n",
                           _identifier(F.col("section"), F.col("section_id"), F.col("n")).alias("identifier"),

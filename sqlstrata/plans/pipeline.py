@@ -23,16 +23,11 @@ from sqlstrata.session import materialize
 from sqlstrata.sources.corpus import corpus_from_dir
 
 
-def stage1(corpus: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """Decompose, then select lists, tables and functions.
-
-    The decomposition log is read twice (rows and their select lists), so
-    it is checkpointed once instead of being recomputed per branch.
-    """
-    log = D.decompose_log(corpus)
-    if checkpoint:
-        log = materialize(log)
-    log = C.log_with_columns(log)
+def stage1(corpus: DataFrame) -> DataFrame:
+    """Decompose, then select lists, tables and functions -- one chain on
+    one ``query_id`` partitioning (each row carries itself through the
+    select-list pass, so nothing is read twice)."""
+    log = C.log_with_columns(D.decompose_log(corpus))
     return L.with_functions(L.with_tables(log))
 
 
@@ -42,7 +37,8 @@ def stage2(log1: DataFrame, rules=V.DEFAULT_RULES, full_refresh: bool = True) ->
 
 def stage3(log2: DataFrame, chunk_size: int = 10, rules=V.DEFAULT_RULES,
            full_refresh: bool = True) -> DataFrame:
-    log3 = V.convert_columns(log2, chunk_size, rules, full_refresh)
+    # the converted log is read twice (its rows and their assembly): write it once
+    log3 = materialize(V.convert_columns(log2, chunk_size, rules, full_refresh))
     fin = A.final_row(log3)
     conv = F.when(F.col("type") == "final", F.col("final_query")).otherwise(F.col("converted_content"))
     return (fin.withColumn("tables", L.tables_expr(F.coalesce(conv, F.lit(""))))

@@ -141,7 +141,7 @@ def _dlog(spark, sf):
 
 
 def _clog(spark, sf):
-    return C.log_with_columns(_dlog(spark, sf))
+    return C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
 
 RS = "\x1e"  # array elements are joined with the record separator for hashing
 _DLOG = [*O.BASE, O.SUBQUERIES, O.LOG]
@@ -368,7 +368,7 @@ def q_assemble_query(spark, sf):
     f"{_dj(O.functions_sql('final_query'))} AS functions FROM f_final")))
 def q_final_row(spark, sf):
     log = _clog(spark, sf)
-    fin = A.final_row(L.with_tables(_identity_columns(log)))
+    fin = A.final_row(materialize(L.with_tables(_identity_columns(log))))
     return fin.filter(F.col("type") == "final").select(
         "query_id", "final_query", _j("tables").alias("tables"), _j("functions").alias("functions"))
 

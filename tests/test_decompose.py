@@ -110,3 +110,19 @@ def test_cte_list_and_named_view(spark, corpus_of):
     assert bad[0].error and bad[0].name == "main"
     main = A.main_text(D.named_view(corpus_of([q]))).first().main
     assert main == "WITH a AS (SELECT x FROM t), b AS (SELECT (SELECT 1) AS y)\nSELECT * FROM a WHERE x IN (SELECT 2)"
+
+
+def test_single_stream_matches_sections_and_brute_force(spark, corpus_of):
+    corpus = corpus_of(ADVERSARIAL)
+    sections = {(s.query_id, s.section_id): s for s in D.split_sections(corpus).collect()}
+    pieces = {}
+    for p in D.decompose_pieces(corpus).collect():
+        pieces.setdefault((p.query_id, p.section_id), {})[p.n] = p
+    assert set(pieces) == set(sections)
+    for key, s in sections.items():
+        got = pieces[key]
+        assert got[0].original == s.content and got[0].section == s.section
+        if s.section in ("cte", "select"):
+            main, subs, unb = brute_subqueries(s.content, s.section, s.section_id)
+            assert got[0].content == main and got[0].unbalanced == unb
+            assert {k: v.content for k, v in got.items() if k > 0} == subs
