@@ -94,15 +94,27 @@ def few_shot_text(log: DataFrame) -> DataFrame:
                                 "\n\n").alias("examples")))
 
 
-def eval_rows(conversations: DataFrame) -> DataFrame:
-    """``conv_id, inputs struct<messages>, expected_response``: the turns
-    before the first assistant reply, and that reply."""
+def eval_messages(conversations: DataFrame) -> DataFrame:
+    """G5, flat: ``conv_id, turn, role, content, expected_response`` -- one row
+    per input message (the turns before the first assistant reply), each
+    with that reply. A conversation is never gathered into one row, so a
+    conversation holding a large share of all turns stays spread out."""
     first = first_reply(conversations).select("conv_id", F.col("turn").alias("_t"), "reply")
-    before = (conversations.join(first, "conv_id")
-              .filter(F.col("turn") < F.col("_t"))
-              .groupBy("conv_id", "reply")
-              .agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-                   .alias("_m")))
-    msgs = F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return (conversations.join(first, "conv_id")
+            .filter(F.col("turn") < F.col("_t"))
+            .select("conv_id", "turn", "role", F.col("text").alias("content"),
+                    F.col("reply").alias("expected_response")))
+
+
+def eval_rows(conversations: DataFrame) -> DataFrame:
+    """G5, nested as the evaluation format wants it:
+    ``conv_id, inputs struct<messages>, expected_response``. Use only where a
+    conversation's prompt is known to be small (it becomes one row);
+    ``eval_messages`` is the scalable form."""
+    m = eval_messages(conversations)
+    before = (m.groupBy("conv_id")
+               .agg(F.first("expected_response").alias("reply"),
+                    F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("_m")))
+    msgs = F.transform("_m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     return before.select("conv_id", F.struct(msgs.alias("messages")).alias("inputs"),
                          F.col("reply").alias("expected_response"))

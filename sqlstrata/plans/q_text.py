@@ -440,15 +440,10 @@ def q_few_shot_text(spark, sf):
 @register("eval_rows", """
 WITH f AS (SELECT conv_id, min(turn) AS t, arg_min(text, turn) AS reply FROM conversations
            WHERE role = 'assistant' GROUP BY conv_id)
-SELECT c.conv_id, CAST(count(*) AS INTEGER) AS n_messages,
-       string_agg(c.role || ':' || c.text, chr(30) ORDER BY c.turn) AS messages, f.reply AS expected_response
-FROM conversations c JOIN f ON f.conv_id = c.conv_id WHERE c.turn < f.t GROUP BY c.conv_id, f.reply""")
+SELECT c.conv_id, c.turn, c.role, c.text AS content, f.reply AS expected_response
+FROM conversations c JOIN f ON f.conv_id = c.conv_id WHERE c.turn < f.t""")
 def q_eval_rows(spark, sf):
-    e = G.eval_rows(spark.read.parquet(f"{sf}/conversations.parquet"))
-    return e.select("conv_id", F.size("inputs.messages").alias("n_messages"),
-                    F.array_join(F.transform("inputs.messages", lambda m: F.concat(m["role"], F.lit(":"),
-                                                                                 m["content"])), RS).alias("messages"),
-                    "expected_response")
+    return G.eval_messages(spark.read.parquet(f"{sf}/conversations.parquet"))
 
 
 # --- B4, B11, F5: named views ------------------------------------------------------
