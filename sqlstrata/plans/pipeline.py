@@ -51,23 +51,26 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run(spark: SparkSession, corpus: DataFrame, out_dir: str, total_stages: int = 3,
-        chunk_size: int = 10, rules=V.DEFAULT_RULES, full_refresh: bool = True) -> DataFrame:
-    """Run the stages, writing ``out_dir/stage{i}`` (parquet) after each.
-
-    With ``full_refresh=False`` and an existing stage-1 table, parsing is
-    skipped for known queries and only new queries are decomposed.
+        chunk_size: int = 10, rules=V.DEFAULT_RULES, full_refresh: bool = True,
+        previous: str | None = None) -> DataFrame:
+    """Run the stages, writing ``out_dir/stage{i}`` (parquet) after each; the
+    next stage reads the written table (lineage cut, restartable).
+
+    Incremental mode (``full_refresh=False`` and the ``previous`` run's log
+    table): known queries keep their rows and conversions, only queries new
+    to the corpus are decomposed, and only rows without a conversion are
+    converted; final rows are rebuilt, one per query.
     """
     from sqlstrata.sources.logstore import read_log, write_log
 
-    s1_path = f"{out_dir}/stage1"
-    if full_refresh:
-        write_log(stage1(corpus), s1_path)
+    if full_refresh or previous is None:
+        log1 = stage1(corpus)
     else:
-        old = read_log(spark, s1_path)
+        old = read_log(spark, previous).filter(F.col("type") != "final")
         new_q = corpus.join(old.select("query_id").distinct(), "query_id", "left_anti")
-        write_log(old.unionByName(stage1(new_q)), f"{out_dir}/stage1_next")
-        s1_path = f"{out_dir}/stage1_next"
-    log = read_log(spark, s1_path)
+        log1 = old.unionByName(stage1(new_q).select(*old.columns))
+    write_log(log1, f"{out_dir}/stage1")
+    log = read_log(spark, f"{out_dir}/stage1")
     if total_stages >= 2:
         write_log(stage2(log, rules, full_refresh), f"{out_dir}/stage2")
         log = read_log(spark, f"{out_dir}/stage2")

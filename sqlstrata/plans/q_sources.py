@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sqlstrata import oracle as O
 from sqlstrata.plans import pipeline as PL
 from sqlstrata.plans.registry import register
-from sqlstrata.session import checkpoint_dir
+from sqlstrata.session import checkpoint_dir, materialize
 from sqlstrata.sources import logstore as S
 from sqlstrata.sources.corpus import corpus_from_dir, read_corpus
 
@@ -52,9 +52,7 @@ def _patch_sql():
 def q_log_patch(spark, sf):
     """Redo rows whose conversion failed on ROWNUM; replace the text of
     set-operator main rows. The patch table is derived from the log."""
-    log = PL.stage2(PL.stage1(corpus_from_dir(spark, sf)))
-    from sqlstrata.session import materialize
-    log = materialize(log)
+    log = materialize(PL.stage2(PL.stage1(corpus_from_dir(spark, sf))))
     redo = log.filter(F.col("response_error").contains("rownum")).select(
         "query_id", "identifier", F.lit("redo").alias("action"), F.lit(None).cast("string").alias("text"))
     setp = log.filter((F.col("type") == "section_main") & (F.col("section") == "join")).select(
@@ -77,3 +75,15 @@ def q_read_examples(spark, sf):
     path = _scratch(spark, "examples")
     S.write_examples(ex, path)
     return S.read_examples(spark, path)
+
+
+_DOC_CORPUS = "corpus AS (SELECT CAST(doc_id AS BIGINT) AS query_id, text AS sql FROM documents)"
+
+
+@register("document_sections", O.with_(_DOC_CORPUS, O.STRIPPED, O.SECTIONS, body=(
+    "SELECT query_id, section_id, section, content FROM sections")))
+def q_document_sections(spark, sf):
+    """B5 over whole documents (prose up to 20,000 words with stray quotes and
+    parentheses): every text is processed whole."""
+    from sqlstrata.operators.decompose import split_sections
+    return split_sections(read_corpus(spark, f"{sf}/documents.parquet", id_col="doc_id", sql_col="text"))
