@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from sqlstrata.functions import patterns as P
 from sqlstrata.functions.text import ordered_concat, strip_ws
-from sqlstrata.operators.decompose import UNB, _depth, tokenize
+from sqlstrata.operators.decompose import UNB, _depth
 
 LOG_KEYS = ["query_id", "section_id", "identifier"]
 _BIG = 1 << 40

@@ -226,27 +226,6 @@ def extract_subqueries(corpus: DataFrame) -> DataFrame:
                           "content"))
 
 
-def resolve_pieces(pieces: DataFrame, content_col: str = "content") -> DataFrame:
-    """F2 core: per (query_id, section_id), put every piece back into its parent.
-
-    Post-order numbering means a parent always has a higher number than the
-    pieces inside it, so one fold in descending number resolves everything.
-    Out: ``query_id, section_id, text``.
-    """
-    folded = (pieces.groupBy("query_id", "section_id")
-                    .agg(F.max(F.when(F.col("n") == 0, F.col(content_col))).alias("main"),
-                         F.sort_array(F.collect_list(F.when(
-                             F.col("n") > 0, F.struct(F.col("n"), F.col("section"),
-                                                      F.col(content_col).alias("c")))),
-                             asc=False).alias("subs")))
-    text = F.aggregate(
-        "subs", F.col("main"),
-        lambda acc, x: F.replace(acc, F.concat(
-            F.lit("<<"), _identifier(x["section"], F.col("section_id"), x["n"]), F.lit(">>")),
-            F.coalesce(x["c"], F.lit(""))))
-    return folded.select("query_id", "section_id", text.alias("text"))
-
-
 def subqueries_full(corpus: DataFrame) -> DataFrame:
     """Every subquery with its nested subqueries left in place.
 
