@@ -86,7 +86,10 @@ def split_columns(df: DataFrame, keys=LOG_KEYS, content_col: str = "content",
     new = [F.when(has, cols).otherwise(F.array().cast("array<string>")).alias("columns"),
            F.when(has, star).otherwise(F.coalesce(F.col("prefix"), F.lit(""))).alias("star_content")]
     if carry:
-        return lvl2.select(*[F.col(f"row.{c}").alias(c) for c in df.columns], *new)
+        # keys come from the group-by (the partitioning attributes), not from the
+        # struct, so later operators still see the query_id partitioning
+        return lvl2.select(*[F.col(c) if c in keys else F.col(f"row.{c}").alias(c) for c in df.columns],
+                           *new)
     return lvl2.select(*keys, *new)
 
 
