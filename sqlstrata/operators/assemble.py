@@ -69,24 +69,43 @@ def assemble_query(log: DataFrame) -> DataFrame:
 def final_row(log: DataFrame) -> DataFrame:
     """the log plus one ``final`` row per query (text, tables, functions).
 
-    Rows of an earlier final are replaced, never duplicated.
+    Rows of an earlier final are replaced, never duplicated. One pass: the
+    rows of a section are gathered with its fold, the sections of a query
+    with the assembly, and everything is emitted again together with the
+    final row -- the log is read once, and each group is one query.
     """
     base = log.filter(F.col("type") != "final")
-    fin = assemble_query(base)
-    empty = F.array().cast("array<string>")
-    row = fin.select(
-        "query_id", F.lit("final_query").alias("section"), F.lit(0).alias("section_id"),
-        F.lit("final").alias("type"), F.lit("final_query").alias("identifier"),
-        F.lit(None).cast("string").alias("original_query"), F.col("final_query"),
-        F.lit(None).cast("string").alias("content"), empty.alias("columns"),
-        tables_expr("final_query").alias("tables"), functions_expr("final_query").alias("functions"),
-        F.lit(None).cast("string").alias("converted_content"), empty.alias("converted_columns"),
-        F.lit(None).cast("string").alias("response_error"))
     cols = base.columns
-    for c in cols:
-        if c not in row.columns:
-            row = row.withColumn(c, F.lit(None))
-    return base.unionByName(row.select(*cols))
+    types = {f.name: f.dataType for f in base.schema.fields}
+    t = piece_text(base)
+    num = F.regexp_extract(F.col("identifier"), r"_(\d+)$", 1).try_cast("long")
+    is_main, is_sub = F.col("type") == "section_main", F.col("type") == "subquery"
+    lvl1 = (t.groupBy("query_id", "section_id")
+             .agg(F.collect_list(F.struct(*[F.col(c) for c in cols])).alias("rows"),
+                  F.max(F.when(is_main, F.col("_text"))).alias("main"),
+                  F.sort_array(F.collect_list(F.when(is_sub, F.struct(
+                      num.alias("n"), F.col("identifier").alias("id"), F.col("_text").alias("t")))),
+                      asc=False).alias("subs")))
+    resolved = F.aggregate("subs", F.coalesce(F.col("main"), F.lit("")),
+                           lambda acc, x: F.replace(acc, F.concat(F.lit("<<"), x["id"], F.lit(">>")), x["t"]))
+    lvl1 = lvl1.select("query_id", "section_id", "rows",
+                       F.when(F.col("main").isNotNull(), resolved).alias("resolved"))
+    part = F.when(F.col("resolved").isNotNull(),
+                  F.struct("section_id", strip_ws(F.col("resolved")).alias("t")))
+    lvl2 = (lvl1.groupBy("query_id")
+                .agg(F.flatten(F.collect_list("rows")).alias("rows"),
+                     F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]),
+                                  "\n\n").alias("final_query")))
+    empty = F.array().cast("array<string>")
+    fq = F.col("final_query")
+    values = {
+        "query_id": F.col("query_id"), "section": F.lit("final_query"), "section_id": F.lit(0),
+        "type": F.lit("final"), "identifier": F.lit("final_query"), "final_query": fq,
+        "columns": empty, "tables": tables_expr(fq), "functions": functions_expr(fq),
+        "converted_columns": empty,
+    }
+    fin = F.struct(*[(values[c] if c in values else F.lit(None)).cast(types[c]).alias(c) for c in cols])
+    return lvl2.select(F.inline(F.concat("rows", F.array(fin))))
 
 
 def main_text(view: DataFrame) -> DataFrame:
