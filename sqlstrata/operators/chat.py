@@ -40,11 +40,12 @@ def first_reply(conversations: DataFrame) -> DataFrame:
 _ITEM = rf"(?:{P.HEADING_PATTERN})|(?:{P.FENCE_PATTERN})"
 
 
-def reply_sections_expr(message: Column) -> Column:
+def reply_sections_expr(message: Column, items: Column) -> Column:
     """G3 per row: ``array<struct<k, section, sql>>``: each fenced ```sql block
     with the nearest heading before it (``Unknown`` if none), then the whole
-    message as ``FULL_MESSAGE``."""
-    items = F.regexp_extract_all(message, F.lit(_ITEM), 0)
+    message as ``FULL_MESSAGE``. ``items`` must be a column holding
+    ``message_items(message)`` (computed once: expressions inside a lambda
+    are not shared, so an inline regex would run again per item)."""
     idx = F.sequence(F.lit(0), F.size(items) - 1)
 
     def one(i):
@@ -64,9 +65,15 @@ def reply_sections_expr(message: Column) -> Column:
     return F.concat(blocks, F.array(full))
 
 
+def message_items(message: Column) -> Column:
+    """Headings and fenced blocks of a message, in order."""
+    return F.regexp_extract_all(message, F.lit(_ITEM), 0)
+
+
 def reply_sections(df: DataFrame, message_col: str, keys: list[str]) -> DataFrame:
     """One row per block: ``keys..., k, section, sql``."""
-    return df.select(*keys, F.inline(reply_sections_expr(F.col(message_col))))
+    it = df.select(*keys, F.col(message_col).alias("_msg"), message_items(F.col(message_col)).alias("_it"))
+    return it.select(*keys, F.inline(reply_sections_expr(F.col("_msg"), F.col("_it"))))
 
 
 def wrap_reply(conversations: DataFrame) -> DataFrame:
