@@ -135,29 +135,18 @@ def cte_block(corpus: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # subqueries
 # ---------------------------------------------------------------------------
-def _subquery_tokens(sections: DataFrame, all_sections: bool = False,
-                     with_orig: bool = False) -> DataFrame:
-    """Token rows of sections with open/close/level/number marks.
-
-    Only cte/select sections get subqueries. With ``with_orig`` every
-    section also yields one extra row (``pos = 0``, ``is_orig``) that carries
-    the whole section text, so the original text travels with the tokens
-    instead of being joined back later.
-    """
-    src = sections if all_sections else sections.filter(F.col("section").isin("cte", "select"))
-    arr = F.regexp_extract_all(F.col("content"), F.lit(P.SUBQUERY_TOKEN), 0)
-    if with_orig:
-        arr = F.concat(F.array(F.col("content")), arr)
-    tok = src.select("query_id", "section_id", "section", F.posexplode(arr).alias("pos", "tok"))
-    is_orig = (F.col("pos") == 0) if with_orig else F.lit(False)
-    tok = tok.withColumn("is_orig", is_orig)
+def _subquery_tokens(sections: DataFrame) -> DataFrame:
+    """Token rows of the cte/select sections of a section table, with
+    open/close/level/number marks (the two-pass form: ``split_sections``
+    first, then this; ``decompose_pieces`` does both in one stream)."""
+    src = sections.filter(F.col("section").isin("cte", "select"))
+    tok = tokenize(src, "content", P.SUBQUERY_TOKEN, ["query_id", "section_id", "section"])
     w = Window.partitionBy("query_id", "section_id").orderBy("pos")
     is_sel = lambda c: F.upper(c) == "SELECT"
     lead1, lead2 = F.lead("tok", 1).over(w), F.lead("tok", 2).over(w)
-    op = (F.col("tok") == "(") & ~F.col("is_orig")
-    cl = (F.col("tok") == ")") & ~F.col("is_orig")
-    isopen = (op & F.col("section").isin("cte", "select")
-              & (is_sel(lead1) | (lead1.rlike(P.BLANK) & is_sel(lead2))))
+    op = F.col("tok") == "("
+    cl = F.col("tok") == ")"
+    isopen = op & (is_sel(lead1) | (lead1.rlike(P.BLANK) & is_sel(lead2)))
     delta = F.when(op, 1).when(cl, -1).otherwise(0)
     depth_incl = F.sum(delta).over(w.rowsBetween(UNB, 0))
     tok = (tok.withColumn("isopen", F.coalesce(isopen, F.lit(False)))
@@ -178,17 +167,15 @@ def _identifier(section, section_id, n):
                     F.lit("]_"), n.cast("string"))
 
 
-def subquery_pieces(sections: DataFrame, all_sections: bool = False,
-                    with_orig: bool = False) -> DataFrame:
+def subquery_pieces(sections: DataFrame) -> DataFrame:
     """Per section: one row per subquery (n >= 1) and the main piece (n = 0).
 
     Out: ``query_id, section_id, section, n, content, unbalanced``. Nested
     subqueries are replaced by ``(<<subquery_{section}[{section_id}]_{n}>>)``,
     numbers are post-order per section (inner before outer, left to right).
-    An unbalanced section is returned whole as its main piece. With
-    ``with_orig`` the whole section text comes as an extra piece ``n = -1``.
+    An unbalanced section is returned whole as its main piece.
     """
-    tok = _subquery_tokens(sections, all_sections, with_orig)
+    tok = _subquery_tokens(sections)
     ev_t = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()),
                                      T.StructField("t", T.StringType()),
                                      T.StructField("closen", T.LongType())]))
@@ -199,8 +186,7 @@ def subquery_pieces(sections: DataFrame, all_sections: bool = False,
 
     ph = F.concat(F.lit("(<<"), _identifier(F.col("section"), F.col("section_id"), F.col("n0")),
                   F.lit(">>)"))
-    events = (F.when(F.col("is_orig"), F.array(ev(F.lit(-1), F.col("tok"))))
-               .when(F.col("unbalanced"), F.array(ev(F.lit(0), F.col("tok"))))
+    events = (F.when(F.col("unbalanced"), F.array(ev(F.lit(0), F.col("tok"))))
                .when(F.col("isclose"), F.array(ev(F.col("sd"), F.lit(""), F.col("n0")),
                                                ev(F.col("sd") - 1, ph)))
                .when(F.col("isopen"), F.array(ev(F.col("sd"), F.lit(""))))
@@ -208,7 +194,7 @@ def subquery_pieces(sections: DataFrame, all_sections: bool = False,
     evs = tok.select("query_id", "section_id", "section", "pos", "unbalanced", F.inline(events))
     wl = (Window.partitionBy("query_id", "section_id", "level").orderBy("pos")
                 .rowsBetween(0, UNF))
-    evs = evs.withColumn("n", F.when(F.col("level") <= 0, F.col("level").cast("long"))
+    evs = evs.withColumn("n", F.when(F.col("level") == 0, F.lit(0).cast("long"))
                                .otherwise(F.first("closen", ignorenulls=True).over(wl)))
     return (evs.withColumnRenamed("t", "tok")
                .groupBy("query_id", "section_id", "n")
