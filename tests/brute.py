@@ -71,3 +71,67 @@ def subqueries(text, section, sid):
 
     subs = {k: render(o + 1, c) for o, c, k in spans}
     return render(0, len(text)), subs, False
+
+
+def _word_at(s, i, w):
+    n = len(w)
+    return (s[i:i + n].upper() == w and (i == 0 or s[i - 1] not in WORD)
+            and (i + n >= len(s) or s[i + n] not in WORD))
+
+
+def columns(text):
+    """-> (columns, star_content) for one log row's text."""
+    q = text.strip(WS)
+    i, depth, sel = 0, 0, None
+    while i < len(q):
+        m = LIT.match(q, i)
+        if m:
+            i = m.end()
+            continue
+        if depth == 0 and _word_at(q, i, "SELECT"):
+            sel = i
+            break
+        depth += {"(": 1, ")": -1}.get(q[i], 0)
+        i += 1
+    if sel is None:
+        return [], q
+    cols, buf, i, depth, frm = [], [], sel + 6, 0, None
+    while i < len(q):
+        m = LIT.match(q, i)
+        if m:
+            buf.append(m.group(0))
+            i = m.end()
+            continue
+        c = q[i]
+        if depth == 0 and _word_at(q, i, "FROM"):
+            frm = i
+            break
+        if depth == 0 and c == ",":
+            cols.append("".join(buf))
+            buf = []
+        else:
+            buf.append(c)
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        i += 1
+    cols.append("".join(buf))
+    cols = [c.strip(WS) for c in cols if c.strip(WS)]
+    star = (q[:sel] + "SELECT * " + (q[frm:] if frm is not None else "")).strip(WS)
+    return cols, star
+
+
+PIECES = re.compile(r"(?:'[^']*')+|\"[^\"]*\"|[^'\"]+|['\"]")
+CODE_RULES = [(r"(?i)\bNVL\s*\(", "COALESCE("),
+              (r"(?i)\bVARCHAR2\b(\s*\(\s*\d+\s*(?:BYTE|CHAR)?\s*\))?", "STRING"),
+              (r"(?i)\bSYSDATE\b", "CURRENT_TIMESTAMP()")]
+
+
+def convert(text):
+    out = []
+    for p in PIECES.findall(text):
+        if p[0] in "'\"":
+            out.append("'yyyyMMdd'" if p == "'YYYYMMDD'" else p)
+        else:
+            for pat, rep in CODE_RULES:
+                p = re.sub(pat, rep, p)
+            out.append(p)
+    return "".join(out)

@@ -87,3 +87,30 @@ def test_random_texts(spark, corpus_of):
     res = {(r.query_id, r.section_id): r.resolved for r in A.resolve_sections(A.piece_text(log)).collect()}
     for key, s in sections.items():
         assert res[key] == s.content
+
+
+def test_random_select_lists(spark, corpus_of):
+    from brute import columns as brute_columns
+    from sqlstrata.operators import columns as C
+    rng = random.Random(7)
+    corpus = corpus_of([_text(rng) for _ in range(300)])
+    rows = C.split_columns(D.decompose_log(corpus)).collect()
+    log = {(r.query_id, r.section_id, r.identifier): r.content for r in D.decompose_log(corpus).collect()}
+    assert sum(1 for r in rows if len(r.columns) >= 3) >= 50
+    for r in rows:
+        cols, star = brute_columns(log[(r.query_id, r.section_id, r.identifier)])
+        assert (r.columns, r.star_content) == (cols, star), log[(r.query_id, r.section_id, r.identifier)]
+
+
+def test_random_conversion(spark):
+    from brute import convert as brute_convert
+    from pyspark.sql import functions as F
+    from sqlstrata.operators import convert as V
+    rng = random.Random(11)
+    bits = ["nvl(", "NVL (", "Nvl\\n(", "nvl_x(", "varchar2(10)", "VARCHAR2 ( 20 BYTE )", "varchar2",
+            "sysdate", "SYSDATE2", "'YYYYMMDD'", "'yyyymmdd'", "'NVL(a)'", "'it''s sysdate'", "'", '"NVL("',
+            " ", ", ", "a", ")", "("]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.c for r in df.select(V.apply_rules(F.col("t")).alias("c")).collect()]
+    assert got == [brute_convert(t) for t in texts]
