@@ -114,3 +114,31 @@ def test_random_conversion(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.c for r in df.select(V.apply_rules(F.col("t")).alias("c")).collect()]
     assert got == [brute_convert(t) for t in texts]
+
+
+def test_random_lineage(spark):
+    import re
+
+    from pyspark.sql import functions as F
+    from sqlstrata.functions import patterns as P
+    from sqlstrata.operators import lineage as L
+    rng = random.Random(13)
+    bits = ["FROM ", "from\n", "JOIN ", "join ", "t1", "s.t2", "_x", "ON", "WHERE", "left", "select",
+            "count(", "COUNT (", "nvl(", "exists(", "in (", "my_fn(", "x1(", "1(", " ", ", ", ")", "'FROM q'",
+            "--c\n", "/* JOIN z */"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(500)]
+    cols = [[t[:7], t[3:]] for t in texts]
+    df = spark.createDataFrame(list(zip(texts, cols)), "t string, c array<string>")
+    got = df.select(L.tables_expr("t").alias("tb"), L.functions_expr("t", "c").alias("fn"),
+                    L.loose_tables_expr("t").alias("lt")).collect()
+    from brute import strip_comments as brute_strip
+    stop_t, stop_f = set(P.TABLE_STOPWORDS), set(P.FUNCTION_STOPWORDS)
+    for t, cs, r in zip(texts, cols, got):
+        tables = re.findall(r"\b(?:FROM|JOIN)\s+([a-zA-Z_][a-zA-Z0-9_.]*)", brute_strip(t), re.IGNORECASE)
+        assert r.tb == sorted({x for x in tables if x.upper() not in stop_t}), t
+        funcs = set()
+        for x in [t, *cs]:
+            funcs.update(f for f in re.findall(P.FUNCTION_PATTERN, x.upper()) if f not in stop_f)
+        assert r.fn == sorted(funcs), t
+        loose = re.findall(r"FROM\s+([^\s;()]+)", t, re.IGNORECASE) + re.findall(r"JOIN\s+([^\s;()]+)", t, re.IGNORECASE)
+        assert r.lt == sorted({x.strip().lower() for x in loose}), t
