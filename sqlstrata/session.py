@@ -23,8 +23,9 @@ _DEFAULTS = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "sqlstrata") -> SparkSession:
-    """Return the active session, or build a local one (tests, bench)."""
+              app_name: str = "sqlstrata", conf: dict | None = None) -> SparkSession:
+    """Return the active session, or build a local one (tests, bench) with
+    the defaults below plus ``conf``."""
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
@@ -37,7 +38,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in _DEFAULTS.items():
+    for k, v in {**_DEFAULTS, **(conf or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

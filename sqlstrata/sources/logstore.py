@@ -22,7 +22,8 @@ def _blank(name: str | None) -> bool:
 
 
 def log_init(spark: SparkSession, table: str | None) -> DataFrame | None:
-    """A3: create or reset the typed, empty log table."""
+    """A3: create or reset the typed, empty log table (a catalog table: with a
+    persistent metastore ``DROP TABLE`` also clears its folder)."""
     if _blank(table):
         return None
     empty = spark.createDataFrame([], LOG_SCHEMA)

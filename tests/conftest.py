@@ -10,8 +10,12 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from sqlstrata.session import get_spark
-    s = get_spark("local[*]", 8)
+    # a fresh warehouse per run: managed-table folders must not outlive the
+    # in-memory catalog of an earlier run
+    s = get_spark("local[*]", 8, conf={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="sqlstrata-wh-")})
     yield s
 
 

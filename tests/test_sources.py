@@ -25,7 +25,8 @@ def test_read_corpus_whole_text_files(spark):
 
 
 def test_log_init_and_patch(spark):
-    empty = S.log_init(spark, "sqlstrata_test_log")
+    import uuid
+    empty = S.log_init(spark, f"sqlstrata_log_{uuid.uuid4().hex[:8]}")
     assert empty.count() == 0
     assert empty.columns == D.LOG_COLUMNS
     assert S.log_init(spark, "  ") is None
