@@ -207,3 +207,51 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         mark = (now["n"], now["h"])
     return (e.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+
+
+# ---------------------------------------------------------------- runs of a key
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 8192) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From batches sorted by ``keys`` (not null, fixed width): tables of whole
+    groups and the row at which each group starts (with the end). Groups are
+    never cut, small ones come many at a time."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        cut = _starts(t, keys)
+        if len(cut) > 1:
+            yield t.slice(0, int(cut[-1])), cut
+            rest = t.slice(int(cut[-1]))
+            held, n = rest.combine_chunks().to_batches(), 0  # the last group may go on
+        else:
+            held = t.to_batches()
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, np.append(_starts(t, keys), t.num_rows)
+
+
+def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        v = t.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of a list column of equal lengths as a matrix."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if isinstance(col, pa.ChunkedArray):
+        col = col.chunk(0)
+    v = col.flatten().to_numpy(zero_copy_only=False)
+    return v.reshape(len(col), -1) if len(col) else v.reshape(0, 0)

@@ -6,10 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sqlstrata.llm.mixing import op9_mix
+from sqlstrata.llm.neardup import op8_near_vectors
+from sqlstrata.llm.packing import op7_pack
 from sqlstrata.llm.rangecoder import op1_token_files
+from sqlstrata.llm.topk import op5_top_k
+from sqlstrata.llm.toxicity import op2_toxicity
+from sqlstrata.llm.triejoin import op6_trie_join
+from sqlstrata.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
+    "op5_top_k": op5_top_k,
+    "op6_trie_join": op6_trie_join,
+    "op7_pack": op7_pack,
+    "op8_near_vectors": op8_near_vectors,
+    "op9_mix": op9_mix,
 }
 
 #: DuckDB twins, where SQL can express the query.
