@@ -8,7 +8,7 @@ bounded in bytes, so memory does not follow the batch size Spark chose.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -255,3 +255,72 @@ def matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
         col = col.chunk(0)
     v = col.flatten().to_numpy(zero_copy_only=False)
     return v.reshape(len(col), -1) if len(col) else v.reshape(0, 0)
+
+
+# ---------------------------------------------------------------- counts in tables of fixed size
+
+
+def summed_table(rows: DataFrame, size: int, count: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
+    """Add up a table of ``size`` numbers over all rows. ``count`` adds a
+    batch to a task's own table; tasks hand on their tables in pieces, which
+    are summed apart, one at a time. ``size`` does not follow the data, so the
+    result is fit for a broadcast."""
+    piece = min(size, 1 << 9)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            count(b, total)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size // piece)), pa.array(
+                [x.astype("<u4").tobytes() for x in total.reshape(-1, piece)], pa.binary())], names=["piece", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(piece, np.int64)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())],
+                                              names=["piece", "counts"])
+
+        for b in batches:  # sorted by piece, so one piece is held
+            for key, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                if key != at and at is not None:
+                    yield done()
+                    total = np.zeros(piece, np.int64)
+                at = key
+                total += np.frombuffer(raw.as_py(), "<u4")
+        if at is not None:
+            yield done()
+
+    ddl = "piece long, counts binary"
+    parts = rows.mapInArrow(own, ddl).repartition(shuffle_parts(rows.sparkSession), "piece").sortWithinPartitions("piece")
+    out = np.zeros(size, np.int64)
+    got = parts.mapInArrow(add, ddl).toArrow()
+    for i, x in zip(got.column("piece").to_pylist(), got.column("counts").to_pylist()):
+        out[i * piece:(i + 1) * piece] = np.frombuffer(x, "<i8")
+    return out
+
+
+class Frequent:
+    """Hash ranges that hold a frequent hash. A hash outside of them occurs at
+    most ``bound`` times."""
+
+    def __init__(self, counts: np.ndarray):
+        mean = counts.mean()
+        self.bound = int(mean + 8 * np.sqrt(mean) + 32)
+        self.table = counts > self.bound
+        self.shift = np.uint64(64 - (len(counts).bit_length() - 1))
+
+    def marks(self, h: np.ndarray) -> np.ndarray:
+        return self.table[(h >> self.shift).astype(np.int64)]
+
+
+def frequent_ranges(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], log2: int = 18) -> Frequent:
+    """Counts of the hashes of all texts, by range of the hash."""
+    shift = np.uint64(64 - log2)
+
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        for b in slices(batch, "text"):
+            total += np.bincount((hashes(*text_buffer(b.column(0))) >> shift).astype(np.int64), minlength=1 << log2)
+
+    return Frequent(summed_table(docs.select("text"), 1 << log2, count))

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,12 +34,12 @@ DP_WORDS = 1 << 15
 RANKED = 4096
 
 
-def sizes(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with ``size``, the number of words of ``text_col`` (null: 0),
+def sizes(docs: DataFrame, text_col: str = "text", keep_text: bool = False, name: str = "size") -> DataFrame:
+    """``docs`` with ``size`` (or ``name``), the number of words of ``text_col`` (null: 0),
     in place of the text (or beside it)."""
     names = docs.columns
     kept = [i for i, c in enumerate(names) if keep_text or c != text_col]
-    schema = T.StructType([docs.schema[i] for i in kept]).add("size", T.LongType())
+    schema = T.StructType([docs.schema[i] for i in kept]).add(name, T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,7 +47,7 @@ def sizes(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> D
                 data, off = text_buffer(b.column(names.index(text_col)))
                 _, _, row = word_spans(data, off)
                 n = pa.array(np.bincount(row, minlength=b.num_rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + [n], names=[names[i] for i in kept] + ["size"])
+                yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + [n], names=[names[i] for i in kept] + [name])
 
     return docs.mapInArrow(run, schema)
 
@@ -174,18 +174,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                        F.col(text_col).cast("string").alias("text"))
     sized = written(sizes(rows), "sizes")
-    return decide(sized, weights, most, seed)
+    cut = decisions(sized, weights, most, seed)
+    out = sized.join(cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_l")), "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", _copies("doc_id", most, seed).alias("copies"))
 
 
-def decide(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """``sized`` (with ``doc_id, source, size``) plus ``source_size, target, copies``."""
+def decisions(sized: DataFrame, weights: tuple[float, ...], most: int, seed: int) -> DataFrame:
+    """Per source ``_s`` and length ``_l``: ``source_size, target, rounds, upto``."""
     todo = written(plan(sized, targets(sized, weights, most), most), "mix")
-    cut = thresholds(sized, todo, seed).select(
-        F.col("source").alias("_s"), F.col("size").alias("_l"), "source_size", "target", "rounds", "upto")
-    out = sized.join(cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_l")), "left")
-    more = F.coalesce((F.xxhash64("doc_id", F.lit(seed)) <= F.col("upto")).cast("int"), F.lit(0))
-    copies = F.least(F.lit(most), F.col("rounds") + more)
-    return out.select(*sized.columns, "source_size", "target", copies.alias("copies"))
+    cut = thresholds(sized, todo, seed)
+    return written(cut.select(F.col("source").alias("_s"), F.col("size").alias("_l"), "source_size", "target", "rounds", "upto"), "cut")
+
+
+def _copies(id_col: str, most: int, seed: int) -> Column:
+    more = F.coalesce((F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)) <= F.col("upto")).cast("int"), F.lit(0))
+    return F.least(F.lit(most), F.col("rounds") + more)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                       F.col(text_col).cast("string").alias("text"))
+    cut = decisions(written(sizes(rows), "sizes"), weights, most, seed)
+    whole = sizes(docs, text_col, keep_text=True, name="_size")
+    out = whole.join(cut, F.col(source_col).cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_l")), "left")
+    out = out.withColumn("_copies", _copies(id_col, most, seed)).filter("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

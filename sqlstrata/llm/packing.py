@@ -132,7 +132,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
             return pa.RecordBatch.from_arrays(cols, schema=schema)
 
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 8 << 20):
                 flat, n = enc.encode(*text_buffer(b.column(1)))
                 ends = np.cumsum(n)
                 ids.append(np.insert(flat, ends, end_id))

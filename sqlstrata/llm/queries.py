@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sqlstrata.llm.chaining import op10_passages
+from sqlstrata.llm.langid import op4_language
 from sqlstrata.llm.mixing import op9_mix
 from sqlstrata.llm.neardup import op8_near_vectors
 from sqlstrata.llm.packing import op7_pack
@@ -19,11 +21,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
+    "op4_language": op4_language,
     "op5_top_k": op5_top_k,
     "op6_trie_join": op6_trie_join,
     "op7_pack": op7_pack,
     "op8_near_vectors": op8_near_vectors,
     "op9_mix": op9_mix,
+    "op10_passages": op10_passages,
 }
 
 #: DuckDB twins, where SQL can express the query.

@@ -1,16 +1,24 @@
 """Whole-text token ids at the cost of the distinct chunks only.
 
 A text is cut before a blank that follows a visible ASCII character or a
-Latin-1 letter. Neither public vocabulary forms a token across such a point
-(their pre-tokenizers match at most blanks + one run of visible characters),
-so the ids of a text are the ids of its chunks in a row. Arrow finds the
-distinct chunks of a slice, the library encodes those not seen before, and
-numpy strings the ids together.
+Latin-1 letter, and between a letter and a sign such as ``,`` or ``.``. Neither
+public vocabulary forms a token across such a point (their pre-tokenizers match
+blanks, then one run of letters, digits or signs), so the ids of a text are the
+ids of its chunks in a row. Arrow finds the distinct chunks of a slice, the
+library encodes those not remembered, and numpy strings the ids together.
+
+A chunk of letters with at most one blank before them is one run for the
+pre-tokenizer; such chunks go to the library's model at once, in the byte
+alphabet that its pre-tokenizer would have given them.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -19,20 +27,45 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
-
-#: Distinct chunks a worker remembers before it starts anew; bounds memory.
-MEMORY = 400_000
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(c) for c in '!"#(),-./:;?|']] = True
+_LATIN = np.zeros(256, bool)  # second byte of a Latin-1 letter (all but the signs for times and division)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
+_FOLD[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
+
+#: Distinct chunks of a generation. A worker remembers two generations: the
+#: chunks met since the last change, and those of the one before.
+MEMORY = 350_000
+
+# the byte alphabet of byte-level vocabularies (a fixed rule: printable bytes
+# stand for themselves, the others follow from 256 on)
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SELF))}
+_RUN = re.compile(r" ?(?:[A-Za-z]|\u00c3[\u0080-\u0096\u0098-\u00b6\u00b8-\u00bf])+")
+_LOWER_RUN = re.compile(r" ?(?:[a-z]|\u00c3[\u00a0-\u00b6\u00b8-\u00bf])+")
 
 
 def chunk_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """First bytes of the chunks of all rows."""
     start = np.zeros(len(data), bool)
-    blank = _BLANK[data]
-    start[1:] = blank[1:] & _VISIBLE[data[:-1]]
-    start[2:] |= blank[2:] & (data[:-2] == 0xC3)
+    blank, sign = _BLANK[data], _SIGN[data]
+    start[1:] = (blank[1:] & _VISIBLE[data[:-1]]) | (sign[1:] & _LETTER[data[:-1]])
+    latin = (data[:-2] == 0xC3) & _LATIN[data[1:-1]] if len(data) > 2 else np.zeros(0, bool)
+    start[2:] |= (blank[2:] | sign[2:]) & latin
     start[off[:-1][off[:-1] < off[1:]]] = True
     return np.flatnonzero(start)
 
 
+@functools.cache
+def _words(n: int) -> struct.Struct:
+    return struct.Struct(f"<{n}I")
+
+
 class Encoder:
     """Ids of UTF-8 rows by one tokenizer file, ``add_special_tokens=False``;
     the special tokens' strings in a text are ordinary text."""
@@ -43,32 +76,54 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        # a vocabulary that lower-cases drops blanks too: its chunks fold
+        self.fold = "Lowercase" in json.dumps(kind["normalizer"])
+        self.model = None
+        if "ByteLevel" in json.dumps(kind["pre_tokenizer"]):
+            self.model = Tokenizer(self.tok.model)
+            self.model.encode_special_tokens = True
         self.memory = memory
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.start = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-
-    def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 4096):
-            part = chunks[at:at + 4096]
-            ids = [e.ids for e in self.tok.encode_batch(part, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, n = int(size.sum()), len(self.known)
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(part) > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-            self.flat[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            self.start[n:n + len(part)] = self.used + np.cumsum(size) - size
-            self.size[n:n + len(part)] = size
-            self.used += total
-            self.known.update(zip(part, range(n, n + len(part))))
+        self.old: dict[bytes, bytes] = {}  # ids as little-endian words
+        self.new: dict[bytes, bytes] = {}
+
+    def _ids(self, raw: list[bytes]) -> list[bytes]:
+        chunks = [c.decode("latin-1") for c in raw]
+        run = (_LOWER_RUN if self.fold else _RUN).fullmatch
+        quick = [i for i, c in enumerate(chunks) if run(c)] if self.model is not None else []
+        out: list[bytes | None] = [None] * len(chunks)
+        for at in range(0, len(quick), 4096):
+            part = quick[at:at + 4096]
+            strip = self.fold
+            words = [(chunks[i].lstrip(" ") if strip else chunks[i]).translate(_ALPHABET) for i in part]
+            for i, e in zip(part, self.model.encode_batch(words, add_special_tokens=False)):
+                x = e.ids
+                out[i] = _words(len(x)).pack(*x)
+        slow = [i for i, x in enumerate(out) if x is None]
+        for at in range(0, len(slow), 4096):
+            part = slow[at:at + 4096]
+            words = [raw[i].decode("utf-8") for i in part]
+            for i, e in zip(part, self.tok.encode_batch(words, add_special_tokens=False)):
+                x = e.ids
+                out[i] = _words(len(x)).pack(*x)
+        return out  # type: ignore[return-value]
+
+    def _look_up(self, chunks: list[bytes]) -> list[bytes]:
+        if len(self.new) > self.memory:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        unknown = []
+        for c in chunks:
+            if c not in new:
+                x = old.get(c)
+                if x is None:
+                    unknown.append(c)
+                else:
+                    new[c] = x
+        for c, x in zip(unknown, self._ids(unknown)):
+            new[c] = x
+        return list(map(new.__getitem__, chunks))
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in a row, number of ids of each row)."""
@@ -76,18 +131,16 @@ class Encoder:
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
         s = chunk_starts(data, off)
-        chunks = pa.LargeStringArray.from_buffers(
-            len(s), pa.py_buffer(np.append(s, len(data))), pa.py_buffer(np.ascontiguousarray(data)))
+        text = _FOLD[data] if self.fold else np.ascontiguousarray(data)
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(np.append(s, len(data))), pa.py_buffer(text)])
         coded = chunks.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) > self.memory:
-            self._clear()
-        self._learn([w for w in words if w not in self.known])
-        entry = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        entry = entry[coded.indices.to_numpy(zero_copy_only=False)]
-        size = self.size[entry]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[entry] - (ends - size), size) + np.arange(int(ends[-1]))]
+        known = self._look_up(coded.dictionary.to_pylist())
+        edges = np.zeros(len(known) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, known), np.int32, len(known)), out=edges[1:])
+        values = pa.array(np.frombuffer(b"".join(known), np.uint32))
+        taken = pa.ListArray.from_arrays(pa.array(edges // 4), values).take(coded.indices)
+        ids = taken.flatten().to_numpy()
+        ends = taken.offsets.to_numpy()[1:].astype(np.int64) - taken.offsets[0].as_py()
         cum = np.concatenate([[0], ends])
         edge = cum[np.searchsorted(s, off, side="left")]
         return ids, np.diff(edge)

@@ -164,16 +164,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(feats, np.repeat(np.arange(len(flat)), flat), doc, label)
 
 
+def _score_slice(b: pa.RecordBatch, col: int, w: np.ndarray, bias: float) -> tuple[np.ndarray, ...]:
+    """Scores of the rows; and row, first and last byte, and probability of
+    their sentences."""
+    data, off = text_buffer(b.column(col))
+    s, e, sent, row = sentences(data, off)
+    logit = np.full(len(row), bias, np.float64)
+    if len(s):
+        f = features(data, s, e)
+        hit = np.flatnonzero(np.any(w[f] != 0, axis=1))  # few features carry weight
+        key = np.unique((sent[hit][:, None] << BITS | f[hit]).reshape(-1))
+        logit += np.bincount(key >> BITS, weights=w[key & (1 << BITS) - 1], minlength=len(row))
+    p = _sigmoid(logit)
+    none = np.bincount(row, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=b.num_rows)
+    each = np.arange(len(row))
+    begin, end = s[np.searchsorted(sent, each)], e[np.searchsorted(sent, each, side="right") - 1]
+    return -np.expm1(none), row, begin, end, p
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without its text, plus ``score``, ``predicted`` and the
     offending sentences: ``spans`` of (start, end, score) in characters, for
     sentences that reach half the threshold.
 
     A text without words (null, empty) scores 0. Repeated rows score alike, no
-    row is dropped.
+    row is dropped. Columns of ``docs`` by the names of the results make way.
     """
     names = docs.columns
-    kept = [i for i, c in enumerate(names) if c != text_col]
+    kept = [i for i, c in enumerate(names) if c not in (text_col, "score", "predicted", "spans")]
+    at = names.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
@@ -181,24 +200,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
         w, bias = shared.value
         for batch in batches:
             for b in slices(batch, text_col):
-                data, off = text_buffer(b.column(names.index(text_col)))
-                s, e, sent, row = sentences(data, off)
-                logit = np.full(len(row), bias, np.float64)
-                if len(s):
-                    f = features(data, s, e)
-                    hit = np.flatnonzero(np.any(w[f] != 0, axis=1))  # few features carry weight
-                    key = np.unique((sent[hit][:, None] << BITS | f[hit]).reshape(-1))
-                    logit += np.bincount(key >> BITS, weights=w[key & (1 << BITS) - 1], minlength=len(row))
-                p = _sigmoid(logit)
-                none = np.bincount(row, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=b.num_rows)
-                total = -np.expm1(none)
+                total, row, begin, end, p = _score_slice(b, at, w, bias)
+                data, off = text_buffer(b.column(at))
                 bad = np.flatnonzero(p >= threshold / 2)
-                begin = np.searchsorted(sent, bad)
-                end = np.searchsorted(sent, bad, side="right") - 1
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 home = chars[off[row[bad]]]
                 spans = pa.StructArray.from_arrays(
-                    [pa.array(chars[s[begin]] - home), pa.array(chars[e[end]] - home), pa.array(p[bad])], fields=list(span))
+                    [pa.array(chars[begin[bad]] - home), pa.array(chars[end[bad]] - home), pa.array(p[bad])], fields=list(span))
                 cuts = np.searchsorted(row[bad], np.arange(b.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(i) for i in kept] + [pa.array(total), pa.array((total >= threshold).astype(np.int32)),
@@ -207,8 +215,21 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
     spot = T.StructType().add("start", T.LongType()).add("end", T.LongType()).add("score", T.DoubleType())
     schema = T.StructType([docs.schema[i] for i in kept]).add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    schema = schema.add("spans", T.ArrayType(spot))
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema.add("spans", T.ArrayType(spot)))
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below ``threshold``, with all their columns."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, bias = shared.value
+        for batch in batches:
+            for b in slices(batch, text_col):
+                yield b.filter(pa.array(_score_slice(b, at, w, bias)[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,13 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlstrata.llm.common import (connected_components, mix64, ngram_hashes, shuffle_parts, slices, span_hashes,
+from sqlstrata.llm.common import (Frequent, connected_components, frequent_ranges, mix64, ngram_hashes, shuffle_parts, slices, span_hashes,
                                   text_buffer, whole_runs, word_spans, written)
 
 WORDS = 5
 PERCENT = 80
-#: Hash ranges whose shingle counts decide what is frequent (fixed size).
-RANGES_LOG2 = 18
 #: Sets that meet their probe at once.
 BLOCK = 256
 _U = np.uint64
@@ -89,61 +87,6 @@ def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-class Order:
-    """The global order. ``frequent`` marks hash ranges."""
-
-    def __init__(self, frequent: np.ndarray):
-        self.frequent = frequent
-        self.shift = _U(64 - (len(frequent).bit_length() - 1))
-
-    def late(self, g: np.ndarray) -> np.ndarray:
-        return self.frequent[(g >> self.shift).astype(np.int64)]
-
-
-def frequent_ranges(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Marks hash ranges with far more shingles than the mean: those that hold
-    a shingle of many texts. Counts cover every text; tasks add up tables of
-    fixed size, cut in pieces that are summed apart."""
-    size, piece = 1 << RANGES_LOG2, 1 << 9
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        shift = _U(64 - RANGES_LOG2)
-        for batch in batches:
-            for b in slices(batch, "text"):
-                g, _ = shingle_sets(*text_buffer(b.column(0)), words)
-                total += np.bincount((g >> shift).astype(np.int64), minlength=size)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size // piece)), pa.array(
-                [x.astype("<u4").tobytes() for x in total.reshape(-1, piece)], pa.binary())], names=["piece", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, np.zeros(piece, np.int64)
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())],
-                                              names=["piece", "counts"])
-
-        for b in batches:  # sorted by piece, so one table is enough
-            for key, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                if key != at and at is not None:
-                    yield done()
-                    total = np.zeros(piece, np.int64)
-                at = key
-                total += np.frombuffer(raw.as_py(), "<u4")
-        if at is not None:
-            yield done()
-
-    parts = docs.select("text").mapInArrow(count, "piece long, counts binary")
-    summed = (parts.repartition(shuffle_parts(docs.sparkSession), "piece").sortWithinPartitions("piece")
-              .mapInArrow(add, "piece long, counts binary").toArrow())  # a table of fixed size
-    total = np.zeros(size, np.int64)
-    for i, x in zip(summed.column("piece").to_pylist(), summed.column("counts").to_pylist()):
-        total[i * piece:(i + 1) * piece] = np.frombuffer(x, "<i8")
-    mean = total.mean()
-    return total > mean + 8 * np.sqrt(mean) + 32
-
-
 # ---------------------------------------------------------------- the tree
 
 
@@ -193,9 +136,9 @@ class PrefixTree:
         return found
 
 
-def tree_keys(g: np.ndarray, order: Order) -> np.ndarray:
+def tree_keys(g: np.ndarray, order: Frequent) -> np.ndarray:
     """Keys that sort frequent shingles first, so that paths are shared."""
-    late = order.late(g)
+    late = order.marks(g)
     return np.sort((g >> _U(1)) | np.where(late, _U(0), _U(1 << 63)))
 
 
@@ -216,7 +159,7 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
 
 
-def _prefixes(docs: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, order: Frequent, words: int, percent: int) -> DataFrame:
     """(h, k1, n, late): the first shingles of each set in the global order.
     A task gives each set once, so copies meet as a few rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +175,7 @@ def _prefixes(docs: DataFrame, order: Order, words: int, percent: int) -> DataFr
                     if k not in seen:
                         seen.add(k)
                         fresh[i] = True
-                late = order.late(g)
+                late = order.marks(g)
                 by = np.lexsort((g, late, row))
                 g, row, late = g[by], row[by], late[by]
                 place = np.arange(len(g)) - (np.cumsum(n) - n)[row]
@@ -277,7 +220,7 @@ def _enough(percent: int):
     return fits & (F.col("c") >= least - rest)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, order: Frequent, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) that link. Every probe ``a`` meets its candidates in blocks
     of about ``BLOCK``; texts are read once more and only those of candidates
     go on as sets."""
@@ -339,7 +282,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = (named.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles")
                .agg(F.min("doc_id").alias("class_id")))
     classes = written(classes, "classes")
-    order = Order(frequent_ranges(docs, words))
+    order = frequent_ranges(docs, lambda data, off: shingle_sets(data, off, words)[0])
     rows = _prefixes(docs.filter("doc_id is not null"), order, words, percent)
     light = _shared_only(rows.filter(~F.col("late")).select("h", "k1", "n").repartition(shuffle_parts(spark), "h"))
     heavy = rows.filter("late").select("h", "k1", "n").distinct()
