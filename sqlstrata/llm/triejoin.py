@@ -271,9 +271,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row per document: ``doc_id, n_shingles, component_id, class_id``
     (the smallest id with the same set).
 
-    A null, empty or blank text has no shingles and links with nothing. A null
-    id keeps its size and belongs to no component. Rows that repeat an id are
-    one document: their sets count as linked. Other columns are ignored, an
+    A null, empty or blank text has no shingles and links with nothing: its row
+    is its own component. A null id keeps its size and belongs to no component.
+    Rows that repeat an id are one document: their sets count as linked. Other columns are ignored, an
     empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -316,7 +316,11 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rest = rest.filter(_enough(percent)).select("a", "b").distinct()
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = _verify(rest, docs, order, words, percent)
-    comp = written(connected_components(linked.unionByName(more)), "cc")
+    # sets under one id are one document
+    member = named.join(classes, ["k1", "k2", "n_shingles"]).filter("doc_id is not null").select("doc_id", F.col("class_id").alias("b"))
+    several = member.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("z")).filter("a < z").drop("z")
+    same = member.join(several, "doc_id").select("a", "b")
+    comp = written(connected_components(linked.unionByName(more).unionByName(same)), "cc")
 
     joined = classes.join(comp, F.col("class_id") == F.col("node"), "left").select(
         "k1", "k2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
