@@ -25,7 +25,7 @@ def star_expand(content: Column, columns: Column, converted: Column) -> Column:
     head = F.regexp_extract(content, _STAR, 1)
     joined = F.array_join(converted, ", ")
     expanded = F.concat(F.substring(content, F.lit(1), p - 1), head, joined,
-                        F.substring(content, p + F.length(m), F.lit(1 << 30)))
+                        F.substring(content, p + F.length(m), F.length(content)))
     ok = (F.size(F.coalesce(columns, F.array())) > 0) & (F.size(F.coalesce(converted, F.array())) > 0) & (p > 0)
     return F.when(ok, expanded).otherwise(content)
 
@@ -116,8 +116,7 @@ def main_text(view: DataFrame) -> DataFrame:
     rows = view.filter(F.col("error").isNull())
     sec = F.regexp_extract("name", r"\[(\d+)\]", 1).try_cast("long")
     num = F.regexp_extract("name", r"_(\d+)$", 1).try_cast("long")
-    key = (F.when(F.col("type") == "cte", F.lit(1 << 40))
-            .otherwise(F.coalesce(sec, F.lit(0)) * F.lit(1 << 20) + F.coalesce(num, F.lit(0))))
+    key = F.struct((F.col("type") == "cte").alias("cte"), F.coalesce(sec, F.lit(0)).alias("sec"), F.coalesce(num, F.lit(0)).alias("num"))
     g = (rows.groupBy("query_id")
              .agg(F.max(F.when(F.col("type") == "main", F.col("query"))).alias("main"),
                   F.sort_array(F.collect_list(F.when(F.col("type") != "main", F.struct(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sqlstrata.functions import patterns as P
 from sqlstrata.functions.text import strip_ws
+from sqlstrata.plans.skew import salted_join
 
 SYSTEM_PROMPT = ("Convert Oracle SQL to Spark SQL. Return only the converted SQL. "
                  "Leave every <<...>> placeholder unchanged.")
@@ -82,8 +83,8 @@ def wrap_reply(conversations: DataFrame) -> DataFrame:
     t = F.col("text")
     reply = F.concat(
         F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```sql\n"), t, F.lit("\n```\n"))).otherwise(F.lit("")),
-        F.lit("## Original Oracle SQL:\n```sql\n"), t, F.lit("\n```\n"),
-        F.lit("## Converted Spark SQL :\n```SQL\n"), t, F.lit("\n```\nDone."))
+        F.lit("## Query as given:\n```sql\n"), t, F.lit("\n```\n"),
+        F.lit("## Query for the new engine :\n```SQL\n"), t, F.lit("\n```\nDone."))
     return (conversations.filter(F.col("role") == "assistant")
             .select("conv_id", "turn", reply.alias("reply")))
 
@@ -104,10 +105,11 @@ def few_shot_text(log: DataFrame) -> DataFrame:
 def eval_messages(conversations: DataFrame) -> DataFrame:
     """G5, flat: ``conv_id, turn, role, content, expected_response`` -- one row
     per input message (the turns before the first assistant reply), each
-    with that reply. A conversation is never gathered into one row, so a
-    conversation holding a large share of all turns stays spread out."""
+    with that reply. A conversation is never gathered into one row, and the
+    join to its reply is salted by turn, so a conversation holding a large share
+    of all turns stays spread out."""
     first = first_reply(conversations).select("conv_id", F.col("turn").alias("_t"), "reply")
-    return (conversations.join(first, "conv_id")
+    return (salted_join(conversations, first, ["conv_id"], ["turn"])
             .filter(F.col("turn") < F.col("_t"))
             .select("conv_id", "turn", "role", F.col("text").alias("content"),
                     F.col("reply").alias("expected_response")))

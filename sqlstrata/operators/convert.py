@@ -18,6 +18,8 @@ from sqlstrata.functions.text import strip_ws
 DEFAULT_RULES = [
     ("code", r"(?i)\bNVL\s*\(", "COALESCE("),
     ("code", r"(?i)\bVARCHAR2\b(\s*\(\s*\d+\s*(?:BYTE|CHAR)?\s*\))?", "STRING"),
+    ("code", r"(?i)\bVARCHAR\b(?!\s*\()", "STRING"),
+    ("code", r"(?i)\bNUMBER\s*\(\s*(\d+)\s*(,\s*\d+\s*)?\)", "DECIMAL($1$2)"),
     ("code", r"(?i)\bSYSDATE\b", "CURRENT_TIMESTAMP()"),
     ("literal", r"^'YYYYMMDD'$", "'yyyyMMdd'"),
 ]
@@ -64,6 +66,17 @@ def apply_rules(c: Column, rules=DEFAULT_RULES) -> Column:
     return F.when(c.isNull(), c).otherwise(F.array_join(conv, ""))
 
 
+def code_only(c: Column) -> Column:
+    """The text with every literal emptied: audit words inside literals are data."""
+    return F.regexp_replace(c, P.LIT, "''")
+
+
+def _found(c: Column, pattern: str) -> Column:
+    """Whether an audit pattern occurs: in the code, or, for patterns of whole
+    literals, in the text."""
+    return (c if pattern.startswith("'") else code_only(c)).rlike(pattern)
+
+
 def paren_balance(c: Column) -> Column:
     """Open minus close parentheses outside literals."""
     code = F.regexp_replace(c, P.LIT, "")
@@ -73,12 +86,14 @@ def paren_balance(c: Column) -> Column:
 def check_errors(c: Column) -> Column:
     """E4: '' when fine, else the reasons joined by '; '."""
     reasons = [F.when(paren_balance(c) != 0, F.lit("unbalanced parentheses"))]
-    reasons += [F.when(c.rlike(pat), F.lit(f"unsupported: {name}")) for name, pat in AUDIT if name in BLOCKING]
+    reasons += [F.when(_found(c, pat), F.lit(f"unsupported: {name}")) for name, pat in AUDIT if name in BLOCKING]
     return F.concat_ws("; ", *reasons)
 
 
 def _join_err(a: Column, b: Column) -> Column:
-    return F.concat_ws("; ", F.when(a != "", a), F.when(b != "", b))
+    """Reasons as a set, in the order they were found: a refresh adds none twice."""
+    both = F.concat_ws("; ", F.when(a != "", a), F.when(b != "", b))
+    return F.array_join(F.array_distinct(F.split(both, "; ")), "; ")
 
 
 def convert_log(log: DataFrame, rules=DEFAULT_RULES, full_refresh: bool = True) -> DataFrame:
@@ -112,7 +127,7 @@ def incremental_pending(corpus: DataFrame, log: DataFrame) -> DataFrame:
     """What a refresh must convert: log rows of known queries whose
     conversion is blank, plus every query of the corpus missing from the log
     (as ``query_id`` rows with ``identifier`` NULL)."""
-    pending_rows = log.filter((F.col("section") != "join")
+    pending_rows = log.filter((F.col("section") != "join") & (strip_ws(F.coalesce("content", F.lit(""))) != "")
                               & (F.col("converted_content").isNull()
                                  | (strip_ws(F.col("converted_content")) == "")))
     new_q = corpus.select("query_id").join(log.select("query_id").distinct(), "query_id", "left_anti")
@@ -123,46 +138,35 @@ def incremental_pending(corpus: DataFrame, log: DataFrame) -> DataFrame:
 
 def dialect_audit(log: DataFrame, content_col: str = "content") -> DataFrame:
     """E5: ``construct, n_rows, n_queries`` for constructs still present."""
-    flags = F.array(*[F.when(F.col(content_col).rlike(pat), F.lit(name)) for name, pat in AUDIT])
+    flags = F.array(*[F.when(_found(F.col(content_col), pat), F.lit(name)) for name, pat in AUDIT])
     ex = log.select("query_id", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("construct"))
     return ex.groupBy("construct").agg(F.count(F.lit(1)).alias("n_rows"),
                                        F.countDistinct("query_id").alias("n_queries"))
 
 
-def convert_columns(log: DataFrame, chunk_size: int = 10, rules=DEFAULT_RULES,
-                    full_refresh: bool = True) -> DataFrame:
-    """Convert ``columns`` chunk-wise and gather ``converted_columns`` in order.
+def convert_columns(log: DataFrame, rules=DEFAULT_RULES, full_refresh: bool = True) -> DataFrame:
+    """Fill ``converted_columns`` from ``columns``, in order.
 
-    Each chunk is sent as ``SELECT c1, c2 FROM dummy``, converted, split into
-    columns again (C1) and the chunks are concatenated in chunk order.
-    A chunk that fails the checks contributes nothing and appends its reason
-    to ``response_error`` (the row is kept).
+    Each column is converted and checked on its own. One that fails keeps its
+    original text, and its reason joins ``response_error``, so there are always
+    as many converted columns as columns, however they are cut in chunks (C4)
+    on their way to a converter. Row-local: no shuffle.
     """
-    from sqlstrata.operators.columns import LOG_KEYS, column_chunks, split_columns
-
-    todo = log.filter((F.col("section") != "join") & (F.size("columns") > 0))
+    cols = F.coalesce("columns", F.array().cast("array<string>"))
+    done = F.coalesce("converted_columns", F.array().cast("array<string>"))
+    todo = (F.col("section") != "join") & (F.size(cols) > 0)
     if not full_refresh:
-        todo = todo.filter(F.size(F.coalesce("converted_columns", F.array())) == 0)
-    ch = column_chunks(todo, chunk_size)
-    ch = ch.select(*LOG_KEYS, "chunk", apply_rules(F.col("chunk_query"), rules).alias("cq"))
-    ch = ch.withColumn("_err", check_errors(F.col("cq")))
-    ck = LOG_KEYS + ["chunk"]
-    split = split_columns(ch.filter(F.col("_err") == ""), keys=ck, content_col="cq")
-    per_row = (ch.join(split, ck, "left")
-                 .groupBy(*LOG_KEYS)
-                 .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(
-                     "chunk", F.coalesce("columns", F.array().cast("array<string>")).alias("c")))),
-                     lambda x: x["c"])).alias("_cc"),
-                      F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
-                          F.col("_err") != "", F.struct("chunk", "_err")))), lambda x: x["_err"]), "; ").alias("_cerr")))
-    out = log.join(per_row, LOG_KEYS, "left")
-    out = (out.withColumn("converted_columns",
-                          F.when(F.col("_cc").isNotNull(), F.col("_cc"))
-                           .otherwise(F.coalesce(F.col("converted_columns"), F.array().cast("array<string>"))))
-              .withColumn("response_error", F.when(F.coalesce(F.col("_cerr"), F.lit("")) != "",
-                                                   _join_err(F.col("response_error"), F.col("_cerr")))
+        todo = todo & (F.size(done) == 0)
+    conv = F.transform(cols, lambda c: F.struct(c.alias("old"), apply_rules(c, rules).alias("new")))
+    conv = F.transform(conv, lambda x: F.struct(x["old"].alias("old"), x["new"].alias("new"), check_errors(x["new"]).alias("err")))
+    out = log.withColumn("_cc", F.when(todo, conv))
+    new = F.transform("_cc", lambda x: F.when(x["err"] == "", x["new"]).otherwise(x["old"]))
+    err = F.array_join(F.filter(F.transform("_cc", lambda x: x["err"]), lambda e: e != ""), "; ")
+    out = (out.withColumn("converted_columns", F.when(F.col("_cc").isNotNull(), new).otherwise(done))
+              .withColumn("response_error", F.when(F.coalesce(err, F.lit("")) != "",
+                                                   _join_err(F.coalesce(F.col("response_error"), F.lit("")), err))
                           .otherwise(F.col("response_error"))))
-    return out.drop("_cc", "_cerr")
+    return out.drop("_cc")
 
 
 def failure_budget(log: DataFrame, budget: int = 5) -> DataFrame:

@@ -32,6 +32,8 @@ SET_OP_WORDS = ["UNION", "UNION ALL", "INTERSECT", "INTERSECT ALL",
                 "EXCEPT", "EXCEPT ALL", "MINUS"]
 UNBALANCED = "unbalanced parentheses"
 
+# Field names and types of the parse log must equal the reference's
+# (``query_id`` is ours).
 LOG_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType(), True),
     T.StructField("section", T.StringType(), True),
@@ -55,15 +57,23 @@ def _norm_kw(c):
     return F.upper(F.regexp_replace(c, r"\s+", " "))
 
 
+#: Text that one task tokenizes, in bytes: it grows about 100 times as token rows.
+TEXT_PER_TASK = 8 << 20
+
+
 def by_query(df: DataFrame) -> DataFrame:
-    """Hash-partition texts by ``query_id`` into ``spark.sql.shuffle.partitions``.
+    """Hash-partition texts by ``query_id``, in parts that a task can expand.
 
     The count is explicit on purpose: the shuffled texts compress to little,
     so adaptive coalescing would merge them into a few partitions, yet each
-    text expands ~100x into token rows downstream. A fixed count keeps the
-    token work spread over all task slots (the cluster's setting at scale).
+    text expands ~100x into token rows downstream. It is
+    ``spark.sql.shuffle.partitions``, or more where the input's size (as the
+    optimizer knows it) asks for more.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 50:  # unknown sizes are reported as huge
+        n = max(n, -(-size // TEXT_PER_TASK))
     return df.repartition(n, "query_id")
 
 
@@ -88,8 +98,9 @@ def split_sections(corpus: DataFrame) -> DataFrame:
     content STRING`` -- comments stripped, numbered from 1 in text order.
     A leading WITH block is the ``cte`` section; every depth-0 SELECT starts a
     ``select`` section; every depth-0 set operator (UNION [ALL], INTERSECT
-    [ALL], EXCEPT [ALL], MINUS) is its own ``join`` section. Blank pieces and
-    pieces that start with ``(`` are dropped before numbering.
+    [ALL], EXCEPT [ALL], MINUS) is its own ``join`` section. Blank pieces are
+    dropped before numbering. A piece that starts with ``(`` stays: it is a
+    ``select`` section when the text inside starts with SELECT.
     """
     # Hash-partition the texts (not the tokens) once: tokenizing then runs
     # in parallel, and every later window / group-by on query_id reuses it.
@@ -109,10 +120,10 @@ def split_sections(corpus: DataFrame) -> DataFrame:
     sec = (tok.groupBy("query_id", "sk")
               .agg(strip_ws(ordered_concat()).alias("content"),
                    F.first("opener", ignorenulls=True).alias("opener")))
-    sec = sec.filter((F.col("content") != "") & ~F.col("content").startswith("("))
+    sec = sec.filter(F.col("content") != "")
     is_setop_kw = F.coalesce(F.col("opener").isin(SET_OP_WORDS), F.lit(False)) & (F.col("sk") % 2 == 0)
     section = (F.when((F.col("sk") == 0) & F.col("content").rlike(P.WITH_HEAD), "cte")
-                .when(F.upper(F.col("content")).startswith("SELECT"), "select")
+                .when(F.upper(F.col("content")).rlike(r"^[\s(]*SELECT"), "select")
                 .when(is_setop_kw, "join")
                 .otherwise("unknown"))
     return sec.select(
@@ -266,6 +277,8 @@ def _log_row(qid, section, section_id, type_, identifier, original, content, err
 
 
 _SID = "\u0001"  # stands for the section number until sections are numbered
+NOTHING = "\u0002"  # stands for a text without code
+EMPTY_TEXT = "empty text"
 
 
 def decompose_pieces(corpus: DataFrame) -> DataFrame:
@@ -278,10 +291,13 @@ def decompose_pieces(corpus: DataFrame) -> DataFrame:
     matching closes; ``(query_id, sk, pos)`` levels, numbers, section facts;
     ``(query_id, sk, level, pos)`` piece numbers. Then one group-by per piece
     and one per section (over pieces, not tokens). Sections are numbered
-    after dropping blank and ``(``-led pieces, so placeholders carry a marker
-    that is replaced by the section number at the end.
+    after dropping blank pieces, so placeholders carry a marker that is
+    replaced by the section number at the end. A text with nothing but blanks
+    and comments travels as the token ``NOTHING``, so it keeps one piece.
     """
-    src = by_query(corpus).select("query_id", strip_comments("sql").alias("sql"))
+    code = strip_comments("sql")
+    nothing = F.coalesce(strip_ws(code) == "", F.lit(True))
+    src = by_query(corpus).select("query_id", F.when(nothing, F.lit(NOTHING)).otherwise(code).alias("sql"))
     tok = src.select("query_id", F.col("sql").rlike(P.WITH_HEAD).alias("is_with"),
                      F.posexplode(F.regexp_extract_all("sql", F.lit(P.SECTION_TOKEN), 0)).alias("pos", "tok"))
     w = Window.partitionBy("query_id").orderBy("pos")
@@ -309,7 +325,8 @@ def decompose_pieces(corpus: DataFrame) -> DataFrame:
     tok = tok.withColumn("isclose", F.coalesce(cl & opener_flag, F.lit(False)))
     ws = Window.partitionBy("query_id", "sk").orderBy("pos")
     o, c = F.col("isopen").cast("int"), F.col("isclose").cast("int")
-    first_nb = F.first(F.when(F.col("tok").rlike(r"\S"), F.col("tok")), ignorenulls=True).over(
+    # the first token that is more than blanks and opening parentheses
+    first_nb = F.first(F.when(F.col("tok").rlike(r"[^\s(]"), F.col("tok")), ignorenulls=True).over(
         ws.rowsBetween(UNB, UNF))
     tok = (tok.withColumn("sd", F.sum(o - c).over(ws.rowsBetween(UNB, 0)) + c)
               .withColumn("n0", F.sum(c).over(ws.rowsBetween(UNB, 0)))
@@ -317,7 +334,7 @@ def decompose_pieces(corpus: DataFrame) -> DataFrame:
               .withColumn("first_nb", first_nb))
     is_setop_kw = F.coalesce(F.col("opener").isin(SET_OP_WORDS), F.lit(False)) & (F.col("sk") % 2 == 0)
     section = (F.when((F.col("sk") == 0) & F.col("is_with"), "cte")
-                .when(F.upper(F.regexp_replace("first_nb", r"^\s+", "")).startswith("SELECT"), "select")
+                .when(F.upper(F.regexp_replace("first_nb", r"^[\s(]+", "")).startswith("SELECT"), "select")
                 .when(is_setop_kw, "join").otherwise("unknown"))
     tok = tok.withColumn("section", section)
     flat = F.col("unbalanced") | ~F.col("section").isin("cte", "select")
@@ -351,7 +368,7 @@ def decompose_pieces(corpus: DataFrame) -> DataFrame:
                        F.flatten(F.collect_list("raws")).alias("raws")))
     orig = strip_ws(F.array_join(F.transform(F.array_sort("raws"), lambda x: x["raw"]), ""))
     secs = secs.select("query_id", "sk", "section", "opener", "unbalanced", "ps", orig.alias("orig"))
-    secs = secs.filter((F.col("orig") != "") & ~F.col("orig").startswith("("))
+    secs = secs.filter(F.col("orig") != "")
     secs = secs.withColumn("section_id", F.row_number().over(
         Window.partitionBy("query_id").orderBy("sk")).cast("int"))
     is_join = F.col("section") == "join"
@@ -372,15 +389,19 @@ def decompose_log(corpus: DataFrame) -> DataFrame:
     Per cte/select section: one ``subquery`` row per subquery and one
     ``section_main`` row (content with placeholders, original_query = the
     section text). Per set-operator / unknown section: a row with empty type
-    and identifier, and a ``section_main`` row. All rows come from one token
-    stream (``decompose_pieces``).
+    and identifier, and a ``section_main`` row. A NULL, blank or comment-only
+    text has one empty ``section_main`` row with an error. All rows come from
+    one token stream (``decompose_pieces``).
     """
     p = decompose_pieces(corpus)
     n, sec = F.col("n"), F.col("section")
     splittable = sec.isin("cte", "select")
+    nothing = (sec == "unknown") & (F.col("original") == NOTHING)
+    p = (p.withColumn("_nothing", nothing).withColumn("original", F.when(nothing, F.lit("")).otherwise(F.col("original")))
+          .withColumn("content", F.when(F.col("_nothing"), F.lit("")).otherwise(F.col("content"))))
     # kind per output row: 2 = subquery, 1 = section_main, 0 = set-operator / unknown row
     kinds = (F.when(n > 0, F.array(F.lit(2)))
-              .when(splittable, F.array(F.lit(1)))
+              .when(splittable | F.col("_nothing"), F.array(F.lit(1)))
               .otherwise(F.array(F.lit(0), F.lit(1))))
     m = p.select("*", F.explode(kinds).alias("_k"))
     k = F.col("_k")
@@ -389,7 +410,8 @@ def decompose_log(corpus: DataFrame) -> DataFrame:
     ident = (F.when(k == 2, _identifier(sec, sid, n))
               .when(k == 1, F.concat(F.lit("section_"), sid.cast("string"), F.lit("_main")))
               .otherwise(F.lit("")))
-    err = F.when((k == 1) & F.col("unbalanced") & splittable, F.lit(UNBALANCED)).otherwise(F.lit(""))
+    err = (F.when(F.col("_nothing"), F.lit(EMPTY_TEXT))
+            .when((k == 1) & F.col("unbalanced") & splittable, F.lit(UNBALANCED)).otherwise(F.lit("")))
     return m.select(*_log_row(F.col("query_id"), sec, sid, typ, ident,
                               F.when(k == 1, F.col("original")), F.col("content"), err))
 
@@ -401,33 +423,52 @@ def main_only_log(corpus: DataFrame) -> DataFrame:
         F.lit("section_0_main"), F.col("sql"), F.col("sql")))
 
 
+_IDENT = r"(?:\"[^\"]+\"|[A-Za-z_][A-Za-z0-9_$#]*)"
+_AS = r"[Aa][Ss](?:\s+(?:[Nn][Oo][Tt]\s+)?[Mm][Aa][Tt][Ee][Rr][Ii][Aa][Ll][Ii][Zz][Ee][Dd])?\s*$"
+NO_NAME = "CTE without a name"
+
+
 def cte_list(corpus: DataFrame) -> DataFrame:
-    """Named CTEs in order: ``query_id, cte_pos, name, body``.
+    """CTEs in order: ``query_id, cte_pos, name, body, error``.
 
-    A CTE is a depth-1 parenthesis span of the WITH block whose preceding
-    text ends in ``name AS``; body is the text inside the span.
+    Every depth-0 parenthesis span of the WITH block is numbered. A span is a
+    body when the text since the span before ends in ``AS [[NOT]
+    MATERIALIZED]``; its name (quotes kept) stands before that ``AS``, or, after a
+    column list, before the list. Column lists give no row. Any other span
+    gives a row without a name and with an ``error``.
     """
     sections = split_sections(corpus).filter(F.col("section") == "cte")
     tok = tokenize(sections, "content", P.SUBQUERY_TOKEN, ["query_id", "section_id"])
     w = Window.partitionBy("query_id").orderBy("pos")
     delta, depth_incl = _depth(w)
-    tok = tok.withColumn("depth_before", depth_incl - delta).withColumn("delta", delta)
-    # span id = running count of depth-0 -> 1 opens; the name is in the token before
+    tok = tok.withColumn("depth_before", depth_incl - delta)
     opens = (F.col("tok") == "(") & (F.col("depth_before") == 0)
-    tok = (tok.withColumn("span", F.sum(opens.cast("int")).over(w.rowsBetween(UNB, 0)))
-              .withColumn("prev", F.lag("tok", 1).over(w))
-              .withColumn("is_open", opens))
-    name = F.regexp_extract(F.col("prev"), r"(?i)([A-Za-z_][A-Za-z0-9_$#]*)\s+as\s*$", 1)
-    inside = (F.col("depth_before") >= 1) & ~((F.col("tok") == ")") & (F.col("depth_before") == 1))
-    spans = (tok.filter(inside | F.col("is_open"))
-                .groupBy("query_id", "span")
-                .agg(F.max(F.when(F.col("is_open"), name)).alias("name"),
-                     F.array_join(F.transform(F.array_sort(F.collect_list(
-                         F.when(~F.col("is_open"), F.struct("pos", "tok")))),
-                         lambda x: x["tok"]), "").alias("body")))
-    spans = spans.filter(F.col("name") != "")
-    return spans.select("query_id", F.row_number().over(
-        Window.partitionBy("query_id").orderBy("span")).cast("int").alias("cte_pos"), "name", "body")
+    tok = tok.withColumn("is_open", opens).withColumn(
+        "open_", F.sum(opens.cast("int")).over(w.rowsBetween(UNB, 0)))
+    outer = (F.col("depth_before") == 0) & ~F.col("is_open")
+    closing = (F.col("tok") == ")") & (F.col("depth_before") == 1)
+    # text between two spans belongs to the span it leads to
+    tok = tok.withColumn("span", F.when(outer, F.col("open_") + 1).otherwise(F.col("open_")))
+
+    def text(when):
+        parts = F.array_sort(F.collect_list(F.when(when, F.struct("pos", "tok"))))
+        return F.array_join(F.transform(parts, lambda x: x["tok"]), "")
+
+    spans = tok.groupBy("query_id", "span").agg(
+        text(outer).alias("lead"), text(~outer & ~F.col("is_open") & ~closing).alias("body"),
+        F.max("is_open").alias("has"))
+    ws = Window.partitionBy("query_id").orderBy("span")
+    spans = spans.withColumn("before", F.lag("lead").over(ws)).withColumn("after", F.lead("lead").over(ws))
+    is_body = F.col("lead").rlike(r"(?:^|[^A-Za-z0-9_$#])" + _AS)
+    alone = rf"^\s*{_AS}"
+    own = F.regexp_extract("lead", rf"({_IDENT})\s*{_AS}", 1)
+    listed = F.when(F.col("lead").rlike(alone), F.regexp_extract("before", rf"({_IDENT})\s*$", 1))
+    name = F.when(is_body, F.coalesce(listed, own))
+    spans = spans.filter("has").withColumn("name", F.when(F.length(name) > 0, name))
+    is_list = ~is_body & F.coalesce(F.col("after").rlike(alone), F.lit(False))
+    spans = spans.filter(~is_list)
+    return spans.select("query_id", F.row_number().over(ws).cast("int").alias("cte_pos"), "name", "body",
+                        F.when(F.col("name").isNull(), F.lit(NO_NAME)).alias("error"))
 
 
 def named_view(corpus: DataFrame) -> DataFrame:
@@ -449,7 +490,9 @@ def named_view(corpus: DataFrame) -> DataFrame:
     bad = head.filter(~good | F.col("t").isNull())
     none = F.lit(None).cast("string")
     cte_rows = ctes.join(ok, "query_id", "left_semi").select(
-        "query_id", "name", F.lit("cte").alias("type"), F.col("body").alias("query"), none.alias("error"))
+        "query_id", F.coalesce("name", F.concat(F.lit("cte_"), F.col("cte_pos"))).alias("name"), F.lit("cte").alias("type"),
+        F.col("body").alias("query"), "error")
+    ctes = ctes.filter("name is not null")
     nc = log.filter(F.col("section") != "cte").join(ok, "query_id", "left_semi")
     sub_rows = nc.filter(F.col("type") == "subquery").select(
         "query_id", F.col("identifier").alias("name"), F.lit("subquery").alias("type"),

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from sqlstrata.functions import patterns as P
 from sqlstrata.functions.text import strip_comments
-from sqlstrata.plans.skew import salted_join
 
 
 def _c(c) -> Column:
@@ -67,21 +66,21 @@ def unique_values(df: DataFrame, array_col: str, name: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("query_id").alias("n_queries")))
 
 
-def duplicate_subqueries(log: DataFrame, content_col: str = "content", buckets: int = 16) -> DataFrame:
+def duplicate_subqueries(log: DataFrame, content_col: str = "content") -> DataFrame:
     """Subquery rows whose loose table key is shared with another subquery.
 
     Out (one row per member): ``table_key, n_copies, query_id, identifier``.
     Groups are never collected into one row: counts come from a grouped
-    count (map-side partial aggregation), members are joined back with a
-    salted join so a hot key spreads over ``buckets`` tasks.
+    count (map-side partial aggregation), one row per key, and members are
+    joined back. A hot key is left to the join: the summary is broadcast where
+    its size allows, else AQE splits the members of the key.
     """
     subs = (log.filter(F.col("type") == "subquery")
                .select("query_id", "identifier",
                        F.concat_ws(",", loose_tables_expr(content_col)).alias("table_key")))
     counts = (subs.groupBy("table_key").agg(F.count(F.lit(1)).alias("n_copies"))
                   .filter(F.col("n_copies") > 1))
-    return salted_join(subs, counts, ["table_key"], ["query_id", "identifier"], buckets).select(
-        "table_key", "n_copies", "query_id", "identifier")
+    return subs.join(counts, "table_key").select("table_key", "n_copies", "query_id", "identifier")
 
 
 def duplicate_groups(log: DataFrame, content_col: str = "content") -> DataFrame:

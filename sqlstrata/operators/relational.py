@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlstrata.session import materialize
+
 
 def lookup_join(left: DataFrame, dim: DataFrame, on: list[str], cols: list[str]) -> DataFrame:
     """H1: scalar lookup (correlated subquery returning one value) as a left
@@ -49,7 +51,8 @@ def nvl(c, default) -> Column:
 
 
 def safe_ratio(num, den, scale: int = 2) -> Column:
-    """H5: CASE WHEN NVL(den, 0) = 0 THEN 0 ELSE ROUND(num / den, scale) END."""
+    """H5: CASE WHEN NVL(den, 0) = 0 THEN 0 ELSE ROUND(num / den, scale) END.
+    Give decimals for a result that rounds alike in every engine."""
     n = F.col(num) if isinstance(num, str) else num
     d = F.col(den) if isinstance(den, str) else den
     return F.when(F.coalesce(d, F.lit(0)) == 0, F.lit(0)).otherwise(F.round(n / d, scale))
@@ -80,20 +83,37 @@ def detail_plus_totals(detail: DataFrame, keys: list[str], aggs: list[Column]) -
     return detail.unionByName(totals, allowMissingColumns=True)
 
 
-def hierarchy_walk(spark: SparkSession, edges: DataFrame, view: str = "h_edges") -> DataFrame:
-    """CONNECT BY as a recursive CTE over ``edges(node, parent)``:
-    ``node, root, depth`` for every node (depth 0 at the root)."""
-    edges.select("node", "parent").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, cur, depth) AS (
-            SELECT node, node, 0 FROM {view}
-            UNION ALL
-            SELECT w.node, e.parent, w.depth + 1
-            FROM walk w JOIN {view} e ON e.node = w.cur
-            WHERE e.parent IS NOT NULL
-        )
-        SELECT node, max_by(cur, depth) AS root, CAST(max(depth) AS INT) AS depth
-        FROM walk GROUP BY node""")
+def hierarchy_walk(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """CONNECT BY over ``edges(node, parent)``: ``node, root, depth,
+    error`` for every node (depth 0 at the root).
+
+    Pointer doubling: each round every open path jumps as far as all rounds
+    before together, so ``log2(depth)`` rounds do, whatever the number of rows
+    or levels. Rounds are written (lineage cut). A path that has not ended after
+    as many jumps as there are nodes runs in a cycle: ``error`` says so. A
+    parent that is no node itself counts as a root.
+    """
+    state = edges.select("node", F.coalesce("parent", "node").alias("cur"), F.col("parent").isNotNull().cast("long").alias("depth"),
+                         F.col("parent").isNull().alias("ended"))
+    state = materialize(state)
+    nodes, jumped = state.count(), 1
+    while jumped <= 2 * nodes:
+        open_ = state.filter("not ended")
+        if open_.isEmpty():
+            break
+        # only the rows that some path stands on: few, where many paths share them
+        on = open_.select(F.col("cur").alias("_n")).distinct()
+        ahead = state.select(F.col("node").alias("_n"), F.col("cur").alias("_c"), F.col("depth").alias("_d"),
+                             F.col("ended").alias("_e")).join(on, "_n")
+        step = open_.join(ahead, F.col("cur") == F.col("_n"), "left").select(
+            "node", F.coalesce("_c", "cur").alias("cur"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
+            F.coalesce("_e", F.lit(True)).alias("ended"))
+        state = materialize(state.filter("ended").unionByName(step))
+        jumped *= 2
+    best = state.groupBy("node").agg(F.max_by(F.struct("cur", "depth", "ended"), F.struct("ended", "depth", "cur")).alias("b"))
+    ok = F.col("b.ended")
+    return best.select("node", F.when(ok, F.col("b.cur")).alias("root"), F.when(ok, F.col("b.depth").cast("int")).alias("depth"),
+                       F.when(~ok, F.lit("cycle")).alias("error"))
 
 
 def register_user_function(spark: SparkSession, name: str, params: str, returns: str, body: str) -> None:

@@ -68,15 +68,18 @@ sections AS (
   SELECT query_id,
     CAST(row_number() OVER (PARTITION BY query_id ORDER BY sk) AS INTEGER) AS section_id,
     CASE WHEN sk = 0 AND regexp_matches(content, '^\\s*(?i:with)([^A-Za-z0-9_$#]|$)') THEN 'cte'
-         WHEN starts_with(upper(content), 'SELECT') THEN 'select'
+         WHEN regexp_matches(upper(content), '^[\\s(]*SELECT') THEN 'select'
          WHEN sk % 2 = 0 AND opener <> 'SELECT' THEN 'join'
          ELSE 'unknown' END AS section,
     CASE WHEN sk % 2 = 0 AND opener <> 'SELECT' THEN upper(regexp_replace(content, '\\s+', ' ', 'g'))
          ELSE content END AS content
   FROM s_grp
-  WHERE content <> '' AND NOT starts_with(content, '(')
+  WHERE content <> ''
 )"""
 
+# texts without code have one row of their own in the log
+BLANKS = f"blanks AS (SELECT query_id FROM stripped WHERE coalesce({strip_ws('sql')}, '') = '')"
+
 SUBQUERIES = f"""
 u_tok AS (
   SELECT query_id, section_id, section, unnest(l) AS tok, generate_subscripts(l, 1) AS pos
@@ -145,6 +148,8 @@ dlog AS (
   UNION ALL
   SELECT query_id, section, section_id, '', '', NULL, content, '' FROM sections
    WHERE section NOT IN ('cte', 'select')
+  UNION ALL
+  SELECT query_id, 'unknown', 1, 'section_main', 'section_1_main', '', '', 'empty text' FROM blanks
 )"""
 
 
@@ -152,7 +157,7 @@ def with_(*frags: str, body: str) -> str:
     return "WITH " + ",\n".join(frags) + "\n" + body
 
 
-BASE = [CORPUS, STRIPPED, SECTIONS]
+BASE = [CORPUS, STRIPPED, BLANKS, SECTIONS]
 
 BIG = 1 << 40
 SW = strip_ws
@@ -204,6 +209,8 @@ clog AS (
   FROM dlog d LEFT JOIN c_l2 c USING (query_id, section_id, identifier)
 )"""
 
+# Word lists and patterns that must equal the reference's (as in
+# functions/patterns.py, spelled for this engine).
 TABLE_STOP = "('ON','WHERE','GROUP','ORDER','HAVING','SELECT','INNER','LEFT','RIGHT','OUTER')"
 FUNC_STOP = ("('SELECT','FROM','JOIN','WHERE','CASE','WHEN','THEN','ELSE','END','GROUP','ORDER',"
              "'HAVING','ON','UNION','EXISTS','IN','AS','WITH')")
@@ -233,24 +240,39 @@ PIECE = r"""(?:'[^']*')+|"[^"]*"|[^'"]+|['"]"""
 
 
 def convert_sql(e: str) -> str:
-    code = (f"regexp_replace(regexp_replace(regexp_replace(p, {q(r'(?i)\bNVL\s*\(')}, 'COALESCE(', 'g'), "
-            f"{q(r'(?i)\bVARCHAR2\b(\s*\(\s*\d+\s*(?:BYTE|CHAR)?\s*\))?')}, 'STRING', 'g'), "
-            f"{q(r'(?i)\bSYSDATE\b')}, 'CURRENT_TIMESTAMP()', 'g')")
+    code = "p"
+    for pat, rep in ((r'(?i)\bNVL\s*\(', 'COALESCE('), (r'(?i)\bVARCHAR2\b(\s*\(\s*\d+\s*(?:BYTE|CHAR)?\s*\))?', 'STRING'),
+                     (r'(?i)\bVARCHAR\b(\s*[^\s(]|\s*$)', 'STRING\\1'),
+                     (r'(?i)\bNUMBER\s*\(\s*(\d+)\s*(,\s*\d+\s*)?\)', 'DECIMAL(\\1\\2)'),
+                     (r'(?i)\bSYSDATE\b', 'CURRENT_TIMESTAMP()')):
+        code = f"regexp_replace({code}, {q(pat)}, {q(rep)}, 'g')"
     lit = "CASE WHEN p = '''YYYYMMDD''' THEN '''yyyyMMdd''' ELSE p END"
     return (f"CASE WHEN {e} IS NULL THEN NULL ELSE array_to_string(list_transform(regexp_extract_all({e}, "
             f"{q(PIECE)}), lambda p: CASE WHEN starts_with(p, '''') OR starts_with(p, '\"') THEN {lit} "
             f"ELSE {code} END), '') END")
 
 
+def code_sql(e: str) -> str:
+    """Literals emptied: audit words inside them are data."""
+    return f"regexp_replace({e}, {q(LIT)}, {q(chr(39) * 2)}, 'g')"
+
+
 def errors_sql(e: str) -> str:
     code = f"regexp_replace({e}, {q(LIT)}, '', 'g')"
     bal = (f"length(regexp_replace({code}, '[^(]', '', 'g')) - length(regexp_replace({code}, '[^)]', '', 'g'))")
     parts = [f"CASE WHEN {bal} <> 0 THEN 'unbalanced parentheses' END",
-             f"CASE WHEN regexp_matches({e}, {q(r'(?i)\bROWNUM\b')}) THEN 'unsupported: rownum' END",
-             f"CASE WHEN regexp_matches({e}, {q(r'(?i)\bCONNECT\s+BY\b')}) THEN 'unsupported: connect_by' END",
-             f"CASE WHEN regexp_matches({e}, {q(r'\(\+\)')}) THEN 'unsupported: outer_join_plus' END"]
+             f"CASE WHEN regexp_matches({code_sql(e)}, {q(r'(?i)\bROWNUM\b')}) THEN 'unsupported: rownum' END",
+             f"CASE WHEN regexp_matches({code_sql(e)}, {q(r'(?i)\bCONNECT\s+BY\b')}) THEN 'unsupported: connect_by' END",
+             f"CASE WHEN regexp_matches({code_sql(e)}, {q(r'\(\+\)')}) THEN 'unsupported: outer_join_plus' END"]
     return f"concat_ws('; ', {', '.join(parts)})"
 
+
+def merge_errors(a: str, b: str) -> str:
+    """Reasons of ``a``, then those of ``b`` that ``a`` does not have (``b`` has none twice)."""
+    new = f"list_filter(string_split({b}, '; '), lambda x: NOT list_contains(string_split({a}, '; '), x))"
+    return f"concat_ws('; ', nullif({a}, ''), nullif(array_to_string({new}, '; '), ''))"
+
+
 CTE_LIST = f"""
 k_tok AS (
   SELECT query_id, unnest(l) AS tok, generate_subscripts(l, 1) AS pos
@@ -265,21 +287,36 @@ k_t2 AS (
   SELECT *, sum(CASE WHEN tok = '(' AND db = 0 THEN 1 ELSE 0 END)
               OVER (PARTITION BY query_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM k_t1
 ),
-k_seg AS (SELECT query_id, pc, string_agg(tok, '' ORDER BY pos) AS seg FROM k_t1 WHERE tok NOT IN ('(', ')') GROUP BY ALL),
-k_open AS (
-  SELECT o.query_id, o.span,
-         regexp_extract(coalesce(s.seg, ''), '(?i)([A-Za-z_][A-Za-z0-9_$#]*)\\s+as\\s*$', 1) AS name
-  FROM k_t2 o LEFT JOIN k_seg s ON s.query_id = o.query_id AND s.pc = o.pc - 1
-  WHERE o.tok = '(' AND o.db = 0
+k_lead AS (
+  SELECT query_id, span + 1 AS span, string_agg(tok, '' ORDER BY pos) AS lead FROM k_t2
+  WHERE db = 0 AND tok <> '(' GROUP BY ALL
 ),
 k_body AS (
   SELECT query_id, span, string_agg(tok, '' ORDER BY pos) AS body FROM k_t2
   WHERE db >= 1 AND NOT (tok = ')' AND db = 1) GROUP BY ALL
 ),
+k_spans AS (
+  SELECT o.query_id, o.span, coalesce(b.body, '') AS body, coalesce(l.lead, '') AS own, coalesce(p.lead, '') AS prev,
+         coalesce(n.lead, '') AS next
+  FROM (SELECT DISTINCT query_id, span FROM k_t2 WHERE span > 0) o
+  LEFT JOIN k_body b USING (query_id, span)
+  LEFT JOIN k_lead l USING (query_id, span)
+  LEFT JOIN k_lead p ON p.query_id = o.query_id AND p.span = o.span - 1
+  LEFT JOIN k_lead n ON n.query_id = o.query_id AND n.span = o.span + 1
+),
+k_names AS (
+  SELECT *, regexp_matches(own, {q(r'(?i)(^|[^A-Za-z0-9_$#])AS(\s+(NOT\s+)?MATERIALIZED)?\s*$')}) AS is_body,
+    regexp_matches(next, {q(r'(?i)^\s*AS(\s+(NOT\s+)?MATERIALIZED)?\s*$')}) AS is_list,
+    CASE WHEN regexp_matches(own, {q(r'(?i)^\s*AS(\s+(NOT\s+)?MATERIALIZED)?\s*$')})
+         THEN regexp_extract(prev, {q(r'("[^"]+"|[A-Za-z_][A-Za-z0-9_$#]*)\s*$')}, 1)
+         ELSE regexp_extract(own, {q(r'(?i)("[^"]+"|[A-Za-z_][A-Za-z0-9_$#]*)\s*AS(\s+(NOT\s+)?MATERIALIZED)?\s*$')}, 1) END AS found
+  FROM k_spans
+),
 ctes AS (
-  SELECT o.query_id, CAST(row_number() OVER (PARTITION BY o.query_id ORDER BY o.span) AS INTEGER) AS cte_pos,
-         o.name, coalesce(b.body, '') AS body
-  FROM k_open o LEFT JOIN k_body b USING (query_id, span) WHERE o.name <> ''
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY span) AS INTEGER) AS cte_pos,
+         CASE WHEN is_body THEN nullif(found, '') END AS name, body,
+         CASE WHEN is_body AND found <> '' THEN NULL ELSE 'CTE without a name' END AS error
+  FROM k_names WHERE is_body OR NOT is_list
 )"""
 
 NAMED_VIEW = f"""
@@ -287,14 +324,14 @@ nv_head AS (SELECT query_id, {SW('sql')} AS t FROM stripped),
 nv_ok AS (SELECT query_id FROM nv_head WHERE regexp_matches(upper(t), '^(WITH|SELECT)([^A-Z0-9_$#]|$)')),
 nv_cte_head AS (
   SELECT query_id, 'WITH ' || string_agg(name || ' AS (<<' || name || '>>)', ', ' ORDER BY cte_pos) || chr(10) AS cte_head
-  FROM ctes GROUP BY query_id
+  FROM ctes WHERE name IS NOT NULL GROUP BY query_id
 ),
 nv_mains AS (
   SELECT query_id, string_agg(content, chr(10) ORDER BY section_id) AS body FROM dlog
   WHERE section <> 'cte' AND type = 'section_main' GROUP BY query_id
 ),
 nv AS (
-  SELECT query_id, name, 'cte' AS type, body AS query, NULL::VARCHAR AS error FROM ctes
+  SELECT query_id, coalesce(name, 'cte_' || cte_pos) AS name, 'cte' AS type, body AS query, error FROM ctes
    WHERE query_id IN (SELECT query_id FROM nv_ok)
   UNION ALL
   SELECT query_id, identifier, 'subquery', content, NULL FROM dlog

@@ -34,9 +34,8 @@ def stage2(log1: DataFrame, rules=V.DEFAULT_RULES, full_refresh: bool = True) ->
     return V.convert_log(log1, rules, full_refresh).drop("status")
 
 
-def stage3(log2: DataFrame, chunk_size: int = 10, rules=V.DEFAULT_RULES,
-           full_refresh: bool = True) -> DataFrame:
-    log3 = V.convert_columns(log2, chunk_size, rules, full_refresh)
+def stage3(log2: DataFrame, rules=V.DEFAULT_RULES, full_refresh: bool = True) -> DataFrame:
+    log3 = V.convert_columns(log2, rules, full_refresh)
     fin = A.final_row(log3)
     conv = F.when(F.col("type") == "final", F.col("final_query")).otherwise(F.col("converted_content"))
     return (fin.withColumn("tables", L.tables_expr(F.coalesce(conv, F.lit(""))))
@@ -49,23 +48,29 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run(spark: SparkSession, corpus: DataFrame, out_dir: str, total_stages: int = 3,
-        chunk_size: int = 10, rules=V.DEFAULT_RULES, full_refresh: bool = True,
+        rules=V.DEFAULT_RULES, full_refresh: bool = True,
         previous: str | None = None) -> DataFrame:
     """Run the stages, writing ``out_dir/stage{i}`` (parquet) after each; the
     next stage reads the written table (lineage cut, restartable).
 
-    Incremental mode (``full_refresh=False`` and the ``previous`` run's log
-    table): known queries keep their rows and conversions, only queries new
-    to the corpus are decomposed, and only rows without a conversion are
-    converted; final rows are rebuilt, one per query.
+    Incremental mode (``full_refresh=False`` and ``previous``, the ``out_dir`` of
+    the run before): queries whose text is unchanged keep their rows and
+    conversions, queries that are new or changed are decomposed, and only rows
+    without a conversion are converted; final rows are rebuilt, one per query.
+    Texts are compared by hash (``out_dir/texts``).
     """
     from sqlstrata.sources.logstore import read_log, write_log
 
+    texts = corpus.select("query_id", F.xxhash64("sql").alias("text_hash"))
+    texts.write.mode("overwrite").parquet(f"{out_dir}/texts")
     if full_refresh or previous is None:
         log1 = stage1(corpus)
     else:
-        old = read_log(spark, previous).filter(F.col("type") != "final")
-        new_q = corpus.join(old.select("query_id").distinct(), "query_id", "left_anti")
+        known = spark.read.parquet(f"{previous}/texts").join(texts, ["query_id", "text_hash"], "left_semi")
+        known = known.select("query_id").distinct()
+        old = read_log(spark, f"{previous}/stage{total_stages}").filter(F.col("type") != "final")
+        old = old.join(known, "query_id", "left_semi")
+        new_q = corpus.join(known, "query_id", "left_anti")
         log1 = old.unionByName(stage1(new_q).select(*old.columns))
     write_log(log1, f"{out_dir}/stage1")
     log = read_log(spark, f"{out_dir}/stage1")
@@ -73,6 +78,6 @@ def run(spark: SparkSession, corpus: DataFrame, out_dir: str, total_stages: int
         write_log(stage2(log, rules, full_refresh), f"{out_dir}/stage2")
         log = read_log(spark, f"{out_dir}/stage2")
     if total_stages >= 3:
-        write_log(stage3(log, chunk_size, rules, full_refresh), f"{out_dir}/stage3")
+        write_log(stage3(log, rules, full_refresh), f"{out_dir}/stage3")
         log = read_log(spark, f"{out_dir}/stage3")
     return log

@@ -23,8 +23,7 @@ LEFT JOIN (SELECT DISTINCT ON (n_nationkey) n_nationkey, n_name FROM nation ORDE
   ON c.c_nationkey = n.n_nationkey""")
 def q_lookup_join(spark, sf):
     c = _t(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("n_nationkey"))
-    nat = _t(spark, sf, "nation").groupBy("n_nationkey").agg(F.min("n_name").alias("n_name"))
-    return R.lookup_join(c, nat, ["n_nationkey"], ["n_name"]).select("c_custkey", "c_name", "n_name")
+    return R.lookup_join(c, _t(spark, sf, "nation"), ["n_nationkey"], ["n_name"]).select("c_custkey", "c_name", "n_name")
 
 
 @register("lookup_top1", """
@@ -60,17 +59,15 @@ def q_nvl_default(spark, sf):
 
 
 @register("safe_ratio", """
-SELECT l_orderkey, CAST(CASE WHEN coalesce(den, 0) = 0 THEN 0 ELSE (10000 * num) // den END AS BIGINT) AS ratio_x100
+SELECT l_orderkey, CASE WHEN coalesce(den, 0) = 0 THEN 0 ELSE CAST((200 * num + den) // (2 * den) AS DOUBLE) / 100 END AS ratio
 FROM (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS num,
              sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS den FROM lineitem GROUP BY l_orderkey)""")
 def q_safe_ratio(spark, sf):
     g = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.sum((F.col("l_returnflag") == "R").cast("long")).alias("num"),
         F.sum((F.col("l_linestatus") == "O").cast("long")).alias("den"))
-    # fixed-point form of ROUND(num / den, 2) (integer arithmetic, exact in every engine)
-    ratio = F.when(F.coalesce(F.col("den"), F.lit(0)) == 0, F.lit(0)).otherwise(
-        F.expr("(10000 * num) div den")).cast("bigint")
-    return g.select("l_orderkey", ratio.alias("ratio_x100"))
+    ratio = R.safe_ratio(F.col("num").cast("decimal(18,0)"), F.col("den").cast("decimal(18,0)"))
+    return g.select("l_orderkey", ratio.cast("double").alias("ratio"))
 
 
 @register("comma_join", """
@@ -289,7 +286,7 @@ walk(node, cur, depth) AS (
   UNION ALL
   SELECT w.node, e.parent, w.depth + 1 FROM walk w JOIN edges e ON e.node = w.cur WHERE e.parent IS NOT NULL
 )
-SELECT node, arg_max(cur, depth) AS root, CAST(max(depth) AS INTEGER) AS depth FROM walk GROUP BY node""")
+SELECT node, arg_max(cur, depth) AS root, CAST(max(depth) AS INTEGER) AS depth, NULL::VARCHAR AS error FROM walk GROUP BY node""")
 def q_hierarchy_walk(spark, sf):
     r, n, c = (_t(spark, sf, t) for t in ("region", "nation", "customer"))
     edges = (r.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node"),
@@ -301,7 +298,7 @@ def q_hierarchy_walk(spark, sf):
     return R.hierarchy_walk(spark, edges)
 
 
-_WIDE_N = 40
+_WIDE_N = 599
 
 
 def _wide_sql():
@@ -333,14 +330,16 @@ def q_wide_projection(spark, sf):
     return j.select("c_custkey", *cols)
 
 
-@register("user_function")
+@register("user_function", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) * 2 + 1 AS f FROM lineitem")
 def q_user_function(spark, sf):
-    R.register_user_function(spark, "myfunc_from", "x DOUBLE", "DOUBLE", "x * 2 + 1")
+    R.register_user_function(spark, "twice_plus_one", "x DOUBLE", "DOUBLE", "x * 2 + 1")
     _t(spark, sf, "lineitem").createOrReplaceTempView("uf_lineitem")
-    return spark.sql("SELECT l_orderkey, l_linenumber, myfunc_from(l_quantity) AS f FROM uf_lineitem")
+    return spark.sql("SELECT l_orderkey, l_linenumber, twice_plus_one(l_quantity) AS f FROM uf_lineitem")
 
 
-@register("create_view")
+@register("create_view", """
+SELECT o.o_orderkey, c.c_name, coalesce(o.o_orderpriority, 'N') AS prio, CAST(o.o_orderdate AS DATE) AS d
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""")
 def q_create_view(spark, sf):
     _t(spark, sf, "orders").createOrReplaceTempView("cv_orders")
     _t(spark, sf, "customer").createOrReplaceTempView("cv_customer")

@@ -1,6 +1,6 @@
 """Registered source/sink queries (A): reading corpora, log round trips,
 patches and few-shot examples. Writes go to the session's shared checkpoint
-folder (``spark.checkpoint.dir``), never to a machine-local path."""
+folder (``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sqlstrata import oracle as O
 from sqlstrata.plans import pipeline as PL
+from sqlstrata.plans.q_text import _ELOG as _ELOG_FRAGS
 from sqlstrata.plans.registry import register
 from sqlstrata.session import checkpoint_dir, materialize
 from sqlstrata.sources import logstore as S
@@ -45,8 +46,7 @@ FROM e_log"""
 
 
 def _patch_sql():
-    from sqlstrata.plans.q_text import _ELOG
-    return O.with_(*_ELOG, body=_PATCH_BODY)
+    return O.with_(*_ELOG_FRAGS, body=_PATCH_BODY)
 
 
 def q_log_patch(spark, sf):
@@ -64,7 +64,9 @@ def q_log_patch(spark, sf):
 register("log_patch", _patch_sql())(q_log_patch)
 
 
-@register("read_examples")
+@register("read_examples", O.with_(*_ELOG_FRAGS, body=(
+    "SELECT content AS oracle_query, content AS incorrect_query, converted_content AS correct_query FROM e_log "
+    "WHERE type = 'subquery' AND converted_content <> ''")))
 def q_read_examples(spark, sf):
     """Few-shot examples written as multi-line CSV from the converted log,
     read back with the example reader."""

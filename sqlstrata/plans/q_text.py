@@ -28,6 +28,11 @@ def q_build_corpus(spark, sf):
     return _corpus(spark, sf)
 
 
+@register("build_corpus_customer", f"SELECT query_id, sql FROM ({O.corpus_sql_duckdb('customer')})")
+def q_build_corpus_customer(spark, sf):
+    return corpus_from_dir(spark, sf, "customer")
+
+
 # --- B1, B2 -----------------------------------------------------------------
 @register("strip_comments", O.with_(O.CORPUS, O.STRIPPED, body="SELECT query_id, sql AS stripped FROM stripped"))
 def q_strip_comments(spark, sf):
@@ -252,13 +257,12 @@ def q_duplicate_groups(spark, sf):
 # --- E: conversion -------------------------------------------------------------
 _CONV = f"""
 e_conv AS (SELECT *, {O.convert_sql('content')} AS conv FROM s1log),
+e_err AS (SELECT *, {O.errors_sql('conv')} AS err FROM e_conv),
 e_log AS (
-  SELECT *, CASE WHEN section = 'join' THEN '' WHEN {O.errors_sql('conv')} = '' THEN conv ELSE '' END AS converted_content,
-    CASE WHEN section = 'join' THEN response_error
-         ELSE concat_ws('; ', CASE WHEN response_error <> '' THEN response_error END,
-                        CASE WHEN {O.errors_sql('conv')} <> '' THEN {O.errors_sql('conv')} END) END AS response_error2,
-    CASE WHEN section = 'join' THEN 'passthrough' WHEN {O.errors_sql('conv')} = '' THEN 'success' ELSE 'failed' END AS status
-  FROM e_conv
+  SELECT *, CASE WHEN section = 'join' THEN '' WHEN err = '' THEN conv ELSE '' END AS converted_content,
+    CASE WHEN section = 'join' THEN response_error ELSE {O.merge_errors('response_error', 'err')} END AS response_error2,
+    CASE WHEN section = 'join' THEN 'passthrough' WHEN err = '' THEN 'success' ELSE 'failed' END AS status
+  FROM e_err
 )"""
 _ELOG = [*_S1, _CONV]
 
@@ -277,17 +281,23 @@ def q_convert_log(spark, sf):
         "query_id", "section_id", "identifier", "converted_content", "response_error", "status")
 
 
-@register("incremental_pending", O.with_(*_ELOG, body=(
-    "SELECT query_id, section_id, identifier FROM e_log WHERE section <> 'join' AND "
-    "regexp_replace(coalesce(converted_content, ''), '^\\s+|\\s+$', '', 'g') = ''")))
+_PENDING = f"""
+SELECT query_id, section_id, identifier FROM e_log WHERE section <> 'join' AND {O.SW('content')} <> ''
+  AND {O.SW("coalesce(converted_content, '')")} = '' AND query_id IN (SELECT query_id FROM corpus WHERE sql LIKE '%DISTINCT%')
+UNION ALL
+SELECT query_id, NULL, NULL FROM corpus WHERE query_id NOT IN (SELECT query_id FROM corpus WHERE sql LIKE '%DISTINCT%')"""
+
+
+@register("incremental_pending", O.with_(*_ELOG, body=_PENDING))
 def q_incremental_pending(spark, sf):
+    """The log holds the queries with DISTINCT; all others are new."""
     c = _corpus(spark, sf)
-    return V.incremental_pending(c, PL.stage2(PL.stage1(c)))
+    return V.incremental_pending(c, PL.stage2(PL.stage1(c.filter(F.col("sql").contains("DISTINCT")))))
 
 
 _AUDIT_SQL = " UNION ALL ".join(
-    f"SELECT query_id, '{n}' AS construct FROM s1log WHERE regexp_matches(content, {O.q(p)})"
-    for n, p in V.AUDIT)
+    f"SELECT query_id, '{n}' AS construct FROM s1log WHERE regexp_matches({e}, {O.q(p)})"
+    for n, p in V.AUDIT for e in ["content" if p.startswith("'") else O.code_sql("content")])
 
 
 @register("dialect_audit", O.with_(*_S1, body=(
@@ -310,7 +320,7 @@ def q_failure_budget(spark, sf):
 
 # --- F: reassembly -------------------------------------------------------------
 @register("resolve_placeholders", O.with_(*O.BASE, body=(
-    "SELECT query_id, section_id, content AS resolved FROM sections")))
+    "SELECT query_id, section_id, content AS resolved FROM sections UNION ALL SELECT query_id, 1, '' FROM blanks")))
 def q_resolve_placeholders(spark, sf):
     log = D.decompose_log(_corpus(spark, sf))
     return A.resolve_sections(A.piece_text(log)).select("query_id", "section_id", "resolved")
@@ -394,8 +404,8 @@ _WRAP = r"""
 wrapped AS (
   SELECT conv_id, turn,
     CASE WHEN turn % 3 = 0 THEN '```sql' || chr(10) || text || chr(10) || '```' || chr(10) ELSE '' END
-    || '## Original Oracle SQL:' || chr(10) || '```sql' || chr(10) || text || chr(10) || '```' || chr(10)
-    || '## Converted Spark SQL :' || chr(10) || '```SQL' || chr(10) || text || chr(10) || '```' || chr(10) || 'Done.'
+    || '## Query as given:' || chr(10) || '```sql' || chr(10) || text || chr(10) || '```' || chr(10)
+    || '## Query for the new engine :' || chr(10) || '```SQL' || chr(10) || text || chr(10) || '```' || chr(10) || 'Done.'
     AS reply
   FROM conversations WHERE role = 'assistant'
 ),
@@ -443,7 +453,7 @@ def q_eval_rows(spark, sf):
 
 
 # --- B4, B11, F5: named views ------------------------------------------------------
-@register("cte_list", O.with_(*O.BASE, O.CTE_LIST, body="SELECT query_id, cte_pos, name, body FROM ctes"))
+@register("cte_list", O.with_(*O.BASE, O.CTE_LIST, body="SELECT query_id, cte_pos, name, body, error FROM ctes"))
 def q_cte_list(spark, sf):
     return D.cte_list(_corpus(spark, sf))
 
@@ -460,26 +470,23 @@ def q_main_text(spark, sf):
 
 # --- E6, F6: column conversion and the staged job ---------------------------------
 _E6 = f"""
-e6_chunks AS (
-  SELECT query_id, section_id, identifier, i // 10 AS chunk, list_slice(cols, i + 1, i + 10) AS ch
-  FROM (SELECT *, unnest(range(0, len(cols), 10)) AS i FROM e_log WHERE section <> 'join' AND len(cols) > 0)
+e6_new AS (
+  SELECT query_id, section_id, identifier, cols, list_transform(cols, lambda c: {O.convert_sql('c')}) AS nc
+  FROM e_log WHERE section <> 'join' AND len(cols) > 0
 ),
-e6_err AS (
-  SELECT *, {O.errors_sql(O.convert_sql("('SELECT ' || array_to_string(ch, ', ') || ' FROM dummy')"))} AS err
-  FROM e6_chunks
+e6_err AS (SELECT *, list_transform(nc, lambda c: {O.errors_sql('c')}) AS ne FROM e6_new),
+e6_all AS (
+  SELECT *, string_split(array_to_string(list_filter(ne, lambda x: x <> ''), '; '), '; ') AS why FROM e6_err
 ),
 e6 AS (
   SELECT query_id, section_id, identifier,
-    flatten(list(CASE WHEN err = '' THEN list_transform(ch, lambda c: {O.convert_sql('c')}) ELSE []::VARCHAR[] END
-                 ORDER BY chunk)) AS cc,
-    string_agg(CASE WHEN err <> '' THEN err END, '; ' ORDER BY chunk) AS cerr
-  FROM e6_err GROUP BY ALL
+    list_transform(range(1, len(cols) + 1), lambda i: CASE WHEN ne[i] = '' THEN nc[i] ELSE cols[i] END) AS cc,
+    array_to_string(list_filter(why, lambda x, i: list_position(why, x) = i), '; ') AS cerr
+  FROM e6_all
 ),
 s3log AS (
   SELECT l.*, coalesce(e.cc, []::VARCHAR[]) AS cc,
-    CASE WHEN coalesce(e.cerr, '') <> ''
-         THEN concat_ws('; ', CASE WHEN l.response_error2 <> '' THEN l.response_error2 END, e.cerr)
-         ELSE l.response_error2 END AS response_error3
+    {O.merge_errors('l.response_error2', "coalesce(e.cerr, '')")} AS response_error3
   FROM e_log l LEFT JOIN e6 e USING (query_id, section_id, identifier)
 )"""
 _S3 = [*_ELOG, _E6]
@@ -489,7 +496,7 @@ _S3 = [*_ELOG, _E6]
     f"SELECT query_id, section_id, identifier, {_dj('cc')} AS converted_columns, response_error3 AS response_error "
     "FROM s3log")))
 def q_convert_columns(spark, sf):
-    log = V.convert_columns(materialize(PL.stage2(PL.stage1(_corpus(spark, sf)))), 10)
+    log = V.convert_columns(PL.stage2(PL.stage1(_corpus(spark, sf))))
     return log.select("query_id", "section_id", "identifier", _j("converted_columns").alias("converted_columns"),
                       "response_error")
 
@@ -517,6 +524,6 @@ _S3_TEXT = O.star_sql("CASE WHEN converted_content <> '' THEN converted_content
     f"SELECT query_id, final_query, {_dj(O.tables_sql('final_query'))} AS tables, "
     f"{_dj(O.functions_sql('final_query'))} AS functions FROM fd_final")))
 def q_pipeline_stage3(spark, sf):
-    s3 = PL.stage3(materialize(PL.stage2(PL.stage1(_corpus(spark, sf)))), 10)
+    s3 = PL.stage3(PL.stage2(PL.stage1(_corpus(spark, sf))))
     return s3.filter(F.col("type") == "final").select(
         "query_id", "final_query", _j("tables").alias("tables"), _j("functions").alias("functions"))

@@ -6,7 +6,10 @@ in settings that are still unset, so cluster values always win.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,7 +37,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.master(master)
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.driver.memory", os.environ.get("SQLSTRATA_DRIVER_MEMORY", "16g"))
+          .config("spark.driver.memory", os.environ.get("SQLSTRATA_DRIVER_MEMORY", "6g"))
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -48,12 +51,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) do we create a scratch folder
-    and register it; on a cluster the platform's shared folder is used as is.
+    Only a local session (tests, bench), whose tasks run on this machine, gets
+    a scratch folder where none is set; it is removed when Python ends. On a
+    cluster an unset folder is an error: executors would not see a local one.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set, and {master or 'this session'} needs a folder that all executors share")
         d = tempfile.mkdtemp(prefix="sqlstrata-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d

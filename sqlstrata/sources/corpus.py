@@ -8,15 +8,18 @@ CASE, so the two engines produce byte-identical texts.
 
 Each query mixes what the reference's fixtures contain: optional WITH block,
 scalar subqueries in CASE, NVL over a scalar subquery, IN / EXISTS, nested
-derived tables, custom functions (``myfunc_from``), Oracle-only constructs
+derived tables, custom functions (``calc_from``), Oracle-only constructs
 (ROWNUM, VARCHAR2, SYSDATE, TO_DATE with 'YYYYMMDD'), comments and literals
 that contain parentheses, keywords and comment markers, DISTINCT, and a
 second set-operation branch. Every 97th row is left unbalanced on purpose.
+Some keys give a 599-column query, twelve CTEs, CTEs with column lists, quoted
+names or MATERIALIZED, branches and whole queries in parentheses, or a text of
+comments or blanks only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,6 +35,9 @@ class _SparkR:
     def num(self, e):
         return e.cast("string")
 
+    def num_lit(self, n):
+        return F.lit(n).cast("bigint")
+
     def mod(self, e, k):
         return F.pmod(e, F.lit(k))
 
@@ -67,6 +73,9 @@ class _DuckR:
     def num(self, e):
         return f"CAST({e} AS VARCHAR)"
 
+    def num_lit(self, n):
+        return str(n)
+
     def mod(self, e, k):
         return f"((({e}) % {k}) + {k}) % {k}"
 
@@ -97,11 +106,14 @@ def _column(r, k, s, i):
     kind = r.mod(_plus(r, k, r.mul(i, 3)), 10)
     literal = r.concat(r.lit("'col"), si, r.lit("'"), ci)
     return r.case(kind, {
+        0: r.concat(r.lit("ROWNUM"), ci),
+        1: r.concat(r.lit("CAST(p.p_retailprice AS NUMBER(10, 2)) || CAST(p.p_size AS VARCHAR)"), ci),
+        2: r.concat(r.lit("'see ROWNUM and NVL( docs, col"), si, r.lit("'"), ci),
         3: r.concat(r.lit("CASE WHEN p.p_retailprice > (SELECT AVG(p_retailprice) FROM part "
                           "WHERE p_brand = p.p_brand) THEN 'above (avg)' ELSE 'below' END"), ci),
         4: r.concat(r.lit("NVL((SELECT MAX(l_quantity) FROM lineitem WHERE l_partkey = "
                           "p.p_partkey AND ROWNUM = 1), 0)"), ci),
-        5: r.concat(r.lit("myfunc_from("), r.num(s), r.lit(" + "), si, r.lit(")"), ci),
+        5: r.concat(r.lit("calc_from("), r.num(s), r.lit(" + "), si, r.lit(")"), ci),
         6: r.concat(r.lit("CAST(p.p_size AS VARCHAR2(20)) || TO_DATE('2024"),
                     r.num(r.add(r.mod(_plus(r, k, i), 9), 10)),
                     r.lit("01', 'YYYYMMDD')"), ci),
@@ -122,7 +134,8 @@ def _plus(r, a, b):
 def corpus_text(r, k, name, brand, ptype, s):
     """The SQL text for one part row, rendered with ``r``."""
     ks = r.num(k)
-    ncols = r.add(r.mod(_plus(r, r.mul(k, 7), s), 9), 1)
+    # every 499th query is a wide one
+    ncols = r.case(r.mod(k, 499), {100: r.num_lit(599)}, r.add(r.mod(_plus(r, r.mul(k, 7), s), 9), 1))
     cols = r.seq_join(ncols, lambda i: _column(r, k, s, i), "," + NL + "    ")
     with_block = r.concat(
         r.lit("WITH brand_totals AS (" + NL
@@ -134,7 +147,14 @@ def corpus_text(r, k, name, brand, ptype, s):
               + "    WHERE p_type IN (SELECT p_type FROM part WHERE p_brand = '"), brand,
         r.lit("')" + NL + "    GROUP BY p_type" + NL + ")" + NL))
     has_with = r.mod(k, 5)  # 0 -> no WITH block
-    head = r.case(has_with, {0: r.lit("")}, with_block)
+    many = r.concat(r.lit("WITH brand_totals AS (SELECT p_brand FROM part), type_sizes AS MATERIALIZED (SELECT p_type FROM part)," + NL),
+                    r.seq_join(r.num_lit(10), lambda i: r.concat(
+                        r.lit("c"), r.num(i), r.lit(" AS (SELECT p_size, CASE WHEN EXISTS (SELECT 1 FROM lineitem) THEN "), r.num(i),
+                        r.lit(" ELSE 0 END AS f FROM part ORDER BY p_size)")), "," + NL), r.lit(NL))
+    named = r.concat(r.lit('WITH brand_totals (p_brand, total_price) AS NOT MATERIALIZED (SELECT p_brand, SUM(p_retailprice) FROM part '
+                           'GROUP BY p_brand), "Type Sizes"(p_type) AS (SELECT p_type FROM part), type_sizes AS (SELECT p_type FROM '
+                           '"Type Sizes" WHERE p_type <> \''), ptype, r.lit("')" + NL))
+    head = r.case(has_with, {0: r.lit("")}, r.case(r.mod(k, 13), {4: many, 8: named}, with_block))
     joins = r.case(has_with, {0: r.lit(
         "FROM part p" + NL + "    JOIN supplier s ON p.p_partkey = s.s_suppkey" + NL)},
         r.lit("FROM part p" + NL + "    JOIN brand_totals b ON p.p_brand = b.p_brand" + NL
@@ -149,8 +169,11 @@ def corpus_text(r, k, name, brand, ptype, s):
         setop, r.lit(NL + "SELECT NULL AS p_partkey, UPPER(p_brand) AS part_name, "
                      "NVL((SELECT MAX(p_size) FROM part WHERE p_type = '"), ptype,
         r.lit("'), 0) AS col1" + NL + "FROM part" + NL + "WHERE p_size = "), r.num(s), r.lit(NL))
-    tail = r.case(r.mod(k, 3), {0: r.lit("")}, branch)
-    return r.concat(
+    # some branches stand in parentheses
+    closed = r.concat(setop, r.lit(NL + "(SELECT p_partkey, p_name FROM part WHERE p_brand = '"), brand,
+                      r.lit("' AND p_size IN (SELECT p_size FROM part))" + NL))
+    tail = r.case(r.mod(k, 3), {0: r.lit("")}, r.case(r.mod(k, 11), {5: closed}, branch))
+    text = r.concat(
         r.lit("-- generated query "), ks, r.lit(" for "), brand, r.lit(" (see 'notes' --)" + NL),
         head,
         r.lit("SELECT "), distinct, r.lit("p.p_partkey," + NL + "    UPPER(p.p_name) AS part_name," + NL
@@ -161,25 +184,28 @@ def corpus_text(r, k, name, brand, ptype, s):
               + "  AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey"),
         exists_close, r.lit(NL),
         tail)
+    # a query in parentheses, and texts without code
+    return r.case(r.mod(k, 89), {7: r.concat(r.lit("-- nothing for "), ks), 11: r.lit("  " + NL), 17: r.concat(
+        r.lit("(SELECT p_name FROM part WHERE p_size = "), r.num(s), r.lit(") UNION ALL (SELECT s_name FROM supplier)"))}, text)
 
 
-def corpus_column(part: DataFrame | None = None) -> Column:
-    r = _SparkR()
-    return corpus_text(r, F.col("p_partkey"), F.col("p_name"), F.col("p_brand"),
-                       F.col("p_type"), F.col("p_size"))
+#: Columns that the template takes from a source table: key, name, two texts, a small number.
+SOURCES = {
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"),
+    "customer": ("c_custkey", "c_name", "c_mktsegment", "c_mktsegment", "c_nationkey"),
+}
 
 
-def build_corpus(part: DataFrame) -> DataFrame:
-    """A2: one query per row of ``part``: ``(query_id BIGINT, sql STRING)``."""
-    return part.select(F.col("p_partkey").cast("bigint").alias("query_id"),
-                       corpus_column().alias("sql"))
+def build_corpus(rows: DataFrame, source: str = "part") -> DataFrame:
+    """A2: one query per row of ``part`` or ``customer``: ``(query_id BIGINT, sql STRING)``."""
+    key, *rest = (F.col(c).cast("bigint") if i in (0, 4) else F.col(c) for i, c in enumerate(SOURCES[source]))
+    return rows.select(key.alias("query_id"), corpus_text(_SparkR(), key, *rest).alias("sql"))
 
 
 def corpus_sql_duckdb(source: str = "part") -> str:
     """The same corpus as a DuckDB SELECT (used inside every oracle)."""
-    r = _DuckR()
-    text = corpus_text(r, "p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    return f"SELECT CAST(p_partkey AS BIGINT) AS query_id, {text} AS sql FROM {source}"
+    key, *rest = SOURCES[source]
+    return f"SELECT CAST({key} AS BIGINT) AS query_id, {corpus_text(_DuckR(), key, *rest)} AS sql FROM {source}"
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -202,5 +228,5 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus_from_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_corpus(load_table(spark, sf_dir, "part"))
+def corpus_from_dir(spark: SparkSession, sf_dir: str, source: str = "part") -> DataFrame:
+    return build_corpus(load_table(spark, sf_dir, source), source)

@@ -1,8 +1,8 @@
 """Log tables (A3-A5, A7) and the few-shot example reader.
 
-Logs are written as parquet partitioned by a hash bucket of ``query_id``
-(bounded partition count, no small-file explosion per query). A blank table
-name or path is a no-op, as in the reference.
+Logs are written as plain parquet, one file per task: no reader filters on a
+bucket, and buckets would multiply the files. A blank table name or path is a
+no-op, as in the reference.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from sqlstrata.operators.decompose import LOG_SCHEMA
 
-BUCKETS = 64
-
 
 def _blank(name: str | None) -> bool:
     return name is None or not name.strip()
@@ -33,11 +31,10 @@ def log_init(spark: SparkSession, table: str | None) -> DataFrame | None:
 
 
 def write_log(df: DataFrame, target: str | None, as_table: bool = False) -> None:
-    """A4: overwrite a log (path or table), partitioned by a query bucket."""
+    """A4: overwrite a log (path or table)."""
     if _blank(target):
         return
-    out = df.withColumn("bucket", F.pmod(F.xxhash64("query_id"), F.lit(BUCKETS)).cast("int"))
-    w = out.write.mode("overwrite").format("parquet").partitionBy("bucket")
+    w = df.write.mode("overwrite").format("parquet")
     if as_table:
         w.saveAsTable(target)
     else:
@@ -45,9 +42,8 @@ def write_log(df: DataFrame, target: str | None, as_table: bool = False) -> None
 
 
 def read_log(spark: SparkSession, source: str, as_table: bool = False) -> DataFrame:
-    """A5: read a log back (bucket column dropped)."""
-    df = spark.table(source) if as_table else spark.read.parquet(source)
-    return df.drop("bucket")
+    """A5: read a log back."""
+    return spark.table(source) if as_table else spark.read.parquet(source)
 
 
 def log_patch(log: DataFrame, patch: DataFrame) -> DataFrame:
@@ -55,17 +51,20 @@ def log_patch(log: DataFrame, patch: DataFrame) -> DataFrame:
 
     ``action = 'redo'`` clears ``converted_content`` / ``converted_columns``
     so the next incremental run converts the row again; ``action = 'set'``
-    replaces ``content`` with ``text``. A left join on the row key: no
-    driver-side UPDATE loop.
+    replaces ``content`` with ``text``. A row may have both; of several ``set``
+    texts the largest counts. The patch is reduced to one row per key, so a
+    left join on the key keeps the number of log rows.
     """
-    p = patch.select("query_id", "identifier", F.col("action").alias("_a"), F.col("text").alias("_t"))
+    p = patch.groupBy("query_id", "identifier").agg(
+        F.max((F.col("action") == "redo").cast("int")).alias("_a"), F.max((F.col("action") == "set").cast("int")).alias("_s"),
+        F.max(F.when(F.col("action") == "set", F.col("text"))).alias("_t"))
     out = log.join(p, ["query_id", "identifier"], "left")
-    redo = F.col("_a") == "redo"
+    redo = F.col("_a") == 1
     out = (out.withColumn("converted_content", F.when(redo, F.lit("")).otherwise(F.col("converted_content")))
               .withColumn("converted_columns", F.when(redo, F.array().cast("array<string>"))
                           .otherwise(F.col("converted_columns")))
-              .withColumn("content", F.when(F.col("_a") == "set", F.col("_t")).otherwise(F.col("content"))))
-    return out.drop("_a", "_t")
+              .withColumn("content", F.when(F.col("_s") == 1, F.col("_t")).otherwise(F.col("content"))))
+    return out.drop("_a", "_s", "_t")
 
 
 EXAMPLES_ENV = "SQLSTRATA_EXAMPLE_FILE"

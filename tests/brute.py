@@ -122,6 +122,8 @@ def columns(text):
 PIECES = re.compile(r"(?:'[^']*')+|\"[^\"]*\"|[^'\"]+|['\"]")
 CODE_RULES = [(r"(?i)\bNVL\s*\(", "COALESCE("),
               (r"(?i)\bVARCHAR2\b(\s*\(\s*\d+\s*(?:BYTE|CHAR)?\s*\))?", "STRING"),
+              (r"(?i)\bVARCHAR\b(?!\s*\()", "STRING"),
+              (r"(?i)\bNUMBER\s*\(\s*(\d+)\s*(,\s*\d+\s*)?\)", lambda m: f"DECIMAL({m[1]}{m[2] or ''})"),
               (r"(?i)\bSYSDATE\b", "CURRENT_TIMESTAMP()")]
 
 
@@ -135,3 +137,80 @@ def convert(text):
                 p = re.sub(pat, rep, p)
             out.append(p)
     return "".join(out)
+
+
+KINDS = ["UNION ALL", "UNION", "INTERSECT ALL", "INTERSECT", "EXCEPT ALL", "EXCEPT", "MINUS"]
+
+
+def _pieces(text):
+    """Characters outside quotes as (index, char); quoted parts as one item."""
+    i = 0
+    while i < len(text):
+        m = re.compile(r"(?:'[^']*')+|\"[^\"]*\"").match(text, i)
+        if m:
+            yield i, m.group()
+            i = m.end()
+        else:
+            yield i, text[i]
+            i += 1
+
+
+def sections(sql):
+    """[(kind, content)] of a text, character by character."""
+    text = strip_comments(sql)
+    cuts, depth, end, state = [(0, "")], 0, 0, ""
+    word = re.compile(r"(?i)(select|union(?:\s+all)?|intersect(?:\s+all)?|except(?:\s+all)?|minus)(?![A-Za-z0-9_$#])")
+    for i, c in _pieces(text):
+        if i < end or len(c) > 1 or c in "'\"":
+            continue
+        depth += (c == "(") - (c == ")")
+        m = word.match(text, i)
+        if m and depth == 0 and not (i and re.match(r"[A-Za-z0-9_$#]", text[i - 1])):
+            kw = re.sub(r"\s+", " ", m.group().upper())
+            cuts.append((i, kw))
+            end = m.end()
+            if kw != "SELECT":
+                cuts.append((end, "after"))
+    out = []
+    for (a, kw), (b, _) in zip(cuts, cuts[1:] + [(len(text), "")]):
+        body = text[a:b].strip(" \t\n\r\f\v")
+        if not body:
+            continue
+        if a == 0 and not kw and re.match(r"(?i)with(?![A-Za-z0-9_$#])", body):
+            out.append(("cte", body))
+        elif re.match(r"(?i)[\s(]*select", body):
+            out.append(("select", body))
+        elif kw in KINDS:
+            out.append(("join", re.sub(r"\s+", " ", body).upper()))
+        else:
+            out.append(("unknown", body))
+    return out
+
+
+def ctes(block):
+    """[(name, body, named)] of a WITH block."""
+    spans, depth, start, last = [], 0, 0, 0
+    for i, c in _pieces(block):
+        if c == "(":
+            if depth == 0:
+                start = i
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if depth == 0:
+                spans.append((block[last:start], block[start + 1:i]))
+                last = i + 1
+    out = []
+    for k, (lead, body) in enumerate(spans):
+        head = re.search(r"(?i)(^|[^A-Za-z0-9_$#])as(\s+(not\s+)?materialized)?\s*$", lead)
+        if not head:
+            follows = k + 1 < len(spans) and re.match(r"(?i)\s*as(\s+(not\s+)?materialized)?\s*$", spans[k + 1][0])
+            if not follows:
+                out.append((None, body))
+            continue
+        name = lead[:head.start() + len(head.group(1))]
+        if not name.strip() and k:
+            name = spans[k - 1][0]
+        m = re.search(r"(\"[^\"]+\"|[A-Za-z_][A-Za-z0-9_$#]*)\s*$", name)
+        out.append((m.group(1) if m else None, body))
+    return out

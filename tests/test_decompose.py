@@ -19,8 +19,8 @@ ADVERSARIAL = [
     "SELECT 1, 2, 3;",
     # set operators in lower case over several lines, INTERSECT ALL, MINUS
     "select a from t\nunion\n   all\nselect b from u intersect all select c from v minus select d from w",
-    # myfunc_from identifiers, placeholders past 10
-    "SELECT myfunc_from(x) AS y, " + ", ".join(f"(SELECT {i} FROM s{i})" for i in range(12)) + " FROM t",
+    # calc_from identifiers, placeholders past 10
+    "SELECT calc_from(x) AS y, " + ", ".join(f"(SELECT {i} FROM s{i})" for i in range(12)) + " FROM t",
     # $1 and backslashes in the text
     "SELECT '$1 \\\\ x' AS a, (SELECT '$2' FROM t) AS b FROM u",
     # WITH block with CTEs and subqueries inside them
@@ -51,9 +51,49 @@ def test_sections(spark, corpus_of):
         ("select", "SELECT 4")]
 
 
-def test_parenthesised_branches_are_dropped(spark, corpus_of):
-    rows = D.split_sections(corpus_of(["(SELECT 1) UNION (SELECT 2)"])).orderBy("section_id").collect()
-    assert [(r.section_id, r.section, r.content) for r in rows] == [(1, "join", "UNION")]
+PARENTHESISED = ["(SELECT a FROM t) UNION ALL (SELECT b FROM u)", "((select 1)) minus (x)", "( -- c\n SELECT a FROM t) EXCEPT SELECT (b) FROM u",
+                 "(WITH q AS (SELECT 1) SELECT * FROM q)", "(a, b)"]
+NAMES = ["WITH a(x, y) AS (SELECT 1, 2), b AS (SELECT 3) SELECT * FROM a, b",
+         'WITH "My C" AS (SELECT 1), c AS MATERIALIZED (SELECT 2), d (z) as not materialized (SELECT (3)) SELECT 1',
+         "WITH RECURSIVE r AS (SELECT 1 UNION ALL SELECT (2)), (SELECT 4) SELECT 1",
+         "WITH " + ", ".join(f"c{i} AS (SELECT {i}, '(' AS q FROM t{i})" for i in range(400)) + " SELECT 1",
+         "WITH x AS (SELECT " + " + ".join(f"a{i}.b" for i in range(400)) + "), very_long_name_after_many_words AS (SELECT 2) SELECT 1"]
+
+
+def test_sections_match_brute_force(spark, corpus_of):
+    """Pieces in parentheses stay."""
+    from brute import sections as brute_sections
+    texts = ADVERSARIAL + PARENTHESISED + NAMES
+    got = {}
+    for r in D.split_sections(corpus_of(texts)).orderBy("query_id", "section_id").collect():
+        got.setdefault(r.query_id, []).append((r.section, r.content))
+    for i, t in enumerate(texts):
+        assert got.get(i + 1, []) == brute_sections(t), t
+
+
+def test_ctes_match_brute_force(spark, corpus_of):
+    from brute import ctes as brute_ctes
+    from brute import sections as brute_sections
+    got = {}
+    for r in D.cte_list(corpus_of(NAMES)).orderBy("query_id", "cte_pos").collect():
+        assert (r.error is None) == (r.name is not None)
+        got.setdefault(r.query_id, []).append((r.name, r.body))
+    for i, t in enumerate(NAMES):
+        assert got[i + 1] == brute_ctes(brute_sections(t)[0][1]), t
+    assert [n for n, _ in got[1]] == ["a", "b"] and [n for n, _ in got[2]] == ['"My C"', "c", "d"]
+    assert got[3][1] == (None, "SELECT 4") and len(got[4]) == 400
+
+
+def test_no_text_is_lost(spark, corpus_of):
+    """Texts without code have a row; all others come back from the log."""
+    texts = [None, "", " \n", "-- only", "/* a */ -- b"] + PARENTHESISED
+    rows = D.decompose_log(corpus_of(texts)).collect()
+    for q in range(1, 6):
+        mine = [r for r in rows if r.query_id == q]
+        assert len(mine) == 1 and mine[0].type == "section_main" and mine[0].response_error == D.EMPTY_TEXT and mine[0].content == ""
+    final = {r.query_id: r.final_query for r in A.assemble_query(D.decompose_log(corpus_of(texts))).collect()}
+    for i, t in enumerate(PARENTHESISED):
+        assert final[6 + i].split() == (brute_strip(t).replace("minus", "MINUS")).split(), t
 
 
 def test_subqueries_match_brute_force(spark, corpus_of):
@@ -117,7 +157,8 @@ def test_single_stream_matches_sections_and_brute_force(spark, corpus_of):
     sections = {(s.query_id, s.section_id): s for s in D.split_sections(corpus).collect()}
     pieces = {}
     for p in D.decompose_pieces(corpus).collect():
-        pieces.setdefault((p.query_id, p.section_id), {})[p.n] = p
+        if p.original != D.NOTHING:  # a text without code has a piece and no section
+            pieces.setdefault((p.query_id, p.section_id), {})[p.n] = p
     assert set(pieces) == set(sections)
     for key, s in sections.items():
         got = pieces[key]

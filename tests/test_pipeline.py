@@ -21,7 +21,7 @@ def test_run_full_then_incremental(spark, corpus_of):
     assert len(err) == 1 and err[0].converted_content == ""
 
     second = PL.run(spark, corpus_of([Q1, Q2, Q3]), f"{base}/r2", full_refresh=False,
-                    previous=f"{base}/r1/stage3")
+                    previous=f"{base}/r1")
     finals = second.filter(F.col("type") == "final").groupBy("query_id").count().collect()
     assert sorted((r.query_id, r["count"]) for r in finals) == [(1, 1), (2, 1), (3, 1)]
     f3 = second.filter((F.col("type") == "final") & (F.col("query_id") == 3)).first().final_query
@@ -31,3 +31,9 @@ def test_run_full_then_incremental(spark, corpus_of):
     new = {(r.query_id, r.identifier): r.converted_content
            for r in second.filter("type != 'final' AND query_id < 3").collect()}
     assert old == new
+    # a changed text is decomposed again; errors do not pile up
+    third = PL.run(spark, corpus_of([Q1.replace("MAX(y)", "MIN(z)"), Q2, Q3]), f"{base}/r3", full_refresh=False, previous=f"{base}/r2")
+    fin = {r.query_id: r for r in third.filter(F.col("type") == "final").collect()}
+    assert set(fin) == {1, 2, 3} and "MIN(z)" in fin[1].final_query and "MAX(y)" not in fin[1].final_query
+    err = third.filter(F.col("response_error") != "").collect()
+    assert [r.response_error for r in err] == ["unsupported: rownum"]

@@ -2,19 +2,22 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SMOKE_DIR
+from sqlstrata.plans import registry
 from tools.plans import shape
 
+registry.load_all()
+
 
 @pytest.mark.parametrize("key", ["decompose_log", "log_with_columns", "pipeline_stage1",
-                                 "extract_tables", "convert_log", "assemble_query", "final_row"])
+                                 "extract_tables", "convert_log", "convert_columns", "assemble_query", "final_row",
+                                 "pipeline_stage2", "pipeline_stage3", "split_sections", "extract_subqueries"])
 def test_text_chain_has_one_exchange(spark, key):
-    s = shape(E.queries()[key](spark, SMOKE_DIR))
+    s = shape(registry.QUERIES[key](spark, SMOKE_DIR))
     assert s["exchanges"] == 1, s
     assert s["python_udfs"] == 0
 
 
 def test_no_python_udfs_anywhere(spark):
-    for key, fn in E.queries().items():
+    for key, fn in registry.QUERIES.items():
         assert shape(fn(spark, SMOKE_DIR))["python_udfs"] == 0, key

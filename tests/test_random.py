@@ -11,7 +11,7 @@ from brute import subqueries as brute_subqueries
 from sqlstrata.operators import assemble as A
 from sqlstrata.operators import decompose as D
 
-WORDS = ["a", "b1", "t.x", "selected", "from_x", "myfunc_from", "count", "sum", "x$y", "#t", "1", "2.5"]
+WORDS = ["a", "b1", "t.x", "selected", "from_x", "calc_from", "count", "sum", "x$y", "#t", "1", "2.5"]
 KEYWORDS = ["SELECT", "select", "FROM", "WHERE", "UNION", "union all", "UNION\n ALL", "INTERSECT",
             "EXCEPT ALL", "MINUS", "IN", "EXISTS", "AND", "WITH"]
 LITERALS = ["'x'", "'it''s'", "'(select'", "'a -- b'", "''", '"Col (1)"', "'/* c */'"]

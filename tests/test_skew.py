@@ -21,7 +21,7 @@ def test_duplicate_subqueries_with_a_hot_key(spark, corpus_of):
     texts = [("SELECT a FROM t WHERE x IN (SELECT x FROM hot_table)" if i % 3 else
               f"SELECT a FROM t WHERE x IN (SELECT x FROM u{i})") for i in range(300)]
     log = D.decompose_log(corpus_of(texts))
-    rows = L.duplicate_subqueries(log, buckets=5).collect()
+    rows = L.duplicate_subqueries(log).collect()
     hot = [r for r in rows if r.table_key == "hot_table"]
     assert len(hot) == 200 and {r.n_copies for r in hot} == {200}
     assert {r.table_key for r in rows} == {"hot_table"}

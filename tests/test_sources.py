@@ -39,3 +39,28 @@ def test_log_init_and_patch(spark):
     got = {r.identifier: r for r in S.log_patch(log, patch).collect()}
     assert got["s1"].converted_content == "" and got["s1"].converted_columns == []
     assert got["s2"].content == "SELECT c" and got["s2"].converted_content == "SELECT b"
+    assert S.log_patch(log, patch.unionByName(patch)).count() == 2
+
+
+def test_checkpoint_folder_must_be_shared():
+    """A session that is not local has no folder of its own making."""
+    import pytest
+    from types import SimpleNamespace
+
+    from sqlstrata.session import checkpoint_dir
+    conf = SimpleNamespace(get=lambda k, d=None: "spark://host:7077" if k == "spark.master" else d)
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(conf=conf))
+
+
+def test_hierarchy_walk_without_limits(spark):
+    from sqlstrata.operators import relational as R
+    chain = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(1000)]
+    loop = [("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("o", "missing")]
+    got = {r.node: r for r in R.hierarchy_walk(spark, spark.createDataFrame(chain + loop, "node string, parent string")).collect()}
+    assert all(got[f"c{i}"].root == "c0" and got[f"c{i}"].depth == i and got[f"c{i}"].error is None for i in range(1000))
+    assert all(got[n].error == "cycle" and got[n].root is None for n in "xyzw")
+    assert got["o"].root == "missing" and got["o"].depth == 1
+    wide = spark.range(500_000).select(F.concat(F.lit("n"), "id").alias("node"), F.when(F.col("id") > 0, F.concat(F.lit("n"), (F.col("id") / 10).cast("long"))).alias("parent"))
+    out = R.hierarchy_walk(spark, wide)
+    assert out.filter("root = 'n0'").count() == 500_000 and out.filter("node = 'n499999'").first().depth == 6

@@ -19,7 +19,7 @@ def _log(spark, rows):
 def test_split_columns(spark):
     rows = [
         "SELECT DISTINCT a, f(b, c) AS d, 'x, y' AS e, EXTRACT(YEAR FROM t) FROM tab WHERE z = 1",
-        "SELECT myfunc_from(1) AS c1, (<<subquery_select[2]_1>>) AS c2 FROM t",
+        "SELECT calc_from(1) AS c1, (<<subquery_select[2]_1>>) AS c2 FROM t",
         "SELECT 1, 2",
         "UNION ALL",
         "  select a\n,b from t  ",
@@ -27,7 +27,7 @@ def test_split_columns(spark):
     got = {r.section_id: (r.columns, r.star_content) for r in C.split_columns(_log(spark, rows)).collect()}
     assert got[0] == (["DISTINCT a", "f(b, c) AS d", "'x, y' AS e", "EXTRACT(YEAR FROM t)"],
                       "SELECT * FROM tab WHERE z = 1")
-    assert got[1] == (["myfunc_from(1) AS c1", "(<<subquery_select[2]_1>>) AS c2"], "SELECT * FROM t")
+    assert got[1] == (["calc_from(1) AS c1", "(<<subquery_select[2]_1>>) AS c2"], "SELECT * FROM t")
     assert got[2] == (["1", "2"], "SELECT *")
     assert got[3] == ([], "UNION ALL")
     assert got[4] == (["a", "b"], "SELECT * from t")
@@ -87,6 +87,26 @@ def test_convert_errors_are_columns(spark):
     assert sorted(r.section_id for r in kept) == [1]
 
 
+def test_audit_words_in_literals_are_data(spark):
+    df = spark.createDataFrame([("SELECT a FROM t WHERE n = 'see ROWNUM and (+) CONNECT BY' AND NVL(b, 0) = 1",), ("SELECT 'x' FROM t WHERE rownum < 3",)], "c string")
+    got = [r.e for r in df.select(V.check_errors(F.col("c")).alias("e")).collect()]
+    assert got == ["", "unsupported: rownum"]
+    log = df.select(F.lit(1).alias("query_id"), F.col("c").alias("content"))
+    assert {(r.construct, r.n_rows) for r in V.dialect_audit(log).collect()} == {("nvl", 1), ("rownum", 1)}
+
+
+def test_failing_columns_keep_their_text(spark):
+    cols = [f"NVL(c{i}, 0)" for i in range(10)] + ["ROWNUM AS r", "NVL(b, 0) AS b"]
+    log = spark.createDataFrame([(1, "select", cols, [], "unbalanced parentheses"), (2, "select", ["a"], [], ""), (3, "join", [], [], "")],
+                                "query_id bigint, section string, columns array<string>, converted_columns array<string>, response_error string")
+    once = V.convert_columns(log)
+    for out in (once, V.convert_columns(once)):  # a refresh adds no reason twice
+        got = {r.query_id: r for r in out.collect()}
+        assert got[1].converted_columns == [f"COALESCE(c{i}, 0)" for i in range(10)] + ["ROWNUM AS r", "COALESCE(b, 0) AS b"]
+        assert got[1].response_error == "unbalanced parentheses; unsupported: rownum"
+        assert got[2].converted_columns == ["a"] and got[2].response_error == "" and got[3].converted_columns == []
+
+
 def test_star_expand_is_literal(spark):
     df = spark.createDataFrame([("SELECT * FROM t", ["a", "'$1 \\\\'"])], "c string, cols array<string>")
     out = df.select(A.star_expand(F.col("c"), F.col("cols"), F.col("cols")).alias("o")).first().o
