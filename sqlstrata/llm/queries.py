@@ -30,5 +30,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_passages": op10_passages,
 }
 
+_SHA_BITS = """array_to_string(list_transform(range(1, 41), lambda i:
+  ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][
+    strpos('0123456789abcdef', substr(sha, i, 1))]), '')"""
+
+_WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS sha FROM pages),
+b AS (SELECT page_id, body, n, {_SHA_BITS} AS bits, max(page_id) OVER (PARTITION BY body) AS keeper FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
+    + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT)
+    + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM b"""
+
+_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS f FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.f, r.f) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.f) = len(r.f) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+_JOIN = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS l FROM documents
+),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(l, i, i + 4), ' ') AS s
+  FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 4, 1) + 1)) AS i FROM w WHERE len(l) > 0)
+),
+n AS (SELECT doc_id, count(*) AS k FROM g GROUP BY doc_id),
+links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * p.c >= 80 * (na.k + nb.k - p.c)
+),
+r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN links l ON l.a = r.doc_id WHERE r.c < l.b
+),
+comp AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_shingles, comp.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)""".replace("\\\\", "\\")
+
 #: DuckDB twins, where SQL can express the query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc": _WARC, "op5_top_k": _TOP_K, "op6_trie_join": _JOIN}

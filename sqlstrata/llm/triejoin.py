@@ -331,4 +331,5 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op6_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_shingles", "component_id")

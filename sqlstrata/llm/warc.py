@@ -291,5 +291,4 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "warc")
     write_warc(pages_to_arc(spark.read.parquet(f"{sf_dir}/pages.parquet")), out, min_bytes=0)
     got = read_warc(spark, out)
-    return got.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to",
-                      "record_id", "uri", "date")
+    return got.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
