@@ -260,12 +260,12 @@ def matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
 # ---------------------------------------------------------------- counts in tables of fixed size
 
 
-def summed_table(rows: DataFrame, size: int, count: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
+def summed_table(rows: DataFrame, size: int, count: Callable[[pa.RecordBatch, np.ndarray], None], kind: str = "<u4") -> np.ndarray:
     """Add up a table of ``size`` numbers over all rows. ``count`` adds a
     batch to a task's own table; tasks hand on their tables in pieces, which
     are summed apart, one at a time. ``size`` does not follow the data, so the
-    result is fit for a broadcast."""
-    piece = min(size, 1 << 9)
+    result is fit for a broadcast. A task's numbers stop at the largest of ``kind``."""
+    piece, most = min(size, 1 << 10), np.iinfo(kind).max
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -273,7 +273,7 @@ def summed_table(rows: DataFrame, size: int, count: Callable[[pa.RecordBatch, np
             count(b, total)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size // piece)), pa.array(
-                [x.astype("<u4").tobytes() for x in total.reshape(-1, piece)], pa.binary())], names=["piece", "counts"])
+                [np.minimum(x, most).astype(kind).tobytes() for x in total.reshape(-1, piece)], pa.binary())], names=["piece", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, np.zeros(piece, np.int64)
@@ -288,7 +288,7 @@ def summed_table(rows: DataFrame, size: int, count: Callable[[pa.RecordBatch, np
                     yield done()
                     total = np.zeros(piece, np.int64)
                 at = key
-                total += np.frombuffer(raw.as_py(), "<u4")
+                total += np.frombuffer(raw.as_py(), kind)
         if at is not None:
             yield done()
 
@@ -307,20 +307,21 @@ class Frequent:
 
     def __init__(self, counts: np.ndarray):
         mean = counts.mean()
-        self.bound = int(mean + 8 * np.sqrt(mean) + 32)
-        self.table = counts > self.bound
+        self.bound = int(mean + 6 * np.sqrt(mean) + 8)
+        self.bits = np.packbits(counts > self.bound)
         self.shift = np.uint64(64 - (len(counts).bit_length() - 1))
 
     def marks(self, h: np.ndarray) -> np.ndarray:
-        return self.table[(h >> self.shift).astype(np.int64)]
+        at = (h >> self.shift).astype(np.int64)
+        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def frequent_ranges(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], log2: int = 18) -> Frequent:
+def frequent_ranges(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], log2: int = 22) -> Frequent:
     """Counts of the hashes of all texts, by range of the hash."""
     shift = np.uint64(64 - log2)
 
     def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        for b in slices(batch, "text"):
+        for b in slices(batch, "text", 8 << 20):
             total += np.bincount((hashes(*text_buffer(b.column(0))) >> shift).astype(np.int64), minlength=1 << log2)
 
-    return Frequent(summed_table(docs.select("text"), 1 << log2, count))
+    return Frequent(summed_table(docs.select("text"), 1 << log2, count, "<u2"))
