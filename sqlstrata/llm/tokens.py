@@ -82,8 +82,7 @@ class Encoder:
         self.fold = "Lowercase" in json.dumps(kind["normalizer"])
         self.model = None
         if "ByteLevel" in json.dumps(kind["pre_tokenizer"]):
-            self.model = Tokenizer(self.tok.model)
-            self.model.encode_special_tokens = True
+            self.model = self.tok.model
         self.memory = memory
         self.old: dict[bytes, bytes] = {}  # ids as little-endian words
         self.new: dict[bytes, bytes] = {}
@@ -93,13 +92,12 @@ class Encoder:
         run = (_LOWER_RUN if self.fold else _RUN).fullmatch
         quick = [i for i, c in enumerate(chunks) if run(c)] if self.model is not None else []
         out: list[bytes | None] = [None] * len(chunks)
-        for at in range(0, len(quick), 4096):
-            part = quick[at:at + 4096]
-            strip = self.fold
-            words = [(chunks[i].lstrip(" ") if strip else chunks[i]).translate(_ALPHABET) for i in part]
-            for i, e in zip(part, self.model.encode_batch(words, add_special_tokens=False)):
-                x = e.ids
-                out[i] = _words(len(x)).pack(*x)
+        if quick:
+            tokenize = self.model.tokenize
+            for i in quick:
+                word = chunks[i].lstrip(" ") if self.fold else chunks[i]
+                ids = [t.id for t in tokenize(word.translate(_ALPHABET))]
+                out[i] = _words(len(ids)).pack(*ids)
         slow = [i for i, x in enumerate(out) if x is None]
         for at in range(0, len(slow), 4096):
             part = slow[at:at + 4096]
