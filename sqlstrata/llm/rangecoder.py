@@ -45,12 +45,12 @@ MAGIC = b"MXR1"
 BLOCK = 1024
 #: Ids gathered before a segment is written; bounds a task's memory.
 SEGMENT_IDS = 6 << 20
-_HEAD = struct.Struct("<4sIII")  # magic, ids, 16-bit words, crc of the ids
+_HEAD = struct.Struct("<4sIII")  # magic, ids, 24-bit words, crc of the ids and then the words
 _SEG = struct.Struct("<4sIBII")  # magic, ids per block, bits of the order-0 total, distinct ids, bytes of the table
 _BITS = 10                       # entries of a block's order-1 and order-2 tables
 _MASK = (1 << _BITS) - 1
 _TOTAL = 65536
-_LOW = (1 << 32) - 1
+_LOW = (1 << 24) - 1  # the range is kept above this; words of 24 bits leave the coder
 #: Next confidence: after a miss (first eight), after a hit (last eight).
 _NEXT = np.array([0, 0, 0, 1, 1, 2, 2, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.int64)
 
@@ -136,17 +136,17 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
     rank[seen] = np.arange(len(seen))
     m = _Model(lanes)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-    width = 2 * block + 8  # an id takes four words at most, two on average by far
+    width = block + 8  # an id takes two words at most, half of one on average
     out = np.zeros(lanes * width, np.uint32)
     first = np.arange(lanes, dtype=np.int64) * width
     ptr = first.copy()
 
     def emit(at: np.ndarray) -> None:
         o, lo = ptr.take(at), low.take(at)
-        out[o] = lo >> 32
+        out[o] = lo >> 24
         ptr[at] = o + 1
-        low[at] = (lo & _LOW) << 16
-        rng[at] <<= 16
+        low[at] = (lo & _LOW) << 24
+        rng[at] <<= 24
 
     live = lanes
     for t in range(block):
@@ -155,7 +155,7 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
             if live == 0:
                 break
             m.keep(live)
-        if t % 64 == 0 and int((ptr - first).max()) + 64 * 4 + 8 > width:
+        if t % 64 == 0 and int((ptr - first).max()) + 64 * 2 + 8 > width:
             wide = np.zeros((lanes, 2 * width), np.uint32)
             wide[:, :width] = out.reshape(lanes, width)
             ptr += first
@@ -184,12 +184,9 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
             at = miss[r <= _LOW]
             if len(at):
                 emit(at)
-                at = at[rng.take(at) <= _LOW]
-                if len(at):
-                    emit(at)
         m.update(x)
     every = np.arange(lanes)
-    for _ in range(3):
+    for _ in range(2):
         emit(every)
     used = ptr - first
     rows = out.reshape(lanes, width)
@@ -197,15 +194,14 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
     words = rows[:, :int(used.max())].T.copy()
     for c in range(len(words) - 1, -1, -1):  # carries run towards the front
         v = words[c] + carry
-        words[c] = v & 0xFFFF
-        carry = v >> 16
-    words = np.ascontiguousarray(words.T.astype("<u2"))
+        words[c] = v & 0xFFFFFF
+        carry = v >> 24
+    words = np.ascontiguousarray(np.ascontiguousarray(words.T.astype("<u4")).view(np.uint8).reshape(lanes, -1, 4)[:, :, :3])
     table = zlib.compress(np.diff(seen, prepend=0).astype("<u4").tobytes() + share.astype("<u4").tobytes(), 6)
     parts = [_SEG.pack(MAGIC, block, bits, len(seen), len(table)), table]
     for i in range(lanes):
-        own = flat[i * block:min(n, (i + 1) * block)].astype("<u4")
-        parts.append(_HEAD.pack(MAGIC, len(own), int(used[i]), zlib.crc32(own.tobytes())))
-        parts.append(words[i, :used[i]].tobytes())
+        own, coded = flat[i * block:min(n, (i + 1) * block)].astype("<u4"), words[i, :used[i]].tobytes()
+        parts += [_HEAD.pack(MAGIC, len(own), int(used[i]), zlib.crc32(coded, zlib.crc32(own.tobytes()))), coded]
     return b"".join(parts)
 
 
@@ -232,19 +228,21 @@ def decode_segment(blob: bytes) -> np.ndarray:
             raise ValueError(f"damaged block header at byte {at}")
         magic, n, w, crc = _HEAD.unpack_from(blob, at)
         at += _HEAD.size
-        if magic != MAGIC or at + 2 * w > len(blob) or n > block:
+        if magic != MAGIC or at + 3 * w > len(blob) or n > block:
             raise ValueError(f"damaged block header at byte {at - _HEAD.size}")
         sizes.append(n), words.append(w), sums.append(crc), begin.append(at)
-        at += 2 * w
+        at += 3 * w
     lanes = len(sizes)
     if any(n != block for n in sizes[:-1]):
         raise ValueError("only the last block of a segment may be short")
-    code_words = np.concatenate([*(np.frombuffer(blob, "<u2", w, a) for w, a in zip(words, begin)), np.zeros(8, np.uint16)]).astype(np.int32)
+    parts = [np.frombuffer(blob, np.uint8, 3 * w, a) for w, a in zip(words, begin)]
+    three = np.concatenate([*parts, np.zeros(24, np.uint8)]).reshape(-1, 3).astype(np.int32)
+    code_words = three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16
     top = len(code_words) - 1
     ptr = np.cumsum([0, *words[:-1]]).astype(np.int64)
     code = np.zeros(lanes, np.int64)
-    for _ in range(3):
-        code = (code << 16) | code_words.take(np.minimum(ptr, top))
+    for _ in range(2):
+        code = (code << 24) | code_words.take(np.minimum(ptr, top))
         ptr += 1
     rng = np.full(lanes, 1 << 48, np.int64)
     grid = np.zeros((block, lanes), np.int32)
@@ -252,9 +250,9 @@ def decode_segment(blob: bytes) -> np.ndarray:
 
     def refill(at: np.ndarray) -> None:
         o = ptr.take(at)
-        code[at] = (code.take(at) << 16) | code_words.take(np.minimum(o, top))
+        code[at] = (code.take(at) << 24) | code_words.take(np.minimum(o, top))
         ptr[at] = o + 1
-        rng[at] <<= 16
+        rng[at] <<= 24
 
     live, last = lanes, sizes[-1]
     for t in range(block):
@@ -289,14 +287,11 @@ def decode_segment(blob: bytes) -> np.ndarray:
             at = miss[r <= _LOW]
             if len(at):
                 refill(at)
-                at = at[rng.take(at) <= _LOW]
-                if len(at):
-                    refill(at)
         grid[t, :live] = x
         m.update(x)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:(lanes - 1) * block + last].astype("<u4")
     for i in range(lanes):
-        if zlib.crc32(ids[i * block:(i + 1) * block].tobytes()) != sums[i]:
+        if zlib.crc32(parts[i].tobytes(), zlib.crc32(ids[i * block:(i + 1) * block].tobytes())) != sums[i]:
             raise ValueError(f"checksum of block {i} does not match")
     return ids
 
