@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from sqlstrata.llm.common import slices, span_hashes, text_buffer
 
 #: Labelled documents the classifier is fitted on, at most.
-SAMPLE = 8_000
+SAMPLE = 5_000
 BITS = 20
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -82,27 +82,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(feats: np.ndarray, sent: np.ndarray, doc_of_sent: np.ndarray, label: np.ndarray, epochs: int = EPOCHS) -> Model:
+def fit(feat: np.ndarray, sent: np.ndarray, doc_of_sent: np.ndarray, label: np.ndarray, epochs: int = EPOCHS) -> Model:
     """Maximise the noisy-or likelihood of the documents' labels (Adam with a
-    soft threshold). ``feats`` has a row per word, ``sent`` its sentence."""
+    soft threshold). ``feat`` and ``sent`` are the distinct (feature, sentence)
+    pairs."""
     n_sent, n_doc = len(doc_of_sent), len(label)
-    w = np.zeros(1 << BITS, np.float64)
+    w = np.zeros(1 << BITS, np.float32)
     if not label.any() or label.all() or not n_sent:
-        return Model(w.astype(np.float32), -30.0 if not label.any() else 0.0)
-    # features of too few documents say nothing
-    doc_of_word = doc_of_sent[sent]
-    keep = np.zeros(1 << BITS, bool)
-    pairs = np.unique(feats.astype(np.int64) * n_doc + doc_of_word[:, None])
-    keep[np.bincount(pairs // n_doc, minlength=1 << BITS) >= 3] = True
-    used = np.flatnonzero(keep)
+        return Model(w, -30.0 if not label.any() else 0.0)
+    used = np.flatnonzero(np.bincount(feat, minlength=1 << BITS) >= 3)  # rarer features say nothing
     small = np.full(1 << BITS, -1, np.int32)
-    small[used] = np.arange(len(used))
-    f = small[feats]
-    at = np.repeat(sent, feats.shape[1])[f.reshape(-1) >= 0]
-    f = f.reshape(-1)[f.reshape(-1) >= 0]
-    # a feature counts once in a sentence
-    both = np.unique(at * np.int64(len(used) + 1) + f)
-    at, f = (both // (len(used) + 1)).astype(np.int64), (both % (len(used) + 1)).astype(np.int32)
+    small[used] = np.arange(len(used), dtype=np.int32)
+    f = small[feat]
+    at, f = sent[f >= 0], f[f >= 0]
     y = label.astype(bool)
     v, b = np.zeros(len(used)), -6.0
     m, q, mb, qb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -117,12 +109,17 @@ def fit(feats: np.ndarray, sent: np.ndarray, doc_of_sent: np.ndarray, label: np.
         gb = g.sum()
         m, q = 0.9 * m + 0.1 * gv, 0.999 * q + 0.001 * gv * gv
         mb, qb = 0.9 * mb + 0.1 * gb, 0.999 * qb + 0.001 * gb * gb
-        rate = 0.25
-        v += rate * (m / (1 - 0.9 ** t)) / (np.sqrt(q / (1 - 0.999 ** t)) + 2e-5)
+        v += 0.25 * (m / (1 - 0.9 ** t)) / (np.sqrt(q / (1 - 0.999 ** t)) + 2e-5)
         v = np.sign(v) * np.maximum(0, np.abs(v) - 0.01)
         b += 0.1 * (mb / (1 - 0.9 ** t)) / (np.sqrt(qb / (1 - 0.999 ** t)) + 1e-8)
     w[used] = v
-    return Model(w.astype(np.float32), float(b))
+    return Model(w, float(b))
+
+
+def pairs(data: np.ndarray, s: np.ndarray, e: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (feature, sentence) pairs of a slice, by sentence."""
+    both = np.unique((sent[:, None] << BITS | features(data, s, e)).reshape(-1))
+    return (both & (1 << BITS) - 1).astype(np.int32), (both >> BITS).astype(np.int32)
 
 
 def _is_held_out(col: str):
@@ -145,23 +142,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for b in slices(batch, "text"):
                 data, off = text_buffer(b.column(0))
                 s, e, sent, row = sentences(data, off)
-                per = np.searchsorted(row[sent] if len(sent) else sent, np.arange(b.num_rows + 1))
-                lens = np.bincount(sent, minlength=len(row)).astype(np.int32)
+                f, of = pairs(data, s, e, sent)
                 begin = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
-                width = 1 + len(PREFIXES)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(1),
-                    pa.ListArray.from_arrays((per * width).astype(np.int32), pa.array(features(data, s, e).reshape(-1))),
-                    pa.ListArray.from_arrays(begin, pa.array(lens))], names=["y", "f", "lens"])
+                    b.column(1), pa.ListArray.from_arrays(np.searchsorted(of, begin).astype(np.int32), pa.array(f)),
+                    pa.ListArray.from_arrays(begin, pa.array(np.bincount(of, minlength=len(row)).astype(np.int32)))], names=["y", "f", "lens"])
 
     got = rows.mapInArrow(run, "y int, f array<int>, lens array<int>").toArrow()
     label = got.column("y").to_numpy()
-    f = got.column("f").combine_chunks()
     lens = got.column("lens").combine_chunks()
-    feats = f.flatten().to_numpy().reshape(-1, 1 + len(PREFIXES))
     flat = lens.flatten().to_numpy()
-    doc = np.repeat(np.arange(len(label)), np.diff(lens.offsets.to_numpy()))
-    return fit(feats, np.repeat(np.arange(len(flat)), flat), doc, label)
+    doc = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(lens.offsets.to_numpy()))
+    feat = got.column("f").combine_chunks().flatten().to_numpy()
+    return fit(feat, np.repeat(np.arange(len(flat), dtype=np.int32), flat), doc, label)
 
 
 def _score_slice(b: pa.RecordBatch, col: int, w: np.ndarray, bias: float) -> tuple[np.ndarray, ...]:
