@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlstrata.llm import chaining, mixing, packing, toxicity, triejoin
-from sqlstrata.llm.common import scratch, written
+from sqlstrata.llm.common import IdFilter, scratch, written
 from sqlstrata.llm.tokens import public_path
 
 
@@ -28,7 +28,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links connect, the one of smallest id stays, once."""
     found = written(triejoin.similarity_components(docs).select("doc_id", "component_id").filter("doc_id is not null"), "components")
     gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    some, rest = IdFilter(gone, "_gone").split(docs)
+    kept = rest.unionByName(some.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
     twice = written(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
                     .select(F.col("doc_id").alias("_twice")), "twice")
     if twice.isEmpty():

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sqlstrata.llm.common import (Frequent, frequent_ranges, mix64, ngram_hashes, shuffle_parts, slices, span_hashes,
+from sqlstrata.llm.common import (Frequent, IdFilter, frequent_ranges, mix64, ngram_hashes, shuffle_parts, slices, span_hashes,
                                   text_buffer, whole_runs, word_spans, written)
 
 K = 8
@@ -298,7 +298,7 @@ def _cuttings(docs: DataFrame, found: DataFrame) -> DataFrame:
              .agg(F.collect_list(F.struct("chain", "side", F.greatest(F.lit(0), F.col("a") - MARGIN).alias("a"),
                                           (F.col("b") + K + MARGIN).alias("b"))).alias("asked")))
     lists = written(lists.drop("part"), "requests")
-    rows = docs.join(lists, "doc_id").select("text", "asked")
+    rows = IdFilter(lists).split(docs)[0].join(lists, "doc_id").select("text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +308,7 @@ def _cuttings(docs: DataFrame, found: DataFrame) -> DataFrame:
                 out = []
                 for i, asked in enumerate(b.column(1).to_pylist()):
                     words = h[cut[i]:cut[i + 1]]
-                    out += [(q["chain"], q["side"], q["a"], words[q["a"]:q["b"]].tobytes()) for q in asked]
+                    out += [(q["chain"], q["side"], q["a"], words[q["a"]:q["b"]].astype(np.uint32).tobytes()) for q in asked]
                 if out:
                     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
@@ -338,7 +338,7 @@ def _aligned(found: DataFrame, cuttings: DataFrame) -> DataFrame:
                 if 0 not in sides or 1 not in sides or sides[-1] != 2:
                     continue
                 i, j = a + sides.index(0), a + sides.index(1)
-                p, q = np.frombuffer(words[i].as_py(), np.uint64), np.frombuffer(words[j].as_py(), np.uint64)
+                p, q = np.frombuffer(words[i].as_py(), np.uint32), np.frombuffer(words[j].as_py(), np.uint32)
                 x = np.array(xs[b - 1].as_py(), np.int64) - first[i]
                 y = np.array(ys[b - 1].as_py(), np.int64) - first[j]
                 if x[-1] + K > len(p) or y[-1] + K > len(q):
@@ -406,7 +406,8 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
     per = passages.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
     per = written(per, "cuts")  # passages of one document do not overlap: bounded by its text
     names_ = docs.columns
-    rows = docs.join(per, F.col(id_col) == F.col("_id"), "left").select(*names_, "_cuts")
+    touched, rest = IdFilter(per, "_id").split(docs, id_col)
+    rows = touched.join(per, F.col(id_col) == F.col("_id"), "left").select(*names_, "_cuts")
     at = names_.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,7 +438,7 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
                 cols[at] = pa.array(texts, cols[at].type)
                 yield pa.RecordBatch.from_arrays(cols, names=names_).filter(pa.array(keep))
 
-    return rows.mapInArrow(run, docs.schema)
+    return rest.unionByName(rows.mapInArrow(run, docs.schema))
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

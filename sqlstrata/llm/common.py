@@ -325,3 +325,42 @@ def frequent_ranges(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray],
             total += np.bincount((hashes(*text_buffer(b.column(0))) >> shift).astype(np.int64), minlength=1 << log2)
 
     return Frequent(summed_table(docs.select("text"), 1 << log2, count, "<u2"))
+
+
+# ---------------------------------------------------------------- rows of a few ids
+
+
+class IdFilter:
+    """A bit table of fixed size over hashed ids: never misses one of them.
+
+    Where the ids are few next to the documents, it keeps the others' texts out
+    of a shuffle; the join that follows decides. With ever more ids it lets
+    ever more through, and results stay the same."""
+
+    LOG2 = 23
+
+    def __init__(self, ids: DataFrame, col: str = "doc_id"):
+        def count(b: pa.RecordBatch, total: np.ndarray) -> None:
+            at = self.places(b.column(0))
+            total += np.bincount(at, minlength=len(total))
+
+        table = summed_table(ids.select(F.col(col).cast("long").alias("id")).filter("id is not null"), 1 << self.LOG2, count, "<u2")
+        self.bits = np.packbits(table > 0)
+
+    def places(self, col: pa.Array) -> np.ndarray:
+        ids = col.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return (mix64(ids + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.LOG2)).astype(np.int64)
+
+    def split(self, docs: DataFrame, col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+        """(rows that may have one of the ids, rows that surely have none)."""
+        at, bits, places = docs.columns.index(col), self.bits, self.places
+
+        def part(inside: bool):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    p = places(b.column(at))
+                    hit = (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool) & b.column(at).is_valid().to_numpy(zero_copy_only=False)
+                    yield b.filter(pa.array(hit if inside else ~hit))
+            return run
+
+        return docs.mapInArrow(part(True), docs.schema), docs.mapInArrow(part(False), docs.schema)

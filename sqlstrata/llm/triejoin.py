@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlstrata.llm.common import (Frequent, connected_components, frequent_ranges, mix64, ngram_hashes, shuffle_parts, slices, span_hashes,
+from sqlstrata.llm.common import (Frequent, IdFilter, connected_components, frequent_ranges, mix64, ngram_hashes, shuffle_parts, slices, span_hashes,
                                   text_buffer, whole_runs, word_spans, written)
 
 WORDS = 5
@@ -232,7 +232,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, order: Frequent, words: int, perc
         blocks.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
                       F.lit(True).alias("probe")))
     roles = written(roles, "roles")
-    wanted = docs.join(roles.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = written(roles.select("doc_id").distinct(), "ids")
+    wanted = IdFilter(ids).split(docs)[0].join(ids, "doc_id", "left_semi")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
