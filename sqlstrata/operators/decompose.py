@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from sqlstrata.functions import patterns as P
 from sqlstrata.functions.text import ordered_concat, strip_comments, strip_ws
+from sqlstrata.session import materialize
 
 UNB = Window.unboundedPreceding
 UNF = Window.unboundedFollowing
@@ -247,16 +248,13 @@ def subqueries_full(corpus: DataFrame) -> DataFrame:
     wl = (Window.partitionBy("query_id", "section_id", "level").orderBy("pos")
                 .rowsBetween(0, UNF))
     copies = copies.withColumn("n", F.first(closen, ignorenulls=True).over(wl))
-    text = copies.filter(F.col("level") <= F.col("top"))
+    # a close adds no text at its own level, but keeps an empty subquery's row
+    text = copies.withColumn("tok", F.when(F.col("level") <= F.col("top"), F.col("tok")).otherwise(F.lit("")))
     full = (text.groupBy("query_id", "section_id", "n")
                 .agg(F.first("section").alias("section"), ordered_concat().alias("full_sub_query")))
-    # subqueries with an empty body still get a row
-    ids = tok.filter(F.col("isclose")).select(
-        "query_id", "section_id", F.col("n0").alias("n"), "section")
-    return (ids.join(full.drop("section"), ["query_id", "section_id", "n"], "left")
-               .select("query_id", "section_id", "n",
-                       _identifier(F.col("section"), F.col("section_id"), F.col("n")).alias("id"),
-                       F.coalesce("full_sub_query", F.lit("")).alias("full_sub_query")))
+    return full.filter("n is not null").select(
+        "query_id", "section_id", "n", _identifier(F.col("section"), F.col("section_id"), F.col("n")).alias("id"),
+        "full_sub_query")
 
 
 # ---------------------------------------------------------------------------
@@ -482,14 +480,15 @@ def named_view(corpus: DataFrame) -> DataFrame:
     that do not start with WITH or SELECT give one ``main`` row with an
     ``error`` instead of raising.
     """
-    ctes = cte_list(corpus)
-    log = decompose_log(corpus)
+    # both are read twice below: computed once, into the shared folder
+    ctes = materialize(cte_list(corpus))
+    log = materialize(decompose_log(corpus).select("query_id", "section", "section_id", "type", "identifier", "content"))
     head = corpus.select("query_id", strip_ws(strip_comments("sql")).alias("t"))
     good = F.upper(F.col("t")).rlike(r"^(WITH|SELECT)([^A-Z0-9_$#]|$)")
     ok = head.filter(good).select("query_id")
     bad = head.filter(~good | F.col("t").isNull())
     none = F.lit(None).cast("string")
-    cte_rows = ctes.join(ok, "query_id", "left_semi").select(
+    cte_rows = ctes.select(  # only texts that start with WITH have any
         "query_id", F.coalesce("name", F.concat(F.lit("cte_"), F.col("cte_pos"))).alias("name"), F.lit("cte").alias("type"),
         F.col("body").alias("query"), "error")
     ctes = ctes.filter("name is not null")

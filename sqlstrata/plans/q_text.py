@@ -465,7 +465,7 @@ def q_named_view(spark, sf):
 
 @register("main_text", O.with_(*_DLOG, O.CTE_LIST, O.NAMED_VIEW, O.MAIN_TEXT, body="SELECT query_id, main FROM mt"))
 def q_main_text(spark, sf):
-    return A.main_text(materialize(D.named_view(_corpus(spark, sf))))
+    return A.main_text(D.named_view(_corpus(spark, sf)))
 
 
 # --- E6, F6: column conversion and the staged job ---------------------------------

@@ -11,7 +11,7 @@ registry.load_all()
 
 @pytest.mark.parametrize("key", ["decompose_log", "log_with_columns", "pipeline_stage1",
                                  "extract_tables", "convert_log", "convert_columns", "assemble_query", "final_row",
-                                 "pipeline_stage2", "pipeline_stage3", "split_sections", "extract_subqueries"])
+                                 "pipeline_stage2", "pipeline_stage3", "split_sections", "extract_subqueries", "subqueries_full"])
 def test_text_chain_has_one_exchange(spark, key):
     s = shape(registry.QUERIES[key](spark, SMOKE_DIR))
     assert s["exchanges"] == 1, s
