@@ -189,7 +189,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
          .filter("u is not null and v is not null and u <> v").distinct())
     e = written(e, "cc")
     mark = None
-    while True:
+    while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -40,6 +40,8 @@ WORDS = 5
 PERCENT = 80
 #: Sets that meet their probe at once.
 BLOCK = 256
+#: Parts that the rows of a frequent shingle are dealt out to.
+SALTS = 64
 _U = np.uint64
 
 
@@ -188,8 +190,13 @@ def _prefixes(docs: DataFrame, order: Frequent, words: int, percent: int) -> Dat
 
 
 def _shared_only(rows: DataFrame) -> DataFrame:
-    """Distinct rows of shingles that occur in several sets. For shingles
-    outside the frequent ranges: their groups are bounded."""
+    """Distinct rows of shingles that occur in several sets, or may: outside the
+    frequent ranges a shingle's group is bounded and meets in one task, which
+    drops those of a single set. Frequent ones are dealt out by their set too,
+    and stay."""
+    salt = F.when(F.col("late"), F.pmod(F.xxhash64("k1"), F.lit(SALTS))).otherwise(F.lit(0))
+    dealt = rows.repartition(shuffle_parts(rows.sparkSession), "h", salt)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -202,12 +209,12 @@ def _shared_only(rows: DataFrame) -> DataFrame:
         new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
         by, h = by[new], h[new]
         same = h[1:] == h[:-1]
-        keep = np.zeros(len(h), bool)
+        keep = t.column("late").to_numpy()[by]
         keep[1:] |= same
         keep[:-1] |= same
-        yield from t.take(pa.array(by[keep])).combine_chunks().to_batches()
+        yield from t.select(["h", "k1", "n"]).take(pa.array(by[keep])).combine_chunks().to_batches()
 
-    return rows.mapInArrow(run, "h long, k1 long, n int")
+    return dealt.mapInArrow(run, "h long, k1 long, n int")
 
 
 def _enough(percent: int):
@@ -274,10 +281,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A null, empty or blank text has no shingles and links with nothing: its row
     is its own component. A null id keeps its size and belongs to no component.
-    Rows that repeat an id are one document: their sets count as linked. Other columns are ignored, an
-    empty table gives no rows.
+    Rows that repeat an id are one document: their sets count as linked. Other
+    columns are ignored, an empty table gives no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = written(_describe(docs, words), "named")
     classes = (named.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles")
@@ -285,11 +291,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = written(classes, "classes")
     order = frequent_ranges(docs, lambda data, off: shingle_sets(data, off, words)[0])
     rows = _prefixes(docs.filter("doc_id is not null"), order, words, percent)
-    light = _shared_only(rows.filter(~F.col("late")).select("h", "k1", "n").repartition(shuffle_parts(spark), "h"))
-    heavy = rows.filter("late").select("h", "k1", "n").distinct()
-    named_rows = light.unionByName(heavy)
     # a name that two sets should share only adds candidates
-    met = written(named_rows.join(classes.select("k1", F.col("class_id").alias("doc")), "k1").select("h", "doc", "n"), "met")
+    met = written(_shared_only(rows).join(classes.select("k1", F.col("class_id").alias("doc")), "k1").select("h", "doc", "n"), "met")
 
     # stars: every member of a group with the group's smallest
     low = met.groupBy("h").agg(F.min("doc").alias("a"))
@@ -316,12 +319,13 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         F.when(first, F.col("n")).otherwise(F.col("nx")).alias("m")).agg(F.count("*").alias("c"))
     rest = rest.filter(_enough(percent)).select("a", "b").distinct()
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = _verify(rest, docs, order, words, percent)
     # sets under one id are one document
     member = named.join(classes, ["k1", "k2", "n_shingles"]).filter("doc_id is not null").select("doc_id", F.col("class_id").alias("b"))
     several = member.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("z")).filter("a < z").drop("z")
     same = member.join(several, "doc_id").select("a", "b")
-    comp = written(connected_components(linked.unionByName(more).unionByName(same)), "cc")
+    extra = written(same if rest.isEmpty() else same.unionByName(_verify(rest, docs, order, words, percent)), "extra")
+    if not extra.isEmpty():
+        comp = written(connected_components(linked.unionByName(extra)), "cc")
 
     joined = classes.join(comp, F.col("class_id") == F.col("node"), "left").select(
         "k1", "k2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
