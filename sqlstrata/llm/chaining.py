@@ -44,6 +44,8 @@ MAX_GAP, MARGIN = 40, 48
 MIN_SHARE = 0.6
 #: Cuttings of a text that are made at once.
 REQUESTS = 256
+#: Parts that the rows of a frequent seed are dealt out to.
+SALTS = 64
 _U = np.uint64
 
 
@@ -241,8 +243,13 @@ def _seed_rows(docs: DataFrame, often: Frequent) -> DataFrame:
 
 
 def _shared_seeds(rows: DataFrame) -> DataFrame:
-    """Rows whose seed occurs under several names. For seeds outside the
-    frequent ranges: their groups are bounded."""
+    """Distinct rows whose seed occurs under several names, or may: outside the
+    frequent ranges a seed's group is bounded and meets in one task, which drops
+    those of a single name. Frequent ones are dealt out by their name too, and
+    stay."""
+    salt = F.when(F.col("late"), F.pmod(F.xxhash64("k1"), F.lit(SALTS))).otherwise(F.lit(0))
+    dealt = rows.repartition(shuffle_parts(rows.sparkSession), "h", salt)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -257,9 +264,10 @@ def _shared_seeds(rows: DataFrame) -> DataFrame:
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(start, len(h)))
         several = (k[start] != k[start + size - 1])  # sorted by name within a seed
-        yield from t.take(pa.array(by[np.repeat(several, size)])).combine_chunks().to_batches()
+        keep = np.repeat(several, size) | t.column("late").to_numpy()[by]
+        yield from t.select(["h", "k1", "pos"]).take(pa.array(by[keep])).combine_chunks().to_batches()
 
-    return rows.mapInArrow(run, "h long, k1 long, pos int")
+    return dealt.mapInArrow(run, "h long, k1 long, pos int")
 
 
 def _chained(matches: DataFrame) -> DataFrame:
@@ -363,7 +371,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that repeat an id are one document. Other columns are ignored, an empty
     table gives no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     named = written(_named(docs), "names")
     first = written(named.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc")), "first")
@@ -373,10 +380,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     often = frequent_ranges(docs, lambda data, off: seeds(*word_hashes(data, off))[0])
     rows = _seed_rows(docs, often)
-    light = _shared_seeds(rows.filter(~F.col("late")).select("h", "k1", "pos").repartition(shuffle_parts(spark), "h"))
-    heavy = rows.filter("late").select("h", "k1", "pos").distinct()
     # a name that two texts should share only adds matches, which alignment drops
-    met = light.unionByName(heavy).join(first.select("k1", "doc"), "k1").select("h", "doc", "pos")
+    met = _shared_seeds(rows).join(first.select("k1", "doc"), "k1").select("h", "doc", "pos")
     met = written(met, "seeds")
     owner = met.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("h", "owner")
     place = met.join(owner, "h").filter("doc = owner").groupBy("h", "owner").agg(F.min("pos").alias("opos"))
