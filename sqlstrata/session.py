@@ -76,3 +76,16 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package (once per context), so that
+    tasks import it wherever the driver was started and whatever is installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sqlstrata_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="sqlstrata-pkg-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "sqlstrata-package"), "zip", os.path.dirname(root), os.path.basename(root)))
+    sc._sqlstrata_shipped = True
