@@ -30,7 +30,9 @@ SAMPLE = 5_000
 BITS = 20
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
-EPOCHS = 70
+EPOCHS = 400
+#: Labelled documents a feature must occur in, and how far above chance.
+MIN_DOCS, MIN_Z = 3, 5.0
 
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
@@ -82,6 +84,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def suspects(feat: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Features that occur in far more labelled documents than their number
+    explains: ``MIN_DOCS`` at least, and ``MIN_Z`` standard deviations above the
+    labels' share. The others would only fit chance."""
+    often = np.bincount(feat, minlength=1 << BITS) >= MIN_DOCS
+    keep = often[feat]
+    both = np.unique(feat[keep].astype(np.int64) * len(y) + doc[keep])
+    feat, doc = both // len(y), both % len(y)
+    n = np.bincount(feat, minlength=1 << BITS)
+    hit = np.bincount(feat, weights=y[doc], minlength=1 << BITS)
+    share = y.mean()
+    return np.flatnonzero((hit >= MIN_DOCS) & (hit - n * share > MIN_Z * np.sqrt(n * share * (1 - share))))
+
+
 def fit(feat: np.ndarray, sent: np.ndarray, doc_of_sent: np.ndarray, label: np.ndarray, epochs: int = EPOCHS) -> Model:
     """Maximise the noisy-or likelihood of the documents' labels (Adam with a
     soft threshold). ``feat`` and ``sent`` are the distinct (feature, sentence)
@@ -90,12 +106,14 @@ def fit(feat: np.ndarray, sent: np.ndarray, doc_of_sent: np.ndarray, label: np.n
     w = np.zeros(1 << BITS, np.float32)
     if not label.any() or label.all() or not n_sent:
         return Model(w, -30.0 if not label.any() else 0.0)
-    used = np.flatnonzero(np.bincount(feat, minlength=1 << BITS) >= 3)  # rarer features say nothing
+    y = label.astype(bool)
+    used = suspects(feat, doc_of_sent[sent], y)
+    if not len(used):
+        return Model(w, -30.0)
     small = np.full(1 << BITS, -1, np.int32)
     small[used] = np.arange(len(used), dtype=np.int32)
     f = small[feat]
     at, f = sent[f >= 0], f[f >= 0]
-    y = label.astype(bool)
     v, b = np.zeros(len(used)), -6.0
     m, q, mb, qb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     up = max(1.0, (~y).sum() / max(1, y.sum()) / 2)
