@@ -7,6 +7,7 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from sqlstrata.llm import chaining, mixing, packing, toxicity, triejoin
 from sqlstrata.llm.common import IdFilter, scratch, written
 from sqlstrata.llm.tokens import public_path
+from sqlstrata.session import ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +57,24 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, public_path("byte_bpe_50k.json"), end_id=1)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [(name, _shipped(stage)) for name, stage in (
     ("toxicity", drop_toxic),
     ("ngram_join", one_of_each),
     ("substring_dedup", cut_passages),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
-]
+)]
 
 #: A trained classifier and token ids are beyond SQL.
 ORACLE_SQL: str | None = None

@@ -32,7 +32,7 @@ from sqlstrata.llm.tokens import encoder, public_path
 
 CAPACITY = 2048
 QUADRATIC = 1 / 2048
-GROUP_IDS = 2 << 20
+GROUP_IDS = 1 << 20
 
 Piece = tuple[int, int, int, int, int]  # document, start, length, sequence, offset
 
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
             return pa.RecordBatch.from_arrays(cols, schema=schema)
 
         for batch in batches:
-            for b in slices(batch, "text", 8 << 20):
+            for b in slices(batch, "text", 4 << 20):
                 flat, n = enc.encode(*text_buffer(b.column(1)))
                 ends = np.cumsum(n)
                 ids.append(np.insert(flat, ends, end_id))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,21 @@ from sqlstrata.llm.topk import op5_top_k
 from sqlstrata.llm.toxicity import op2_toxicity
 from sqlstrata.llm.triejoin import op6_trie_join
 from sqlstrata.llm.warc import op3_warc
+from sqlstrata.session import ship_package
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    """The query, with this package on the executors before its tasks start."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES: dict[str, Query] = {k: _shipped(q) for k, q in {
     "op1_token_files": op1_token_files,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
@@ -28,7 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_vectors": op8_near_vectors,
     "op9_mix": op9_mix,
     "op10_passages": op10_passages,
-}
+}.items()}
 
 _SHA_BITS = """array_to_string(list_transform(range(1, 41), lambda i:
   ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][

@@ -322,7 +322,7 @@ def _segments(path: str, end_id: int, block: int):
             return row
 
         for batch in batches:
-            for b in slices(batch, "text", 8 << 20):
+            for b in slices(batch, "text", 4 << 20):
                 data, off = text_buffer(b.column(1))
                 flat, n = enc.encode(data, off)
                 ends = np.cumsum(n)
