@@ -268,7 +268,7 @@ def summed_table(rows: DataFrame, size: int, count: Callable[[pa.RecordBatch, np
     piece, most = min(size, 1 << 10), np.iinfo(kind).max
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.uint32)
         for b in batches:
             count(b, total)
         if total.any():
@@ -322,7 +322,8 @@ def frequent_ranges(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray],
 
     def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
         for b in slices(batch, "text"):
-            total += np.bincount((hashes(*text_buffer(b.column(0))) >> shift).astype(np.int64), minlength=1 << log2)
+            at, n = np.unique(hashes(*text_buffer(b.column(0))) >> shift, return_counts=True)
+            total[at.astype(np.int64)] += n.astype(np.uint32)
 
     return Frequent(summed_table(docs.select("text"), 1 << log2, count, "<u2"))
 
@@ -337,12 +338,11 @@ class IdFilter:
     of a shuffle; the join that follows decides. With ever more ids it lets
     ever more through, and results stay the same."""
 
-    LOG2 = 23
+    LOG2 = 20
 
     def __init__(self, ids: DataFrame, col: str = "doc_id"):
         def count(b: pa.RecordBatch, total: np.ndarray) -> None:
-            at = self.places(b.column(0))
-            total += np.bincount(at, minlength=len(total))
+            total[self.places(b.column(0))] = 1
 
         table = summed_table(ids.select(F.col(col).cast("long").alias("id")).filter("id is not null"), 1 << self.LOG2, count, "<u2")
         self.bits = np.packbits(table > 0)

@@ -91,7 +91,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
         for b in slices(batch, "text"):
             g, row = grams(*text_buffer(b.column(1)))
             lang = np.array([place[x] for x in b.column(0).to_pylist()], np.int64)
-            total += np.bincount(lang[row] << GRAM_BITS | g, minlength=len(total))
+            total += np.bincount(lang[row] << GRAM_BITS | g, minlength=len(total)).astype(np.uint32)
 
     counts = summed_table(rows, len(langs) << GRAM_BITS, count).reshape(len(langs), -1)
     p = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * counts.shape[1])
