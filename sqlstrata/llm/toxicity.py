@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlstrata.llm.common import slices, span_hashes, text_buffer
+from sqlstrata.llm.common import slices, span_hashes, text_buffer, written
 
 #: Labelled documents the classifier is fitted on, at most.
-SAMPLE = 5_000
+SAMPLE = 12_000
 BITS = 20
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -84,36 +84,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def suspects(feat: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Features that occur in far more labelled documents than their number
-    explains: ``MIN_DOCS`` at least, and ``MIN_Z`` standard deviations above the
-    labels' share. The others would only fit chance."""
-    often = np.bincount(feat, minlength=1 << BITS) >= MIN_DOCS
-    keep = often[feat]
-    both = np.unique(feat[keep].astype(np.int64) * len(y) + doc[keep])
-    feat, doc = both // len(y), both % len(y)
-    n = np.bincount(feat, minlength=1 << BITS)
-    hit = np.bincount(feat, weights=y[doc], minlength=1 << BITS)
-    share = y.mean()
-    return np.flatnonzero((hit >= MIN_DOCS) & (hit - n * share > MIN_Z * np.sqrt(n * share * (1 - share))))
-
-
-def fit(feat: np.ndarray, sent: np.ndarray, doc_of_sent: np.ndarray, label: np.ndarray, epochs: int = EPOCHS) -> Model:
+def fit(used: np.ndarray, f: np.ndarray, at: np.ndarray, doc_of_sent: np.ndarray, label: np.ndarray, epochs: int = EPOCHS) -> Model:
     """Maximise the noisy-or likelihood of the documents' labels (Adam with a
-    soft threshold). ``feat`` and ``sent`` are the distinct (feature, sentence)
-    pairs."""
+    soft threshold). ``f`` and ``at`` are the distinct pairs of a feature, as an
+    index into ``used``, and a sentence."""
     n_sent, n_doc = len(doc_of_sent), len(label)
     w = np.zeros(1 << BITS, np.float32)
-    if not label.any() or label.all() or not n_sent:
-        return Model(w, -30.0 if not label.any() else 0.0)
     y = label.astype(bool)
-    used = suspects(feat, doc_of_sent[sent], y)
-    if not len(used):
-        return Model(w, -30.0)
-    small = np.full(1 << BITS, -1, np.int32)
-    small[used] = np.arange(len(used), dtype=np.int32)
-    f = small[feat]
-    at, f = sent[f >= 0], f[f >= 0]
+    if not len(used) or y.all():
+        return Model(w, 0.0 if y.any() and y.all() else -30.0)
     v, b = np.zeros(len(used)), -6.0
     m, q, mb, qb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     up = max(1.0, (~y).sum() / max(1, y.sum()) / 2)
@@ -134,6 +113,15 @@ def fit(feat: np.ndarray, sent: np.ndarray, doc_of_sent: np.ndarray, label: np.n
     return Model(w, float(b))
 
 
+def _suspects(counts: DataFrame, docs: int, positive: int) -> np.ndarray:
+    """Features that occur in far more labelled documents than their number
+    explains: ``MIN_DOCS`` at least, and ``MIN_Z`` standard deviations above the
+    labels' share. The others would only fit chance. ``counts``: (f, n, hit)."""
+    share = positive / docs
+    above = F.col("hit") - F.col("n") * share > MIN_Z * F.sqrt(F.col("n") * (share * (1 - share)))
+    return np.sort(counts.filter((F.col("hit") >= MIN_DOCS) & above).select("f").toArrow().column("f").to_numpy()).astype(np.int64)
+
+
 def pairs(data: np.ndarray, s: np.ndarray, e: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (feature, sentence) pairs of a slice, by sentence."""
     both = np.unique((sent[:, None] << BITS | features(data, s, e)).reshape(-1))
@@ -155,24 +143,48 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most ``sample`` ids with a label each
     rows = rows.join(F.broadcast(lab), "_id").select("text", "_y")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = written(rows, "labelled")
+    size = rows.agg(F.count("*").alias("n"), F.sum("_y").alias("hit")).first()
+    if not size["hit"]:
+        return Model(np.zeros(1 << BITS, np.float32), -30.0)
+
+    def in_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
-                data, off = text_buffer(b.column(0))
-                s, e, sent, row = sentences(data, off)
-                f, of = pairs(data, s, e, sent)
+                f, of, row = _pairs_of(b)
+                both = np.unique(row[of].astype(np.int64) << BITS | f)
+                y = b.column(1).to_numpy()[both >> BITS]
+                yield pa.RecordBatch.from_arrays([pa.array((both & (1 << BITS) - 1).astype(np.int32)), pa.array(y)], names=["f", "y"])
+
+    counts = rows.mapInArrow(in_documents, "f int, y int").groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("hit"))
+    used = _suspects(counts, size["n"], size["hit"])
+    index = np.full(1 << BITS, -1, np.int32)
+    index[used] = np.arange(len(used), dtype=np.int32)
+
+    def of_suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text"):
+                f, of, row = _pairs_of(b)
+                of, f = of[index[f] >= 0], index[f][index[f] >= 0]
                 begin = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     b.column(1), pa.ListArray.from_arrays(np.searchsorted(of, begin).astype(np.int32), pa.array(f)),
                     pa.ListArray.from_arrays(begin, pa.array(np.bincount(of, minlength=len(row)).astype(np.int32)))], names=["y", "f", "lens"])
 
-    got = rows.mapInArrow(run, "y int, f array<int>, lens array<int>").toArrow()
+    got = rows.mapInArrow(of_suspects, "y int, f array<int>, lens array<int>").toArrow()
     label = got.column("y").to_numpy()
     lens = got.column("lens").combine_chunks()
     flat = lens.flatten().to_numpy()
     doc = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(lens.offsets.to_numpy()))
     feat = got.column("f").combine_chunks().flatten().to_numpy()
-    return fit(feat, np.repeat(np.arange(len(flat), dtype=np.int32), flat), doc, label)
+    return fit(used, feat, np.repeat(np.arange(len(flat), dtype=np.int32), flat), doc, label)
+
+
+def _pairs_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (feature, sentence) pairs of the rows, and the row of each sentence."""
+    data, off = text_buffer(b.column(0))
+    s, e, sent, row = sentences(data, off)
+    return *pairs(data, s, e, sent), row
 
 
 def _score_slice(b: pa.RecordBatch, col: int, w: np.ndarray, bias: float) -> tuple[np.ndarray, ...]:

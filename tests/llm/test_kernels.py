@@ -218,7 +218,9 @@ def test_noisy_or_learns_the_offending_word():
         labels.append(int(y))
     data, off = text_buffer(pa.array(texts))
     s, e, sent, row = toxicity.sentences(data, off)
-    model = toxicity.fit(*toxicity.pairs(data, s, e, sent), row, np.array(labels))
+    f, of = toxicity.pairs(data, s, e, sent)
+    used, f = np.unique(f, return_inverse=True)
+    model = toxicity.fit(used, f, of, row, np.array(labels))
     b = pa.RecordBatch.from_arrays([pa.array(["all w1 w2. you grubblez w3", "w5 w6. w7", ""])], names=["text"])
     total, rows, _, _, p = toxicity._score_slice(b, 0, model.weights, model.bias)
     assert total[0] > 0.7 and total[1] < 0.3 and total[2] == 0
