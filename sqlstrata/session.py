@@ -80,8 +80,15 @@ def materialize(df):
 
 def ship_package(spark: SparkSession) -> None:
     """Give the executors' Python this package (once per context), so that
-    tasks import it wherever the driver was started and whatever is installed."""
+    tasks import it wherever the driver was started and whatever is installed.
+
+    Also bounds the rows of an Arrow batch where the session has Spark's own
+    default, which is made for narrow rows: 10,000 long texts are held several
+    times over, in the JVM and in Python."""
     sc = spark.sparkContext
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch, "10000") == "10000":
+        spark.conf.set(batch, "2000")
     if getattr(sc, "_sqlstrata_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
