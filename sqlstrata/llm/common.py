@@ -7,6 +7,7 @@ bounded in bytes, so memory does not follow the batch size Spark chose.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,6 +60,20 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between stages, and
+    what their allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim  # glibc only
+except (OSError, AttributeError):
+    _TRIM = None
+
+
 def slices(batch: pa.RecordBatch, col: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` text bytes each (one
     row at least, however long)."""
@@ -69,6 +84,7 @@ def slices(batch: pa.RecordBatch, col: str = "text", limit: int = SLICE_BYTES) -
         to = min(n, max(at + 1, to))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 # ---------------------------------------------------------------- words

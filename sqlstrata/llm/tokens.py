@@ -40,7 +40,7 @@ _FOLD[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
 
 #: Distinct chunks of a generation. A worker remembers two generations: the
 #: chunks met since the last change, and those of the one before.
-MEMORY = 300_000
+MEMORY = 200_000
 
 # the byte alphabet of byte-level vocabularies (a fixed rule: printable bytes
 # stand for themselves, the others follow from 256 on)
