@@ -88,7 +88,7 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(batch, "10000") == "10000":
-        spark.conf.set(batch, "2000")
+        spark.conf.set(batch, "1000")
     if getattr(sc, "_sqlstrata_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
