@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sqlstrata.session import checkpoint_dir
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 # ---------------------------------------------------------------- tables
 
