@@ -111,7 +111,7 @@ def _evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFram
                 raw = [x or "" for x in b.column(2).to_pylist()]
                 g, row = grams(*text_buffer(pa.array([page_text(x) for x in raw], pa.string())))
                 ll = np.stack([np.bincount(row, weights=table[g, k], minlength=len(raw)) for k in range(table.shape[1])], axis=1)
-                ll *= TEMPER
+                ll = ll * TEMPER  # of integers, where no page has a trigram
                 parts = list(zip(*(host_parts(u) for u in b.column(1).to_pylist())))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), *(pa.array(p, pa.string()) for p in parts), pa.array([declared_language(x) for x in raw], pa.string()),
