@@ -1,11 +1,9 @@
 """Repeated passages by collinear chaining of shared k-mer seeds.
 
-Seeds are runs of ``K`` words whose smallest word hash is the first or the
-last (closed syncmers): the choice depends on the run alone, so texts that
-share words share seeds, and every run of 2K - 1 words holds one. A seed's
-first occurrence in the corpus (smallest document id) owns it. A document's
-other occurrences are matched with the owner's, so the matches grow with the
-text and not with the square of the copies.
+Seeds are all runs of ``K`` words, so ``K`` equal words in a row are a match
+wherever they stand. A seed's first occurrence in the corpus (smallest document
+id) owns it. A document's other occurrences are matched with the owner's, so
+the matches grow with the text and not with the square of the copies.
 
 The matches of a (document, owner) pair are chained: both positions rise along
 a chain, each step pays for the words it skips on either side, and the best
@@ -32,10 +30,10 @@ from pyspark.sql import functions as F
 from sqlstrata.llm.common import (Frequent, IdFilter, frequent_ranges, mix64, ngram_hashes, shuffle_parts, slices, span_hashes,
                                   text_buffer, whole_runs, word_spans, written)
 
-K = 8
+K = 4
 MIN_WORDS = 50
-#: Matched words a chain must have to be aligned.
-MIN_CHAIN = 12
+#: Matched words a chain must have to be aligned: two seeds side by side.
+MIN_CHAIN = 2 * K
 #: Cost of a word skipped on either side, in matched words.
 GAP = 0.05
 #: Words that a chain may skip at once, and words aligned beyond its ends.
@@ -46,6 +44,8 @@ MIN_SHARE = 0.6
 REQUESTS = 256
 #: Parts that the rows of a frequent seed are dealt out to.
 SALTS = 64
+#: Parts of the seeds per shuffle partition: a task holds all rows of its part.
+SEED_PARTS = 4
 _U = np.uint64
 
 
@@ -60,15 +60,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def seeds(h: np.ndarray, row: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of the first word) of the rows' seeds."""
-    g, at = ngram_hashes(h, row, k)
-    if not len(at):
-        return g, at
-    low = h[at + 1].copy()
-    for i in range(2, k - 1):
-        np.minimum(low, h[at + i], out=low)
-    a, z = h[at], h[at + k - 1]
-    pick = np.minimum(a, z) <= low
-    return g[pick], at[pick]
+    return ngram_hashes(h, row, k)
 
 
 def names(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,15 +155,13 @@ def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int =
     (start, end in a; start, end in b; equal words). Between anchors the
     longest common subsequence counts; at the ends the alignment goes on while
     equal words pay for the skipped ones."""
-    equal = 0
-    for i in range(len(xs)):
-        x0, y0 = int(xs[i]), int(ys[i])
-        if i + 1 == len(xs):
-            equal += k
-            break
-        dx, dy = int(xs[i + 1]) - x0, int(ys[i + 1]) - y0
+    steps, steps_b = np.diff(xs), np.diff(ys)
+    near = (steps == steps_b) & (steps <= k)
+    equal = k + int(steps[near].sum())
+    for i in np.flatnonzero(~near).tolist():
+        x0, y0, dx, dy = int(xs[i]), int(ys[i]), int(steps[i]), int(steps_b[i])
         if dx == dy:
-            equal += min(dx, k) + int((a[x0 + k:x0 + dx] == b[y0 + k:y0 + dy]).sum())
+            equal += k + int((a[x0 + k:x0 + dx] == b[y0 + k:y0 + dy]).sum())
         else:
             equal += min(dx, dy, k) + _common(a[x0 + k:x0 + dx], b[y0 + k:y0 + dy])
     e = _extend(a[int(xs[-1]) + k:], b[int(ys[-1]) + k:])
@@ -248,7 +238,7 @@ def _shared_seeds(rows: DataFrame) -> DataFrame:
     those of a single name. Frequent ones are dealt out by their name too, and
     stay."""
     salt = F.when(F.col("late"), F.pmod(F.xxhash64("k1"), F.lit(SALTS))).otherwise(F.lit(0))
-    dealt = rows.repartition(shuffle_parts(rows.sparkSession), "h", salt)
+    dealt = rows.repartition(SEED_PARTS * shuffle_parts(rows.sparkSession), "h", salt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -280,7 +270,8 @@ def _chained(matches: DataFrame) -> DataFrame:
             doc, owner = t.column("doc").to_numpy(), t.column("owner").to_numpy()
             x, y = t.column("pos").to_numpy().astype(np.int64), t.column("opos").to_numpy().astype(np.int64)
             rows = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            enough = np.diff(cuts) * K >= MIN_CHAIN
+            for a, b in zip(cuts[:-1][enough].tolist(), cuts[1:][enough].tolist()):
                 for c in chains(x[a:b], y[a:b]):
                     xs, ys = x[a + c], y[a + c]
                     if matched_words(xs) >= MIN_CHAIN:

@@ -494,3 +494,63 @@ def test_every_long_exact_repeat_is_found(spark):
         got[x.doc_id].update(range(x.start, x.end))
     # where the first occurrence differs from a later one, a word at the edge may be left
     assert covered and all(len(c - got[d]) <= 2 for d, c in covered.items())
+
+
+def edited(r, passage, say, replaced, shifted=0.0):
+    out = []
+    for w in passage:
+        u = r.random()
+        if u < replaced:
+            out += say(1)
+        elif u < replaced + shifted:
+            out += [w, *say(1)] if r.random() < 0.5 else []
+        else:
+            out.append(w)
+    return out
+
+
+def common_words(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [max(row[j + 1], row[j] + (x == y)) for j, y in enumerate(b)]
+        for j in range(len(b)):
+            row[j + 1] = max(row[j + 1], row[j])
+    return row[-1]
+
+
+def lost_passages(spark, r, say, cases):
+    """Of (kind, passage, copy), how many of each kind have less than 50 words found; all are similar enough by brute force."""
+    rows = []
+    for i, (_, p, q) in enumerate(cases):
+        assert common_words(p, q) >= chaining.MIN_SHARE * len(q)
+        rows += [(i, " ".join(say(50) + p + say(50)), "en", "s", 0), (1000 + i, " ".join(say(60) + q + say(60)), "en", "s", 0)]
+    got = defaultdict(int)
+    for x in chaining.repeated_passages(spark.createDataFrame(rows, DOCS)).collect():
+        i = x.doc_id - 1000
+        assert x.owner_id == i and 58 <= x.start and x.end <= 62 + len(cases[i][2])
+        got[i] = max(got[i], x.end - x.start)
+    lost = defaultdict(int)
+    for i, (kind, _, _) in enumerate(cases):
+        lost[kind] += got[i] < 50
+    return dict(lost)
+
+
+def test_fuzzy_passages_are_found(spark):
+    r = random.Random(31)
+    say = lambda k: [f"w{r.randrange(10 ** 9)}" for _ in range(k)]
+    cases = []
+    for every in (5, 6, 8, 10):
+        for n in (55, 75, 100):
+            p = say(n)
+            cases.append(("regular", p, [say(1)[0] if i % every == every - 1 else w for i, w in enumerate(p)]))
+    for n in (50, 60, 100):
+        p = say(n)
+        cases.append(("regular", p, list(p)))
+    for kind, n, rate in (("60 words, 10%", 60, 0.1), ("60 words, 20%", 60, 0.2), ("100 words, 20%", 100, 0.2)):
+        for _ in range(40):
+            p = say(n)
+            q = edited(r, p, say, rate)
+            if common_words(p, q) >= chaining.MIN_SHARE * len(q):
+                cases.append((kind, p, q))
+    lost = lost_passages(spark, r, say, cases)
+    assert lost["regular"] == 0 and lost["60 words, 10%"] <= 3 and lost["60 words, 20%"] <= 10 and lost["100 words, 20%"] <= 1
