@@ -153,34 +153,60 @@ def matched_words(x: np.ndarray, k: int = K) -> int:
 def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = K) -> tuple[int, int, int, int, int]:
     """Word alignment of ``a`` and ``b`` along anchors at ``xs``/``ys``:
     (start, end in a; start, end in b; equal words). Between anchors the
-    longest common subsequence counts; at the ends the alignment goes on while
-    equal words pay for the skipped ones."""
+    longest common subsequence counts; at the ends the alignment goes on, over
+    words that only one side has too, while equal words pay for the others."""
+    return align_many([(a, b, xs, ys)], k)[0]
+
+
+def align_many(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], k: int = K) -> list[tuple[int, int, int, int, int]]:
+    """``align`` of many (a, b, xs, ys); their ends are aligned together."""
+    ends = []
+    for a, b, xs, ys in pairs:
+        x0, x1, y0, y1 = int(xs[0]), int(xs[-1]) + k, int(ys[0]), int(ys[-1]) + k
+        ends += [(a[max(0, x0 - MARGIN):x0][::-1], b[max(0, y0 - MARGIN):y0][::-1]), (a[x1:x1 + MARGIN], b[y1:y1 + MARGIN])]
+    went = _extend(ends)
+    out = []
+    for (a, b, xs, ys), (i, j, n), (p, q, m) in zip(pairs, went[::2].tolist(), went[1::2].tolist()):
+        out.append((int(xs[0]) - i, int(xs[-1]) + k + p, int(ys[0]) - j, int(ys[-1]) + k + q, _inside(a, b, xs, ys, k) + n + m))
+    return out
+
+
+def _inside(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int) -> int:
+    """Equal words from the first anchor to the end of the last."""
     steps, steps_b = np.diff(xs), np.diff(ys)
     near = (steps == steps_b) & (steps <= k)
     equal = k + int(steps[near].sum())
     for i in np.flatnonzero(~near).tolist():
         x0, y0, dx, dy = int(xs[i]), int(ys[i]), int(steps[i]), int(steps_b[i])
-        if dx == dy:
-            equal += k + int((a[x0 + k:x0 + dx] == b[y0 + k:y0 + dy]).sum())
-        else:
-            equal += min(dx, dy, k) + _common(a[x0 + k:x0 + dx], b[y0 + k:y0 + dy])
-    e = _extend(a[int(xs[-1]) + k:], b[int(ys[-1]) + k:])
-    s = _extend(a[:int(xs[0])][::-1], b[:int(ys[0])][::-1])
-    return (int(xs[0]) - s[0], int(xs[-1]) + k + e[0], int(ys[0]) - s[0], int(ys[-1]) + k + e[0], equal + s[1] + e[1])
-
-
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Words to go on along the diagonal, and equal words there: an equal word
-    pays for one that differs."""
-    m = min(len(a), len(b))
-    if m == 0:
-        return 0, 0
-    same = a[:m] == b[:m]
-    gain = np.cumsum(np.where(same, 1, -2))
-    if gain.max() <= 0:
-        return 0, 0
-    at = len(gain) - 1 - int(np.argmax(gain[::-1]))
-    return at + 1, int(same[:at + 1].sum())
+        p, q = a[x0 + k:x0 + dx], b[y0 + k:y0 + dy]
+        same = int((p == q).sum()) if dx == dy else 0
+        equal += min(dx, dy, k) + (same if dx == dy and same >= dx - k - 1 else _common(p, q))
+    return equal
+
+
+def _extend(ends: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(words of a, words of b, equal words) to go on from the start of each
+    (a, b): where the longest common subsequence is furthest above
+    ``MIN_SHARE`` of the words on both sides."""
+    n, lengths = len(ends), np.array([(len(a), len(b)) for a, b in ends]).reshape(-1, 2)
+    high, wide = lengths.max(axis=0) if n else (0, 0)
+    a, b = np.zeros((n, high), np.uint64), np.zeros((n, wide), np.uint64)
+    for i, (x, y) in enumerate(ends):
+        a[i, :len(x)], b[i, :len(y)] = x, y
+    beyond = np.arange(wide) >= lengths[:, 1:]
+    out, best = np.zeros((n, 3), np.int64), np.zeros(n)
+    row, every = np.zeros((n, wide + 1), np.int32), np.arange(n)
+    for i in range(high):
+        hit = (b == a[:, i:i + 1]) & ~beyond & (i < lengths[:, :1])
+        row[:, 1:] = np.maximum(row[:, 1:], row[:, :-1] + hit)
+        row = np.maximum.accumulate(row, axis=1)
+        score = row - MIN_SHARE / 2 * (i + 1 + np.arange(wide + 1))
+        at = score.argmax(axis=1)
+        top = score[every, at]
+        more = np.flatnonzero(top > best + 1e-9)
+        best[more] = top[more]
+        out[more] = np.stack([np.full(len(more), i + 1), at[more], row[more, at[more]]], axis=1)
+    return out
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -331,7 +357,7 @@ def _aligned(found: DataFrame, cuttings: DataFrame) -> DataFrame:
             side = t.column("side").to_pylist()
             first, words = t.column("first").to_pylist(), t.column("words")
             doc, owner, xs, ys = (t.column(c) for c in ("doc", "owner", "xs", "ys"))
-            out = []
+            keys, pairs = [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 sides = side[a:b]
                 if 0 not in sides or 1 not in sides or sides[-1] != 2:
@@ -342,9 +368,12 @@ def _aligned(found: DataFrame, cuttings: DataFrame) -> DataFrame:
                 y = np.array(ys[b - 1].as_py(), np.int64) - first[j]
                 if x[-1] + K > len(p) or y[-1] + K > len(q):
                     continue  # cut from another text of a repeated id
-                s, e, os_, oe, same = align(p, q, x, y)
+                keys.append((doc[b - 1].as_py(), owner[b - 1].as_py(), first[i], first[j]))
+                pairs.append((p, q, x, y))
+            out = []
+            for (d, o, at, oat), (s, e, os_, oe, same) in zip(keys, align_many(pairs)):
                 if same >= MIN_SHARE * (e - s):
-                    out.append((doc[b - 1].as_py(), owner[b - 1].as_py(), s + first[i], e + first[i], os_ + first[j], oe + first[j], same))
+                    out.append((d, o, s + at, e + at, os_ + oat, oe + oat, same))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=cols)
 

@@ -317,3 +317,17 @@ def test_align_bridges_changes():
 def test_ids_crc_is_of_little_endian_words():
     ids = np.array([1, 70_000], "<u4")
     assert zlib.crc32(ids.tobytes()) == zlib.crc32(struct.pack("<2I", 1, 70_000))
+
+
+def test_ends_are_aligned_over_gaps():
+    r = random.Random(4)
+    for _ in range(150):
+        a = [r.randrange(6) for _ in range(r.randint(0, 14))]
+        b = [r.randrange(6) for _ in range(r.randint(0, 14))]
+        common = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                common[i + 1][j + 1] = max(common[i][j] + (x == y), common[i][j + 1], common[i + 1][j])
+        best = max(common[i][j] - chaining.MIN_SHARE / 2 * (i + j) for i in range(len(a) + 1) for j in range(len(b) + 1))
+        i, j, n = chaining._extend([(np.array(a, np.uint64), np.array(b, np.uint64)), (np.arange(20), np.arange(20))])[0].tolist()
+        assert n == common[i][j] and abs(n - chaining.MIN_SHARE / 2 * (i + j) - best) < 1e-6

@@ -554,3 +554,24 @@ def test_fuzzy_passages_are_found(spark):
                 cases.append((kind, p, q))
     lost = lost_passages(spark, r, say, cases)
     assert lost["regular"] == 0 and lost["60 words, 10%"] <= 3 and lost["60 words, 20%"] <= 10 and lost["100 words, 20%"] <= 1
+
+
+def test_passages_with_shifts_at_their_ends_are_found(spark):
+    r = random.Random(32)
+    say = lambda k: [f"w{r.randrange(10 ** 9)}" for _ in range(k)]
+    cases = []
+    for gap in (3, 9):  # the last run of equal words long enough for a seed is far from the end
+        for n in (1, 2):
+            for side in (1, -1):
+                p = say(60)
+                q = p[:42] + [w for i in range(42, 60, 3) for w in [*p[i:i + 2], *say(1), p[i + 2]]]
+                cases.append(("inserted", p[::side], q[::side]))
+            p = say(60)
+            q = list(p)
+            del q[60 - gap - n:60 - gap], q[gap:gap + n]
+            cases.append(("deleted", p, q))
+    for _ in range(60):
+        p = say(60)
+        cases.append(("60 words, 5% + 5%", p, edited(r, p, say, 0.05, 0.05)))
+    lost = lost_passages(spark, r, say, cases)
+    assert lost.pop("60 words, 5% + 5%") <= 1 and not any(lost.values())
