@@ -10,6 +10,9 @@ library encodes those not remembered, and numpy strings the ids together.
 A chunk of letters with at most one blank before them is one run for the
 pre-tokenizer; such chunks go to the library's model at once, in the byte
 alphabet that its pre-tokenizer would have given them.
+
+Rows that hold the string of an added token (``<|endoftext|>``) go to the
+library whole, which finds such strings before it cuts anything.
 """
 
 from __future__ import annotations
@@ -67,10 +70,11 @@ def _words(n: int) -> struct.Struct:
 
 
 class Encoder:
-    """Ids of UTF-8 rows by one tokenizer file, ``add_special_tokens=False``;
-    the special tokens' strings in a text are ordinary text."""
+    """Ids of UTF-8 rows by one tokenizer file, ``add_special_tokens=False``.
+    With ``added`` the strings of added tokens in a text are those tokens, as
+    the library has it; without, special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, memory: int = MEMORY):
+    def __init__(self, path: str, memory: int = MEMORY, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -83,6 +87,9 @@ class Encoder:
         self.model = None
         if "ByteLevel" in json.dumps(kind["pre_tokenizer"]):
             self.model = self.tok.model
+        tokens = kind["added_tokens"] if added else []
+        self.added = [t["content"].encode("utf-8") for t in tokens]
+        self.anywhere = any(t["normalized"] for t in tokens)  # found in normalized text: no row is known not to hold one
         self.memory = memory
         self.old: dict[bytes, bytes] = {}  # ids as little-endian words
         self.new: dict[bytes, bytes] = {}
@@ -123,8 +130,35 @@ class Encoder:
             new[c] = x
         return list(map(new.__getitem__, chunks))
 
+    def _holds_added(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        out = np.full(len(off) - 1, self.anywhere)
+        raw = data.tobytes() if self.added and not self.anywhere else b""
+        for x in self.added:
+            at = raw.find(x)
+            while at >= 0:
+                row = int(np.searchsorted(off, at, side="right")) - 1
+                out[row] |= at + len(x) <= off[row + 1]
+                at = raw.find(x, at + 1)
+        return out
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in a row, number of ids of each row)."""
+        whole = self._holds_added(data, off)
+        if not whole.any():
+            return self._encode_chunks(data, off)
+        size = np.diff(off)
+        texts = [data[off[i]:off[i + 1]].tobytes().decode("utf-8") for i in np.flatnonzero(whole).tolist()]
+        self.tok.encode_special_tokens = False
+        found = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        self.tok.encode_special_tokens = True
+        rest, n_rest = self._encode_chunks(data[np.repeat(~whole, size)], np.append(0, np.cumsum(size[~whole])))
+        n = np.zeros(len(size), np.int64)
+        n[whole], n[~whole] = [len(x) for x in found], n_rest
+        ids, there = np.zeros(int(n.sum()), np.uint32), np.repeat(whole, n)
+        ids[there], ids[~there] = np.array([i for x in found for i in x], np.uint32), rest
+        return ids, n
+
+    def _encode_chunks(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(off) - 1
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
@@ -150,7 +184,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file, kept between tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, added=True)
     return _ENCODERS[path]
 
 

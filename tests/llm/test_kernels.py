@@ -11,7 +11,7 @@ import pytest
 
 from sqlstrata.llm import chaining, mixing, packing, rangecoder, toxicity, triejoin, warc
 from sqlstrata.llm.common import ngram_hashes, slices, span_hashes, text_buffer, word_spans
-from sqlstrata.llm.tokens import Encoder, public_path
+from sqlstrata.llm.tokens import Encoder, encoder, public_path
 
 PIECES = ["a", "B", "é", "É", "×", " ", "  ", "\n", "\t", " ", " ", "　", "'s", "'", "!", ".", ",", "1", "23", "ß", "日",
           "́", "é", " ́", "<|endoftext|>", "\x1c", "word", "Σ", "ς", "\x85", "ÿ", "-"]
@@ -331,3 +331,21 @@ def test_ends_are_aligned_over_gaps():
         best = max(common[i][j] - chaining.MIN_SHARE / 2 * (i + j) for i in range(len(a) + 1) for j in range(len(b) + 1))
         i, j, n = chaining._extend([(np.array(a, np.uint64), np.array(b, np.uint64)), (np.arange(20), np.arange(20))])[0].tolist()
         assert n == common[i][j] and abs(n - chaining.MIN_SHARE / 2 * (i + j) - best) < 1e-6
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoding_of_the_queries_equals_the_unchanged_library(name):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_path(name))
+    assert not whole.encode_special_tokens
+    r = random.Random(8)
+    literals = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "<|", "<|endo", "ftext|>"]
+    texts = ["the end <|endoftext|> next", None, "", "<|endoftext|>", " <|endoftext|><|endoftext|> ", "<|endo", "ftext|> in two rows",
+             "no literal", "É<|startoftext|>é"]
+    texts += random_texts(300, 17) + ["".join(r.choice(PIECES + literals * 2) for _ in range(r.randint(0, 30))) for _ in range(600)]
+    for part in (texts, texts[5:8], texts[:1], texts[1:3], [t for t in texts if t and "<|endoftext|>" in t]):
+        ids, n = encoder(public_path(name)).encode(*text_buffer(pa.array(part, pa.string())))
+        assert len(n) == len(part) and n.sum() == len(ids)
+        for t, x in zip(part, np.split(ids, np.cumsum(n)[:-1])):
+            assert x.tolist() == whole.encode(t or "", add_special_tokens=False).ids, repr(t)
