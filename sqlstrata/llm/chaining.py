@@ -2,8 +2,9 @@
 
 Seeds are all runs of ``K`` words, so ``K`` equal words in a row are a match
 wherever they stand. A seed's first occurrence in the corpus (smallest document
-id) owns it. A document's other occurrences are matched with the owner's, so
-the matches grow with the text and not with the square of the copies.
+id, then position) owns it. All other occurrences, the owner's later ones too,
+are matched with it, so the matches grow with the text and not with the square
+of the copies.
 
 The matches of a (document, owner) pair are chained: both positions rise along
 a chain, each step pays for the words it skips on either side, and the best
@@ -259,9 +260,9 @@ def _seed_rows(docs: DataFrame, often: Frequent) -> DataFrame:
 
 
 def _shared_seeds(rows: DataFrame) -> DataFrame:
-    """Distinct rows whose seed occurs under several names, or may: outside the
+    """Distinct rows whose seed occurs at several places, or may: outside the
     frequent ranges a seed's group is bounded and meets in one task, which drops
-    those of a single name. Frequent ones are dealt out by their name too, and
+    those of a single place. Frequent ones are dealt out by their name too, and
     stay."""
     salt = F.when(F.col("late"), F.pmod(F.xxhash64("k1"), F.lit(SALTS))).otherwise(F.lit(0))
     dealt = rows.repartition(SEED_PARTS * shuffle_parts(rows.sparkSession), "h", salt)
@@ -276,11 +277,10 @@ def _shared_seeds(rows: DataFrame) -> DataFrame:
         h, k, p = h[by], k[by], p[by]
         new = np.ones(len(h), bool)  # other tasks give the same rows of a copy
         new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1])
-        by, h, k = by[new], h[new], k[new]
+        by, h = by[new], h[new]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(start, len(h)))
-        several = (k[start] != k[start + size - 1])  # sorted by name within a seed
-        keep = np.repeat(several, size) | t.column("late").to_numpy()[by]
+        keep = np.repeat(size > 1, size) | t.column("late").to_numpy()[by]
         yield from t.select(["h", "k1", "pos"]).take(pa.array(by[keep])).combine_chunks().to_batches()
 
     return dealt.mapInArrow(run, "h long, k1 long, pos int")
@@ -386,7 +386,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     longest chain), ``equal`` (words of that chain that match), ``n_words`` of
     the document.
 
-    The document with the smallest id keeps a passage and has no row for it.
+    The document with the smallest id keeps a passage, where it first stands
+    there, and has no row for that place.
     Null, empty and short texts and rows with a null id have no passages. Rows
     that repeat an id are one document. Other columns are ignored, an empty
     table gives no rows.
@@ -403,9 +404,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # a name that two texts should share only adds matches, which alignment drops
     met = _shared_seeds(rows).join(first.select("k1", "doc"), "k1").select("h", "doc", "pos")
     met = written(met, "seeds")
-    owner = met.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("h", "owner")
-    place = met.join(owner, "h").filter("doc = owner").groupBy("h", "owner").agg(F.min("pos").alias("opos"))
-    matches = met.join(place, "h").filter("doc <> owner").select("doc", "owner", "pos", "opos")
+    place = met.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("o"), F.count("*").alias("n")).filter("n > 1").select(
+        "h", F.col("o.doc").alias("owner"), F.col("o.pos").alias("opos"))
+    matches = met.join(place, "h").filter("doc <> owner or pos <> opos").select("doc", "owner", "pos", "opos")
     found = written(_chained(matches), "chains")
     spans = written(_aligned(found, _cuttings(docs, found)), "passages")
     spans = spans.select("doc", "owner", "start", "end", "owner_start", "equal").unionByName(copies)

@@ -575,3 +575,17 @@ def test_passages_with_shifts_at_their_ends_are_found(spark):
         cases.append(("60 words, 5% + 5%", p, edited(r, p, say, 0.05, 0.05)))
     lost = lost_passages(spark, r, say, cases)
     assert lost.pop("60 words, 5% + 5%") <= 1 and not any(lost.values())
+
+
+def test_passages_repeated_within_their_first_document(spark):
+    r = random.Random(33)
+    say = lambda k: [f"w{r.randrange(10 ** 9)}" for _ in range(k)]
+    passage, line, apart = say(500), say(20), say(60)
+    docs = {1: passage * 20, 2: say(30) + apart + say(90) + apart + say(10), 3: line * 30, 4: say(300), 5: say(15) + passage + say(15)}
+    df = spark.createDataFrame([(d, " ".join(w), "en", "s", 0) for d, w in docs.items()], DOCS)
+    got = defaultdict(list)
+    for x in chaining.repeated_passages(df).collect():
+        got[x.doc_id].append((x.start, x.end, x.owner_id))
+    assert {d: sorted(v) for d, v in got.items()} == {1: [(500, 10_000, 1)], 2: [(180, 240, 2)], 3: [(20, 600, 3)], 5: [(15, 515, 1)]}
+    out = {x.doc_id: words(x.text) for x in chaining.without_passages(df, chaining.repeated_passages(df)).collect()}
+    assert out[1] == passage and out[2] == docs[2][:180] + docs[2][240:] and out[3] == line and out[4] == docs[4] and len(out[5]) == 30
