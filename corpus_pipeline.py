@@ -27,7 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one of smallest id stays, once."""
+    """Of documents that links connect, the one of smallest id stays. Of its rows
+    with the same text, the first by the other columns stays; rows with other
+    texts stay."""
     found = written(triejoin.similarity_components(docs).select("doc_id", "component_id").filter("doc_id is not null"), "components")
     gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     some, rest = IdFilter(gone, "_gone").split(docs)
@@ -36,7 +38,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     .select(F.col("doc_id").alias("_twice")), "twice")
     if twice.isEmpty():
         return kept
-    repeated = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
+    repeated = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    repeated = repeated.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_row")).select(
+        *[F.col(f"_row.{c}").alias(c) if c in rest else c for c in docs.columns])
     return kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(repeated)
 
 

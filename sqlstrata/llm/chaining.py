@@ -287,13 +287,13 @@ def _shared_seeds(rows: DataFrame) -> DataFrame:
 
 
 def _chained(matches: DataFrame) -> DataFrame:
-    """(chain, doc, owner, xs, ys) from (doc, owner, pos, opos)."""
-    cols = ["chain", "doc", "owner", "xs", "ys"]
+    """(chain, k1, ok1, xs, ys) from (k1, ok1, pos, opos)."""
+    cols = ["chain", "k1", "ok1", "xs", "ys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 40
-        for t, cuts in whole_runs(batches, ["doc", "owner"]):
-            doc, owner = t.column("doc").to_numpy(), t.column("owner").to_numpy()
+        for t, cuts in whole_runs(batches, ["k1", "ok1"]):
+            key, okey = t.column("k1").to_numpy(), t.column("ok1").to_numpy()
             x, y = t.column("pos").to_numpy().astype(np.int64), t.column("opos").to_numpy().astype(np.int64)
             rows = []
             enough = np.diff(cuts) * K >= MIN_CHAIN
@@ -301,26 +301,26 @@ def _chained(matches: DataFrame) -> DataFrame:
                 for c in chains(x[a:b], y[a:b]):
                     xs, ys = x[a + c], y[a + c]
                     if matched_words(xs) >= MIN_CHAIN:
-                        rows.append((n, int(doc[a]), int(owner[a]), xs.astype(np.int32), ys.astype(np.int32)))
+                        rows.append((n, int(key[a]), int(okey[a]), xs.astype(np.int32), ys.astype(np.int32)))
                         n += 1
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=cols)
 
-    dealt = matches.repartition(shuffle_parts(matches.sparkSession), "doc").sortWithinPartitions("doc", "owner", "pos")
-    return dealt.mapInArrow(run, "chain long, doc long, owner long, xs array<int>, ys array<int>")
+    dealt = matches.repartition(shuffle_parts(matches.sparkSession), "k1").sortWithinPartitions("k1", "ok1", "pos")
+    return dealt.mapInArrow(run, "chain long, k1 long, ok1 long, xs array<int>, ys array<int>")
 
 
 def _cuttings(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(chain, side, first, words): the words around a chain on both sides."""
     ask = found.select("chain", F.explode(F.array(
-        F.struct(F.col("doc").alias("doc_id"), F.lit(0).alias("side"), F.array_min("xs").alias("a"), F.array_max("xs").alias("b")),
-        F.struct(F.col("owner").alias("doc_id"), F.lit(1).alias("side"), F.array_min("ys").alias("a"), F.array_max("ys").alias("b")),
+        F.struct(F.col("doc").alias("doc_id"), F.col("k1").alias("key"), F.lit(0).alias("side"), F.array_min("xs").alias("a"), F.array_max("xs").alias("b")),
+        F.struct(F.col("owner").alias("doc_id"), F.col("ok1").alias("key"), F.lit(1).alias("side"), F.array_min("ys").alias("a"), F.array_max("ys").alias("b")),
     )).alias("s")).select("chain", "s.*")
     many = ask.groupBy("doc_id").agg(F.ceil(F.count("*") / REQUESTS).cast("int").alias("lists"))
     # an owner of many chains has its requests in several lists of bounded size
     lists = (ask.join(many, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("chain"), F.col("lists")).alias("part"))
-             .agg(F.collect_list(F.struct("chain", "side", F.greatest(F.lit(0), F.col("a") - MARGIN).alias("a"),
+             .agg(F.collect_list(F.struct("chain", "key", "side", F.greatest(F.lit(0), F.col("a") - MARGIN).alias("a"),
                                           (F.col("b") + K + MARGIN).alias("b"))).alias("asked")))
     lists = written(lists.drop("part"), "requests")
     rows = IdFilter(lists).split(docs)[0].join(lists, "doc_id").select("text", "asked")
@@ -330,10 +330,11 @@ def _cuttings(docs: DataFrame, found: DataFrame) -> DataFrame:
             for b in slices(batch, "text"):
                 h, row = word_hashes(*text_buffer(b.column(0)))
                 cut = np.searchsorted(row, np.arange(b.num_rows + 1))
+                k1 = names(h, row, b.num_rows)[0].tolist()
                 out = []
                 for i, asked in enumerate(b.column(1).to_pylist()):
                     words = h[cut[i]:cut[i + 1]]
-                    out += [(q["chain"], q["side"], q["a"], words[q["a"]:q["b"]].astype(np.uint32).tobytes()) for q in asked]
+                    out += [(q["chain"], q["side"], q["a"], words[q["a"]:q["b"]].astype(np.uint32).tobytes()) for q in asked if q["key"] == k1[i]]
                 if out:
                     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
@@ -343,20 +344,20 @@ def _cuttings(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _aligned(found: DataFrame, cuttings: DataFrame) -> DataFrame:
-    """(doc, owner, start, end, owner_start, owner_end, equal) in words."""
+    """(doc, k1, owner, start, end, owner_start, owner_end, equal) in words."""
     both = found.select("chain", F.lit(2).alias("side"), F.lit(0).alias("first"), F.lit(None).cast("binary").alias("words"),
-                        "doc", "owner", "xs", "ys")
+                        "doc", "k1", "owner", "xs", "ys")
     none = F.lit(None)
-    rows = cuttings.select("*", none.cast("long").alias("doc"), none.cast("long").alias("owner"), none.cast("array<int>").alias("xs"),
-                           none.cast("array<int>").alias("ys")).unionByName(both)
+    rows = cuttings.select("*", none.cast("long").alias("doc"), none.cast("long").alias("k1"), none.cast("long").alias("owner"),
+                           none.cast("array<int>").alias("xs"), none.cast("array<int>").alias("ys")).unionByName(both)
     rows = rows.repartition(shuffle_parts(found.sparkSession), "chain").sortWithinPartitions("chain", "side")
-    cols = ["doc", "owner", "start", "end", "owner_start", "owner_end", "equal"]
+    cols = ["doc", "k1", "owner", "start", "end", "owner_start", "owner_end", "equal"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in whole_runs(batches, ["chain"], 4096):
             side = t.column("side").to_pylist()
             first, words = t.column("first").to_pylist(), t.column("words")
-            doc, owner, xs, ys = (t.column(c) for c in ("doc", "owner", "xs", "ys"))
+            doc, key, owner, xs, ys = (t.column(c) for c in ("doc", "k1", "owner", "xs", "ys"))
             keys, pairs = [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 sides = side[a:b]
@@ -366,14 +367,12 @@ def _aligned(found: DataFrame, cuttings: DataFrame) -> DataFrame:
                 p, q = np.frombuffer(words[i].as_py(), np.uint32), np.frombuffer(words[j].as_py(), np.uint32)
                 x = np.array(xs[b - 1].as_py(), np.int64) - first[i]
                 y = np.array(ys[b - 1].as_py(), np.int64) - first[j]
-                if x[-1] + K > len(p) or y[-1] + K > len(q):
-                    continue  # cut from another text of a repeated id
-                keys.append((doc[b - 1].as_py(), owner[b - 1].as_py(), first[i], first[j]))
+                keys.append((doc[b - 1].as_py(), key[b - 1].as_py(), owner[b - 1].as_py(), first[i], first[j]))
                 pairs.append((p, q, x, y))
             out = []
-            for (d, o, at, oat), (s, e, os_, oe, same) in zip(keys, align_many(pairs)):
+            for (d, k1, o, at, oat), (s, e, os_, oe, same) in zip(keys, align_many(pairs)):
                 if same >= MIN_SHARE * (e - s):
-                    out.append((d, o, s + at, e + at, os_ + oat, oe + oat, same))
+                    out.append((d, k1, o, s + at, e + at, os_ + oat, oe + oat, same))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=cols)
 
@@ -384,53 +383,57 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per repeated passage of a document: ``doc_id, start, end`` (in
     words, end exclusive), ``owner_id, owner_start`` (the earlier place of its
     longest chain), ``equal`` (words of that chain that match), ``n_words`` of
-    the document.
+    the document's text and ``text_key``, which names that text.
 
     The document with the smallest id keeps a passage, where it first stands
     there, and has no row for that place.
     Null, empty and short texts and rows with a null id have no passages. Rows
-    that repeat an id are one document. Other columns are ignored, an empty
+    that repeat an id and a text are one document; different texts of an id are
+    apart, and the one of smallest ``text_key`` comes first. Other columns are ignored, an empty
     table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     named = written(_named(docs), "names")
     first = written(named.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc")), "first")
     copies = named.join(first, ["k1", "k2", "n"]).filter("doc_id <> doc").filter(F.col("n") >= min_words).select(
-        F.col("doc_id").alias("doc"), F.col("doc").alias("owner"), F.lit(0).cast("long").alias("start"), F.col("n").alias("end"),
+        F.col("doc_id").alias("doc"), "k1", F.col("doc").alias("owner"), F.lit(0).cast("long").alias("start"), F.col("n").alias("end"),
         F.lit(0).cast("long").alias("owner_start"), F.col("n").alias("equal")).distinct()
 
     often = frequent_ranges(docs, lambda data, off: seeds(*word_hashes(data, off))[0])
     rows = _seed_rows(docs, often)
-    # a name that two texts should share only adds matches, which alignment drops
-    met = _shared_seeds(rows).join(first.select("k1", "doc"), "k1").select("h", "doc", "pos")
+    place = first.groupBy("k1").agg(F.min("doc").alias("doc"))
+    met = _shared_seeds(rows).join(place, "k1").select("h", "doc", "k1", "pos")
     met = written(met, "seeds")
-    place = met.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("o"), F.count("*").alias("n")).filter("n > 1").select(
-        "h", F.col("o.doc").alias("owner"), F.col("o.pos").alias("opos"))
-    matches = met.join(place, "h").filter("doc <> owner or pos <> opos").select("doc", "owner", "pos", "opos")
-    found = written(_chained(matches), "chains")
+    owner = met.groupBy("h").agg(F.min(F.struct("doc", "k1", "pos")).alias("o"), F.count("*").alias("n")).filter("n > 1").select(
+        "h", F.col("o.k1").alias("ok1"), F.col("o.pos").alias("opos"))
+    matches = met.join(owner, "h").filter("k1 <> ok1 or pos <> opos").select("k1", "ok1", "pos", "opos")
+    found = _chained(matches).join(place, "k1").join(place.select(F.col("k1").alias("ok1"), F.col("doc").alias("owner")), "ok1")
+    found = written(found.select("chain", "doc", "k1", "owner", "ok1", "xs", "ys"), "chains")
     spans = written(_aligned(found, _cuttings(docs, found)), "passages")
-    spans = spans.select("doc", "owner", "start", "end", "owner_start", "equal").unionByName(copies)
-    return _united(spans, min_words).join(named.groupBy("doc_id").agg(F.max("n").alias("n_words")), "doc_id")
+    spans = spans.select("doc", "k1", "owner", "start", "end", "owner_start", "equal").unionByName(copies)
+    return _united(spans, min_words).join(named.groupBy("doc_id", F.col("k1").alias("text_key")).agg(F.max("n").alias("n_words")),
+                                          ["doc_id", "text_key"])
 
 
 def _united(spans: DataFrame, min_words: int) -> DataFrame:
-    """Overlapping and touching spans of a document as one."""
-    w = Window.partitionBy("doc").orderBy("start", "end", "owner", "owner_start")
+    """Overlapping and touching spans of a text as one."""
+    w = Window.partitionBy("doc", "k1").orderBy("start", "end", "owner", "owner_start")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     part = spans.withColumn("fresh", (before.isNull() | (F.col("start") > before + 1)).cast("int"))
     part = part.withColumn("part", F.sum("fresh").over(w))
     best = F.max_by(F.struct("owner", "owner_start", "equal"), F.struct("equal", -F.col("owner"), -F.col("owner_start"))).alias("best")
-    out = part.groupBy("doc", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), best)
+    out = part.groupBy("doc", "k1", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), best)
     return out.filter(F.col("end") - F.col("start") >= min_words).select(
-        F.col("doc").alias("doc_id"), "start", "end", F.col("best.owner").alias("owner_id"), F.col("best.owner_start"), F.col("best.equal"))
+        F.col("doc").alias("doc_id"), F.col("k1").alias("text_key"), "start", "end", F.col("best.owner").alias("owner_id"),
+        F.col("best.owner_start"), F.col("best.equal"))
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the passages cut out of their texts (whole words, with
-    the blanks before them). A document that held nothing else goes; all other
+    """``docs`` with the passages cut out of the texts they name (whole words,
+    with the blanks before them). A document that held nothing else goes; all other
     rows and columns stay."""
-    per = passages.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    per = written(per, "cuts")  # passages of one document do not overlap: bounded by its text
+    per = passages.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "text_key"))).alias("_cuts"))
+    per = written(per, "cuts")  # passages of one text do not overlap: bounded by its text
     names_ = docs.columns
     touched, rest = IdFilter(per, "_id").split(docs, id_col)
     rows = touched.join(per, F.col(id_col) == F.col("_id"), "left").select(*names_, "_cuts")
@@ -446,8 +449,10 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
                 data, off = text_buffer(b.column(at))
                 s, e, row = word_spans(data, off)
                 cut = np.searchsorted(row, np.arange(b.num_rows + 1))
+                k1 = names(span_hashes(data, s, e), row, b.num_rows)[0].tolist()
                 texts, keep = b.column(at).to_pylist(), np.ones(b.num_rows, bool)
                 for i, c in enumerate(cuts):
+                    c = [q for q in c or () if q["text_key"] == k1[i]]
                     if not c:
                         continue
                     raw, parts, pos = bytes(data[off[i]:off[i + 1]]), [], 0

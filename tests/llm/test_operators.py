@@ -589,3 +589,22 @@ def test_passages_repeated_within_their_first_document(spark):
     assert {d: sorted(v) for d, v in got.items()} == {1: [(500, 10_000, 1)], 2: [(180, 240, 2)], 3: [(20, 600, 3)], 5: [(15, 515, 1)]}
     out = {x.doc_id: words(x.text) for x in chaining.without_passages(df, chaining.repeated_passages(df)).collect()}
     assert out[1] == passage and out[2] == docs[2][:180] + docs[2][240:] and out[3] == line and out[4] == docs[4] and len(out[5]) == 30
+
+
+def test_different_texts_of_one_id_are_apart(spark):
+    import corpus_pipeline
+
+    r = random.Random(34)
+    say = lambda k: [f"w{r.randrange(10 ** 9)}" for _ in range(k)]
+    p, q = say(80), say(80)
+    one, other, long, copy = say(10) + p + say(10), say(70) + q + say(300), say(400), say(30)
+    rows = [(1, " ".join(p), "en", "s", 0), (2, " ".join(q), "en", "s", 0)]
+    rows += [(5, " ".join(w), "en", "s", 0) for w in (one, other, long, copy, copy)]
+    rows += [(6, "x y z", "b", "s", 0), (6, "x y z", "a", "t", 0), (6, "x y z", "b", "a", 0), (6, None, "a", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    found = chaining.repeated_passages(df)
+    assert sorted((x.doc_id, x.start, x.end, x.owner_id, x.n_words) for x in found.collect()) == [(5, 10, 90, 1, 100), (5, 70, 150, 2, 450)]
+    out = sorted(words(x.text) for x in chaining.without_passages(df, found).filter("doc_id = 5").collect())
+    assert out == sorted([one[:10] + one[90:], other[:70] + other[150:], long, copy, copy])
+    kept = [tuple(x) for x in corpus_pipeline.one_of_each(spark, df, "").collect()]
+    assert sorted(kept, key=str) == sorted({x for x in rows if x[0] < 6} | {rows[-1], rows[-3]}, key=str)
