@@ -13,6 +13,7 @@ from sqlstrata.llm.langid import op4_language
 from sqlstrata.llm.mixing import op9_mix
 from sqlstrata.llm.neardup import op8_near_vectors
 from sqlstrata.llm.packing import op7_pack
+from sqlstrata.llm.pii import op13_personal_data
 from sqlstrata.llm.prefixtrie import op11_prefix_trie
 from sqlstrata.llm.rangecoder import op1_token_files
 from sqlstrata.llm.topk import op5_top_k
@@ -46,6 +47,7 @@ QUERIES: dict[str, Query] = {k: _shipped(q) for k, q in {
     "op10_passages": op10_passages,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_filter_audit": op12_filter_audit,
+    "op13_personal_data": op13_personal_data,
 }.items()}
 
 _SHA_BITS = """array_to_string(list_transform(range(1, 41), lambda i:
