@@ -1,24 +1,28 @@
 """Select lists.
 
-Tokens (parens, commas, placeholders, SELECT/FROM as whole words, runs) with a
-running depth per row; the first depth-0 SELECT opens the list, the first
-depth-0 FROM after it closes it, depth-0 commas separate columns. Two
-group-bys (per column, then per row) rebuild the texts in order; both keep
-the ``query_id`` partitioning of the log.
+The scan that decomposes a text (``functions.boundaries``) also knows the select
+list of every piece, so a log with columns comes from that one scan
+(``decompose_log(corpus, select_lists=True)``). For a log that was stored or
+patched, or any other table of texts, the same scan runs over each row's own
+text. Both are row-local: no exchange, and rows keep their other columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqlstrata.functions import boundaries as B
 from sqlstrata.functions import patterns as P
-from sqlstrata.functions.text import ordered_concat, strip_ws
-from sqlstrata.operators.decompose import UNB, _depth
+from sqlstrata.operators.decompose import row_local
 
 LOG_KEYS = ["query_id", "section_id", "identifier"]
-_BIG = 1 << 40
+_FOUND = T.StructType([T.StructField("columns", T.ArrayType(T.StringType())), T.StructField("star_content", T.StringType())])
+
+
+def _one_list(text: str) -> list[tuple]:
+    return [B.select_list(text)]
 
 
 def split_columns(df: DataFrame, keys=LOG_KEYS, content_col: str = "content",
@@ -28,78 +32,19 @@ def split_columns(df: DataFrame, keys=LOG_KEYS, content_col: str = "content",
     ``star_content`` is the text with the select list replaced by ``*``
     (``SELECT * FROM ...``); rows without a depth-0 SELECT keep their text and
     get no columns. DISTINCT stays glued to the first column, as the
-    reference does, so that reassembly is exact.
-
-    With ``carry`` every input row travels through its own token stream as
-    one extra element (a struct of the whole row, NULL on token elements), so
-    the output is the full input row plus the two new columns -- one pass,
-    no join back and no second read of the input.
+    reference does, so that reassembly is exact. With ``carry`` every column of
+    the input comes along (but for those two names).
     """
-    keys = list(keys)
-    q = strip_ws(F.col(content_col))
-    toks = F.regexp_extract_all(q, F.lit(P.COLUMN_TOKEN), 0)
-    if carry:
-        row_t = T.StructType(list(df.schema.fields))
-        payload = F.struct(*[F.col(c) for c in df.columns])
-        elems = F.concat(
-            F.array(F.struct(F.lit(None).cast("string").alias("tok"), payload.alias("row"))),
-            F.transform(toks, lambda t: F.struct(t.alias("tok"), F.lit(None).cast(row_t).alias("row"))))
-        tok = df.select(*keys, F.posexplode(elems).alias("pos", "e")).select(
-            *keys, "pos", F.col("e.tok").alias("tok"), F.col("e.row").alias("row"))
-    else:
-        tok = df.select(*keys, F.posexplode(toks).alias("pos", "tok"))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    wall = Window.partitionBy(*keys)
-    delta, depth_incl = _depth(w)
-    kwu = F.upper(F.col("tok"))
-    tok = tok.withColumn("d0", (depth_incl - delta) == 0)
-    tok = (tok.withColumn("commas", F.sum((F.col("d0") & (F.col("tok") == ",")).cast("int"))
-                          .over(w.rowsBetween(UNB, 0)))
-              .withColumn("selpos", F.min(F.when(F.col("d0") & (kwu == "SELECT"), F.col("pos"))).over(wall)))
-    tok = tok.withColumn("frompos", F.min(F.when(
-        F.col("d0") & (kwu == "FROM") & (F.col("pos") > F.col("selpos")), F.col("pos"))).over(wall))
-    pos, sel, frm = F.col("pos"), F.col("selpos"), F.coalesce(F.col("frompos"), F.lit(_BIG))
-    part = (F.when(F.col("tok").isNull(), F.lit(-2))
-             .when(sel.isNull() | (pos < sel), F.lit(-1))
-             .when(pos == sel, F.lit(None))
-             .when(pos >= frm, F.lit(_BIG))
-             .when(F.col("d0") & (F.col("tok") == ","), F.lit(None))
-             .otherwise(F.col("commas").cast("long")))
-    tok = tok.withColumn("part", part).filter(F.col("part").isNotNull())
-    aggs1 = [ordered_concat().alias("text"), F.first("selpos").alias("selpos")]
-    if carry:
-        aggs1.append(F.first("row", ignorenulls=True).alias("row"))
-    lvl1 = tok.groupBy(*keys, "part").agg(*aggs1)
-    is_col = (F.col("part") >= 0) & (F.col("part") < _BIG)
-    aggs2 = [F.max(F.when(F.col("part") == -1, F.col("text"))).alias("prefix"),
-             F.max(F.when(F.col("part") == _BIG, F.col("text"))).alias("suffix"),
-             F.max("selpos").alias("selpos"),
-             F.array_sort(F.collect_list(F.when(is_col, F.struct(
-                 F.col("part"), strip_ws(F.col("text")).alias("c"))))).alias("cs")]
-    if carry:
-        aggs2.append(F.first("row", ignorenulls=True).alias("row"))
-    lvl2 = lvl1.groupBy(*keys).agg(*aggs2)
-    cols = F.filter(F.transform("cs", lambda x: x["c"]), lambda c: c != "")
-    star = strip_ws(F.concat(F.coalesce("prefix", F.lit("")), F.lit("SELECT * "),
-                             F.coalesce("suffix", F.lit(""))))
-    has = F.col("selpos").isNotNull()
-    new = [F.when(has, cols).otherwise(F.array().cast("array<string>")).alias("columns"),
-           F.when(has, star).otherwise(F.coalesce(F.col("prefix"), F.lit(""))).alias("star_content")]
-    if carry:
-        # keys come from the group-by (the partitioning attributes), not from the
-        # struct, so later operators still see the query_id partitioning
-        return lvl2.select(*[F.col(c) if c in keys else F.col(f"row.{c}").alias(c) for c in df.columns],
-                           *new)
-    return lvl2.select(*keys, *new)
+    names = [c for c in (df.columns if carry else keys) if c not in ("columns", "star_content")]
+    return row_local(df, content_col, names, _FOUND, _one_list)
 
 
 def log_with_columns(log: DataFrame) -> DataFrame:
     """The log with ``columns`` filled and ``content`` as the ``SELECT *`` form.
 
-    Conversion fields are reset, as in the reference's stage 1. One pass
-    (``split_columns(carry=True)``), no join back to the log.
+    Conversion fields are reset, as in the reference's stage 1.
     """
-    out = split_columns(log.drop("columns"), carry=True)
+    out = split_columns(log, carry=True)
     empty = F.array().cast("array<string>")
     new = {
         "columns": F.col("columns"),

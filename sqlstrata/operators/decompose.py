@@ -1,42 +1,35 @@
 """Text -> rows decomposition.
 
-Work unit: one query text. Texts are exploded into tokens (parentheses,
-keywords and maximal runs of everything else, literal-safe), and every
-structural fact is a running window over ``(query_id, ...) ORDER BY pos``:
-
-* depth = running sum of +1 / -1 over parentheses;
-* sections start at depth-0 ``SELECT`` and set-operator keywords;
-* a subquery opens at a ``(`` followed by ``SELECT`` and closes at the ``)``
-  at the same depth; the running count of closes is the post-order number;
-* a body token belongs to the first subquery closing at its level after it.
-
-All windows and the group-bys partition on ``query_id`` plus more columns, so
-one hash exchange on ``query_id`` serves the whole chain. A query is one input
-row, so a window partition never holds more than one text's tokens; the
-corpus spreads across tasks by ``query_id``.
+Work unit: one query text. ``functions.boundaries`` finds the sections,
+subqueries and select lists of a text in one pass; here its pieces become rows.
+That is row-local: decomposition has no exchange, no sort and no window, and
+its parallelism is that of the corpus files. Batches of texts go through
+``mapInArrow`` in slices of bounded size.
+
+``text_key`` (a hash of the text as given) goes with ``query_id`` through the whole
+chain, so different texts under one id, or without an id, stay apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlstrata.functions import patterns as P
-from sqlstrata.functions.text import ordered_concat, strip_comments, strip_ws
-from sqlstrata.session import materialize
-
-UNB = Window.unboundedPreceding
-UNF = Window.unboundedFollowing
+from sqlstrata.functions import boundaries as B
+from sqlstrata.functions.text import strip_comments
+from sqlstrata.session import ship_code
 
-SET_OP_WORDS = ["UNION", "UNION ALL", "INTERSECT", "INTERSECT ALL",
-                "EXCEPT", "EXCEPT ALL", "MINUS"]
 UNBALANCED = "unbalanced parentheses"
 
 # Field names and types of the parse log must equal the reference's
-# (``query_id`` is ours).
+# (``query_id`` and ``text_key`` are ours).
 LOG_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType(), True),
+    T.StructField("text_key", T.LongType(), True),
     T.StructField("section", T.StringType(), True),
     T.StructField("section_id", T.IntegerType(), True),
     T.StructField("type", T.StringType(), True),
@@ -54,44 +47,69 @@ LOG_SCHEMA = T.StructType([
 LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields]
 
 
-def _norm_kw(c):
-    return F.upper(F.regexp_replace(c, r"\s+", " "))
+#: Characters of text that are scanned, and of pieces that are handed on, at a time.
+SLICE = 1 << 20
 
 
-#: Text that one task tokenizes, in bytes: it grows about 100 times as token rows.
-TEXT_PER_TASK = 8 << 20
+def text_key(sql: str = "sql") -> Column:
+    return F.xxhash64(sql)
 
 
-def by_query(df: DataFrame) -> DataFrame:
-    """Hash-partition texts by ``query_id``, in parts that a task can expand.
+def row_local(df: DataFrame, text: str, kept: list[str], found: T.StructType, scan: Callable[..., list[tuple]], *args: str) -> DataFrame:
+    """Rows ``kept`` and ``found`` for each tuple that ``scan(text, *args)`` gives for a
+    row (a null text: empty). Rows come and go in slices of about ``SLICE`` characters,
+    whatever the size of Spark's batches."""
+    ship_code(df.sparkSession)
+    names, out = df.columns, T.StructType([df.schema[c] for c in kept] + list(found.fields))
+    at, rest, more = names.index(text), [names.index(c) for c in kept], [names.index(c) for c in args]
+    types = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in found.fields])
 
-    The count is explicit on purpose: the shuffled texts compress to little,
-    so adaptive coalescing would merge them into a few partitions, yet each
-    text expands ~100x into token rows downstream. It is
-    ``spark.sql.shuffle.partitions``, or more where the input's size (as the
-    optimizer knows it) asks for more.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size < 1 << 50:  # unknown sizes are reported as huge
-        n = max(n, -(-size // TEXT_PER_TASK))
-    return df.repartition(n, "query_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given = [b.column(i).to_pylist() for i in more]
+            rows, of, size = [], [], 0
+
+            def taken() -> pa.RecordBatch:
+                cols = [b.column(i).take(pa.array(of, pa.int64())) for i in rest]  # noqa: B023
+                cols += [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(types)]  # noqa: B023
+                return pa.RecordBatch.from_arrays(cols, names=out.fieldNames())
 
+            for i, t in enumerate(b.column(at)):
+                t = t.as_py() or ""
+                for row in scan(t, *[g[i] for g in given]):
+                    rows.append(row)
+                    of.append(i)
+                    size += sum(len(x) for x in row if isinstance(x, str))
+                    if size > SLICE:
+                        yield taken()
+                        rows, of, size = [], [], 0
+            if rows:
+                yield taken()
 
-def tokenize(df: DataFrame, text_col: str, pattern: str, keys: list[str]) -> DataFrame:
-    """One row per token ``(keys..., pos, tok)``; concat of ``tok`` = text."""
-    return df.select(*keys, F.posexplode(
-        F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)).alias("pos", "tok"))
+    return df.mapInArrow(run, out)
 
 
-def _depth(w):
-    delta = F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)
-    return delta, F.sum(delta).over(w.rowsBetween(UNB, 0))
+def _arrow(t: T.DataType) -> pa.DataType:
+    if isinstance(t, T.ArrayType):
+        return pa.list_(_arrow(t.elementType))
+    return {T.StringType: pa.string(), T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.BooleanType: pa.bool_()}[type(t)]
+
+
+def _texts(corpus: DataFrame) -> DataFrame:
+    return corpus.select("query_id", text_key().alias("text_key"), strip_comments("sql").alias("code"))
 
 
 # ---------------------------------------------------------------------------
 # sections
 # ---------------------------------------------------------------------------
+def _fields(*of: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in of])
+
+
+_INT, _LONG, _TEXT, _BOOL = T.IntegerType(), T.LongType(), T.StringType(), T.BooleanType()
+_KEYS = ["query_id", "text_key"]
+
+
 def split_sections(corpus: DataFrame) -> DataFrame:
     """Sections of every query.
 
@@ -103,116 +121,45 @@ def split_sections(corpus: DataFrame) -> DataFrame:
     dropped before numbering. A piece that starts with ``(`` stays: it is a
     ``select`` section when the text inside starts with SELECT.
     """
-    # Hash-partition the texts (not the tokens) once: tokenizing then runs
-    # in parallel, and every later window / group-by on query_id reuses it.
-    src = by_query(corpus).select("query_id", strip_comments("sql").alias("sql"))
-    tok = tokenize(src, "sql", P.SECTION_TOKEN, ["query_id"])
-    w = Window.partitionBy("query_id").orderBy("pos")
-    delta, depth_incl = _depth(w)
-    kwn = _norm_kw(F.col("tok"))
-    tok = tok.withColumn("depth_before", depth_incl - delta)
-    kw0 = ((kwn == "SELECT") | kwn.isin(SET_OP_WORDS)) & (F.col("depth_before") == 0)
-    tok = (tok.withColumn("kw0", kw0)
-              .withColumn("g", F.sum(F.col("kw0").cast("int")).over(w.rowsBetween(UNB, 0)))
-              .withColumn("opener", F.last(F.when(F.col("kw0"), kwn), ignorenulls=True)
-                          .over(w.rowsBetween(UNB, 0))))
-    after_setop = F.coalesce(F.col("opener").isin(SET_OP_WORDS) & ~F.col("kw0"), F.lit(False))
-    tok = tok.withColumn("sk", F.col("g") * 2 + after_setop.cast("int"))
-    sec = (tok.groupBy("query_id", "sk")
-              .agg(strip_ws(ordered_concat()).alias("content"),
-                   F.first("opener", ignorenulls=True).alias("opener")))
-    sec = sec.filter(F.col("content") != "")
-    is_setop_kw = F.coalesce(F.col("opener").isin(SET_OP_WORDS), F.lit(False)) & (F.col("sk") % 2 == 0)
-    section = (F.when((F.col("sk") == 0) & F.col("content").rlike(P.WITH_HEAD), "cte")
-                .when(F.upper(F.col("content")).rlike(r"^[\s(]*SELECT"), "select")
-                .when(is_setop_kw, "join")
-                .otherwise("unknown"))
-    return sec.select(
-        "query_id",
-        F.row_number().over(Window.partitionBy("query_id").orderBy("sk")).cast("int").alias("section_id"),
-        section.alias("section"),
-        F.when(is_setop_kw, _norm_kw(F.col("content"))).otherwise(F.col("content")).alias("content"))
+    def sections(text: str) -> list[tuple]:
+        return [(p.section_id, p.section, p.original) for p in B.scan(text) if p.n == 0]
+
+    return row_local(_texts(corpus), "code", ["query_id"], _fields(("section_id", _INT), ("section", _TEXT), ("content", _TEXT)), sections)
 
 
 def cte_block(corpus: DataFrame) -> DataFrame:
     """``query_id, cte_block, remainder`` (cte_block NULL without WITH)."""
-    sec = split_sections(corpus)
-    return (sec.groupBy("query_id")
-               .agg(F.max(F.when(F.col("section") == "cte", F.col("content"))).alias("cte_block"),
-                    F.array_join(F.transform(F.array_sort(F.collect_list(
-                        F.when(F.col("section") != "cte", F.struct("section_id", "content")))),
-                        lambda x: x["content"]), "\n").alias("remainder")))
+    def block(text: str) -> list[tuple]:
+        found = [(p.section, p.original) for p in B.scan(text) if p.n == 0]
+        ctes = [t for kind, t in found if kind == "cte"]
+        return [(ctes[0] if ctes else None, "\n".join(t for kind, t in found if kind != "cte"))] if found else []
+
+    return row_local(_texts(corpus), "code", ["query_id"], _fields(("cte_block", _TEXT), ("remainder", _TEXT)), block)
 
 
 # ---------------------------------------------------------------------------
 # subqueries
 # ---------------------------------------------------------------------------
-def _subquery_tokens(sections: DataFrame) -> DataFrame:
-    """Token rows of the cte/select sections of a section table, with
-    open/close/level/number marks (the two-pass form: ``split_sections``
-    first, then this; ``decompose_pieces`` does both in one stream)."""
-    src = sections.filter(F.col("section").isin("cte", "select"))
-    tok = tokenize(src, "content", P.SUBQUERY_TOKEN, ["query_id", "section_id", "section"])
-    w = Window.partitionBy("query_id", "section_id").orderBy("pos")
-    is_sel = lambda c: F.upper(c) == "SELECT"
-    lead1, lead2 = F.lead("tok", 1).over(w), F.lead("tok", 2).over(w)
-    op = F.col("tok") == "("
-    cl = F.col("tok") == ")"
-    isopen = op & (is_sel(lead1) | (lead1.rlike(P.BLANK) & is_sel(lead2)))
-    delta = F.when(op, 1).when(cl, -1).otherwise(0)
-    depth_incl = F.sum(delta).over(w.rowsBetween(UNB, 0))
-    tok = (tok.withColumn("isopen", F.coalesce(isopen, F.lit(False)))
-              .withColumn("d", F.when(op, depth_incl).when(cl, depth_incl + 1)))
-    wd = Window.partitionBy("query_id", "section_id", "d").orderBy("pos").rowsBetween(UNB, 0)
-    opener_flag = F.last(F.when(op, F.col("isopen")), ignorenulls=True).over(wd)
-    tok = tok.withColumn("isclose", F.coalesce(cl & opener_flag, F.lit(False)))
-    o, c = F.col("isopen").cast("int"), F.col("isclose").cast("int")
-    tok = (tok.withColumn("sd", F.sum(o - c).over(w.rowsBetween(UNB, 0)) + c)
-              .withColumn("n0", F.sum(c).over(w.rowsBetween(UNB, 0)))
-              .withColumn("unbalanced", F.sum(o - c).over(
-                  Window.partitionBy("query_id", "section_id")) > 0))
-    return tok
-
-
 def _identifier(section, section_id, n):
     return F.concat(F.lit("subquery_"), section, F.lit("["), section_id.cast("string"),
                     F.lit("]_"), n.cast("string"))
 
 
 def subquery_pieces(sections: DataFrame) -> DataFrame:
-    """Per section: one row per subquery (n >= 1) and the main piece (n = 0).
+    """Per section of a section table: one row per subquery (n >= 1) and the main piece (n = 0).
 
     Out: ``query_id, section_id, section, n, content, unbalanced``. Nested
     subqueries are replaced by ``(<<subquery_{section}[{section_id}]_{n}>>)``,
     numbers are post-order per section (inner before outer, left to right).
     An unbalanced section is returned whole as its main piece.
     """
-    tok = _subquery_tokens(sections)
-    ev_t = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()),
-                                     T.StructField("t", T.StringType()),
-                                     T.StructField("closen", T.LongType())]))
-
-    def ev(level, t, closen=None):
-        return F.struct(level.cast("int").alias("level"), t.alias("t"),
-                        (closen if closen is not None else F.lit(None)).cast("long").alias("closen"))
-
-    ph = F.concat(F.lit("(<<"), _identifier(F.col("section"), F.col("section_id"), F.col("n0")),
-                  F.lit(">>)"))
-    events = (F.when(F.col("unbalanced"), F.array(ev(F.lit(0), F.col("tok"))))
-               .when(F.col("isclose"), F.array(ev(F.col("sd"), F.lit(""), F.col("n0")),
-                                               ev(F.col("sd") - 1, ph)))
-               .when(F.col("isopen"), F.array(ev(F.col("sd"), F.lit(""))))
-               .otherwise(F.array(ev(F.col("sd"), F.col("tok"))))).cast(ev_t)
-    evs = tok.select("query_id", "section_id", "section", "pos", "unbalanced", F.inline(events))
-    wl = (Window.partitionBy("query_id", "section_id", "level").orderBy("pos")
-                .rowsBetween(0, UNF))
-    evs = evs.withColumn("n", F.when(F.col("level") == 0, F.lit(0).cast("long"))
-                               .otherwise(F.first("closen", ignorenulls=True).over(wl)))
-    return (evs.withColumnRenamed("t", "tok")
-               .groupBy("query_id", "section_id", "n")
-               .agg(F.first("section").alias("section"),
-                    ordered_concat().alias("content"),
-                    F.max("unbalanced").alias("unbalanced")))
+    def pieces(text: str, section: str, section_id: int) -> list[tuple]:
+        found = B.scan(text, sections=False, name=lambda kind, number, n: B.placeholder(section, section_id, n))
+        return [(p.n, p.content, p.unbalanced) for p in found]
+
+    src = sections.filter(F.col("section").isin("cte", "select"))
+    return row_local(src, "content", ["query_id", "section_id", "section"],
+                     _fields(("n", _LONG), ("content", _TEXT), ("unbalanced", _BOOL)), pieces, "section", "section_id")
 
 
 def extract_subqueries(corpus: DataFrame) -> DataFrame:
@@ -229,32 +176,14 @@ def subqueries_full(corpus: DataFrame) -> DataFrame:
 
     Out: ``query_id, section_id, n, id, full_sub_query`` -- the text between
     the subquery's parentheses exactly as written (comments stripped).
-
-    Each token is copied once per enclosing subquery level (bounded by the
-    nesting depth, not by the data) and, per level, attached to the next
-    close at that level -- the same forward window as ``subquery_pieces``.
     """
-    tok = _subquery_tokens(split_sections(corpus)).filter(~F.col("unbalanced"))
-    sd = F.col("sd").cast("int")
-    # levels this token is text of: all enclosing ones, minus its own open/close
-    top = F.when(F.col("isopen") | F.col("isclose"), sd - 1).otherwise(sd)
-    copies = tok.select(
-        "query_id", "section_id", "section", "pos", "tok", "isclose", "n0", "sd",
-        F.explode(F.sequence(F.lit(1), F.greatest(sd, F.lit(1)))).alias("level"),
-        top.alias("top"))
-    copies = copies.filter((F.col("level") <= F.col("top"))
-                           | (F.col("isclose") & (F.col("level") == sd)))
-    closen = F.when(F.col("isclose") & (F.col("level") == sd), F.col("n0"))
-    wl = (Window.partitionBy("query_id", "section_id", "level").orderBy("pos")
-                .rowsBetween(0, UNF))
-    copies = copies.withColumn("n", F.first(closen, ignorenulls=True).over(wl))
-    # a close adds no text at its own level, but keeps an empty subquery's row
-    text = copies.withColumn("tok", F.when(F.col("level") <= F.col("top"), F.col("tok")).otherwise(F.lit("")))
-    full = (text.groupBy("query_id", "section_id", "n")
-                .agg(F.first("section").alias("section"), ordered_concat().alias("full_sub_query")))
-    return full.filter("n is not null").select(
-        "query_id", "section_id", "n", _identifier(F.col("section"), F.col("section_id"), F.col("n")).alias("id"),
-        "full_sub_query")
+    found = _fields(("section_id", _INT), ("section", _TEXT), ("n", _LONG), ("full_sub_query", _TEXT))
+
+    def full(text: str) -> list[tuple]:
+        return [(p.section_id, p.section, p.n, p.full) for p in B.scan(text) if p.n]
+
+    rows = row_local(_texts(corpus), "code", ["query_id"], found, full)
+    return rows.select("query_id", "section_id", "n", _identifier(F.col("section"), F.col("section_id"), F.col("n")).alias("id"), "full_sub_query")
 
 
 # ---------------------------------------------------------------------------
@@ -264,8 +193,8 @@ def _empty_arr():
     return F.array().cast("array<string>")
 
 
-def _log_row(qid, section, section_id, type_, identifier, original, content, error=None):
-    return [qid.alias("query_id"), section.alias("section"), section_id.cast("int").alias("section_id"),
+def _log_row(qid, key, section, section_id, type_, identifier, original, content, error=None):
+    return [qid.alias("query_id"), key.alias("text_key"), section.alias("section"), section_id.cast("int").alias("section_id"),
             type_.alias("type"), identifier.alias("identifier"),
             original.cast("string").alias("original_query"), F.lit("").alias("final_query"),
             content.alias("content"), _empty_arr().alias("columns"), _empty_arr().alias("tables"),
@@ -274,156 +203,75 @@ def _log_row(qid, section, section_id, type_, identifier, original, content, err
             (error if error is not None else F.lit("")).alias("response_error")]
 
 
-_SID = "\u0001"  # stands for the section number until sections are numbered
-NOTHING = "\u0002"  # stands for a text without code
 EMPTY_TEXT = "empty text"
+#: Section of a text without code, which has one empty piece and no section.
+NOTHING = "nothing"
 
+_PIECES = _fields(("section_id", _INT), ("section", _TEXT), ("n", _LONG), ("content", _TEXT), ("original", _TEXT), ("unbalanced", _BOOL))
+_LISTS = _fields(("columns", T.ArrayType(_TEXT)), ("star_content", _TEXT))
 
-def decompose_pieces(corpus: DataFrame) -> DataFrame:
-    """Sections and subqueries from ONE token stream.
 
-    Out: one row per piece ``query_id, section_id, section, n, content,
-    original, unbalanced`` (n = 0 is the section's main piece, whose
-    ``original`` is the section text). Windows, in sort order:
-    ``(query_id, pos)`` depth / section key / leads; ``(query_id, sk, d, pos)``
-    matching closes; ``(query_id, sk, pos)`` levels, numbers, section facts;
-    ``(query_id, sk, level, pos)`` piece numbers. Then one group-by per piece
-    and one per section (over pieces, not tokens). Sections are numbered
-    after dropping blank pieces, so placeholders carry a marker that is
-    replaced by the section number at the end. A text with nothing but blanks
-    and comments travels as the token ``NOTHING``, so it keeps one piece.
+def decompose_pieces(corpus: DataFrame, select_lists: bool = False) -> DataFrame:
+    """Sections and subqueries, and with ``select_lists`` their columns, from one scan.
+
+    Out: one row per piece ``query_id, text_key, section_id, section, n, content,
+    original, unbalanced[, columns, star_content]`` (n = 0 is the section's main
+    piece, whose ``original`` is the section text). A text with nothing but blanks
+    and comments has one empty piece of the section ``NOTHING``.
     """
-    code = strip_comments("sql")
-    nothing = F.coalesce(strip_ws(code) == "", F.lit(True))
-    src = by_query(corpus).select("query_id", F.when(nothing, F.lit(NOTHING)).otherwise(code).alias("sql"))
-    tok = src.select("query_id", F.col("sql").rlike(P.WITH_HEAD).alias("is_with"),
-                     F.posexplode(F.regexp_extract_all("sql", F.lit(P.SECTION_TOKEN), 0)).alias("pos", "tok"))
-    w = Window.partitionBy("query_id").orderBy("pos")
-    run = w.rowsBetween(UNB, 0)
-    kwn = _norm_kw(F.col("tok"))
-    is_kw = (kwn == "SELECT") | kwn.isin(SET_OP_WORDS)
-    op, cl = F.col("tok") == "(", F.col("tok") == ")"
-    delta = F.when(op, 1).when(cl, -1).otherwise(0)
-    tok = tok.withColumn("din", F.sum(delta).over(run))
-    tok = tok.withColumn("kw0", is_kw & ((F.col("din") - delta) == 0))
-    tok = (tok.withColumn("g", F.sum(F.col("kw0").cast("int")).over(run))
-              .withColumn("opener", F.last(F.when(F.col("kw0"), kwn), ignorenulls=True).over(run))
-              .withColumn("l1", F.lead("tok", 1).over(w)).withColumn("l2", F.lead("tok", 2).over(w))
-              .withColumn("k1", F.lead("kw0", 1).over(w)).withColumn("k2", F.lead("kw0", 2).over(w)))
-    is_sel = lambda c, k: (F.upper(c) == "SELECT") & ~F.coalesce(k, F.lit(False))
-    isopen = op & (is_sel(F.col("l1"), F.col("k1"))
-                   | (F.col("l1").rlike(P.BLANK) & is_sel(F.col("l2"), F.col("k2"))))
-    after_setop = F.coalesce(F.col("opener").isin(SET_OP_WORDS) & ~F.col("kw0"), F.lit(False))
-    tok = tok.select("query_id", "is_with", "pos", "tok", "opener",
-                     (F.col("g") * 2 + after_setop.cast("int")).alias("sk"),
-                     F.coalesce(isopen, F.lit(False)).alias("isopen"),
-                     F.when(op, F.col("din")).when(cl, F.col("din") + 1).alias("d"))
-    wd = Window.partitionBy("query_id", "sk", "d").orderBy("pos").rowsBetween(UNB, 0)
-    opener_flag = F.last(F.when(op, F.col("isopen")), ignorenulls=True).over(wd)
-    tok = tok.withColumn("isclose", F.coalesce(cl & opener_flag, F.lit(False)))
-    ws = Window.partitionBy("query_id", "sk").orderBy("pos")
-    o, c = F.col("isopen").cast("int"), F.col("isclose").cast("int")
-    # the first token that is more than blanks and opening parentheses
-    first_nb = F.first(F.when(F.col("tok").rlike(r"[^\s(]"), F.col("tok")), ignorenulls=True).over(
-        ws.rowsBetween(UNB, UNF))
-    tok = (tok.withColumn("sd", F.sum(o - c).over(ws.rowsBetween(UNB, 0)) + c)
-              .withColumn("n0", F.sum(c).over(ws.rowsBetween(UNB, 0)))
-              .withColumn("unbalanced", F.sum(o - c).over(ws.rowsBetween(UNB, UNF)) > 0)
-              .withColumn("first_nb", first_nb))
-    is_setop_kw = F.coalesce(F.col("opener").isin(SET_OP_WORDS), F.lit(False)) & (F.col("sk") % 2 == 0)
-    section = (F.when((F.col("sk") == 0) & F.col("is_with"), "cte")
-                .when(F.upper(F.regexp_replace("first_nb", r"^[\s(]+", "")).startswith("SELECT"), "select")
-                .when(is_setop_kw, "join").otherwise("unknown"))
-    tok = tok.withColumn("section", section)
-    flat = F.col("unbalanced") | ~F.col("section").isin("cte", "select")
-
-    def ev(level, t, closen=None, raw=None):
-        return F.struct(level.cast("int").alias("level"), t.alias("t"),
-                        (closen if closen is not None else F.lit(None)).cast("long").alias("closen"),
-                        (raw if raw is not None else F.lit(None)).cast("string").alias("raw"))
-
-    ph = F.concat(F.lit("(<<subquery_"), F.col("section"), F.lit("[" + _SID + "]_"),
-                  F.col("n0").cast("string"), F.lit(">>)"))
-    tk = F.col("tok")
-    events = (F.when(flat, F.array(ev(F.lit(0), tk, raw=tk)))
-               .when(F.col("isclose"), F.array(ev(F.col("sd"), F.lit(""), F.col("n0"), tk),
-                                               ev(F.col("sd") - 1, ph)))
-               .when(F.col("isopen"), F.array(ev(F.col("sd"), F.lit(""), raw=tk)))
-               .otherwise(F.array(ev(F.col("sd"), tk, raw=tk))))
-    evs = tok.select("query_id", "sk", "section", "opener", "unbalanced", "pos", F.inline(events))
-    wl = Window.partitionBy("query_id", "sk", "level").orderBy("pos").rowsBetween(0, UNF)
-    evs = evs.withColumn("n", F.when(F.col("level") == 0, F.lit(0).cast("long"))
-                               .otherwise(F.first("closen", ignorenulls=True).over(wl)))
-    pieces = (evs.withColumnRenamed("t", "tok")
-                 .groupBy("query_id", "sk", "n")
-                 .agg(F.first("section").alias("section"), F.first("opener").alias("opener"),
-                      F.max("unbalanced").alias("unbalanced"), ordered_concat().alias("content"),
-                      F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("pos", "raw"))).alias("raws")))
-    secs = (pieces.groupBy("query_id", "sk")
-                  .agg(F.first("section").alias("section"), F.first("opener").alias("opener"),
-                       F.max("unbalanced").alias("unbalanced"),
-                       F.collect_list(F.struct("n", "content")).alias("ps"),
-                       F.flatten(F.collect_list("raws")).alias("raws")))
-    orig = strip_ws(F.array_join(F.transform(F.array_sort("raws"), lambda x: x["raw"]), ""))
-    secs = secs.select("query_id", "sk", "section", "opener", "unbalanced", "ps", orig.alias("orig"))
-    secs = secs.filter(F.col("orig") != "")
-    secs = secs.withColumn("section_id", F.row_number().over(
-        Window.partitionBy("query_id").orderBy("sk")).cast("int"))
-    is_join = F.col("section") == "join"
-    orig = F.when(is_join, _norm_kw(F.col("orig"))).otherwise(F.col("orig"))
-    out = secs.select("query_id", "section_id", "section", "unbalanced", orig.alias("original"),
-                      F.inline("ps"))
-    sid = F.col("section_id").cast("string")
-    content = (F.when(is_join, F.col("original"))
-                .when(F.col("n") == 0, strip_ws(F.replace(F.col("content"), F.lit(_SID), sid)))
-                .otherwise(F.replace(F.col("content"), F.lit(_SID), sid)))
-    return out.select("query_id", "section_id", "section", "n", content.alias("content"),
-                      "original", "unbalanced")
-
-
-def decompose_log(corpus: DataFrame) -> DataFrame:
+    def pieces(text: str) -> list[tuple]:
+        found = B.scan(text)
+        if not found:
+            return [(1, NOTHING, 0, "", "", False) + (([], "") if select_lists else ())]
+        return [(p.section_id, p.section, p.n, p.content, p.original, p.unbalanced) + ((p.columns, p.star) if select_lists else ()) for p in found]
+
+    return row_local(_texts(corpus), "code", _KEYS, T.StructType(_PIECES.fields + (_LISTS.fields if select_lists else [])), pieces)
+
+
+def decompose_log(corpus: DataFrame, select_lists: bool = False) -> DataFrame:
     """The parse log of every query (``LOG_SCHEMA``).
 
     Per cte/select section: one ``subquery`` row per subquery and one
     ``section_main`` row (content with placeholders, original_query = the
     section text). Per set-operator / unknown section: a row with empty type
     and identifier, and a ``section_main`` row. A NULL, blank or comment-only
-    text has one empty ``section_main`` row with an error. All rows come from
-    one token stream (``decompose_pieces``).
+    text has one empty ``section_main`` row with an error. With ``select_lists``
+    the log comes as ``columns.log_with_columns`` makes it, from the same scan.
     """
-    p = decompose_pieces(corpus)
-    n, sec = F.col("n"), F.col("section")
-    splittable = sec.isin("cte", "select")
-    nothing = (sec == "unknown") & (F.col("original") == NOTHING)
-    p = (p.withColumn("_nothing", nothing).withColumn("original", F.when(nothing, F.lit("")).otherwise(F.col("original")))
-          .withColumn("content", F.when(F.col("_nothing"), F.lit("")).otherwise(F.col("content"))))
+    p = decompose_pieces(corpus, select_lists)
+    n = F.col("n")
+    nothing = F.col("section") == NOTHING
+    splittable = F.col("section").isin("cte", "select")
     # kind per output row: 2 = subquery, 1 = section_main, 0 = set-operator / unknown row
     kinds = (F.when(n > 0, F.array(F.lit(2)))
-              .when(splittable | F.col("_nothing"), F.array(F.lit(1)))
+              .when(splittable | nothing, F.array(F.lit(1)))
               .otherwise(F.array(F.lit(0), F.lit(1))))
     m = p.select("*", F.explode(kinds).alias("_k"))
     k = F.col("_k")
     sid = F.col("section_id")
+    sec = F.when(nothing, F.lit("unknown")).otherwise(F.col("section"))
     typ = F.when(k == 2, F.lit("subquery")).when(k == 1, F.lit("section_main")).otherwise(F.lit(""))
     ident = (F.when(k == 2, _identifier(sec, sid, n))
               .when(k == 1, F.concat(F.lit("section_"), sid.cast("string"), F.lit("_main")))
               .otherwise(F.lit("")))
-    err = (F.when(F.col("_nothing"), F.lit(EMPTY_TEXT))
+    err = (F.when(nothing, F.lit(EMPTY_TEXT))
             .when((k == 1) & F.col("unbalanced") & splittable, F.lit(UNBALANCED)).otherwise(F.lit("")))
-    return m.select(*_log_row(F.col("query_id"), sec, sid, typ, ident,
-                              F.when(k == 1, F.col("original")), F.col("content"), err))
+    row = _log_row(F.col("query_id"), F.col("text_key"), sec, sid, typ, ident, F.when(k == 1, F.col("original")),
+                   F.col("star_content" if select_lists else "content"), err)
+    if select_lists:
+        row[LOG_COLUMNS.index("columns")] = F.col("columns")
+    return m.select(*row)
 
 
 def main_only_log(corpus: DataFrame) -> DataFrame:
     """One undecomposed ``section_main`` row per query, ``section_id = 0``."""
     return corpus.select(*_log_row(
-        F.col("query_id"), F.lit("select"), F.lit(0), F.lit("section_main"),
+        F.col("query_id"), text_key(), F.lit("select"), F.lit(0), F.lit("section_main"),
         F.lit("section_0_main"), F.col("sql"), F.col("sql")))
 
 
-_IDENT = r"(?:\"[^\"]+\"|[A-Za-z_][A-Za-z0-9_$#]*)"
-_AS = r"[Aa][Ss](?:\s+(?:[Nn][Oo][Tt]\s+)?[Mm][Aa][Tt][Ee][Rr][Ii][Aa][Ll][Ii][Zz][Ee][Dd])?\s*$"
 NO_NAME = "CTE without a name"
+NO_HEAD = "query must start with WITH or SELECT"
 
 
 def cte_list(corpus: DataFrame) -> DataFrame:
@@ -435,42 +283,15 @@ def cte_list(corpus: DataFrame) -> DataFrame:
     column list, before the list. Column lists give no row. Any other span
     gives a row without a name and with an ``error``.
     """
-    sections = split_sections(corpus).filter(F.col("section") == "cte")
-    tok = tokenize(sections, "content", P.SUBQUERY_TOKEN, ["query_id", "section_id"])
-    w = Window.partitionBy("query_id").orderBy("pos")
-    delta, depth_incl = _depth(w)
-    tok = tok.withColumn("depth_before", depth_incl - delta)
-    opens = (F.col("tok") == "(") & (F.col("depth_before") == 0)
-    tok = tok.withColumn("is_open", opens).withColumn(
-        "open_", F.sum(opens.cast("int")).over(w.rowsBetween(UNB, 0)))
-    outer = (F.col("depth_before") == 0) & ~F.col("is_open")
-    closing = (F.col("tok") == ")") & (F.col("depth_before") == 1)
-    # text between two spans belongs to the span it leads to
-    tok = tok.withColumn("span", F.when(outer, F.col("open_") + 1).otherwise(F.col("open_")))
-
-    def text(when):
-        parts = F.array_sort(F.collect_list(F.when(when, F.struct("pos", "tok"))))
-        return F.array_join(F.transform(parts, lambda x: x["tok"]), "")
-
-    spans = tok.groupBy("query_id", "span").agg(
-        text(outer).alias("lead"), text(~outer & ~F.col("is_open") & ~closing).alias("body"),
-        F.max("is_open").alias("has"))
-    ws = Window.partitionBy("query_id").orderBy("span")
-    spans = spans.withColumn("before", F.lag("lead").over(ws)).withColumn("after", F.lead("lead").over(ws))
-    is_body = F.col("lead").rlike(r"(?:^|[^A-Za-z0-9_$#])" + _AS)
-    alone = rf"^\s*{_AS}"
-    own = F.regexp_extract("lead", rf"({_IDENT})\s*{_AS}", 1)
-    listed = F.when(F.col("lead").rlike(alone), F.regexp_extract("before", rf"({_IDENT})\s*$", 1))
-    name = F.when(is_body, F.coalesce(listed, own))
-    spans = spans.filter("has").withColumn("name", F.when(F.length(name) > 0, name))
-    is_list = ~is_body & F.coalesce(F.col("after").rlike(alone), F.lit(False))
-    spans = spans.filter(~is_list)
-    return spans.select("query_id", F.row_number().over(ws).cast("int").alias("cte_pos"), "name", "body",
-                        F.when(F.col("name").isNull(), F.lit(NO_NAME)).alias("error"))
+    def ctes(text: str) -> list[tuple]:
+        block = [p.original for p in B.scan(text) if p.n == 0 and p.section == "cte"]
+        return [(i, name, body, None if name else NO_NAME) for t in block for i, (name, body) in enumerate(B.with_list(t), 1)]
+
+    return row_local(_texts(corpus), "code", ["query_id"], _fields(("cte_pos", _INT), ("name", _TEXT), ("body", _TEXT), ("error", _TEXT)), ctes)
 
 
 def named_view(corpus: DataFrame) -> DataFrame:
-    """Legacy flat view ``query_id, name, type, query, error``.
+    """Legacy flat view ``query_id, text_key, name, type, query, error``.
 
     Rows: every named CTE (type ``cte``, body as written), every subquery of
     the non-CTE sections (type ``subquery``, named by its log identifier --
@@ -480,38 +301,21 @@ def named_view(corpus: DataFrame) -> DataFrame:
     that do not start with WITH or SELECT give one ``main`` row with an
     ``error`` instead of raising.
     """
-    # both are read twice below: computed once, into the shared folder
-    ctes = materialize(cte_list(corpus))
-    log = materialize(decompose_log(corpus).select("query_id", "section", "section_id", "type", "identifier", "content"))
-    head = corpus.select("query_id", strip_ws(strip_comments("sql")).alias("t"))
-    good = F.upper(F.col("t")).rlike(r"^(WITH|SELECT)([^A-Z0-9_$#]|$)")
-    ok = head.filter(good).select("query_id")
-    bad = head.filter(~good | F.col("t").isNull())
-    none = F.lit(None).cast("string")
-    cte_rows = ctes.select(  # only texts that start with WITH have any
-        "query_id", F.coalesce("name", F.concat(F.lit("cte_"), F.col("cte_pos"))).alias("name"), F.lit("cte").alias("type"),
-        F.col("body").alias("query"), "error")
-    ctes = ctes.filter("name is not null")
-    nc = log.filter(F.col("section") != "cte").join(ok, "query_id", "left_semi")
-    sub_rows = nc.filter(F.col("type") == "subquery").select(
-        "query_id", F.col("identifier").alias("name"), F.lit("subquery").alias("type"),
-        F.col("content").alias("query"), none.alias("error"))
-    cte_head = (ctes.groupBy("query_id").agg(F.concat(F.lit("WITH "), F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("cte_pos", "name"))),
-        lambda x: F.concat(x["name"], F.lit(" AS (<<"), x["name"], F.lit(">>)"))), ", "),
-        F.lit("\n")).alias("cte_head")))
-    mains = (nc.filter(F.col("type") == "section_main")
-               .groupBy("query_id")
-               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-                   F.struct("section_id", "content"))), lambda x: x["content"]), "\n").alias("body")))
-    main_rows = (ok.join(mains, "query_id", "left").join(cte_head, "query_id", "left")
-                 .select("query_id", F.lit("main").alias("name"), F.lit("main").alias("type"),
-                         F.concat(F.coalesce("cte_head", F.lit("")), F.coalesce("body", F.lit(""))).alias("query"),
-                         none.alias("error")))
-    bad_rows = bad.select("query_id", F.lit("main").alias("name"), F.lit("main").alias("type"),
-                          F.col("t").alias("query"),
-                          F.lit("query must start with WITH or SELECT").alias("error"))
-    return cte_rows.unionByName(sub_rows).unionByName(main_rows).unionByName(bad_rows)
+    def view(text: str, is_null: bool) -> list[tuple]:
+        whole = text.strip(B.BLANK)
+        if not B.starts_query(whole):
+            return [("main", "main", None if is_null else whole, NO_HEAD)]
+        found = B.scan(text)
+        ctes = [x for p in found if p.n == 0 and p.section == "cte" for x in B.with_list(p.original)]
+        rows = [(name or f"cte_{i}", "cte", body, None if name else NO_NAME) for i, (name, body) in enumerate(ctes, 1)]
+        rest = [p for p in found if p.section != "cte"]
+        rows += [(B.placeholder(p.section, p.section_id, p.n)[3:-3], "subquery", p.content, None) for p in rest if p.n]
+        head = ", ".join(f"{name} AS (<<{name}>>)" for name, _ in ctes if name)
+        main = "\n".join(p.content for p in rest if p.n == 0)
+        return [*rows, ("main", "main", (f"WITH {head}\n" if head else "") + main, None)]
+
+    texts = _texts(corpus).withColumn("is_null", F.col("code").isNull())
+    return row_local(texts, "code", _KEYS, _fields(("name", _TEXT), ("type", _TEXT), ("query", _TEXT), ("error", _TEXT)), view, "is_null")
 
 
 def setop_branches(corpus: DataFrame) -> DataFrame:
@@ -520,10 +324,8 @@ def setop_branches(corpus: DataFrame) -> DataFrame:
     Out: ``query_id, branch (1..k), placeholder, content`` for every depth-0
     SELECT section of a query with >= 2 of them (``<<branch_{k}>>``).
     """
-    sec = split_sections(corpus).filter(F.col("section") == "select")
-    w = Window.partitionBy("query_id")
-    sec = sec.withColumn("k", F.count(F.lit(1)).over(w)).filter(F.col("k") >= 2)
-    br = F.row_number().over(w.orderBy("section_id"))
-    return sec.select("query_id", br.cast("int").alias("branch"),
-                      F.concat(F.lit("<<branch_"), br.cast("string"), F.lit(">>")).alias("placeholder"),
-                      "content")
+    def branches(text: str) -> list[tuple]:
+        found = [p.original for p in B.scan(text) if p.n == 0 and p.section == "select"]
+        return [(i, f"<<branch_{i}>>", t) for i, t in enumerate(found, 1)] if len(found) > 1 else []
+
+    return row_local(_texts(corpus), "code", ["query_id"], _fields(("branch", _INT), ("placeholder", _TEXT), ("content", _TEXT)), branches)

@@ -6,7 +6,8 @@ Each takes DataFrames and key/column names. Scale notes:
   aggregation; AQE sizes the join at run time) -- a window partitioned by a
   key would put a hot key's rows into one task;
 * top-1 per key is ``max_by``/``min_by`` in an aggregate, for the same reason;
-* lookups are deduplicated before the join so the result never fans out;
+* lookups are reduced to one row per key (a defined one) before the join, so the
+  result never fans out;
 * no join is hinted to broadcast: Spark broadcasts only what its size
   statistics (or AQE's runtime sizes) prove small.
 """
@@ -22,8 +23,9 @@ from sqlstrata.session import materialize
 def lookup_join(left: DataFrame, dim: DataFrame, on: list[str], cols: list[str]) -> DataFrame:
     """H1: scalar lookup (correlated subquery returning one value) as a left
     join to the deduplicated lookup table."""
-    d = dim.select(*on, *cols).dropDuplicates(on)
-    return left.join(d, on, "left")
+    # of several rows of a key, the first by the looked-up columns
+    d = dim.select(*on, F.struct(*cols).alias("_row")).groupBy(*on).agg(F.min("_row").alias("_row"))
+    return left.join(d, on, "left").select(*[F.col(c) for c in left.columns], *[F.col(f"_row.{c}").alias(c) for c in cols])
 
 
 def top1_per_key(df: DataFrame, keys: list[str], order: list[Column], cols: list[str]) -> DataFrame:
@@ -116,6 +118,15 @@ def hierarchy_walk(spark: SparkSession, edges: DataFrame) -> DataFrame:
                        F.when(~ok, F.lit("cycle")).alias("error"))
 
 
+def unpacked(df: DataFrame, keep: list[str], columns: dict[str, tuple[str, int]]) -> DataFrame:
+    """A very wide projection: ``keep``, and ``columns`` by name as entries (array
+    column, index from 0). Hundreds of columns are computed as few array
+    expressions and become columns here, last: each is one field access, so generated
+    code, planning and what joins and exchanges below carry stay small. The arrays are
+    computed once per row (they are more than a reference, and read more than once)."""
+    return df.selectExpr(*[f"`{c}`" for c in keep], *[f"`{a}`[{i}] AS `{c}`" for c, (a, i) in columns.items()])
+
+
 def register_user_function(spark: SparkSession, name: str, params: str, returns: str, body: str) -> None:
     """An opaque user function kept by name, as a SQL function (inlined
     by the optimizer, runs in the JVM)."""

@@ -315,19 +315,16 @@ def _wide_sql():
 
 @register("wide_projection", _wide_sql())
 def q_wide_projection(spark, sf):
-    """Many computed columns; the repeated lookups share one aggregate join."""
+    """Many computed columns; the repeated lookups share one aggregate join. One
+    array holds each kind of column; the columns are unpacked last."""
     c = _t(spark, sf, "customer")
     s = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"),
                                                          F.max("o_orderkey").alias("max_key"))
-    j = c.join(s, s.o_custkey == c.c_custkey, "left")
-    cols = []
-    for i in range(1, _WIDE_N + 1):
-        if i % 10 == 0:
-            cols.append(F.when(F.coalesce("n_orders", F.lit(0)) > i // 10, F.col("max_key"))
-                        .otherwise(F.lit(0)).alias(f"w{i}"))
-        else:
-            cols.append((F.col("c_custkey") * i + F.col("c_nationkey")).alias(f"w{i}"))
-    return j.select("c_custkey", *cols)
+    j = c.join(s, s.o_custkey == c.c_custkey, "left").select("c_custkey", "c_nationkey", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), "max_key")
+    lookup = F.transform(F.sequence(F.lit(1), F.lit(_WIDE_N // 10)), lambda i: F.when(F.col("n_orders") > i, F.col("max_key")).otherwise(F.lit(0)))
+    plain = F.transform(F.sequence(F.lit(1), F.lit(_WIDE_N)), lambda i: F.col("c_custkey") * i + F.col("c_nationkey"))
+    return R.unpacked(j.select("c_custkey", lookup.alias("lookup"), plain.alias("plain")), ["c_custkey"], {
+        f"w{i}": ("plain", i - 1) if i % 10 else ("lookup", i // 10 - 1) for i in range(1, _WIDE_N + 1)})
 
 
 @register("user_function", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) * 2 + 1 AS f FROM lineitem")

@@ -145,7 +145,7 @@ def _dlog(spark, sf):
 
 
 def _clog(spark, sf):
-    return C.log_with_columns(D.decompose_log(_corpus(spark, sf)))
+    return D.decompose_log(_corpus(spark, sf), select_lists=True)
 
 RS = "\x1e"  # array elements are joined with the record separator for hashing
 _DLOG = [*O.BASE, O.SUBQUERIES, O.LOG]
@@ -369,7 +369,7 @@ def _identity_columns(log):
 @register("assemble_query", O.with_(*_CLOG, _FOLD, body="SELECT query_id, final_query FROM f_final"))
 def q_assemble_query(spark, sf):
     log = _clog(spark, sf)
-    return A.assemble_query(_identity_columns(log))
+    return A.assemble_query(_identity_columns(log)).drop("text_key")
 
 
 @register("final_row", O.with_(*_CLOG, _FOLD, body=(
@@ -460,7 +460,7 @@ def q_cte_list(spark, sf):
 
 @register("named_view", O.with_(*_DLOG, O.CTE_LIST, O.NAMED_VIEW, body="SELECT query_id, name, type, query, error FROM nv"))
 def q_named_view(spark, sf):
-    return D.named_view(_corpus(spark, sf))
+    return D.named_view(_corpus(spark, sf)).drop("text_key")
 
 
 @register("main_text", O.with_(*_DLOG, O.CTE_LIST, O.NAMED_VIEW, O.MAIN_TEXT, body="SELECT query_id, main FROM mt"))

@@ -78,17 +78,10 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def ship_package(spark: SparkSession) -> None:
+def ship_code(spark: SparkSession) -> None:
     """Give the executors' Python this package (once per context), so that
-    tasks import it wherever the driver was started and whatever is installed.
-
-    Also bounds the rows of an Arrow batch where the session has Spark's own
-    default, which is made for narrow rows: 10,000 long texts are held several
-    times over, in the JVM and in Python."""
+    tasks import it wherever the driver was started and whatever is installed."""
     sc = spark.sparkContext
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(batch, "10000") == "10000":
-        spark.conf.set(batch, "1000")
     if getattr(sc, "_sqlstrata_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
@@ -96,3 +89,14 @@ def ship_package(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.addPyFile(shutil.make_archive(os.path.join(folder, "sqlstrata-package"), "zip", os.path.dirname(root), os.path.basename(root)))
     sc._sqlstrata_shipped = True
+
+
+def ship_package(spark: SparkSession) -> None:
+    """``ship_code``, for operators whose tasks hold whole batches of long texts: also
+    bounds the rows of an Arrow batch where the session has Spark's own
+    default, which is made for narrow rows: 10,000 long texts are held several
+    times over, in the JVM and in Python."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch, "10000") == "10000":
+        spark.conf.set(batch, "1000")
+    ship_code(spark)

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlstrata.session import materialize
+
 
 class _SparkR:
     """Render template pieces as Spark Columns."""
@@ -224,9 +226,30 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet",
     return df.select(F.col(id_col).cast("bigint").alias("query_id"), F.col(sql_col).alias("sql"))
 
 
+def distinct_texts(corpus: DataFrame) -> DataFrame:
+    """The corpus with equal rows (id and text) once. Different texts under one id, or
+    without an id, all stay: ``text_key`` keeps them apart later on. Keys are
+    counted first, and only rows whose key repeats are shuffled with their text."""
+    keys = ["query_id", "text_key"]
+    keyed = corpus.withColumn("text_key", F.xxhash64("sql"))
+    twice = materialize(keyed.groupBy(*keys).count().filter("count > 1").select(*keys))
+    if twice.isEmpty():
+        return corpus
+    same = (F.col("c.text_key") == F.col("t.text_key")) & F.col("c.query_id").eqNullSafe(F.col("t.query_id"))
+    keyed, twice = keyed.alias("c"), twice.alias("t")
+    once = keyed.join(twice, same, "left_semi").dropDuplicates(["query_id", "sql"])
+    return keyed.join(twice, same, "left_anti").unionByName(once).select(*corpus.columns)
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def corpus_from_dir(spark: SparkSession, sf_dir: str, source: str = "part") -> DataFrame:
-    return build_corpus(load_table(spark, sf_dir, source), source)
+    """The corpus of a table in ``sf_dir``. A row gives a text of 10 to 500 times its
+    size, so the narrow rows are dealt out before texts are built, into the session's
+    number of shuffle partitions (an explicit number: adaptive execution would see
+    little data and join the parts)."""
+    rows = load_table(spark, sf_dir, source).select(*dict.fromkeys(SOURCES[source]))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return build_corpus(rows.repartition(parts, SOURCES[source][0]), source)

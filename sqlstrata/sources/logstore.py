@@ -1,8 +1,8 @@
 """Log tables (A3-A5, A7) and the few-shot example reader.
 
-Logs are written as plain parquet, one file per task: no reader filters on a
-bucket, and buckets would multiply the files. A blank table name or path is a
-no-op, as in the reference.
+A log is plain parquet, or a table in buckets of ``query_id``: reassembly groups by
+text, and over such a table it needs no exchange. A blank table name or path
+is a no-op, as in the reference.
 """
 
 from __future__ import annotations
@@ -30,13 +30,19 @@ def log_init(spark: SparkSession, table: str | None) -> DataFrame | None:
     return spark.table(table)
 
 
-def write_log(df: DataFrame, target: str | None, as_table: bool = False) -> None:
-    """A4: overwrite a log (path or table)."""
+def write_log(df: DataFrame, target: str | None, as_table: bool = False, buckets: int | None = None,
+              deal: bool = True) -> None:
+    """A4: overwrite a log (path or table; a table in ``buckets`` of ``query_id``, if given).
+
+    Each task writes a file per bucket, so rows are first dealt out by bucket; rows that
+    come from a table in the same buckets lie so already (``deal=False``)."""
     if _blank(target):
         return
+    if as_table and buckets and deal:
+        df = df.repartition(buckets, "query_id")
     w = df.write.mode("overwrite").format("parquet")
     if as_table:
-        w.saveAsTable(target)
+        (w.bucketBy(buckets, "query_id") if buckets else w).saveAsTable(target)
     else:
         w.save(target)
 

@@ -157,7 +157,7 @@ def test_single_stream_matches_sections_and_brute_force(spark, corpus_of):
     sections = {(s.query_id, s.section_id): s for s in D.split_sections(corpus).collect()}
     pieces = {}
     for p in D.decompose_pieces(corpus).collect():
-        if p.original != D.NOTHING:  # a text without code has a piece and no section
+        if p.section != D.NOTHING:  # a text without code has a piece and no section
             pieces.setdefault((p.query_id, p.section_id), {})[p.n] = p
     assert set(pieces) == set(sections)
     for key, s in sections.items():
