@@ -59,11 +59,36 @@ def with_functions(log: DataFrame, content: str = "content", columns: str = "col
     return log.withColumn("functions", functions_expr(content, columns))
 
 
+def _per_query(df: DataFrame, array_col: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    ex = df.select(*keys, "query_id", F.explode(array_col).alias(name))
+    return ex.groupBy(*keys, "query_id", name).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def unique_values(df: DataFrame, array_col: str, name: str) -> DataFrame:
-    """``name, n_rows, n_queries`` over the exploded list column."""
-    ex = df.select("query_id", F.explode(array_col).alias(name))
-    return (ex.groupBy(name)
-              .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("query_id").alias("n_queries")))
+    """``name, n_rows, n_queries`` over the exploded list column.
+
+    Which queries hold a name is settled per query first: over a log in buckets of
+    ``query_id`` that needs no exchange, and rows are shuffled by name only, as sums.
+    Rows without an id count as rows, not as a query."""
+    return (_per_query(df, array_col, name).groupBy(name)
+            .agg(F.sum("n_rows").alias("n_rows"), F.count("query_id").alias("n_queries")))
+
+
+def counts_by_part(log: DataFrame, part: str = "part") -> DataFrame:
+    """``part, kind, name, n_rows, n_queries`` of the tables and functions of a log whose
+    ``part`` follows ``query_id``: no query lies in two parts, so counts of parts add up."""
+    out = None
+    for kind in ("tables", "functions"):
+        one = (_per_query(log, kind, "name", (part,)).groupBy(part, "name")
+               .agg(F.sum("n_rows").alias("n_rows"), F.count("query_id").alias("n_queries"))
+               .select(part, F.lit(kind).alias("kind"), "name", "n_rows", "n_queries"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def merged_counts(parts: DataFrame, kind: str) -> DataFrame:
+    """D3 / D5 from stored counts of parts: ``name, n_rows, n_queries``."""
+    return parts.filter(F.col("kind") == kind).groupBy("name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_queries").alias("n_queries"))
 
 
 def duplicate_subqueries(log: DataFrame, content_col: str = "content") -> DataFrame:

@@ -105,8 +105,9 @@ def _same_text(a: str, b: str) -> Column:
 def refresh(spark: SparkSession, corpus: DataFrame, table: str, rules=V.DEFAULT_RULES, parts: int = PARTS) -> DataFrame:
     """Bring the log ``table`` (all stages, final rows included) up to date with ``corpus``.
 
-    The log and ``{table}_texts``, the texts it covers, are partitioned by a hash of
-    ``query_id``. Texts are compared by (id, hash). Only partitions in which a text came
+    The log, ``{table}_texts``, the texts it covers, and ``{table}_names``, counts of the
+    tables and functions of its pieces (``lineage.merged_counts`` adds them up), are
+    partitioned by a hash of ``query_id``. Texts are compared by (id, hash). Only partitions in which a text came
     or went are read, converted where a row has no conversion yet, and overwritten;
     the files of all others stay as they are. Equal rows of the corpus count once."""
     from sqlstrata.session import materialize
@@ -137,8 +138,9 @@ def refresh(spark: SparkSession, corpus: DataFrame, table: str, rules=V.DEFAULT_
     before = spark.conf.get(mode, "static")
     spark.conf.set(mode, "dynamic")
     try:
-        for name, rows in ((table, done), (f"{table}_texts", now)):
-            rows = rows.repartitionByRange("part", "query_id")
+        names = L.counts_by_part(done.filter(F.col("type") != "final"))
+        for name, rows, by in ((table, done, "query_id"), (f"{table}_texts", now, "query_id"), (f"{table}_names", names, "name")):
+            rows = rows.repartitionByRange("part", by)
             if known:
                 rows.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
                 for part in sorted(set(touched) - left):

@@ -62,8 +62,11 @@ def test_stages_over_a_bucketed_log_shuffle_nothing(spark):
 
 
 def test_counts_of_names_shuffle_by_name_only(spark):
-    log = D.decompose_log(corpus_from_dir(spark, SMOKE_DIR), select_lists=True)
-    plan = L.unique_values(L.with_tables(log), "tables", "name")._jdf.queryExecution().executedPlan().toString()
-    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
-    assert not any("name" in x.split("hashpartitioning")[1] and "query_id" in x.split("hashpartitioning")[1] for x in exchanges), exchanges
-    assert F.col("name") is not None
+    """Over a log in buckets of the id, a query's names are settled where they lie."""
+    name = f"log_{uuid.uuid4().hex[:8]}"
+    S.write_log(PL.stage1(corpus_from_dir(spark, SMOKE_DIR)), name, as_table=True, buckets=4)
+    counts = L.unique_values(S.read_log(spark, name, as_table=True), "tables", "table_name")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x.split("hashpartitioning(")[1].split(")")[0] for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(exchanges) == 1 and exchanges[0].startswith("table_name") and "query_id" not in exchanges[0], plan
+    assert sorted(map(str, counts.collect())) == sorted(map(str, registry.QUERIES["unique_tables"](spark, SMOKE_DIR).collect()))

@@ -12,6 +12,7 @@ from sqlstrata.functions import boundaries as B
 from sqlstrata.operators import assemble as A
 from sqlstrata.operators import columns as C
 from sqlstrata.operators import decompose as D
+from sqlstrata.operators import lineage as L
 from sqlstrata.plans import pipeline as PL
 from sqlstrata.sources.corpus import distinct_texts
 
@@ -117,6 +118,11 @@ def test_refresh_rewrites_only_what_changed(spark):
     fin = {r.query_id: r.final_query for r in second.filter("type = 'final' and query_id = 17").collect()}
     assert fin == {17: "SELECT CURRENT_TIMESTAMP() FROM changed"}
 
+    for kind in ("tables", "functions"):  # counts kept by partition equal counts of the whole log
+        kept = L.merged_counts(spark.table(f"{name}_names"), kind)
+        whole = L.unique_values(second.filter("type <> 'final'"), kind, "name")
+        assert sorted(map(str, kept.collect())) == sorted(map(str, whole.collect())) and kept.count() > 0
+
     # texts that go: also when none of their partition is left
     keep = corpus(spark, [(i, t) for i, t in texts.items() if i < 3])
     third = PL.refresh(spark, keep, name, parts=16)
