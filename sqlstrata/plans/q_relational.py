@@ -288,14 +288,29 @@ walk(node, cur, depth) AS (
 )
 SELECT node, arg_max(cur, depth) AS root, CAST(max(depth) AS INTEGER) AS depth, NULL::VARCHAR AS error FROM walk GROUP BY node""")
 def q_hierarchy_walk(spark, sf):
+    return R.hierarchy_walk(spark, _edges(spark, sf))
+
+
+def _edges(spark, sf):
     r, n, c = (_t(spark, sf, t) for t in ("region", "nation", "customer"))
-    edges = (r.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node"),
+    return (r.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node"),
                       F.lit(None).cast("string").alias("parent"))
              .unionByName(n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"),
                                    F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("parent")))
              .unionByName(c.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("node"),
                                    F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("parent"))))
-    return R.hierarchy_walk(spark, edges)
+
+
+@register("hierarchy_closure", f"""
+WITH RECURSIVE {_EDGES_SQL.strip()},
+up(ancestor, descendant, distance, path) AS (
+  SELECT parent, node, 1, parent || '/' || node FROM edges WHERE parent IS NOT NULL
+  UNION ALL
+  SELECT e.parent, u.descendant, u.distance + 1, e.parent || '/' || u.path FROM up u JOIN edges e ON e.node = u.ancestor WHERE e.parent IS NOT NULL
+)
+SELECT ancestor, descendant, CAST(distance AS BIGINT) AS distance, path, ancestor = descendant AS cycle FROM up""")
+def q_hierarchy_closure(spark, sf):
+    return R.hierarchy_closure(_edges(spark, sf), with_path=True).withColumn("path", F.array_join("path", "/"))
 
 
 _WIDE_N = 599
