@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sqlstrata.functions import patterns as P
 from sqlstrata.functions.text import strip_ws
+from sqlstrata.operators.clauses import by_place
 
 # The reference's conversion rules (Oracle -> Spark SQL).
 DEFAULT_RULES = [
@@ -66,6 +67,11 @@ def apply_rules(c: Column, rules=DEFAULT_RULES) -> Column:
     return F.when(c.isNull(), c).otherwise(F.array_join(conv, ""))
 
 
+def convert_piece(c: Column, rules=DEFAULT_RULES) -> Column:
+    """E1 for the text of a piece: the rules, then the rewrites by place (``clauses``)."""
+    return by_place(apply_rules(c, rules)) if rules else c
+
+
 def code_only(c: Column) -> Column:
     """The text with every literal emptied: audit words inside literals are data."""
     return F.regexp_replace(c, P.LIT, "''")
@@ -106,11 +112,11 @@ def convert_log(log: DataFrame, rules=DEFAULT_RULES, full_refresh: bool = True)
     kept as they are.
     """
     is_setop = F.col("section") == "join"
-    conv = apply_rules(F.col("content"), rules)
+    conv = F.col("_conv")
     err = check_errors(conv)
     done = (F.col("converted_content").isNotNull() & (strip_ws(F.col("converted_content")) != ""))
     keep = F.lit(False) if full_refresh else done
-    out = (log.withColumn("_conv", conv).withColumn("_err", err)
+    out = (log.withColumn("_conv", convert_piece(F.col("content"), rules)).withColumn("_err", err)
               .withColumn("converted_content",
                           F.when(keep, F.col("converted_content"))
                            .when(is_setop, F.lit(""))

@@ -252,6 +252,15 @@ def convert_sql(e: str) -> str:
             f"ELSE {code} END), '') END")
 
 
+def place_sql(e: str) -> str:
+    """The forms of the corpus that are rewritten by place: one table with an alias, a
+    comparison and ROWNUM = 1; two tables, one equality and one comparison."""
+    one = r"(?i)^(SELECT \* FROM) (\w+ (\w+)) WHERE (\w+\.\w+ = \d+) AND ROWNUM = 1$"
+    two = r"(?i)^(SELECT \* FROM \w+ \w+), (\w+ \w+) WHERE (\w+\.\w+ = \w+\.\w+) AND (\w+\.\w+ > \d+)$"
+    return (f"regexp_replace(regexp_replace({e}, {q(two)}, {q(r'\1 JOIN \2 ON \3 WHERE \4')}), {q(one)}, "
+            f"{q(r'\1 (SELECT \3.*, ROW_NUMBER() OVER (ORDER BY 1) AS rn FROM \2 WHERE \4) \3 WHERE \3.rn = 1')})")
+
+
 def code_sql(e: str) -> str:
     """Literals emptied: audit words inside them are data."""
     return f"regexp_replace({e}, {q(LIT)}, {q(chr(39) * 2)}, 'g')"
@@ -352,39 +361,32 @@ mt_subs AS (
               + coalesce(TRY_CAST(regexp_extract(name, '_(\\d+)$', 1) AS BIGINT), 0) END DESC) AS rk
   FROM nv WHERE error IS NULL AND type <> 'main'
 ),
+mt_lists AS (SELECT query_id, list(struct_pack(n := name, t := query) ORDER BY rk) AS subs FROM mt_subs GROUP BY query_id),
 mt AS (
-  WITH RECURSIVE r(query_id, k, txt) AS (
-    SELECT query_id, 0, query FROM nv WHERE type = 'main' AND error IS NULL
-    UNION ALL
-    SELECT r.query_id, r.k + 1, replace(r.txt, '<<' || s.name || '>>', s.query)
-    FROM r JOIN mt_subs s ON s.query_id = r.query_id AND s.rk = r.k + 1
-  )
-  SELECT query_id, arg_max(txt, k) AS main FROM r GROUP BY query_id
+  SELECT query_id, CASE WHEN subs IS NULL THEN query ELSE
+    list_reduce(subs, lambda a, x: struct_pack(n := '', t := replace(a.t, '<<' || x.n || '>>', x.t)), struct_pack(n := '', t := query)).t END AS main
+  FROM (SELECT * FROM nv WHERE type = 'main' AND error IS NULL) m LEFT JOIN mt_lists USING (query_id)
 )"""
 
 
-def fold(src: str, text_expr: str) -> str:
-    """Resolve placeholders per section by a recursive CTE over ``src`` rows."""
+def fold(src: str, text_expr: str, name: str = "fd") -> str:
+    """Resolve placeholders per section: one replacement of the whole text per
+    subquery, the largest number first."""
+    num = "CAST(regexp_extract(identifier, '_(\\d+)$', 1) AS BIGINT)"
     return f"""
-fd_rows AS (SELECT *, {text_expr} AS t FROM {src}),
-fd_subs AS (
-  SELECT query_id, section_id, identifier, t,
-         row_number() OVER (PARTITION BY query_id, section_id
-                            ORDER BY CAST(regexp_extract(identifier, '_(\\d+)$', 1) AS BIGINT) DESC) AS rk
-  FROM fd_rows WHERE type = 'subquery'
-),
-fd_fold AS (
-  WITH RECURSIVE r(query_id, section_id, k, txt) AS (
-    SELECT query_id, section_id, 0, t FROM fd_rows WHERE type = 'section_main'
-    UNION ALL
-    SELECT r.query_id, r.section_id, r.k + 1, replace(r.txt, '<<' || s.identifier || '>>', s.t)
-    FROM r JOIN fd_subs s ON s.query_id = r.query_id AND s.section_id = r.section_id AND s.rk = r.k + 1
-  )
-  SELECT query_id, section_id, arg_max(txt, k) AS resolved FROM r GROUP BY query_id, section_id
-),
-fd_final AS (
+{name}_rows AS MATERIALIZED (SELECT query_id, section_id, type, identifier, {text_expr} AS t FROM {src}),
+{name}_subs AS (
+  SELECT query_id, section_id, list(struct_pack(id := identifier, t := t) ORDER BY {num} DESC) AS subs
+  FROM {name}_rows WHERE type = 'subquery' GROUP BY query_id, section_id
+),
+{name}_fold AS (
+  SELECT query_id, section_id, CASE WHEN subs IS NULL THEN m.t ELSE
+    list_reduce(subs, lambda a, x: struct_pack(id := '', t := replace(a.t, '<<' || x.id || '>>', x.t)), struct_pack(id := '', t := m.t)).t END AS resolved
+  FROM (SELECT * FROM {name}_rows WHERE type = 'section_main') m LEFT JOIN {name}_subs USING (query_id, section_id)
+),
+{name}_final AS (
   SELECT query_id, string_agg({SW('resolved')}, chr(10) || chr(10) ORDER BY section_id) AS final_query
-  FROM fd_fold GROUP BY query_id
+  FROM {name}_fold GROUP BY query_id
 )"""
 
 

@@ -256,7 +256,7 @@ def q_duplicate_groups(spark, sf):
 
 # --- E: conversion -------------------------------------------------------------
 _CONV = f"""
-e_conv AS (SELECT *, {O.convert_sql('content')} AS conv FROM s1log),
+e_conv AS (SELECT *, {O.place_sql(O.convert_sql('content'))} AS conv FROM s1log),
 e_err AS (SELECT *, {O.errors_sql('conv')} AS err FROM e_conv),
 e_log AS (
   SELECT *, CASE WHEN section = 'join' THEN '' WHEN err = '' THEN conv ELSE '' END AS converted_content,
@@ -268,10 +268,10 @@ _ELOG = [*_S1, _CONV]
 
 
 @register("convert_rules", O.with_(*_S1, body=(
-    f"SELECT query_id, section_id, identifier, {O.convert_sql('content')} AS converted FROM s1log")))
+    f"SELECT query_id, section_id, identifier, {O.place_sql(O.convert_sql('content'))} AS converted FROM s1log")))
 def q_convert_rules(spark, sf):
     return PL.stage1(_corpus(spark, sf)).select(
-        "query_id", "section_id", "identifier", V.apply_rules(F.col("content")).alias("converted"))
+        "query_id", "section_id", "identifier", V.convert_piece(F.col("content")).alias("converted"))
 
 
 @register("convert_log", O.with_(*_ELOG, body=(
@@ -339,27 +339,7 @@ def q_star_expand(spark, sf):
                       A.star_expand(F.col("content"), F.col("columns"), F.col("columns")).alias("expanded"))
 
 
-_FOLD = f"""
-f_rows AS (SELECT *, {_STAR_SQL} AS t FROM clog),
-f_subs AS (
-  SELECT query_id, section_id, identifier, t,
-         row_number() OVER (PARTITION BY query_id, section_id
-                            ORDER BY CAST(regexp_extract(identifier, '_(\\d+)$', 1) AS BIGINT) DESC) AS rk
-  FROM f_rows WHERE type = 'subquery'
-),
-f_fold AS (
-  WITH RECURSIVE r(query_id, section_id, k, txt) AS (
-    SELECT query_id, section_id, 0, t FROM f_rows WHERE type = 'section_main'
-    UNION ALL
-    SELECT r.query_id, r.section_id, r.k + 1, replace(r.txt, '<<' || s.identifier || '>>', s.t)
-    FROM r JOIN f_subs s ON s.query_id = r.query_id AND s.section_id = r.section_id AND s.rk = r.k + 1
-  )
-  SELECT query_id, section_id, arg_max(txt, k) AS resolved FROM r GROUP BY query_id, section_id
-),
-f_final AS (
-  SELECT query_id, string_agg({O.SW('resolved')}, chr(10) || chr(10) ORDER BY section_id) AS final_query
-  FROM f_fold GROUP BY query_id
-)"""
+_FOLD = O.fold("clog", _STAR_SQL, "f")
 
 
 def _identity_columns(log):

@@ -105,7 +105,7 @@ def _column(r, k, s, i):
     """Generated select-list column number ``i`` of the query for part ``k``."""
     si = r.num(i)
     ci = r.concat(r.lit(" AS col"), si)
-    kind = r.mod(_plus(r, k, r.mul(i, 3)), 10)
+    kind = r.mod(_plus(r, k, r.mul(i, 5)), 12)
     literal = r.concat(r.lit("'col"), si, r.lit("'"), ci)
     return r.case(kind, {
         0: r.concat(r.lit("ROWNUM"), ci),
@@ -124,6 +124,9 @@ def _column(r, k, s, i):
         8: r.concat(r.lit("NVL(p.p_type, 'n/a') || ' @ ' || SYSDATE"), ci),
         9: r.concat(r.lit("(SELECT COUNT(*) FROM (SELECT l_orderkey FROM lineitem WHERE l_partkey = "
                           "p.p_partkey GROUP BY l_orderkey) x)"), ci),
+        10: r.concat(r.lit("(SELECT MAX(s.s_acctbal) FROM supplier s WHERE s.s_nationkey = "), si, r.lit(" AND ROWNUM = 1)"), ci),
+        11: r.concat(r.lit("(SELECT COUNT(*) FROM orders o, customer c WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > "), si,
+                     r.lit(")"), ci),
     }, literal)
 
 

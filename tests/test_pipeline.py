@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sqlstrata.plans import pipeline as PL
 
 Q1 = "WITH a AS (SELECT NVL(x, 0) AS x FROM t) SELECT x, (SELECT MAX(y) FROM u) AS m FROM a"
-Q2 = "SELECT CAST(b AS VARCHAR2(10)) FROM v WHERE c IN (SELECT c FROM w WHERE ROWNUM = 1)"
+Q2 = "SELECT CAST(b AS VARCHAR2(10)) FROM v WHERE c IN (SELECT c FROM w WHERE ROWNUM <= 5)"
 Q3 = "SELECT SYSDATE, d FROM z UNION ALL SELECT NULL, e FROM y"
 
 

@@ -74,7 +74,7 @@ def test_convert_rules_are_literal_safe(spark):
 
 def test_convert_errors_are_columns(spark):
     log = spark.createDataFrame(
-        [(1, "select", 1, "subquery", "s1", "SELECT a FROM t WHERE ROWNUM = 1", "", "", []),
+        [(1, "select", 1, "subquery", "s1", "SELECT a FROM t WHERE ROWNUM <= 5", "", "", []),
          (1, "join", 2, "", "", "UNION", "", "", []),
          (1, "select", 3, "section_main", "m", "SELECT NVL(a, 0) FROM t", "", "", [])],
         "query_id bigint, section string, section_id int, type string, identifier string, content string, "
