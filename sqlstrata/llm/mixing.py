@@ -22,14 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlstrata.llm.common import slices, text_buffer, word_spans, written
+from sqlstrata.llm.common import n_words_expr, slices, text_buffer, word_spans, written
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 SEED = 20_240
-#: Words left for the dynamic programme; what is beyond is filled largest first.
-DP_WORDS = 1 << 15
+#: Sums that the programme's table has. Where more words are open, the longest documents
+#: are taken first until they fit; the programme then decides all the rest.
+DP_WORDS = 1 << 22
 #: Documents that are ranked together when a length is split.
 RANKED = 4096
 
@@ -95,22 +96,24 @@ def fit_counts(length: np.ndarray, count: np.ndarray, budget: int, dp_words: int
         if k > 0:
             take[i] += k
             rest -= k * l
-    # sums reachable with the lengths so far are the set bits of ``reach``
-    mask, reach, steps = (1 << rest + 1) - 1, 1, []
+    # by[s]: the step that first reached the sum s
+    reach, by, steps = np.zeros(rest + 1, bool), np.full(rest + 1, -1, np.int32), []
+    reach[0] = True
     for i, l in enumerate(length.tolist()):
         left, part = min(int(count[i] - take[i]), rest // l), 1
-        while left > 0 and not reach >> rest & 1:
+        while left > 0 and not reach[rest]:
             k = min(part, left)
-            steps.append((i, k, reach))
-            reach |= reach << k * l & mask
+            new = np.flatnonzero(reach[:rest + 1 - k * l] & ~reach[k * l:]) + k * l
+            reach[new], by[new] = True, len(steps)
+            steps.append((i, k))
             left, part = left - k, part * 2
-        if reach >> rest & 1:
+        if reach[rest]:
             break
-    at = reach.bit_length() - 1
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * int(length[i])
+    at = int(np.flatnonzero(reach)[-1])
+    while at:  # a sum is first reached from one that an earlier step reached
+        i, k = steps[by[at]]
+        take[i] += k
+        at -= k * int(length[i])
     out = np.empty_like(take)
     out[order] = take
     return out
@@ -137,70 +140,101 @@ def plan(sized: DataFrame, goal: DataFrame, most: int = MOST_COPIES) -> DataFram
         fit, "source string, size long, n long, source_size long, target double, rounds int, extra long")
 
 
-def thresholds(sized: DataFrame, todo: DataFrame, seed: int = SEED) -> DataFrame:
-    """``todo`` with ``upto``: documents whose seeded hash is at most this get
-    the extra copy. Lengths that are split are cut into ranges of the hash of
-    about ``RANKED`` documents, so that no task ranks a whole hot length."""
+def thresholds(sized: DataFrame, todo: DataFrame) -> DataFrame:
+    """``todo`` with ``upto``, ``last`` and ``ties``: documents whose hash ``u`` is below
+    ``upto`` get the extra copy, and so do ``last`` of the ``ties`` whose hash it is.
+
+    Lengths that are split are cut into ranges of the hash of about ``RANKED``
+    documents, so that no task ranks a whole hot length; within a range hashes are
+    counted before they are ranked, so rows of one hash are one row there."""
     split = todo.filter("extra > 0 and extra < n").select(
         F.col("source").alias("_s"), F.col("size").alias("_l"), "extra",
         F.ceil(F.col("n") / RANKED).cast("long").alias("ranges"))
-    h = F.xxhash64("doc_id", F.lit(seed))
-    u = sized.select("source", "size", h.alias("u")).join(
+    u = sized.select("source", "size", "u").join(
         split, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_l")))
     part = F.floor(F.shiftrightunsigned("u", 11).bitwiseXOR(F.lit(1 << 52)) / F.lit(float(1 << 53)) * F.col("ranges"))
-    u = u.select("_s", "_l", "extra", "u", part.alias("part"))
-    per = u.groupBy("_s", "_l", "extra", "part").agg(F.count("*").alias("m"))
+    u = u.withColumn("part", part).groupBy("_s", "_l", "extra", "part", "u").agg(F.count("*").alias("m"))
+    u = written(u, "hashes")
+    per = u.groupBy("_s", "_l", "extra", "part").agg(F.sum("m").alias("m"))
     w = Window.partitionBy("_s", "_l").orderBy("part")
     per = per.withColumn("before", F.sum("m").over(w) - F.col("m")).filter("before < extra and before + m >= extra")
     per = per.select(F.col("_s").alias("s2"), F.col("_l").alias("l2"), F.col("part").alias("p2"), "before")
     hit = u.join(per, F.col("_s").eqNullSafe(F.col("s2")) & (F.col("_l") == F.col("l2")) & (F.col("part") == F.col("p2")))
-    rank = F.row_number().over(Window.partitionBy("_s", "_l").orderBy("u")) + F.col("before")
-    cut = hit.withColumn("rank", rank).filter("rank = extra").select("_s", "_l", F.col("u").alias("upto"))
+    upto = F.sum("m").over(Window.partitionBy("_s", "_l").orderBy("u")) + F.col("before")
+    cut = hit.withColumn("end", upto).filter("end >= extra and end - m < extra").select(
+        "_s", "_l", F.col("u").alias("upto"), (F.col("extra") - (F.col("end") - F.col("m"))).alias("last"), F.col("m").alias("ties"))
     out = todo.join(cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_l")), "left")
+    every = F.col("extra") >= F.col("n")
     return out.select("source", "size", "source_size", "target", "rounds",
-                      F.when(F.col("extra") == 0, F.lit(None)).when(F.col("extra") >= F.col("n"), F.lit((1 << 63) - 1))
-                      .otherwise(F.col("upto")).alias("upto"))
+                      F.when(F.col("extra") == 0, F.lit(None)).when(every, F.lit((1 << 63) - 1)).otherwise(F.col("upto")).alias("upto"),
+                      F.when(every, 1).otherwise(F.coalesce("last", F.lit(0))).alias("last"), F.when(every, 1).otherwise(F.coalesce("ties", F.lit(0))).alias("ties"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies`` per input row.
-
-    A null text has size 0. A null source is a source of its own. Rows that
-    repeat an id within a source and length share one decision. Documents
-    without words are copied with the whole rounds. Other columns are ignored,
-    an empty table gives no rows.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                       F.col(text_col).cast("string").alias("text"))
-    sized = written(sizes(rows), "sizes")
-    cut = decisions(sized, weights, most, seed)
-    out = sized.join(cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_l")), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", _copies("doc_id", most, seed).alias("copies"))
+def _row_hash(id_col: str, text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.lit(seed))
 
 
-def decisions(sized: DataFrame, weights: tuple[float, ...], most: int, seed: int) -> DataFrame:
-    """Per source ``_s`` and length ``_l``: ``source_size, target, rounds, upto``."""
+def decisions(sized: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
+    """Per source ``_s`` and length ``_l``: ``source_size, target, rounds, upto, last, ties``."""
     todo = written(plan(sized, targets(sized, weights, most), most), "mix")
-    cut = thresholds(sized, todo, seed)
-    return written(cut.select(F.col("source").alias("_s"), F.col("size").alias("_l"), "source_size", "target", "rounds", "upto"), "cut")
+    cut = thresholds(sized, todo)
+    return written(cut.select(F.col("source").alias("_s"), F.col("size").alias("_l"), "source_size", "target", "rounds", "upto", "last", "ties"), "cut")
+
+
+def _decided(rows: DataFrame, cut: DataFrame, most: int) -> DataFrame:
+    """``rows`` (source, size, u, ...) with ``source_size``, ``target`` and ``copies``.
+
+    Rows of the hash at which a length is split differ in nothing that the mix
+    knows (id, source, text); they are numbered across partitions, without bringing
+    them together: within each partition, after the counts of those before."""
+    names = rows.columns
+    all_ = rows.join(cut, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_l")), "left")
+    more = (F.col("u") < F.col("upto")) | ((F.col("u") == F.col("upto")) & (F.col("last") == F.col("ties")))
+    tied = F.coalesce((F.col("u") == F.col("upto")) & (F.col("last") < F.col("ties")), F.lit(False))
+    copies = lambda extra: F.least(F.lit(most), F.col("rounds") + F.coalesce(extra.cast("int"), F.lit(0))).alias("copies")
+    keep = [*names, "source_size", "target"]
+    if cut.filter("last < ties").isEmpty():
+        return all_.select(*keep, copies(more))
+    edge = written(all_.filter(tied).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()), "ties")
+    before = edge.groupBy("_s", "_l", "_part").agg(F.count("*").alias("_m"))
+    before = before.select(F.col("_s").alias("s2"), F.col("_l").alias("l2"), F.col("_part").alias("p2"), (F.sum("_m").over(
+        Window.partitionBy("_s", "_l").orderBy("_part")) - F.col("_m")).alias("_before"))
+    edge = edge.join(before, F.col("_s").eqNullSafe(F.col("s2")) & (F.col("_l") == F.col("l2")) & (F.col("_part") == F.col("p2")))
+    rank = F.row_number().over(Window.partitionBy("_s", "_l", "_part").orderBy("_seq")) + F.col("_before")
+    return all_.filter(~tied).select(*keep, copies(more)).unionByName(edge.withColumn("_rank", rank).select(*keep, copies(F.col("_rank") <= F.col("last"))))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                       F.col(text_col).cast("string").alias("text"), _row_hash(id_col, text_col, seed).alias("u"))
+    return written(sizes(rows), "sizes")
 
 
-def _copies(id_col: str, most: int, seed: int) -> Column:
-    more = F.coalesce((F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)) <= F.col("upto")).cast("int"), F.lit(0))
-    return F.least(F.lit(most), F.col("rounds") + more)
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies`` per input row.
+
+    A null text has size 0, a null source is a source of its own. Which documents
+    of a length get a copy more follows a hash of id and text, so rows without
+    an id and rows that share one are decided one by one; rows equal in id, source and
+    text are interchangeable, and as many of them as are due get it. Documents
+    without words are copied with the whole rounds. Texts count whole, however long.
+    Other columns are ignored, whatever their names; an empty table gives no rows.
+    """
+    sized = _sized(docs, id_col, text_col, source_col, seed)
+    out = _decided(sized, decisions(sized, weights, most), most)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                       F.col(text_col).cast("string").alias("text"))
-    cut = decisions(written(sizes(rows), "sizes"), weights, most, seed)
-    whole = sizes(docs, text_col, keep_text=True, name="_size")
-    out = whole.join(cut, F.col(source_col).cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_l")), "left")
-    out = out.withColumn("_copies", _copies(id_col, most, seed)).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns
+    (whatever their names) and by the rules of ``mix``."""
+    cut = decisions(_sized(docs, id_col, text_col, source_col, seed), weights, most)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source_col).cast("string").alias("source"),
+                        n_words_expr(text_col).alias("size"), _row_hash(id_col, text_col, seed).alias("u"))
+    out = _decided(whole, cut, most).filter("copies > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -444,6 +444,41 @@ def test_mixing_splits_a_hot_length(spark, monkeypatch):
         assert abs(sum(x.copies * x.size for x in got if x.source == s) - want) <= 3
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 1, lambda i: i % 3, lambda i: None if i % 2 else i])
+@pytest.mark.parametrize("text", [lambda i: "one two three", lambda i: f"a b w{i}"])
+def test_mixing_without_usable_ids(spark, ids, text):
+    """Rows without an id, of one id, and equal rows: the target is met to a document."""
+    rows = [(ids(i), text(i), "en", "a", 0) for i in range(300)] + [(5000 + i, "x " * 9, "en", "b", 0) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    want = brute_targets({"a": 900, "b": 2700})
+    got = mixing.mix(df).collect()
+    taken = {s: sum(x.copies * x.size for x in got if x.source == s) for s in want}
+    assert all(abs(taken[s] - want[s]) <= 9 for s in want) and len(got) == 600 and all(0 <= x.copies <= 3 for x in got)
+    key = lambda x: (x.doc_id is None, x.doc_id or 0, x.source or "", x.copies)
+    assert sorted(mixing.mix(df.repartition(3)).collect(), key=key) == sorted(got, key=key)
+    out = mixing.mixed(df)
+    n = {r.source: r["sum(n)"] for r in out.withColumn("n", F.size(F.split(F.trim("text"), " "))).groupBy("source").sum("n").collect()}
+    assert n == taken
+
+
+def test_mixing_with_clashing_columns(spark):
+    names = ("target", "rounds", "upto", "source_size", "size", "u", "copies", "_s", "_l", "_row", "_copies", "last", "ties", "n m")
+    df = documents(spark, n=30)
+    more = df.select("*", *[F.lit(c).alias(c) for c in names if c not in df.columns])
+    assert mixing.mixed(more).columns == more.columns
+    plain, wide = mixing.mixed(df).collect(), mixing.mixed(more).select(*df.columns).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, wide)) and sorted(map(str, mixing.mix(df).collect())) == sorted(map(str, mixing.mix(more).collect()))
+
+
+def test_fitting_reaches_large_budgets_exactly():
+    r = np.random.default_rng(3)
+    length = np.unique(r.integers(1, 20_000, 3000))
+    count = r.integers(1, 5, len(length))
+    budget = int((length * count).sum()) // 2 + 1
+    take = mixing.fit_counts(length, count, budget)
+    assert (take * length).sum() == budget and (take >= 0).all() and (take <= count).all()
+
+
 # ---------------------------------------------------------------- 10: passages
 
 
