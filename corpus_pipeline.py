@@ -7,7 +7,7 @@ last return the columns of ``documents``.
 Null and empty texts pass every filter: they score 0, are linked with nothing, hold no
 passage, have no words to mix (they come as often as the whole rounds of their source)
 and pack as their end token. Texts are taken whole, however long. An empty table gives
-an empty one. Rows without an id stay in all stages; names that begin with ``_`` are
+an empty one. Rows without an id are treated like others; names that begin with ``_`` are
 reserved for the stages' own columns.
 """
 
