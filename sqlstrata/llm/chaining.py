@@ -1,6 +1,7 @@
 """Repeated passages by collinear chaining of shared k-mer seeds.
 
-Seeds are all runs of ``K`` words, so ``K`` equal words in a row are a match
+Seeds are all runs of ``K`` words (shuffled as packed columns, about seven bytes
+a seed), so ``K`` equal words in a row are a match
 wherever they stand. A seed's first occurrence in the corpus (smallest document
 id, then position) owns it. All other occurrences, the owner's later ones too,
 are matched with it, so the matches grow with the text and not with the square
@@ -28,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sqlstrata.llm.common import (Frequent, IdFilter, frequent_ranges, mix64, ngram_hashes, shuffle_parts, slices, span_hashes,
-                                  text_buffer, whole_runs, word_spans, written)
+from sqlstrata.llm.common import (Frequent, IdFilter, frequent_ranges, give_back, groups_of, mix64, ngram_hashes, pack_columns,
+                                  shuffle_parts, slices, span_hashes, text_buffer, unpack_columns, whole_runs, word_spans, written)
 
 K = 4
 MIN_WORDS = 50
@@ -43,10 +44,16 @@ MAX_GAP, MARGIN = 40, 48
 MIN_SHARE = 0.6
 #: Cuttings of a text that are made at once.
 REQUESTS = 256
-#: Parts that the rows of a frequent seed are dealt out to.
-SALTS = 64
-#: Parts of the seeds per shuffle partition: a task holds all rows of its part.
-SEED_PARTS = 4
+#: Parts of seeds and matches per shuffle partition: a task holds one at a time.
+PARTS = 8
+#: Seeds or matches that a task packs at once (at least 64 per part).
+HELD = 1 << 20
+#: Bits of a seed's hash that are sent, beyond those that name its part. A part
+#: fits into a task, so chance equals stay below one seed in 10,000 however large
+#: the corpus; words are compared when chains are aligned.
+CODE_BITS = 40
+#: Text bytes that are hashed at once.
+TEXT_BYTES = 1 << 18
 _U = np.uint64
 
 
@@ -228,86 +235,241 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def _named(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", TEXT_BYTES):
                 k1, k2, n = names(*word_hashes(*text_buffer(b.column(1))), b.num_rows)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1), pa.array(k2), pa.array(n)], names=["doc_id", "k1", "k2", "n"])
 
     return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n long")
 
 
-def _seed_rows(docs: DataFrame, often: Frequent) -> DataFrame:
-    """(h, k1, pos, late): a task gives the seeds of each name once."""
+def _fresh_seeds(b: pa.RecordBatch, seen: set[int]) -> tuple[np.ndarray, ...]:
+    """Of the texts of (doc_id, text) whose name is not in ``seen``: (names,
+    document ids) and (seed, text's number, position)."""
+    h, row = word_hashes(*text_buffer(b.column(1)))
+    k1, _, n = names(h, row, b.num_rows)
+    fresh = np.zeros(b.num_rows, bool)
+    for i in np.flatnonzero(n >= K).tolist():
+        if int(k1[i]) not in seen:
+            seen.add(int(k1[i]))
+            fresh[i] = True
+    g, at = seeds(h, row)
+    keep = fresh[row[at]]
+    g, at = g[keep], at[keep]
+    r = row[at]
+    return k1[fresh], b.column(0).to_numpy()[fresh], g, (np.cumsum(fresh) - 1)[r], at - (np.cumsum(n) - n)[r]
+
+
+def _starts(*cols: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start."""
+    new = np.ones(len(cols[0]), bool)
+    if len(new) > 1:
+        new[1:] = False
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _rises(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Differences within runs that rise; the first value of a run stays."""
+    d = np.diff(x, prepend=0)
+    d[start] = x[start]
+    return d
+
+
+def _sums(d: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``_rises`` undone, for runs of ``n`` rows."""
+    total = np.cumsum(d)
+    start = np.cumsum(n) - n
+    return total - np.repeat(total[start] - d[start], n) if len(d) else total
+
+
+def _blobs(part: np.ndarray, rows: int, pack) -> Iterator[pa.RecordBatch]:
+    """(part, blob) rows: ``pack`` of the row numbers of each part in turn."""
+    by = np.argsort(part, kind="stable")
+    cut = np.append(_starts(part[by]), rows)
+    at, out = part[by], []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        out.append((int(at[a]), pack(by[a:b])))
+    for i in range(0, len(out), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i:i + 256]), (pa.int32(), pa.binary()))], names=["part", "blob"])
+
+
+def _seed_blobs(docs: DataFrame, often: Frequent, parts: int) -> DataFrame:
+    """(part, blob): seeds outside the frequent ranges, packed per part of the
+    hashes. A task gives the seeds of each name once, with its smallest id."""
+    hold = max(HELD, 64 * parts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+        n = texts = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, doc, g, text, pos = (np.concatenate(c) for c in zip(*held))
+            part = ((g >> _U(CODE_BITS)) % _U(parts)).astype(np.int32)
+            code, sign = g & _U((1 << CODE_BITS) - 1), (doc < 0).astype(np.int64)
+
+            def pack(i: np.ndarray) -> bytes:
+                t, p = text[i], pos[i]
+                first = _starts(t)
+                k = t[first]
+                return pack_columns(key[k].view(np.uint64), np.abs(doc[k]), sign[k], np.diff(np.append(first, len(i))), code[i], _rises(p, first))
+
+            yield from _blobs(part, len(g), pack)
+
         for batch in batches:
-            for b in slices(batch, "text"):
-                h, row = word_hashes(*text_buffer(b.column(0)))
-                k1, _, n = names(h, row, b.num_rows)
-                fresh = np.zeros(b.num_rows, bool)
-                for i in np.flatnonzero(n >= K).tolist():
-                    if int(k1[i]) not in seen:
-                        seen.add(int(k1[i]))
-                        fresh[i] = True
-                g, at = seeds(h, row)
-                keep = fresh[row[at]]
-                g, at = g[keep], at[keep]
-                r = row[at]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(g.view(np.int64)), pa.array(k1[r]), pa.array((at - (np.cumsum(n) - n)[r]).astype(np.int32)),
-                    pa.array(often.marks(g))], names=["h", "k1", "pos", "late"])
-
-    return docs.select("text").mapInArrow(run, "h long, k1 long, pos int, late boolean")
-
-
-def _shared_seeds(rows: DataFrame) -> DataFrame:
-    """Distinct rows whose seed occurs at several places, or may: outside the
-    frequent ranges a seed's group is bounded and meets in one task, which drops
-    those of a single place. Frequent ones are dealt out by their name too, and
-    stay."""
-    salt = F.when(F.col("late"), F.pmod(F.xxhash64("k1"), F.lit(SALTS))).otherwise(F.lit(0))
-    dealt = rows.repartition(SEED_PARTS * shuffle_parts(rows.sparkSession), "h", salt)
+            for b in slices(batch, "text", TEXT_BYTES):
+                key, doc, g, text, pos = _fresh_seeds(b, seen)
+                rare = ~often.marks(g)
+                held.append((key, doc, g[rare], text[rare] + texts, pos[rare]))
+                n, texts = n + int(rare.sum()), texts + len(key)
+                if n >= hold:
+                    yield from flush()
+                    held, n, texts = [], 0, 0
+        if n:
+            yield from flush()
+
+    return docs.sortWithinPartitions("doc_id").select("doc_id", "text").mapInArrow(run, "part int, blob binary")
+
+
+def _frequent_seeds(docs: DataFrame, often: Frequent) -> DataFrame:
+    """(h, doc, k1, pos) of the seeds of frequent ranges; a task gives those of
+    each name once, with its smallest id."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for b in slices(batch, "text", TEXT_BYTES):
+                key, doc, g, text, pos = _fresh_seeds(b, seen)
+                late = often.marks(g)
+                g, text, pos = g[late], text[late], pos[late]
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(doc[text]), pa.array(key[text]),
+                                                  pa.array(pos.astype(np.int32))], names=["h", "doc", "k1", "pos"])
+
+    return docs.sortWithinPartitions("doc_id").select("doc_id", "text").mapInArrow(run, "h long, doc long, k1 long, pos int")
+
+
+def _match_blobs(k: np.ndarray, o: np.ndarray, x: np.ndarray, y: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, blob): matches (name, owner's name, position, owner's position),
+    packed per part of the names."""
+    by = np.lexsort((x, o, k))
+    k, o, x, y = k[by], o[by], x[by], y[by]
+
+    def pack(i: np.ndarray) -> bytes:
+        first = _starts(k[i], o[i])
+        own = _starts(k[i][first])
+        return pack_columns(k[i][first][own].view(np.uint64), np.diff(np.append(own, len(first))), o[i][first].view(np.uint64),
+                            np.diff(np.append(first, len(i))), _rises(x[i], first), y[i])
+
+    return _blobs((k.view(np.uint64) % _U(parts)).astype(np.int32), len(k), pack)
+
+
+def _rare_matches(blobs: DataFrame, parts: int) -> DataFrame:
+    """Packed matches of the seeds outside the frequent ranges. The rows of such
+    a seed are bounded and meet in one task, one part after the other."""
+    dealt = blobs.repartition(shuffle_parts(blobs.sparkSession), "part").sortWithinPartitions("part")
+
+    def match(held: list[bytes]) -> tuple[np.ndarray, ...]:
+        cols = [unpack_columns(x) for x in held]
+        key, size, sign, n, code, pos = (np.concatenate([c[i] for c in cols]) for i in range(6))
+        pos = np.concatenate([_sums(c[5].astype(np.int64), c[3].astype(np.int64)) for c in cols])
+        doc = np.where(sign > 0, -size.astype(np.int64), size.astype(np.int64))
+        # of the ids that tasks met with a name, the smallest stands for it
+        by = np.lexsort((doc, key))
+        first = _starts(key[by])
+        name, least = key[by][first], doc[by][first]
+        place = np.empty(len(key), np.int64)
+        place[by] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        rank = np.empty(len(name), np.int64)
+        order = np.lexsort((name, least))
+        rank[order] = np.arange(len(name))
+        name = name[order].view(np.int64)
+        at = np.repeat(rank[place], n.astype(np.int64)) << 32 | pos
+        by = np.lexsort((at, code))
+        code, at = code[by], at[by]
+        once = _starts(code, at)  # other tasks give the same rows of a copy
+        code, at = code[once], at[once]
+        first = _starts(code)
+        n = np.diff(np.append(first, len(code)))
+        owner = np.repeat(at[first], n)
+        later = np.ones(len(code), bool)
+        later[first] = False
+        at, owner = at[later], owner[later]
+        low = (1 << 32) - 1
+        return name[at >> 32], name[owner >> 32], at & low, owner & low
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        h, k, p = (t.column(c).to_numpy() for c in ("h", "k1", "pos"))
-        by = np.lexsort((p, k, h))
-        h, k, p = h[by], k[by], p[by]
-        new = np.ones(len(h), bool)  # other tasks give the same rows of a copy
-        new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1])
-        by, h = by[new], h[new]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(start, len(h)))
-        keep = np.repeat(size > 1, size) | t.column("late").to_numpy()[by]
-        yield from t.select(["h", "k1", "pos"]).take(pa.array(by[keep])).combine_chunks().to_batches()
-
-    return dealt.mapInArrow(run, "h long, k1 long, pos int")
+        found, n = [], 0
+        for _, held in groups_of(batches):
+            found.append(match(held))
+            n += len(found[-1][0])
+            if n >= max(HELD, 64 * parts):
+                yield from _match_blobs(*(np.concatenate(c) for c in zip(*found)), parts)
+                found, n = [], 0
+        if n:
+            yield from _match_blobs(*(np.concatenate(c) for c in zip(*found)), parts)
+        give_back()
+
+    return dealt.mapInArrow(run, "part int, blob binary")
+
+
+def _frequent_matches(rows: DataFrame, parts: int) -> DataFrame:
+    """Packed matches of frequent seeds, whose groups Spark splits: the owner is
+    a partial aggregate, joined back."""
+    owner = rows.groupBy("h").agg(F.min(F.struct("doc", "k1", "pos")).alias("o")).select(
+        "h", F.col("o.k1").alias("ok1"), F.col("o.pos").alias("opos"))
+    met = rows.join(owner, "h").filter("k1 <> ok1 or pos <> opos").select("k1", "ok1", "pos", "opos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append([c.to_numpy().astype(np.int64) for c in b.columns])
+            n += b.num_rows
+            if n >= HELD:
+                yield from _match_blobs(*(np.concatenate(c) for c in zip(*held)), parts)
+                held, n = [], 0
+        if n:
+            yield from _match_blobs(*(np.concatenate(c) for c in zip(*held)), parts)
+
+    return met.mapInArrow(run, "part int, blob binary")
 
 
 def _chained(matches: DataFrame) -> DataFrame:
-    """(chain, k1, ok1, xs, ys) from (k1, ok1, pos, opos)."""
+    """(chain, k1, ok1, xs, ys) from packed matches. A text has a match per
+    place at most, so its matches follow its length; a task holds one part."""
     cols = ["chain", "k1", "ok1", "xs", "ys"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def columns(blob: bytes) -> tuple[np.ndarray, ...]:
+        key, pairs, okey, n, x, y = unpack_columns(blob)
+        n = n.astype(np.int64)
+        return (np.repeat(np.repeat(key.view(np.int64), pairs.astype(np.int64)), n), np.repeat(okey.view(np.int64), n),
+                _sums(x.astype(np.int64), n), y.astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 40
-        for t, cuts in whole_runs(batches, ["k1", "ok1"]):
-            key, okey = t.column("k1").to_numpy(), t.column("ok1").to_numpy()
-            x, y = t.column("pos").to_numpy().astype(np.int64), t.column("opos").to_numpy().astype(np.int64)
-            rows = []
+        for _, held in groups_of(batches):
+            key, okey, x, y = (np.concatenate(c) for c in zip(*map(columns, held)))
+            by = np.lexsort((y, x, okey, key))
+            key, okey, x, y = key[by], okey[by], x[by], y[by]
+            once = _starts(key, okey, x)  # tasks that met copies give a frequent match twice
+            key, okey, x, y = key[once], okey[once], x[once], y[once]
+            cuts = np.append(_starts(key, okey), len(key))
             enough = np.diff(cuts) * K >= MIN_CHAIN
+            rows = []
             for a, b in zip(cuts[:-1][enough].tolist(), cuts[1:][enough].tolist()):
                 for c in chains(x[a:b], y[a:b]):
                     xs, ys = x[a + c], y[a + c]
                     if matched_words(xs) >= MIN_CHAIN:
                         rows.append((n, int(key[a]), int(okey[a]), xs.astype(np.int32), ys.astype(np.int32)))
                         n += 1
+                if len(rows) >= 1024:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=cols)
+                    rows = []
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=cols)
+        give_back()
 
-    dealt = matches.repartition(shuffle_parts(matches.sparkSession), "k1").sortWithinPartitions("k1", "ok1", "pos")
+    dealt = matches.repartition(shuffle_parts(matches.sparkSession), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, "chain long, k1 long, ok1 long, xs array<int>, ys array<int>")
 
 
@@ -327,7 +489,7 @@ def _cuttings(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", TEXT_BYTES):
                 h, row = word_hashes(*text_buffer(b.column(0)))
                 cut = np.searchsorted(row, np.arange(b.num_rows + 1))
                 k1 = names(h, row, b.num_rows)[0].tolist()
@@ -400,13 +562,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.lit(0).cast("long").alias("owner_start"), F.col("n").alias("equal")).distinct()
 
     often = frequent_ranges(docs, lambda data, off: seeds(*word_hashes(data, off))[0])
-    rows = _seed_rows(docs, often)
     place = first.groupBy("k1").agg(F.min("doc").alias("doc"))
-    met = _shared_seeds(rows).join(place, "k1").select("h", "doc", "k1", "pos")
-    met = written(met, "seeds")
-    owner = met.groupBy("h").agg(F.min(F.struct("doc", "k1", "pos")).alias("o"), F.count("*").alias("n")).filter("n > 1").select(
-        "h", F.col("o.k1").alias("ok1"), F.col("o.pos").alias("opos"))
-    matches = met.join(owner, "h").filter("k1 <> ok1 or pos <> opos").select("k1", "ok1", "pos", "opos")
+    parts = PARTS * shuffle_parts(docs.sparkSession)
+    late = written(_frequent_seeds(docs, often), "frequent")
+    matches = _rare_matches(_seed_blobs(docs, often, parts), parts).unionByName(_frequent_matches(late, parts))
     found = _chained(matches).join(place, "k1").join(place.select(F.col("k1").alias("ok1"), F.col("doc").alias("owner")), "ok1")
     found = written(found.select("chain", "doc", "k1", "owner", "ok1", "xs", "ys"), "chains")
     spans = written(_aligned(found, _cuttings(docs, found)), "passages")
@@ -441,7 +600,7 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, text_col):
+            for b in slices(batch, text_col, TEXT_BYTES):
                 cuts = b.column(len(names_)).to_pylist()
                 if not any(cuts):
                     yield pa.RecordBatch.from_arrays(b.columns[:-1], names=names_)

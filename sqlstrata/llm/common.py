@@ -8,6 +8,7 @@ bounded in bytes, so memory does not follow the batch size Spark chose.
 from __future__ import annotations
 
 import ctypes
+import struct
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -133,7 +134,7 @@ _FOLD[0x41:0x5B] = _BYTE[0x61:0x7B]  # A-Z hash as a-z
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     if not _POW or len(_POW[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
+        n = 1 << max(18, n.bit_length())  # as wide as the texts at hand need, and no wider
         inv = pow(_BASE, -1, 1 << 64)
         _POW[:] = []
         for b in (_BASE, inv):
@@ -187,6 +188,53 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# ---------------------------------------------------------------- packed columns
+
+_COLUMN = struct.Struct("<BQQ")  # bytes of a number, numbers, bytes that follow
+
+
+def pack_columns(*cols: np.ndarray) -> bytes:
+    """Columns of numbers from 0 up as one binary: planes of their bytes, in the
+    width of the largest one, compressed."""
+    codec, out = pa.Codec("zstd", compression_level=1), []
+    for x in cols:
+        x = np.ascontiguousarray(x, "<u8")
+        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        raw = codec.compress(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), asbytes=True) if len(x) else b""
+        out += [_COLUMN.pack(width, len(x), len(raw)), raw]
+    return b"".join(out)
+
+
+def unpack_columns(blob: bytes) -> list[np.ndarray]:
+    """The columns of ``pack_columns``, as uint64."""
+    codec, out, at = pa.Codec("zstd"), [], 0
+    while at < len(blob):
+        width, n, size = _COLUMN.unpack_from(blob, at)
+        at += _COLUMN.size
+        x = np.zeros((n, 8), np.uint8)
+        if n:
+            raw = codec.decompress(blob[at:at + size], decompressed_size=n * width, asbytes=True)
+            x[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+        at += size
+        out.append(x.reshape(-1).view("<u8"))
+    return out
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """(number, binaries) from rows (number, binary) sorted by number; one
+    number's binaries are held at a time."""
+    now, held = None, []
+    for b in batches:
+        for key, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if key != now and held:
+                yield now, held
+                held = []
+            now = key
+            held.append(blob)
+    if held:
+        yield now, held
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -288,8 +336,13 @@ def summed_table(rows: DataFrame, size: int, count: Callable[[pa.RecordBatch, np
         for b in batches:
             count(b, total)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size // piece)), pa.array(
-                [np.minimum(x, most).astype(kind).tobytes() for x in total.reshape(-1, piece)], pa.binary())], names=["piece", "counts"])
+            rows = total.reshape(-1, piece)
+            for at in range(0, len(rows), 256):
+                part = rows[at:at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(
+                    [np.minimum(x, most).astype(kind).tobytes() for x in part], pa.binary())], names=["piece", "counts"])
+        del total
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, np.zeros(piece, np.int64)
@@ -337,7 +390,7 @@ def frequent_ranges(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray],
     shift = np.uint64(64 - log2)
 
     def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        for b in slices(batch, "text"):
+        for b in slices(batch, "text", SLICE_BYTES >> 2):
             at, n = np.unique(hashes(*text_buffer(b.column(0))) >> shift, return_counts=True)
             total[at.astype(np.int64)] += n.astype(np.uint32)
 

@@ -42,6 +42,8 @@ PERCENT = 80
 BLOCK = 256
 #: Parts that the rows of a frequent shingle are dealt out to.
 SALTS = 64
+#: Text bytes that are hashed at once.
+TEXT_BYTES = 1 << 18
 _U = np.uint64
 
 
@@ -151,7 +153,7 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, k1, k2): size and a 128-bit name of each set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", TEXT_BYTES):
                 g, row = shingle_sets(*text_buffer(b.column(1)), words)
                 n = np.bincount(row, minlength=b.num_rows)
                 names = set_names(g, n)
@@ -167,7 +169,7 @@ def _prefixes(docs: DataFrame, order: Frequent, words: int, percent: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", TEXT_BYTES):
                 g, row = shingle_sets(*text_buffer(b.column(0)), words)
                 n = np.bincount(row, minlength=b.num_rows)
                 name = set_names(g, n)[0]
@@ -244,7 +246,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, order: Frequent, words: int, perc
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", TEXT_BYTES):
                 g, row = shingle_sets(*text_buffer(b.column(1)), words)
                 cut = np.searchsorted(row, np.arange(b.num_rows + 1))
                 sets = [tree_keys(g[x:y], order).tobytes() for x, y in zip(cut[:-1], cut[1:])]
