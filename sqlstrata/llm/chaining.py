@@ -148,6 +148,9 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = K, gap: float = GAP, max_gap:
                 whole.append(np.array(path[::-1]))
     out = []
     for c in whole:
+        if len(c) == 1:  # texts that repeat few words give many of these
+            out.append(c)
+            continue
         wide = np.flatnonzero((np.diff(x[c]) > max_gap + k) | (np.diff(y[c]) > max_gap + k)) + 1
         out += np.split(c, wide)
     return out
@@ -433,6 +436,24 @@ def _frequent_matches(rows: DataFrame, parts: int) -> DataFrame:
     return met.mapInArrow(run, "part int, blob binary")
 
 
+def _hopeful(key: np.ndarray, okey: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K) -> np.ndarray:
+    """(from, to) of the pairs' matches, without pairs that cannot have a chain:
+    it is cut where ``x`` goes on by more than ``MAX_GAP`` words beyond a seed,
+    and needs ``MIN_CHAIN`` matched words."""
+    first = _starts(key, okey, np.cumsum(np.diff(x, prepend=x[:1]) > MAX_GAP + k))
+    end = np.append(first[1:], len(x))
+    words = np.minimum(np.diff(x, append=x[-1:] + k), k)
+    words[end - 1] = k
+    enough = np.add.reduceat(words, first) >= MIN_CHAIN
+    # most chance meetings have two matches, which must rise together
+    step = y[end - 1] - y[first]
+    enough &= (end - first != 2) | ((step > 0) & (step <= MAX_GAP + k))
+    pair = _starts(key[first], okey[first])
+    some = np.logical_or.reduceat(enough, pair)
+    cuts = np.append(first[pair], len(x))
+    return np.stack([cuts[:-1][some], cuts[1:][some]], axis=1)
+
+
 def _chained(matches: DataFrame) -> DataFrame:
     """(chain, k1, ok1, xs, ys) from packed matches. A text has a match per
     place at most, so its matches follow its length; a task holds one part."""
@@ -453,11 +474,12 @@ def _chained(matches: DataFrame) -> DataFrame:
             key, okey, x, y = key[by], okey[by], x[by], y[by]
             once = _starts(key, okey, x)  # tasks that met copies give a frequent match twice
             key, okey, x, y = key[once], okey[once], x[once], y[once]
-            cuts = np.append(_starts(key, okey), len(key))
-            enough = np.diff(cuts) * K >= MIN_CHAIN
+            cuts = _hopeful(key, okey, x, y)
             rows = []
-            for a, b in zip(cuts[:-1][enough].tolist(), cuts[1:][enough].tolist()):
+            for a, b in cuts.tolist():
                 for c in chains(x[a:b], y[a:b]):
+                    if len(c) * K < MIN_CHAIN:
+                        continue
                     xs, ys = x[a + c], y[a + c]
                     if matched_words(xs) >= MIN_CHAIN:
                         rows.append((n, int(key[a]), int(okey[a]), xs.astype(np.int32), ys.astype(np.int32)))
