@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sqlstrata.llm import chaining, mixing, packing, rangecoder, toxicity, triejoin, warc
+from sqlstrata.llm import chaining, common, mixing, packing, rangecoder, toxicity, triejoin, warc
 from sqlstrata.llm.common import ngram_hashes, slices, span_hashes, text_buffer, word_spans
 from sqlstrata.llm.tokens import Encoder, encoder, public_path
 
@@ -349,3 +349,27 @@ def test_encoding_of_the_queries_equals_the_unchanged_library(name):
         assert len(n) == len(part) and n.sum() == len(ids)
         for t, x in zip(part, np.split(ids, np.cumsum(n)[:-1])):
             assert x.tolist() == whole.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_packed_columns_come_back():
+    r = np.random.default_rng(5)
+    cols = [np.zeros(0, np.uint64), np.zeros(3, np.uint64), r.integers(0, 256, 1000).astype(np.uint64),
+            r.integers(0, 1 << 40, 777).astype(np.uint64), np.array([0, 1, (1 << 64) - 1], np.uint64)]
+    back = common.unpack_columns(common.pack_columns(*cols))
+    assert len(back) == len(cols) and all((a == b).all() and len(a) == len(b) for a, b in zip(cols, back))
+    n = np.array([1, 3, 2])
+    x = np.array([9, 4, 5, 90, 0, 7])
+    assert (chaining._sums(chaining._rises(x, np.cumsum(n) - n), n) == x).all()
+
+
+def test_pairs_that_are_not_chained_have_no_chain():
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        key = np.sort(r.integers(0, 4, 12))
+        x = np.sort(r.choice(400, 12, replace=False))
+        x = np.concatenate([np.sort(x[key == k]) for k in range(4)])
+        y = r.integers(0, 200, 12) if r.random() < 0.5 else x + r.integers(0, 3, 12)
+        kept = {int(key[a]) for a, _ in chaining._hopeful(key, key, x, y)}
+        for k in set(key.tolist()) - kept:
+            at = key == k
+            assert all(chaining.matched_words(x[at][c]) < chaining.MIN_CHAIN for c in chaining.chains(x[at], y[at]))
