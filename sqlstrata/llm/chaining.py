@@ -46,6 +46,9 @@ MIN_SHARE = 0.6
 REQUESTS = 256
 #: Parts of seeds and matches per shuffle partition: a task holds one at a time.
 PARTS = 8
+#: Seeds that a part holds at least: with fewer parts than that a task would
+#: pack a few numbers for each of them.
+PART_SEEDS = 1 << 17
 #: Seeds or matches that a task packs at once (at least 64 per part).
 HELD = 1 << 20
 #: Bits of a seed's hash that are sent, beyond those that name its part. A part
@@ -427,7 +430,7 @@ def _frequent_matches(rows: DataFrame, parts: int) -> DataFrame:
         for b in batches:
             held.append([c.to_numpy().astype(np.int64) for c in b.columns])
             n += b.num_rows
-            if n >= HELD:
+            if n >= max(HELD, 64 * parts):
                 yield from _match_blobs(*(np.concatenate(c) for c in zip(*held)), parts)
                 held, n = [], 0
         if n:
@@ -585,7 +588,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     often = frequent_ranges(docs, lambda data, off: seeds(*word_hashes(data, off))[0])
     place = first.groupBy("k1").agg(F.min("doc").alias("doc"))
-    parts = PARTS * shuffle_parts(docs.sparkSession)
+    parts = max(1, min(PARTS * shuffle_parts(docs.sparkSession), often.total // PART_SEEDS))
     late = written(_frequent_seeds(docs, often), "frequent")
     matches = _rare_matches(_seed_blobs(docs, often, parts), parts).unionByName(_frequent_matches(late, parts))
     found = _chained(matches).join(place, "k1").join(place.select(F.col("k1").alias("ok1"), F.col("doc").alias("owner")), "ok1")

@@ -376,6 +376,7 @@ class Frequent:
 
     def __init__(self, counts: np.ndarray):
         mean = counts.mean()
+        self.total = int(counts.sum())
         self.bound = int(mean + 6 * np.sqrt(mean) + 8)
         self.bits = np.packbits(counts > self.bound)
         self.shift = np.uint64(64 - (len(counts).bit_length() - 1))
