@@ -20,8 +20,13 @@ is left as soon as overlap plus what can remain on either side is too small.
 
 Components. Large families are linked star by star first: every member of a
 group meets the group's smallest. Then only pairs whose components differ are
-left, and all of these are verified, so no link between different texts that
-could join two components is lost.
+left. The groups of one component meet together, block against block: the
+prefixes of a block are a tree in the global order, and all prefixes of the other
+block go down it at once. A shared path is counted once, and a subtree is left
+when the lengths below it do not allow for the strangers met so far. Each
+pair leaves a tile once, with its number of common shingles, and all pairs that are
+left are verified, so no link between different texts that could join two
+components is lost.
 """
 
 from __future__ import annotations
@@ -42,6 +47,9 @@ PERCENT = 80
 BLOCK = 256
 #: Parts that the rows of a frequent shingle are dealt out to.
 SALTS = 64
+#: Rows (shingle, set) of a block of the tree join, and pairs of a probe and a
+#: set that go down a tree at once.
+TILE_ROWS, WALK_PAIRS = 1 << 17, 1 << 19
 #: Text bytes that are hashed at once.
 TEXT_BYTES = 1 << 18
 _U = np.uint64
@@ -146,6 +154,203 @@ def tree_keys(g: np.ndarray, order: Frequent) -> np.ndarray:
     return np.sort((g >> _U(1)) | np.where(late, _U(0), _U(1 << 63)))
 
 
+# ---------------------------------------------------------------- blocks against blocks
+
+
+class Sets:
+    """Sets as rows (set, shingle), sorted: of each its tile, document, size,
+    component, first row, number of rows, and of rows that lie in other tiles only."""
+
+    def __init__(self, tile: np.ndarray, doc: np.ndarray, name: np.ndarray, n: np.ndarray, comp: np.ndarray, rows: np.ndarray, key: np.ndarray):
+        by = np.lexsort((key, name, doc, tile))
+        new = np.ones(len(by), bool)
+        for i, c in enumerate((tile, doc, name)):
+            c = c[by]
+            new[1:] = (new[1:] if i else False) | (c[1:] != c[:-1])
+        self.start = np.flatnonzero(new)
+        self.len = np.diff(np.append(self.start, len(by)))
+        self.key = key[by]
+        at = by[self.start]
+        self.tile, self.doc, self.n, self.comp = tile[at], doc[at], n[at], comp[at]
+        self.away = rows[at] - self.len
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+
+class Forest:
+    """A prefix tree per tile. Nodes 0 to ``tiles - 1`` are the roots; a node
+    covers the sets from ``lo`` to ``hi`` in the order of their paths."""
+
+    def __init__(self, sets: Sets, tiles: int):
+        raw, k = sets.key.astype(">u4").tobytes(), sets.start.tolist()
+        size = sets.len.tolist()
+        tile = sets.tile.tolist()
+        order = sorted(range(len(sets)), key=lambda i: (tile[i], raw[4 * k[i]:4 * (k[i] + size[i])]))
+        self.order = np.array(order, np.int64)
+        total = tiles + len(sets.key)
+        self.key, self.parent = np.zeros(total, np.int64), np.full(total, -1, np.int64)
+        self.lo, self.hi = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        depth, last = np.zeros(total, np.int64), np.zeros(len(order), np.int64)
+        path, nodes, before = np.zeros(int(sets.len.max()) + 1, np.int64), tiles, None
+        for j, i in enumerate(order):
+            s = sets.key[k[i]:k[i] + size[i]]
+            if before is not None and tile[before] == tile[i]:
+                m = min(size[before], size[i])
+                differ = np.flatnonzero(sets.key[k[before]:k[before] + m] != s[:m])
+                shared = int(differ[0]) if len(differ) else m
+                self.hi[path[shared + 1:size[before] + 1]] = j
+            else:
+                if before is not None:
+                    self.hi[path[:size[before] + 1]] = j
+                shared, path[0] = 0, tile[i]
+                self.lo[tile[i]] = j
+            fresh = np.arange(nodes, nodes + size[i] - shared)
+            path[shared + 1:size[i] + 1] = fresh
+            self.key[fresh], self.parent[fresh] = s[shared:], path[shared:size[i]]
+            self.lo[fresh], depth[fresh] = j, np.arange(shared + 1, size[i] + 1)
+            nodes += len(fresh)
+            last[j] = path[size[i]]
+            before = i
+        self.hi[path[:size[before] + 1]] = len(order)
+        self.key, self.parent, self.lo, self.hi = (x[:nodes] for x in (self.key, self.parent, self.lo, self.hi))
+        self.depth = depth[:nodes]
+        kids = np.argsort(self.parent, kind="stable")
+        self.kids = kids[np.searchsorted(self.parent[kids], 0):]
+        self.first = np.searchsorted(self.parent[self.kids], np.arange(nodes + 1))
+        self.ends = np.argsort(last, kind="stable")  # sets that end at a node
+        self.first_end = np.searchsorted(last[self.ends], np.arange(nodes + 1))
+        # sizes of the sets below a node
+        n = sets.n[self.order]
+        self.least, self.most = np.full(nodes, np.iinfo(np.int64).max), np.zeros(nodes, np.int64)
+        np.minimum.at(self.least, last, n)
+        np.maximum.at(self.most, last, n)
+        by = np.argsort(self.depth, kind="stable")
+        level = np.searchsorted(self.depth[by], np.arange(int(self.depth.max()) + 2))
+        for d in range(len(level) - 2, 0, -1):
+            at = by[level[d]:level[d + 1]]
+            np.minimum.at(self.least, self.parent[at], self.least[at])
+            np.maximum.at(self.most, self.parent[at], self.most[at])
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place): the places ``first .. first + count`` of every row."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+
+
+def tree_pairs(probes: Sets, sets: Sets, tiles: int, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(probe, set, common shingles) of all pairs of a tile that share one and
+    may link: at most ``n`` less the strangers met can be common. A row of one
+    that the other side has passed is a stranger, as rows are whole prefixes
+    in the global order, as far as they lie in the tile; in other tiles the pair
+    can share no more than the shorter rest of the two prefixes."""
+    if not len(probes) or not len(sets):
+        return
+    tree = Forest(sets, tiles)
+    wide = int(max(probes.key.max(), sets.key.max())) + 1
+    code = np.repeat(np.arange(len(probes)), probes.len) * wide + probes.key
+    final = probes.key[probes.start + probes.len - 1]
+
+    def meet(p: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(common, rows of the probe up to ``key``, a stranger to the probe)"""
+        want = p * wide + key
+        at = np.searchsorted(code, want, side="right")
+        hit = code[np.maximum(at, 1) - 1] == want
+        return hit, at - probes.start[p], ~hit & (key <= final[p])
+
+    def able(p: np.ndarray, j: np.ndarray, hits: np.ndarray, sx: np.ndarray, sy: np.ndarray) -> tuple[np.ndarray, ...]:
+        y = tree.order[j]
+        a, b = probes.n[p], sets.n[y]
+        ok = (hits > 0) & ((100 + percent) * np.minimum(a - sx, b - sy) >= percent * (a + b))
+        ok &= hits + np.minimum(probes.away[p], sets.away[y]) >= least_common(a, b, percent)
+        return p[ok], y[ok], hits[ok]
+
+    def tails(p: np.ndarray, j: np.ndarray, depth: np.ndarray, hits: np.ndarray, sy: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Below a node with one set its rest is met at once."""
+        y = tree.order[j]
+        left = sets.len[y] - depth
+        cut = np.flatnonzero(np.diff(np.cumsum(left) // (4 * WALK_PAIRS), prepend=0)) if len(p) else []
+        for q in np.split(np.arange(len(p)), cut):
+            if not len(q):
+                continue
+            row, at = _spread(sets.start[y[q]] + depth[q], left[q])
+            hit, _, strange = meet(p[q][row], sets.key[at])
+            h = hits[q] + np.bincount(row[hit], minlength=len(q))
+            s = sy[q] + np.bincount(row[strange], minlength=len(q))
+            passed = meet(p[q], sets.key[sets.start[y[q]] + sets.len[y[q]] - 1])[1]
+            yield able(p[q], j[q], h, passed - h, s)
+
+    pairs = np.cumsum((tree.hi - tree.lo)[probes.tile])
+    for p in np.split(np.arange(len(probes)), np.flatnonzero(np.diff(pairs // WALK_PAIRS, prepend=0))):
+        node = probes.tile[p]
+        hits, sy = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        while len(p):
+            row, at = _spread(tree.first[node], tree.first[node + 1] - tree.first[node])
+            p, node = p[row], tree.kids[at]
+            hit, passed, strange = meet(p, tree.key[node])
+            hits, sy = hits[row] + hit, sy[row] + strange
+            sx = passed - hits
+            # sizes that a set must have to link, given the strangers so far
+            n = probes.n[p]
+            low, high = percent * n + (100 + percent) * sy, (100 + percent) * (n - sx) - percent * n
+            on = (100 * tree.most[node] >= low) & (percent * tree.least[node] <= high)
+            p, node, hits, sy, sx, passed = (c[on] for c in (p, node, hits, sy, sx, passed))
+            through = passed == probes.len[p]
+            one = ~through & (tree.hi[node] - tree.lo[node] == 1)
+            row, j = _spread(tree.lo[node[through]], (tree.hi - tree.lo)[node[through]])
+            yield able(p[through][row], j, hits[through][row], sx[through][row], sy[through][row])
+            yield from tails(p[one], tree.lo[node[one]], tree.depth[node[one]], hits[one], sy[one])
+            go = ~through & ~one
+            p, node, hits, sy, sx = (c[go] for c in (p, node, hits, sy, sx))
+            row, at = _spread(tree.first_end[node], tree.first_end[node + 1] - tree.first_end[node])
+            yield able(p[row], tree.ends[at], hits[row], sx[row], sy[row])
+
+
+def _tree_join(rows: DataFrame, order: Frequent, percent: int) -> DataFrame:
+    """(a, b, n, m, c): pairs of sets of different components with their common
+    prefix shingles, from rows (h, doc, k1, n, comp, main), where ``main`` is the
+    largest component of a shingle's group. The groups of one ``main`` meet
+    together: sets outside of it (probes) in blocks, with all sets in blocks."""
+    minor = F.col("comp") != F.col("main")
+    sizes = rows.groupBy("main").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("every"),
+                                     F.ceil(F.count(F.when(minor, 1)) / TILE_ROWS).cast("int").alias("minors"))
+    # a set has its rows in the groups of several components
+    sized = rows.join(sizes, "main").join(rows.groupBy("doc", "k1").agg(F.count("*").alias("rows")), ["doc", "k1"])
+    own = F.xxhash64("doc")
+    cols = ["main", "h", "doc", "k1", "n", "comp", "rows"]
+    dealt = sized.select(*cols, F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("x"),
+                         F.pmod(own, F.col("every")).cast("int").alias("y"))
+    dealt = dealt.unionByName(sized.filter(minor).select(*cols, F.lit(True).alias("probe"), F.pmod(own, F.col("minors")).cast("int").alias("x"),
+                                                         F.explode(F.sequence(F.lit(0), F.col("every") - 1)).alias("y")))
+    dealt = dealt.repartition(shuffle_parts(rows.sparkSession), "main", "x", "y").sortWithinPartitions("main", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in whole_runs(batches, ["main", "x", "y"], 1 << 15):
+            main, h, doc, k1, n, comp, rows_, probe = (t.column(c).to_numpy(zero_copy_only=False) for c in [*cols, "probe"])
+            h = h.view(np.uint64)
+            tile = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            late = order.marks(h)
+            by = np.lexsort((h, late))
+            key = np.empty(len(by), np.int64)
+            key[by] = np.cumsum(np.concatenate([np.zeros(1, bool), h[by][1:] != h[by][:-1]]))
+            probes, sets = (Sets(*(c[side] for c in (tile, doc, k1, n.astype(np.int64), comp, rows_, key))) for side in (probe, ~probe))
+            main = main[cuts[:-1]]
+            for p, y, c in tree_pairs(probes, sets, len(cuts) - 1, percent):
+                a, b = probes.doc[p], sets.doc[y]
+                # two sets outside the main component meet twice
+                ok = (probes.comp[p] != sets.comp[y]) & ((sets.comp[y] == main[sets.tile[y]]) | (a < b))
+                a, b, c, n_, m = a[ok], b[ok], c[ok], probes.n[p[ok]], sets.n[y[ok]]
+                first = a < b
+                for i in range(0, len(a), 1 << 14):
+                    s = slice(i, i + (1 << 14))
+                    f = first[s]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(f, u[s], v[s])) for u, v in ((a, b), (b, a), (n_, m), (m, n_))] + [pa.array(c[s])],
+                                                     names=["a", "b", "n", "m", "c"])
+
+    return dealt.mapInArrow(run, "a long, b long, n long, m long, c long")
+
+
 # ---------------------------------------------------------------- the join
 
 
@@ -219,6 +424,11 @@ def _shared_only(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "h long, k1 long, n int")
 
 
+def least_common(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """``_enough`` in numbers: common prefix shingles that linked sets have."""
+    return -(-percent * (n + m) // (100 + percent)) - (-(-percent * np.maximum(n, m) // 100) - 1)
+
+
 def _enough(percent: int):
     """Common prefix shingles that a pair (n, m, c) must have: what the set
     whose prefix ends first can still share beyond it is ``n - prefix``."""
@@ -294,7 +504,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     order = frequent_ranges(docs, lambda data, off: shingle_sets(data, off, words)[0])
     rows = _prefixes(docs.filter("doc_id is not null"), order, words, percent)
     # a name that two sets should share only adds candidates
-    met = written(_shared_only(rows).join(classes.select("k1", F.col("class_id").alias("doc")), "k1").select("h", "doc", "n"), "met")
+    met = written(_shared_only(rows).join(classes.select("k1", F.col("class_id").alias("doc")), "k1").select("h", "doc", "n", "k1"), "met")
 
     # stars: every member of a group with the group's smallest
     low = met.groupBy("h").agg(F.min("doc").alias("a"))
@@ -306,19 +516,13 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     # what is left: pairs of a group whose components differ
     tagged = met.join(comp, F.col("doc") == F.col("node"), "left").select(
-        "h", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+        "h", "doc", "n", "k1", F.coalesce("component", "doc").alias("comp"))
     per = tagged.groupBy("h", "comp").agg(F.count("*").alias("k"))
     span = per.groupBy("h").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps"))
     open_ = written(tagged.join(span.filter("comps > 1"), "h"), "open")
     # one side outside the group's largest component: its members are as good
-    # as linked and must not meet each other
-    minor = open_.filter("comp <> main").select("h", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    fits = (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
-    once = (F.col("comp") == F.col("main")) | (F.col("x") < F.col("doc"))
-    rest = open_.join(minor, "h").filter((F.col("comp") != F.col("cx")) & once & fits)
-    first = F.col("x") < F.col("doc")
-    rest = rest.groupBy(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("n")).alias("n"),
-                        F.when(first, F.col("n")).otherwise(F.col("nx")).alias("m")).agg(F.count("*").alias("c"))
+    # as linked and must not meet each other; counts of a pair add up
+    rest = _tree_join(open_, order, percent).groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c"))
     rest = rest.filter(_enough(percent)).select("a", "b").distinct()
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     # sets under one id are one document

@@ -246,6 +246,33 @@ def test_prefix_tree_finds_all_links():
         assert sorted(got) == want
 
 
+def test_blocks_meet_over_trees(monkeypatch):
+    """Every pair comes once with its common prefix shingles; links are never
+    among those that a subtree's bounds leave out, which are some."""
+    r = random.Random(3)
+    sharing = given = 0
+    for _ in range(120):
+        monkeypatch.setattr(triejoin, "WALK_PAIRS", r.choice([4, 50, 1 << 19]))
+        rows, whole, tiles = [], [], r.randint(1, 3)
+        for tile in range(tiles):
+            base = sorted(r.sample(range(300), r.randint(3, 60)))
+            for _ in range(r.randint(1, 14)):
+                x = sorted({b for b in base if r.random() < r.choice([.8, .9, .97])} | {r.randrange(300) for _ in range(r.randint(1, 5))})
+                head, probe = x[:int(triejoin.prefix_size(np.array([len(x)]))[0])], r.random() < .5
+                away = r.choice([0, 0, 1, 9])
+                rows += [(tile, len(whole), 0, len(x), 0, len(head) + away, k, probe) for k in head]
+                whole.append((tile, probe, set(x), set(head)))
+        cols, probe = np.array([q[:7] for q in rows], np.int64), np.array([q[7] for q in rows])
+        probes, sets = (triejoin.Sets(*cols[side].T) for side in (probe, ~probe))
+        got = [(int(probes.doc[i]), int(sets.doc[j]), int(k)) for p, y, c in triejoin.tree_pairs(probes, sets, tiles) for i, j, k in zip(p, y, c)]
+        common = {(i, j): len(a[3] & b[3]) for i, a in enumerate(whole) for j, b in enumerate(whole) if a[0] == b[0] and a[1] and not b[1]}
+        assert len({g[:2] for g in got}) == len(got) and all(common[i, j] == k for i, j, k in got)
+        links = {(i, j) for i, j in common if 5 * len(whole[i][2] & whole[j][2]) >= 4 * len(whole[i][2] | whole[j][2])}
+        assert links <= {g[:2] for g in got}
+        sharing, given = sharing + sum(k > 0 for k in common.values()), given + len(got)
+    assert given < 0.9 * sharing
+
+
 def test_shingle_sets():
     texts = ["a b C d e f", "A b c d e", "x y", "X  y", "", None, "  ", "q q q q q q q"]
     g, row = triejoin.shingle_sets(*text_buffer(pa.array(texts, pa.string())))

@@ -281,6 +281,7 @@ def brute_join(rows):
 def test_ngram_join(spark, monkeypatch, seed, block, ranges):
     """Also with tiny blocks and so few ranges that many are frequent."""
     monkeypatch.setattr(triejoin, "BLOCK", block)
+    monkeypatch.setattr(triejoin, "TILE_ROWS", 16 if block == 2 else triejoin.TILE_ROWS)
     real = triejoin.frequent_ranges
     monkeypatch.setattr(triejoin, "frequent_ranges", lambda d, h: real(d, h, ranges))
     df = documents(spark, [(6, "five words are here now", "x", "y", 1), (1010, None, None, None, None)], seed, 90)
