@@ -144,6 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
                     yield flush()
         if held:
             yield flush()
+        enc.rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, _DDL + (", ids array<int>" if with_ids else ""))

@@ -26,6 +26,8 @@ import struct
 import numpy as np
 import pyarrow as pa
 
+from sqlstrata.llm.common import give_back
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _VISIBLE = np.zeros(256, bool)
@@ -177,6 +179,11 @@ class Encoder:
         edge = cum[np.searchsorted(s, off, side="left")]
         return ids, np.diff(edge)
 
+    def rest(self) -> None:
+        """Between tasks a worker remembers the ids of recent chunks only."""
+        self.old = {}
+        give_back()
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

@@ -77,6 +77,18 @@ def test_chunked_encoding_equals_whole_texts(name):
 # ---------------------------------------------------------------- range coder
 
 
+def test_a_resting_encoder_keeps_recent_chunks_only():
+    enc = Encoder(public_path("byte_bpe_50k.json"), memory=5)
+    data = np.frombuffer(" ".join(f"word{i} x{i}" for i in range(40)).encode(), np.uint8)
+    off = np.array([0, 100, 200, len(data)])
+    first = [x.tolist() for x in enc.encode(data, off)]
+    enc.encode(data, off)
+    assert enc.old
+    enc.rest()
+    assert not enc.old and enc.new
+    assert [x.tolist() for x in enc.encode(data, off)] == first
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1023, 1024, 1025, 3000])
 def test_range_coder_round_trip(n):
     r = np.random.default_rng(n)
