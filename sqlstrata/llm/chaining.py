@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sqlstrata.llm.common import (Frequent, IdFilter, frequent_ranges, give_back, groups_of, mix64, ngram_hashes, pack_columns,
+from sqlstrata.llm.common import (Frequent, IdFilter, apart, frequent_ranges, give_back, groups_of, mix64, ngram_hashes, pack_columns,
                                   shuffle_parts, slices, span_hashes, text_buffer, unpack_columns, whole_runs, word_spans, written)
 
 K = 4
@@ -510,7 +510,7 @@ def _cuttings(docs: DataFrame, found: DataFrame) -> DataFrame:
              .agg(F.collect_list(F.struct("chain", "key", "side", F.greatest(F.lit(0), F.col("a") - MARGIN).alias("a"),
                                           (F.col("b") + K + MARGIN).alias("b"))).alias("asked")))
     lists = written(lists.drop("part"), "requests")
-    rows = IdFilter(lists).split(docs)[0].join(lists, "doc_id").select("text", "asked")
+    rows = IdFilter(lists).split(docs)[0].join(apart(lists), "doc_id").select("text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -620,7 +620,7 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
     per = written(per, "cuts")  # passages of one text do not overlap: bounded by its text
     names_ = docs.columns
     touched, rest = IdFilter(per, "_id").split(docs, id_col)
-    rows = touched.join(per, F.col(id_col) == F.col("_id"), "left").select(*names_, "_cuts")
+    rows = touched.join(apart(per), F.col(id_col) == F.col("_id"), "left").select(*names_, "_cuts")
     at = names_.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlstrata.llm.common import slices, text_buffer
-from sqlstrata.llm.tokens import encoder, public_path
+from sqlstrata.llm.tokens import encoder, public_path, release
 
 CAPACITY = 2048
 QUADRATIC = 1 / 2048
@@ -144,7 +144,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
                     yield flush()
         if held:
             yield flush()
-        enc.rest()
+        del enc
+        release(tokenizer)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, _DDL + (", ids array<int>" if with_ids else ""))

@@ -195,6 +195,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def release(path: str) -> None:
+    """Forget the encoder of a file. A worker that goes on with other work
+    would hold its vocabulary and chunks, and loading them again is short."""
+    _ENCODERS.pop(path, None)
+    give_back()
+
+
 def public_path(name: str) -> str:
     """Where the installed vocabulary ``name`` lies on this machine."""
     import public_tokenizers

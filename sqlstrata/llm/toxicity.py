@@ -33,6 +33,8 @@ THRESHOLD = 0.7
 EPOCHS = 400
 #: Labelled documents a feature must occur in, and how far above chance.
 MIN_DOCS, MIN_Z = 3, 5.0
+#: Text bytes that are scored at once.
+TEXT_BYTES = 1 << 18
 
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
@@ -150,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def in_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", TEXT_BYTES):
                 f, of, row = _pairs_of(b)
                 both = np.unique(row[of].astype(np.int64) << BITS | f)
                 y = b.column(1).to_numpy()[both >> BITS]
@@ -163,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def of_suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", TEXT_BYTES):
                 f, of, row = _pairs_of(b)
                 of, f = of[index[f] >= 0], index[f][index[f] >= 0]
                 begin = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
@@ -222,7 +224,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
         for batch in batches:
-            for b in slices(batch, text_col):
+            for b in slices(batch, text_col, TEXT_BYTES):
                 total, row, begin, end, p = _score_slice(b, at, w, bias)
                 data, off = text_buffer(b.column(at))
                 bad = np.flatnonzero(p >= threshold / 2)
@@ -249,7 +251,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
         for batch in batches:
-            for b in slices(batch, text_col):
+            for b in slices(batch, text_col, TEXT_BYTES):
                 yield b.filter(pa.array(_score_slice(b, at, w, bias)[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)

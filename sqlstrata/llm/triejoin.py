@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlstrata.llm.common import (Frequent, IdFilter, connected_components, frequent_ranges, mix64, ngram_hashes, shuffle_parts, slices, span_hashes,
+from sqlstrata.llm.common import (Frequent, IdFilter, apart, connected_components, frequent_ranges, mix64, ngram_hashes, shuffle_parts, slices, span_hashes,
                                   text_buffer, whole_runs, word_spans, written)
 
 WORDS = 5
@@ -452,7 +452,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, order: Frequent, words: int, perc
                       F.lit(True).alias("probe")))
     roles = written(roles, "roles")
     ids = written(roles.select("doc_id").distinct(), "ids")
-    wanted = IdFilter(ids).split(docs)[0].join(ids, "doc_id", "left_semi")
+    wanted = IdFilter(ids).split(docs)[0].join(apart(ids), "doc_id", "left_semi")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

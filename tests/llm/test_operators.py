@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sqlstrata.llm import chaining, langid, mixing, neardup, packing, rangecoder, topk, toxicity, triejoin, warc
-from sqlstrata.llm.common import connected_components, scratch
+from sqlstrata.llm.common import connected_components, scratch, written
 from sqlstrata.llm.tokens import public_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -309,6 +309,62 @@ def test_ngram_join_of_a_large_family(spark):
         assert x.component_id == want[x.doc_id][1]
 
 
+# ---------------------------------------------------------------- memory of the workers
+
+
+def python_steps(plan):
+    """The most Python steps of one stage below a plan node, and in the stage it belongs to."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return python_steps(plan.initialPlan())
+    kids = [plan.children().apply(i) for i in range(plan.children().size())]
+    below = [python_steps(x) for x in kids]
+    most, here = max((x[0] for x in below), default=0), max((x[1] for x in below), default=0)
+    here = 0 if "Exchange" in name else here + (name == "MapInArrow")
+    return max(most, here), here
+
+
+def test_a_stage_holds_one_python_step(spark, monkeypatch):
+    """Small sides of joins are not broadcast between two Python steps: a task would hold two workers."""
+    seen = []
+
+    def noting(df, name):
+        seen.append((name, python_steps(df._jdf.queryExecution().executedPlan())[0]))
+        return written(df, name)
+
+    monkeypatch.setattr(triejoin, "written", noting)
+    monkeypatch.setattr(chaining, "written", noting)
+    say = " ".join
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, say([f"u{i}", *base]), "en", "s", 0) for i in range(6)] + [(10 + i, say(f"x{i}y{j}" for j in range(60)), "en", "s", 0) for i in range(4)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = triejoin.similarity_components(df)
+    assert found.filter("component_id = 0").count() == 6
+    passages = written(chaining.repeated_passages(df), "found")
+    assert passages.count() == 5
+    out = chaining.without_passages(df, passages)
+    seen.append(("cut", python_steps(out._jdf.queryExecution().executedPlan())[0]))
+    assert {x.doc_id: x.text for x in out.collect()}.keys() == {x[0] for x in rows}
+    assert {"verified", "passages", "cut"} <= {x[0] for x in seen}
+    assert [x for x in seen if x[1] > 1] == []
+
+
+def test_packing_leaves_no_encoder_in_a_worker(spark):
+    """A worker goes on with other stages: vocabulary and chunks must not stay with it."""
+    def held(batches):
+        import pyarrow as pa
+
+        from sqlstrata.llm import tokens
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(tokens._ENCODERS)])], names=["n"])
+
+    df = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    want = {f"some words {i}" for i in range(40)}
+    assert packing.pack(df, public_path("byte_bpe_50k.json"), end_id=1).select("doc_id").distinct().count() == len(want)
+    assert {x.n for x in df.mapInArrow(held, "n long").collect()} == {0}
+
+
 # ---------------------------------------------------------------- 7: packing
 
 
