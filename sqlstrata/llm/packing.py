@@ -33,6 +33,8 @@ from sqlstrata.llm.tokens import encoder, public_path, release
 CAPACITY = 2048
 QUADRATIC = 1 / 2048
 GROUP_IDS = 1 << 20
+#: Chunks of a generation that a worker remembers; more of them save no time here.
+MEMORY = 50_000
 
 Piece = tuple[int, int, int, int, int]  # document, start, length, sequence, offset
 
@@ -106,7 +108,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     schema = pa.schema(_FIELDS + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, MEMORY)
         base = TaskContext.get().partitionId() << 40
         ids, docs_, lens, held = [], [], [], 0
 

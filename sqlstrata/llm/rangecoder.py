@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sqlstrata.llm.common import scratch, slices, text_buffer
+from sqlstrata.llm.common import gathered, scratch, slices, text_buffer
 from sqlstrata.llm.tokens import encoder, public_path
 
 MAGIC = b"MXR1"
@@ -45,6 +45,8 @@ MAGIC = b"MXR1"
 BLOCK = 1024
 #: Ids gathered before a segment is written; bounds a task's memory.
 SEGMENT_IDS = 6 << 20
+#: Text bytes that are encoded at once: of these a distinct chunk is looked up once.
+TEXT_BYTES = 12 << 20
 _HEAD = struct.Struct("<4sIII")  # magic, ids, 24-bit words, crc of the ids and then the words
 _SEG = struct.Struct("<4sIBII")  # magic, ids per block, bits of the order-0 total, distinct ids, bytes of the table
 _BITS = 10                       # entries of a block's order-1 and order-2 tables
@@ -91,8 +93,13 @@ class _Model:
         m2 = self.v * self.p[0]
         m1 = self.p[1] - self.v * self.p[1]
         same = a[0] == a[1]
-        f2 = (np.where(same, m2 + m1, m2) * np.float32(_TOTAL - 128)).astype(np.int64) + 1
-        f1 = np.where(same, 0, (m1 * np.float32(_TOTAL - 128)).astype(np.int64) + 1)
+        m2 += m1 * same
+        m2 *= np.float32(_TOTAL - 128)
+        m1 *= np.float32(_TOTAL - 128)
+        f2, f1 = m2.astype(np.int64), m1.astype(np.int64)
+        f2 += 1
+        f1 += 1
+        f1 *= ~same
         self.a = a
         return a, f2, f1
 
@@ -164,8 +171,11 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
         a, f2, f1 = m.predict()
         h2, h1 = x == a[0], x == a[1]
         fe = f2 + f1
-        cum = np.where(h2, 0, np.where(h1, f2, fe))
-        size = np.where(h2, f2, np.where(h1, f1, _TOTAL - fe))
+        none = ~(h2 | h1)
+        h1 &= ~h2
+        cum = f2 * h1 + fe * none
+        size = f2 * h2 + f1 * h1
+        size += (_TOTAL - fe) * none
         lo, rg = low[:live], rng[:live]
         r = rg >> 16
         cum *= r
@@ -174,7 +184,7 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
         at = np.flatnonzero(rg <= _LOW)
         if len(at):
             emit(at)
-        miss = np.flatnonzero(~(h2 | h1))
+        miss = np.flatnonzero(none)
         if len(miss):
             s = rank.take(x.take(miss))
             r = rng.take(miss) >> bits
@@ -266,9 +276,11 @@ def decode_segment(blob: bytes) -> np.ndarray:
         co, rg = code[:live], rng[:live]
         r = rg >> 16
         not2, none = co >= f2 * r, co >= fe * r
-        x = np.where(not2, a[1], a[0]).astype(np.int64)
-        cum = np.where(none, fe, np.where(not2, f2, 0))
-        part = np.where(none, _TOTAL - fe, np.where(not2, f1, f2))
+        one = not2 & ~none
+        x = a[0] + (a[1] - a[0]) * one.astype(np.int64)
+        cum = f2 * one + fe * none
+        part = f2 * ~not2 + f1 * one
+        part += (_TOTAL - fe) * none
         cum *= r
         co -= cum
         np.multiply(part, r, out=rg)
@@ -321,8 +333,8 @@ def _segments(path: str, end_id: int, block: int):
             seg += 1
             return row
 
-        for batch in batches:
-            for b in slices(batch, "text", 4 << 20):
+        for batch in gathered(batches, TEXT_BYTES):
+            for b in slices(batch, "text", TEXT_BYTES):
                 data, off = text_buffer(b.column(1))
                 flat, n = enc.encode(data, off)
                 ends = np.cumsum(n)

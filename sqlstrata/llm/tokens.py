@@ -35,7 +35,7 @@ _VISIBLE[0x21:0x7F] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 _SIGN = np.zeros(256, bool)
-_SIGN[[ord(c) for c in '!"#(),-./:;?|']] = True
+_SIGN[[ord(c) for c in r'!"#$%&()*+,-./:;<=>?@[\]^_`{|}~']] = True  # no apostrophe: it begins 's and the like
 _LATIN = np.zeros(256, bool)  # second byte of a Latin-1 letter (all but the signs for times and division)
 _LATIN[0x80:0xC0] = True
 _LATIN[[0x97, 0xB7]] = False
@@ -52,7 +52,7 @@ MEMORY = 200_000
 _SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _ALPHABET = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SELF))}
 _RUN = re.compile(r" ?(?:[A-Za-z]|\u00c3[\u0080-\u0096\u0098-\u00b6\u00b8-\u00bf])+")
-_LOWER_RUN = re.compile(r" ?(?:[a-z]|\u00c3[\u00a0-\u00b6\u00b8-\u00bf])+")
+_LOWER_RUN = re.compile(r" ?(?:[a-z]|\u00c3[\u009f-\u00b6\u00b8-\u00bf])+")
 
 
 def chunk_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -98,16 +98,28 @@ class Encoder:
 
     def _ids(self, raw: list[bytes]) -> list[bytes]:
         chunks = [c.decode("latin-1") for c in raw]
-        run = (_LOWER_RUN if self.fold else _RUN).fullmatch
-        quick = [i for i, c in enumerate(chunks) if run(c)] if self.model is not None else []
+        run, low = _RUN.fullmatch, _LOWER_RUN.fullmatch
         out: list[bytes | None] = [None] * len(chunks)
-        if quick:
-            tokenize = self.model.tokenize
-            for i in quick:
-                word = chunks[i].lstrip(" ") if self.fold else chunks[i]
-                ids = [t.id for t in tokenize(word.translate(_ALPHABET))]
+        slow = [] if self.model is not None else list(range(len(chunks)))
+        if self.model is not None:
+            tokenize, fold, blank = self.model.tokenize, self.fold, _ALPHABET[0x20]
+            for i, c in enumerate(chunks):
+                if c.isascii():
+                    word = c.lstrip(" ")
+                    if not word.isalpha() or len(c) > len(word) + 1:
+                        slow.append(i)
+                        continue
+                    if len(c) > len(word) and not fold:
+                        word = blank + word
+                elif run(c):
+                    if fold:
+                        c = (c if low(c) else raw[i].decode("utf-8").lower().encode("utf-8").decode("latin-1")).lstrip(" ")
+                    word = c.translate(_ALPHABET)
+                else:
+                    slow.append(i)
+                    continue
+                ids = [t.id for t in tokenize(word)]
                 out[i] = _words(len(ids)).pack(*ids)
-        slow = [i for i, x in enumerate(out) if x is None]
         for at in range(0, len(slow), 4096):
             part = slow[at:at + 4096]
             words = [raw[i].decode("utf-8") for i in part]
@@ -188,10 +200,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
     """One encoder per worker process and file, kept between tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, added=True)
+        _ENCODERS[path] = Encoder(path, memory, added=True)
     return _ENCODERS[path]
 
 

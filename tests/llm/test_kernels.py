@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from sqlstrata.llm import chaining, common, mixing, packing, rangecoder, toxicity, triejoin, warc
-from sqlstrata.llm.common import ngram_hashes, slices, span_hashes, text_buffer, word_spans
+from sqlstrata.llm.common import gathered, ngram_hashes, slices, span_hashes, text_buffer, word_spans
 from sqlstrata.llm.tokens import Encoder, encoder, public_path
 
 PIECES = ["a", "B", "é", "É", "×", " ", "  ", "\n", "\t", " ", " ", "　", "'s", "'", "!", ".", ",", "1", "23", "ß", "日",
@@ -74,6 +74,40 @@ def test_chunked_encoding_equals_whole_texts(name):
         assert at == len(ids)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_with_latin_letters_and_signs(name):
+    """Capital Latin-1 letters, sharp s and signs after a letter give the library's ids."""
+    r = random.Random(5)
+    letters = "abzABZ\u00c0\u00c8\u00d6\u00d8\u00de\u00df\u00e9\u00f7\u00d7\u00ff"
+    signs = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()] + ["=\u0338", "e\u0301", "'s", "'Ll", "\u00a0", " ", "\n", "7"]
+    texts = ["".join("".join(r.choice(letters) for _ in range(r.randint(0, 6))) + r.choice(signs) * r.randint(1, 3) for _ in range(40)) for _ in range(200)]
+    whole = Encoder(public_path(name)).tok
+    ids, n = Encoder(public_path(name)).encode(*text_buffer(pa.array(texts)))
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_known_letters_do_not_go_to_the_whole_tokenizer(monkeypatch):
+    """Their chunks go to the model at once, which costs a quarter of the time."""
+    enc, slow = Encoder(public_path("word_bpe_49k.json")), []
+
+    class Noting:
+        def encode_batch(self, rows, **more):
+            slow.extend(rows)
+            return whole.encode_batch(rows, **more)
+
+    whole, enc.tok = enc.tok, Noting()
+    enc.encode(*text_buffer(pa.array(["en\u00dfst \u00c8le \u00c7\u00e9ier atouea$$$ b<c"])))
+    assert sorted(slow) == ["$$$", "<c"]
+
+
+def test_gathered_batches():
+    t = pa.table({"doc_id": list(range(50)), "text": ["x" * 100, None] * 25})
+    got = list(gathered(iter(t.to_batches(max_chunksize=7)), 1000))
+    assert pa.Table.from_batches(got).equals(t.combine_chunks()) or pa.Table.from_batches(got).to_pylist() == t.to_pylist()
+    assert 1 < len(got) < 8 and list(gathered(iter([]), 1000)) == []
+
+
 # ---------------------------------------------------------------- range coder
 
 
