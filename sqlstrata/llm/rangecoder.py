@@ -53,8 +53,6 @@ _BITS = 10                       # entries of a block's order-1 and order-2 tabl
 _MASK = (1 << _BITS) - 1
 _TOTAL = 65536
 _LOW = (1 << 24) - 1  # the range is kept above this; words of 24 bits leave the coder
-#: Next confidence: after a miss (first eight), after a hit (last eight).
-_NEXT = np.array([0, 0, 0, 1, 1, 2, 2, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.int64)
 
 
 class _Model:
@@ -69,8 +67,8 @@ class _Model:
         self.rate = np.tile(np.linspace(0.05, 0.85, 8, dtype=f), 2 * lanes)
         self.rate_base = np.stack([lane * 8, (lane + lanes) * 8])
         self.v = np.full(lanes, 0.5, f)
-        self.z = np.zeros(lanes, np.int64)   # hash of the last id
-        self.z2 = np.zeros(lanes, np.int64)  # hash of the one before
+        self.z = np.zeros(lanes, np.uint32)   # hash of the last id
+        self.z2 = np.zeros(lanes, np.uint32)  # hash of the one before
         self.at = np.zeros((2, lanes), np.int64)
 
     def keep(self, m: int) -> None:
@@ -81,39 +79,69 @@ class _Model:
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Predicted ids (two rows) and the sizes of their parts of the range."""
         at, z = self.at, self.z
-        np.right_shift(z + (self.z2 >> 5), 13, out=at[0])
-        np.right_shift(z, 13, out=at[1])
-        at &= _MASK
-        at += self.base
+        place = self.z2 >> 5
+        place += z
+        place >>= 13
+        place &= _MASK
+        np.add(place, self.base[0], out=at[0])
+        np.right_shift(z, 13, out=place)
+        place &= _MASK
+        np.add(place, self.base[1], out=at[1])
         e = self.table.take(at)
-        a, k = e >> 3, e & 7
+        self.k = k = e & 7
+        self.a = a = e >> 3
         self.r = self.rate_base + k
-        self.p = self.rate.take(self.r)
-        self.k = k
-        m2 = self.v * self.p[0]
-        m1 = self.p[1] - self.v * self.p[1]
+        self.p = p = self.rate.take(self.r)
+        m2 = self.v * p[0]
+        m1 = p[1] - self.v * p[1]
         same = a[0] == a[1]
         m2 += m1 * same
         m2 *= np.float32(_TOTAL - 128)
         m1 *= np.float32(_TOTAL - 128)
-        f2, f1 = m2.astype(np.int64), m1.astype(np.int64)
+        f2, f1 = m2.astype(np.int32), m1.astype(np.int32)
         f2 += 1
         f1 += 1
         f1 *= ~same
-        self.a = a
         return a, f2, f1
 
-    def update(self, x: np.ndarray) -> None:
+    def update(self, x: np.ndarray, h: np.ndarray) -> None:
+        """Learn the ids ``x``; ``h`` tells which predictions were right."""
         f = np.float32
-        p, h = self.p, self.a == x
-        like = np.where(h, p, (f(1) - p) * f(1 / 32))
+        p = self.p
+        hit = h.astype(f)  # by products of 0 and 1, which are exact, not by masks, which cost more
+        like = f(1) - p
+        like *= f(1 / 32)
+        like *= f(1) - hit
+        like += p * hit
         b2 = self.v * like[0]
         b1 = like[1] - self.v * like[1]
-        self.v = b2 / (b2 + b1) * f(0.96) + f(0.02)
-        self.rate[self.r] = p + (h * f(0.99) + f(0.004) - p) * f(1 / 20)
-        self.table[self.at] = (x << 3) + _NEXT.take(h * 8 + self.k)
+        b1 += b2
+        b2 /= b1
+        b2 *= f(0.96)
+        b2 += f(0.02)
+        self.v = b2
+        hit *= f(0.99)
+        hit += f(0.004)
+        hit -= p
+        hit *= f(1 / 20)
+        hit += p
+        self.rate[self.r.reshape(-1)] = hit.reshape(-1)
+        # the next confidence: one more after a hit (7 at most), after a miss (k - 1) // 2, not below 0
+        k = self.k
+        e = k - (k > 0)
+        e >>= 1
+        k += 1
+        np.minimum(k, 7, out=k)
+        k -= e
+        k *= h
+        e += k
+        e += x << 3
+        self.table[self.at.reshape(-1)] = e.reshape(-1)
         self.z2 = self.z
-        self.z = (x + 1) * 0x9E3779B1 & 0xFFFFFFFF
+        z = x.astype(np.uint32)
+        z += 1
+        z *= 0x9E3779B1
+        self.z = z
 
 
 def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -167,19 +195,19 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
             wide[:, :width] = out.reshape(lanes, width)
             ptr += first
             first, width, out = first * 2, 2 * width, wide.reshape(-1)
-        x = grid[t, :live].astype(np.int64)
+        x = grid[t, :live]
         a, f2, f1 = m.predict()
-        h2, h1 = x == a[0], x == a[1]
+        h = a == x
+        h2 = h[0]
         fe = f2 + f1
-        none = ~(h2 | h1)
-        h1 &= ~h2
+        none = ~(h2 | h[1])
+        h1 = h[1] > h2
         cum = f2 * h1 + fe * none
         size = f2 * h2 + f1 * h1
         size += (_TOTAL - fe) * none
         lo, rg = low[:live], rng[:live]
         r = rg >> 16
-        cum *= r
-        lo += cum
+        lo += cum * r
         np.multiply(size, r, out=rg)
         at = np.flatnonzero(rg <= _LOW)
         if len(at):
@@ -191,10 +219,10 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
             low[miss] += upto.take(s) * r
             r *= share.take(s)
             rng[miss] = r
-            at = miss[r <= _LOW]
+            at = miss.take(np.flatnonzero(r <= _LOW))
             if len(at):
                 emit(at)
-        m.update(x)
+        m.update(x, h)
     every = np.arange(lanes)
     for _ in range(2):
         emit(every)
@@ -260,7 +288,7 @@ def decode_segment(blob: bytes) -> np.ndarray:
 
     def refill(at: np.ndarray) -> None:
         o = ptr.take(at)
-        code[at] = (code.take(at) << 24) | code_words.take(np.minimum(o, top))
+        code[at] = (code.take(at) << 24) | code_words.take(o, mode="clip")
         ptr[at] = o + 1
         rng[at] <<= 24
 
@@ -277,12 +305,11 @@ def decode_segment(blob: bytes) -> np.ndarray:
         r = rg >> 16
         not2, none = co >= f2 * r, co >= fe * r
         one = not2 & ~none
-        x = a[0] + (a[1] - a[0]) * one.astype(np.int64)
+        x = a[0] + (a[1] - a[0]) * one
         cum = f2 * one + fe * none
         part = f2 * ~not2 + f1 * one
         part += (_TOTAL - fe) * none
-        cum *= r
-        co -= cum
+        co -= cum * r
         np.multiply(part, r, out=rg)
         at = np.flatnonzero(rg <= _LOW)
         if len(at):
@@ -291,16 +318,17 @@ def decode_segment(blob: bytes) -> np.ndarray:
         if len(miss):
             r = rng.take(miss) >> bits
             co = code.take(miss)
-            s = symbol.take(np.minimum(co // np.maximum(r, 1), (1 << bits) - 1))
+            # exact as whole numbers: r * 2^bits is 2^48 at most, so no quotient rounds up to the next one
+            s = symbol.take((co / np.maximum(r, 1)).astype(np.int64), mode="clip")
             code[miss] = co - upto.take(s) * r
             r *= share.take(s)
             rng[miss] = r
             x[miss] = seen.take(s)
-            at = miss[r <= _LOW]
+            at = miss.take(np.flatnonzero(r <= _LOW))
             if len(at):
                 refill(at)
         grid[t, :live] = x
-        m.update(x)
+        m.update(x, a == x)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:(lanes - 1) * block + last].astype("<u4")
     for i in range(lanes):
         if zlib.crc32(parts[i].tobytes(), zlib.crc32(ids[i * block:(i + 1) * block].tobytes())) != sums[i]:

@@ -17,31 +17,30 @@ library whole, which finds such strings before it cuts anything.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
-import re
-import struct
 
 import numpy as np
 import pyarrow as pa
 
 from sqlstrata.llm.common import give_back
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_VISIBLE = np.zeros(256, bool)
-_VISIBLE[0x21:0x7F] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
-_SIGN = np.zeros(256, bool)
-_SIGN[[ord(c) for c in r'!"#$%&()*+,-./:;<=>?@[\]^_`{|}~']] = True  # no apostrophe: it begins 's and the like
-_LATIN = np.zeros(256, bool)  # second byte of a Latin-1 letter (all but the signs for times and division)
-_LATIN[0x80:0xC0] = True
-_LATIN[[0x97, 0xB7]] = False
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[0x41:0x5B] += 0x20
-_FOLD[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
+_BLANK = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
+_LETTER = [*range(0x41, 0x5B), *range(0x61, 0x7B)]
+_SIGN = [ord(c) for c in r'!"#$%&()*+,-./:;<=>?@[\]^_`{|}~']  # no apostrophe: it begins 's and the like
+_LATIN = [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]  # second byte of a Latin-1 letter (no times, no division)
+
+
+def _table(bits: dict[int, list[int]]) -> bytes:
+    """For ``bytes.translate``: the sum of the bits of each byte value."""
+    return bytes(sum(bit for bit, values in bits.items() if x in values) for x in range(256))
+
+
+# what a byte is (low bits), and before what it ends a chunk (the same bits, four higher)
+_CUT = _table({1: _BLANK, 2: _SIGN, 4: [0xC3], 16: [*range(0x21, 0x7F)], 32: _LETTER, 64: _LATIN})
+# a byte of a run of letters: a letter, the first and the second byte of a Latin-1 letter
+_PART = _table({1: _LETTER, 2: [0xC3], 4: _LATIN})
+_FOLD = bytes(0x20 if x in _BLANK else x + 0x20 if 0x41 <= x < 0x5B else x for x in range(256))
 
 #: Distinct chunks of a generation. A worker remembers two generations: the
 #: chunks met since the last change, and those of the one before.
@@ -50,25 +49,42 @@ MEMORY = 200_000
 # the byte alphabet of byte-level vocabularies (a fixed rule: printable bytes
 # stand for themselves, the others follow from 256 on)
 _SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_ALPHABET = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SELF))}
-_RUN = re.compile(r" ?(?:[A-Za-z]|\u00c3[\u0080-\u0096\u0098-\u00b6\u00b8-\u00bf])+")
-_LOWER_RUN = re.compile(r" ?(?:[a-z]|\u00c3[\u009f-\u00b6\u00b8-\u00bf])+")
+_OTHER = [x for x in range(256) if x not in _SELF]
+_ALPHABET = np.arange(256, dtype="<u4")
+_ALPHABET[_OTHER] = 256 + np.arange(len(_OTHER))
 
 
 def chunk_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """First bytes of the chunks of all rows."""
     start = np.zeros(len(data), bool)
-    blank, sign = _BLANK[data], _SIGN[data]
-    start[1:] = (blank[1:] & _VISIBLE[data[:-1]]) | (sign[1:] & _LETTER[data[:-1]])
-    latin = (data[:-2] == 0xC3) & _LATIN[data[1:-1]] if len(data) > 2 else np.zeros(0, bool)
-    start[2:] |= (blank[2:] | sign[2:]) & latin
+    is_a = np.frombuffer(data.tobytes().translate(_CUT), np.uint8)
+    ends = is_a >> 4
+    start[1:] = (is_a[1:] & ends[:-1] & 3) != 0
+    if len(data) > 2:
+        start[2:] |= ((is_a[:-2] & ends[1:-1] & 4) != 0) & ((is_a[2:] & 3) != 0)
     start[off[:-1][off[:-1] < off[1:]]] = True
     return np.flatnonzero(start)
 
 
-@functools.cache
-def _words(n: int) -> struct.Struct:
-    return struct.Struct(f"<{n}I")
+def _runs(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which chunks are a run of ASCII and Latin-1 letters, with one space or
+    none before it. No chunk is empty."""
+    part = np.frombuffer(data.tobytes().translate(_PART), np.uint8)
+    fits = (part & 1) != 0
+    pair = (part[:-1] & 2 != 0) & (part[1:] & 4 != 0)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[off] = True
+    pair &= ~cut[1:-1]
+    fits[:-1] |= pair
+    fits[1:] |= pair
+    letters = np.diff(np.concatenate([[0], np.cumsum(fits)])[off])
+    first = data[off[:-1]] == 0x20
+    return (letters > 0) & (letters + first == np.diff(off))
+
+
+def _cut(data: bytes, off: np.ndarray) -> list[bytes]:
+    at = off.tolist()
+    return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 class Encoder:
@@ -97,36 +113,51 @@ class Encoder:
         self.new: dict[bytes, bytes] = {}
 
     def _ids(self, raw: list[bytes]) -> list[bytes]:
-        chunks = [c.decode("latin-1") for c in raw]
-        run, low = _RUN.fullmatch, _LOWER_RUN.fullmatch
-        out: list[bytes | None] = [None] * len(chunks)
-        slow = [] if self.model is not None else list(range(len(chunks)))
-        if self.model is not None:
-            tokenize, fold, blank = self.model.tokenize, self.fold, _ALPHABET[0x20]
-            for i, c in enumerate(chunks):
-                if c.isascii():
-                    word = c.lstrip(" ")
-                    if not word.isalpha() or len(c) > len(word) + 1:
-                        slow.append(i)
-                        continue
-                    if len(c) > len(word) and not fold:
-                        word = blank + word
-                elif run(c):
-                    if fold:
-                        c = (c if low(c) else raw[i].decode("utf-8").lower().encode("utf-8").decode("latin-1")).lstrip(" ")
-                    word = c.translate(_ALPHABET)
-                else:
-                    slow.append(i)
-                    continue
-                ids = [t.id for t in tokenize(word)]
-                out[i] = _words(len(ids)).pack(*ids)
+        """Ids of chunks, as little-endian words."""
+        if not raw:
+            return []
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
+        run = _runs(data, off) if self.model is not None else np.zeros(len(raw), bool)
+        ids: list[int] = []
+        n = np.zeros(len(raw), np.int64)
+        n[run] = self._model_ids(data, off, run, ids)
+        rest = np.flatnonzero(~run)
+        slow = rest.tolist()
         for at in range(0, len(slow), 4096):
-            part = slow[at:at + 4096]
-            words = [raw[i].decode("utf-8") for i in part]
-            for i, e in zip(part, self.tok.encode_batch(words, add_special_tokens=False)):
-                x = e.ids
-                out[i] = _words(len(x)).pack(*x)
-        return out  # type: ignore[return-value]
+            words = [raw[i].decode("utf-8") for i in slow[at:at + 4096]]
+            found = [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)]
+            n[rest[at:at + 4096]] = [len(x) for x in found]
+            for x in found:
+                ids += x
+        order = np.concatenate([np.flatnonzero(run), rest])
+        out = np.empty(len(raw), object)
+        out[order] = _cut(np.array(ids, "<u4").tobytes(), 4 * np.concatenate([[0], np.cumsum(n[order])]))
+        return out.tolist()
+
+    def _model_ids(self, data: np.ndarray, off: np.ndarray, run: np.ndarray, ids: list[int]) -> list[int]:
+        """Append the ids of runs of letters; the number of ids of each."""
+        if not run.any():
+            return []
+        keep = np.repeat(run, np.diff(off))
+        begin = data[off[:-1]] == 0x20
+        size = np.diff(off)[run]
+        if self.fold:
+            keep[off[:-1][begin]] = False
+            size -= begin[run]
+        text = data[keep]
+        if self.fold:
+            second = np.flatnonzero(text[:-1] == 0xC3) + 1
+            second = second[text[second] < 0x9F]  # capital letters
+            text[second] += 0x20
+        letters = _ALPHABET[text].tobytes().decode("utf-32-le")
+        ends = np.cumsum(size)
+        tokenize, n = self.model.tokenize, []
+        for a, b in zip((ends - size).tolist(), ends.tolist()):
+            found = tokenize(letters[a:b])
+            ids += [t.id for t in found]
+            n.append(len(found))
+        return n
 
     def _look_up(self, chunks: list[bytes]) -> list[bytes]:
         if len(self.new) > self.memory:
@@ -177,10 +208,11 @@ class Encoder:
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
         s = chunk_starts(data, off)
-        text = _FOLD[data] if self.fold else np.ascontiguousarray(data)
+        text = data.tobytes().translate(_FOLD) if self.fold else np.ascontiguousarray(data)
         chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(np.append(s, len(data))), pa.py_buffer(text)])
         coded = chunks.dictionary_encode()
-        known = self._look_up(coded.dictionary.to_pylist())
+        _, at, distinct = coded.dictionary.buffers()
+        known = self._look_up(_cut(distinct.to_pybytes(), np.frombuffer(at, np.int64, len(coded.dictionary) + 1)))
         edges = np.zeros(len(known) + 1, np.int32)
         np.cumsum(np.fromiter(map(len, known), np.int32, len(known)), out=edges[1:])
         values = pa.array(np.frombuffer(b"".join(known), np.uint32))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sqlstrata.llm import chaining, common, mixing, packing, rangecoder, toxicity, triejoin, warc
+from sqlstrata.llm import chaining, common, mixing, packing, rangecoder, tokens, toxicity, triejoin, warc
 from sqlstrata.llm.common import gathered, ngram_hashes, slices, span_hashes, text_buffer, word_spans
 from sqlstrata.llm.tokens import Encoder, encoder, public_path
 
@@ -101,6 +101,26 @@ def test_known_letters_do_not_go_to_the_whole_tokenizer(monkeypatch):
     assert sorted(slow) == ["$$$", "<c"]
 
 
+def test_runs_of_letters_are_found_for_all_chunks_at_once():
+    r, letter = random.Random(9), "(?:[A-Za-z]|[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])"
+    pieces = "azAZ\u00c0\u00d6\u00d7\u00d8\u00df\u00e9\u00f7\u00ff\u0100\u4e2d\u0301 \t19.'@[`{"
+    chunks = ["".join(r.choice(pieces) for _ in range(r.randint(1, 4))) for _ in range(4000)]
+    chunks += [" " + c for c in chunks] + [" ", "  ", "\u00c3", "\u00c3\u0083", "a\u0083"]
+    data, off = text_buffer(pa.array(chunks))
+    want = [re.fullmatch(f" ?{letter}+", c) is not None for c in chunks]
+    assert tokens._runs(data, off).tolist() == want and 500 < sum(want) < 5000
+
+
+def test_an_encoder_asks_once_for_all_unknown_chunks(monkeypatch):
+    """What kind of chunk it is costs no Python step per chunk: a rule over all bytes tells."""
+    asked, runs = [], tokens._runs
+    monkeypatch.setattr(tokens, "_runs", lambda data, off: asked.append(len(off) - 1) or runs(data, off))
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}\u00e9" for i in range(600))
+    enc = Encoder(public_path("word_bpe_49k.json"))
+    ids, _ = enc.encode(*text_buffer(pa.array([text, text])))
+    assert asked == [600] and ids.tolist() == 2 * enc.tok.encode(text, add_special_tokens=False).ids
+
+
 def test_gathered_batches():
     t = pa.table({"doc_id": list(range(50)), "text": ["x" * 100, None] * 25})
     got = list(gathered(iter(t.to_batches(max_chunksize=7)), 1000))
@@ -138,6 +158,30 @@ def test_range_coder_compresses_what_it_predicts():
     assert len(rangecoder.encode_segment(ids)) < 0.35 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) + 0.6 * len(ids)
 
 
+def test_range_coder_writes_the_same_blocks_in_32_bit_steps():
+    """The blocks are those of the 64-bit steps, byte by byte."""
+    ids = np.array([(i * i // 7 + i % 11 * (i // 300)) % 4001 if i % 5 else i % 97 for i in range(30_000)], np.uint32)
+    ids[123] = (1 << 24) - 1
+    blob = rangecoder.encode_segment(ids)
+    assert (len(blob), zlib.crc32(blob)) == (46573, 3114292422)
+    assert rangecoder.decode_segment(blob).tolist() == ids.tolist()
+    m = rangecoder._Model(8)
+    a, f2, f1 = m.predict()
+    x = np.full(8, 5, np.int32)
+    m.update(x, a == x)
+    assert {v.itemsize for v in (a, f2, f1, m.z, m.z2, m.k, m.p, m.v)} == {4}
+
+
+def test_range_coder_resolves_order_0_exactly_in_doubles():
+    """Its quotients stay below the next whole number at the widest range."""
+    r = random.Random(2)
+    for bits in (18, 22, 26):
+        part = [(1 << 48 - bits), (1 << 48 - bits) - 1, *(r.randrange(1, 1 << 48 - bits) for _ in range(500))]
+        place = [r.randrange(1 << bits) for _ in part[1:]] + [(1 << bits) - 1]
+        code = np.array([p * k + p - 1 for p, k in zip(part, place)])
+        assert (code / np.array(part)).astype(np.int64).tolist() == place
+
+
 def test_range_coder_blocks_are_checked_and_independent():
     ids = (np.random.default_rng(2).zipf(1.3, 5000) % 5000).astype(np.uint32)
     blob = rangecoder.encode_segment(ids, block=500)
