@@ -237,9 +237,10 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
     words = np.ascontiguousarray(np.ascontiguousarray(words.T.astype("<u4")).view(np.uint8).reshape(lanes, -1, 4)[:, :, :3])
     table = zlib.compress(np.diff(seen, prepend=0).astype("<u4").tobytes() + share.astype("<u4").tobytes(), 6)
     parts = [_SEG.pack(MAGIC, block, bits, len(seen), len(table)), table]
-    for i in range(lanes):
-        own, coded = flat[i * block:min(n, (i + 1) * block)].astype("<u4"), words[i, :used[i]].tobytes()
-        parts += [_HEAD.pack(MAGIC, len(own), int(used[i]), zlib.crc32(coded, zlib.crc32(own.tobytes()))), coded]
+    raw = memoryview(flat[:n].astype("<u4")).cast("B")
+    for i, k in enumerate(used.tolist()):
+        own, coded = raw[4 * i * block:4 * (i + 1) * block], words[i, :k].tobytes()
+        parts += [_HEAD.pack(MAGIC, len(own) // 4, k, zlib.crc32(coded, zlib.crc32(own))), coded]
     return b"".join(parts)
 
 
@@ -330,8 +331,9 @@ def decode_segment(blob: bytes) -> np.ndarray:
         grid[t, :live] = x
         m.update(x, a == x)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:(lanes - 1) * block + last].astype("<u4")
+    raw = memoryview(ids).cast("B")
     for i in range(lanes):
-        if zlib.crc32(parts[i].tobytes(), zlib.crc32(ids[i * block:(i + 1) * block].tobytes())) != sums[i]:
+        if zlib.crc32(parts[i], zlib.crc32(raw[4 * i * block:4 * (i + 1) * block])) != sums[i]:
             raise ValueError(f"checksum of block {i} does not match")
     return ids
 

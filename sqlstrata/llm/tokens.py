@@ -163,17 +163,18 @@ class Encoder:
         if len(self.new) > self.memory:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        unknown = []
-        for c in chunks:
-            if c not in new:
-                x = old.get(c)
+        known, unknown = list(map(new.get, chunks)), []
+        for i, x in enumerate(known):
+            if x is None:
+                c = chunks[i]
+                known[i] = x = old.get(c)
                 if x is None:
-                    unknown.append(c)
+                    unknown.append(i)
                 else:
                     new[c] = x
-        for c, x in zip(unknown, self._ids(unknown)):
-            new[c] = x
-        return list(map(new.__getitem__, chunks))
+        for i, x in zip(unknown, self._ids([chunks[i] for i in unknown])):
+            new[chunks[i]] = known[i] = x
+        return known
 
     def _holds_added(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         out = np.full(len(off) - 1, self.anywhere)
